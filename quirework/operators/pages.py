@@ -53,7 +53,7 @@ def select_pages_by(pages: DataFrame, specs: DataFrame, dialect: str = "extract"
 
 def check_selection(page_counts: DataFrame, specs: DataFrame) -> DataFrame:
     """Strict reading: one error row per document whose list is empty or out of range."""
-    r = spec_ranges(F.col("spec"), "extract")
+    r = F.filter(spec_ranges(F.col("spec"), "extract"), lambda x: x["hi"] >= x["lo"])
     bad_low = F.filter(r, lambda x: x["lo"] < 1)
     bad_high = F.filter(r, lambda x: x["hi"] > F.col("n_pages"))
     msg = (

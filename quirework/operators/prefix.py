@@ -33,9 +33,9 @@ def block_totals(
     """
     names = [n for n, _ in blocks]
     sums = (
-        df.select(*[F.col(k) for k in keys], *[e.alias(n) for n, e in blocks], value.alias("_v"))
+        df.select(*[F.col(k) for k in keys], *[e.alias(n) for n, e in blocks], value.alias("__v"))
         .groupBy(*keys, *names)
-        .agg(F.sum("_v").alias("_v"))
+        .agg(F.sum("__v").alias("__v"))
     )
     if len(blocks) == 1:
         w = Window.partitionBy(*keys).orderBy(*names)
@@ -43,20 +43,20 @@ def block_totals(
             *keys,
             *names,
             F.coalesce(
-                F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_base"),
-            F.sum("_v").over(Window.partitionBy(*keys)).alias("_total"),
+                F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias("__base"),
+            F.sum("__v").over(Window.partitionBy(*keys)).alias("__total"),
         )
-    coarse = block_totals(sums, keys, [(n, F.col(n)) for n in names[:-1]], F.col("_v"))
+    coarse = block_totals(sums, keys, [(n, F.col(n)) for n in names[:-1]], F.col("__v"))
     w = Window.partitionBy(*keys, *names[:-1]).orderBy(names[-1])
     return sums.join(coarse, [*keys, *names[:-1]]).select(
         *keys,
         *names,
         (
-            F.col("_base")
-            + F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ).alias("_base"),
-        "_total",
+            F.col("__base")
+            + F.coalesce(F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ).alias("__base"),
+        "__total",
     )
 
 
@@ -75,7 +75,7 @@ def running(
     ``value`` rows are counted, so ``before + 1`` is the row number.
     """
     value = F.lit(1).cast("long") if value is None else value
-    pairs = [(f"_b{i}", b) for i, b in enumerate(blocks)]
+    pairs = [(f"__b{i}", b) for i, b in enumerate(blocks)]
     names = [n for n, _ in pairs]
     totals = block_totals(df, keys, pairs, value)
     w = (
@@ -83,14 +83,14 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = df.withColumns({n: e for n, e in pairs}).withColumn("_v", value)
+    joined = df.withColumns({n: e for n, e in pairs}).withColumn("__v", value)
     joined = joined.join(totals, [*keys, *names], "left")
     out = joined
     if before:
-        out = out.withColumn(before, F.col("_base") + F.coalesce(F.sum("_v").over(w), F.lit(0)))
+        out = out.withColumn(before, F.col("__base") + F.coalesce(F.sum("__v").over(w), F.lit(0)))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_v", "_base", "_total", *names)
+        out = out.withColumn(total, F.col("__total"))
+    return out.drop("__v", "__base", "__total", *names)
 
 
 def number_rows(df, keys, order, number="row_no", total=None, blocks=None):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("page_queries",)
+MODULES = ("page_queries", "text_queries")
 
 
 def load_all() -> None:

@@ -189,8 +189,8 @@ def select_pages_by_document(spark, sf):
 @query(f"""
 WITH {S.PAGE_COUNTS} SELECT * FROM (SELECT doc_id, CASE
   WHEN lang = 'fr' OR lang NOT IN ('en', 'fr', 'de') THEN 'No pages specified for extraction.'
-  WHEN lang = 'en' AND n_pages < 9 THEN 'Page ' || CASE WHEN n_pages < 2 THEN greatest(1, n_pages + 1) WHEN n_pages < 4 THEN greatest(4, n_pages + 1) ELSE greatest(9, n_pages + 1) END || ' exceeds total pages (' || n_pages || ').'
-  WHEN lang = 'de' AND n_pages < 5 THEN 'Page ' || CASE WHEN n_pages < 2 THEN greatest(2, n_pages + 1) ELSE greatest(5, n_pages + 1) END || ' exceeds total pages (' || n_pages || ').'
+  WHEN lang = 'en' AND n_pages < 4 THEN 'Page ' || CASE WHEN n_pages < 2 THEN 2 ELSE 4 END || ' exceeds total pages (' || n_pages || ').'
+  WHEN lang = 'de' AND n_pages < 2 THEN 'Page 2 exceeds total pages (' || n_pages || ').'
   END AS message FROM page_counts JOIN documents USING (doc_id)) WHERE message IS NOT NULL
 """)
 def check_selection(spark, sf):
