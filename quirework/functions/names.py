@@ -135,8 +135,8 @@ def node_output_names(n: Column, meta_names: Column, filename: Column, label: Co
     Listed names win when their number fits, then a comma list of file names,
     then an index appended to the file name, then to the cleaned label.
     """
-    clean = F.filter(F.transform(meta_names, F.trim), lambda s: s != "")
-    listed = F.filter(F.transform(F.split(filename, ","), F.trim), lambda s: s != "")
+    clean = F.filter(F.transform(meta_names, lambda s: F.trim(s)), lambda s: s != "")
+    listed = F.filter(F.transform(F.split(filename, ","), lambda s: F.trim(s)), lambda s: s != "")
     fallback = F.concat(safe_label(label), F.lit("_output.pdf"))
     idx = F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
     return (

@@ -45,7 +45,7 @@ def spec_ranges(spec: Column, dialect: str = "extract") -> Column:
     """Intervals of a specification in written order (repeats kept)."""
     d = DIALECTS[dialect]
     text = F.lower(F.trim(F.coalesce(spec, F.lit(""))))
-    tokens = F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
 
     def one(tok: Column) -> Column:
         dashed = F.split(tok, "-")

@@ -29,7 +29,7 @@ def text_similarity(a: Column, b: Column) -> Column:
     """Share of characters of ``b`` that occur in ``a``; not symmetric."""
     ca = F.regexp_replace(a, r"\s+", "")
     cb = F.regexp_replace(b, r"\s+", "")
-    shared = F.length(cb) - F.length(F.translate(cb, ca, ""))
+    shared = F.length(cb) - F.length(F.call_function("translate", cb, ca, F.lit("")))
     return (
         F.when((ca == "") & (cb == ""), F.lit(1.0))
         .when((ca == "") | (cb == ""), F.lit(0.0))

@@ -50,7 +50,7 @@ def format_size(size: Column, digits: int = 2, byte_unit: str = "Bytes") -> Colu
 
 
 def relative_time(ts: Column, now: Column) -> Column:
-    secs = F.unix_micros(now) - F.unix_micros(ts)
+    secs = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
     mins = F.floor(secs / 60_000_000)
     hours = F.floor(secs / 3_600_000_000)
     days = F.floor(secs / 86_400_000_000)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.text import strip, text_similarity
 from quirework.operators.prefix import page_block, running, with_totals
+from quirework.session import materialise
 
 # Page match, same page, moved text, short segment, header band.
 PAGE_MATCH, PAGE_SAME, MOVED_MATCH, MOVED_MIN, EDGE_BAND = 0.25, 0.999, 0.85, 5, 0.12
@@ -27,57 +28,72 @@ def _from_end(pages: DataFrame, side: str) -> DataFrame:
     )
 
 
-def pair_pages(a: DataFrame, b: DataFrame) -> DataFrame:
+def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame:
     """(pair_id, page_a, page_b, similarity); an unmatched side is null.
 
     The alignment is walked from the last pages: while page N-k of one version
     resembles page M-k of the other (>= 0.25) they pair up, whatever the rest
-    looks like.  That diagonal is one equi-join on (pair_id, k).  Only pairs with
-    a break in it need the full recurrence, and only for the pages before the
-    break.
+    looks like.  That diagonal is one equi-join on (pair_id, k), written once to
+    the shared folder because three readers follow (each reads few columns).
+    Only pairs with a break in it need the full recurrence, and only for the
+    pages before the break.  ``keep_text`` adds text_a and text_b.
     """
     side_a, side_b = _from_end(a, "a"), _from_end(b, "b")
-    diag = side_a.join(side_b, ["pair_id", "k"], "full").withColumn(
+    joined = side_a.join(side_b, ["pair_id", "k"], "full").withColumn(
         "similarity",
         F.when(
             F.col("page_a").isNotNull() & F.col("page_b").isNotNull(),
             text_similarity(F.col("text_a"), F.col("text_b")),
         ),
     )
+    diag = materialise(joined, "page-pairs")
     breaks = (
         diag.filter(F.col("similarity") < PAGE_MATCH)
         .groupBy("pair_id")
         .agg(F.min("k").alias("_break"))
     )
     marked = diag.join(breaks, "pair_id", "left")
-    settled = marked.filter(F.col("_break").isNull() | (F.col("k") < F.col("_break"))).select(
-        "pair_id", "page_a", "page_b", "similarity"
-    )
-    rest = marked.filter(F.col("k") >= F.col("_break"))
-    features = _page_features(rest, "a").unionByName(_page_features(rest, "b"))
-    resolved = features.groupBy("pair_id").applyInPandas(
-        _align, "pair_id long, page_a long, page_b long, similarity double"
+    out = ["pair_id", "page_a", "page_b", "similarity"] + (["text_a", "text_b"] if keep_text else [])
+    settled = marked.filter(F.col("_break").isNull() | (F.col("k") < F.col("_break"))).select(*out)
+    rest = diag.join(breaks, "pair_id").filter(F.col("k") >= F.col("_break"))
+    resolved = (
+        _page_features(rest)
+        .groupBy("pair_id")
+        .applyInPandas(_align, "pair_id long, page_a long, page_b long, similarity double")
     )
+    if keep_text:
+        for s in ("a", "b"):
+            resolved = resolved.join(
+                rest.select("pair_id", f"page_{s}", f"text_{s}"), ["pair_id", f"page_{s}"], "left"
+            )
     return settled.unionByName(resolved)
 
 
-def _page_features(rest: DataFrame, side: str) -> DataFrame:
+def _page_features(rest: DataFrame) -> DataFrame:
     """Per page: letters with counts; enough for every similarity of the page."""
-    text = F.regexp_replace(F.col(f"text_{side}"), r"\s+", "")
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("side"),
+                F.col(f"page_{s}").alias("page_no"),
+                F.regexp_replace(F.col(f"text_{s}"), r"\s+", "").alias("t"),
+            )
+            for s in ("a", "b")
+        ]
+    )
+    letters = F.array_sort(F.filter(F.split("t", ""), lambda c: c != ""))
     return (
-        rest.filter(F.col(f"page_{side}").isNotNull())
-        .select("pair_id", F.lit(side).alias("side"), F.col(f"page_{side}").alias("page_no"), text.alias("t"))
+        rest.select("pair_id", F.explode(sides).alias("s"))
+        .select("pair_id", "s.*")
+        .filter("page_no IS NOT NULL")
+        .select("pair_id", "side", "page_no", F.length("t").alias("n"), letters.alias("letters"))
         .select(
-            "pair_id", "side", "page_no",
-            F.length("t").alias("n"),
-            F.array_distinct(F.filter(F.split("t", ""), lambda c: c != "")).alias("chars"),
-            "t",
-        )
-        .withColumn(
-            "counts",
-            F.transform("chars", lambda c: F.length("t") - F.length(F.translate(F.col("t"), c, ""))),
+            "pair_id", "side", "page_no", "n",
+            F.array_distinct("letters").alias("chars"),
+            F.transform(
+                F.array_distinct("letters"), lambda c: F.size(F.filter("letters", lambda d: d == c))
+            ).alias("counts"),
         )
-        .drop("t")
     )
 
 
@@ -372,19 +388,26 @@ def find_moved(marks: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                sets = [(d["seq"], set(d["t"]), len(d["t"])) for d in r.dels]
-                for ad in r.adds:
-                    t, n = ad["t"], len(ad["t"])
-                    counts: dict = {}
-                    for c in t:
-                        counts[c] = counts.get(c, 0) + 1
-                    for seq, chars, size in sets:
-                        bound = MOVED_MATCH * (size + n)
-                        if 2 * n < bound:
-                            continue
-                        if 2 * sum(v for c, v in counts.items() if c in chars) / (size + n) >= MOVED_MATCH:
-                            rows.append((r.pair_id, ad["seq"], seq))
-                            break
+                ids: dict = {}
+                for d in r.dels:
+                    for c in set(d["t"]):
+                        ids.setdefault(c, len(ids))
+                has = np.zeros((len(r.dels), len(ids)), dtype=np.float32)
+                for i, d in enumerate(r.dels):
+                    has[i, [ids[c] for c in set(d["t"])]] = 1
+                size = np.array([len(d["t"]) for d in r.dels], dtype=float)
+                for lo in range(0, len(r.adds), 256):
+                    some = r.adds[lo : lo + 256]
+                    counts = np.zeros((len(some), len(ids)), dtype=np.float32)
+                    for i, ad in enumerate(some):
+                        for c in ad["t"]:
+                            if c in ids:
+                                counts[i, ids[c]] += 1
+                    length = np.array([len(ad["t"]) for ad in some], dtype=float)
+                    alike = 2.0 * (counts @ has.T).astype(float) / (length[:, None] + size[None, :])
+                    hit = alike >= MOVED_MATCH
+                    for i in np.flatnonzero(hit.any(axis=1)):
+                        rows.append((r.pair_id, some[i]["seq"], r.dels[int(hit[i].argmax())]["seq"]))
             yield pd.DataFrame(rows, columns=["pair_id", "added_seq", "deleted_seq"])
 
     hits = blocks.select("pair_id", "dels", "adds").mapInPandas(

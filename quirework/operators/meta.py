@@ -24,7 +24,7 @@ def edit_metadata(meta: DataFrame, patch: DataFrame, skip_blank: bool = True) ->
 
 
 def keyword_list(keywords: Column) -> Column:
-    return F.filter(F.transform(F.split(keywords, ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(keywords, ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def remove_metadata(meta: DataFrame, fields: Sequence[str] = TEXT_FIELDS) -> DataFrame:

@@ -128,7 +128,8 @@ def apply_updates(rows: DataFrame, updates: DataFrame, key: str = "id", order: s
 def complete_runs(rows: DataFrame, updates: DataFrame) -> DataFrame:
     """Close runs: updates carry end_ts and status; duration follows from the start."""
     done = apply_updates(rows, updates)
-    ms = F.floor((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1000)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ms = F.floor((micros("end_ts") - micros("start_ts")) / 1000).cast("long")
     return done.withColumn("duration_ms", F.when(F.col("end_ts").isNotNull(), ms).otherwise(F.col("duration_ms")))
 
 

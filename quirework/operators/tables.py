@@ -36,31 +36,43 @@ def table_rows(items: DataFrame, min_cols: int = 2, min_rows: int = 2) -> DataFr
         lambda acc, i: strip(F.concat(acc, F.lit(" "), i["str"])),
     )
     cells = grid.groupBy(*PAGE, "y", "x").agg(joined.alias("cell"))
-    columns = grid.groupBy(*PAGE).agg(F.array_sort(F.collect_set("x")).alias("cols"))
+    # column numbers are page-wide: distinct x positions from the left
+    page = Window.partitionBy(*PAGE)
+    indexed = cells.withColumn("col", F.dense_rank().over(page.orderBy("x")) - 1).withColumn(
+        "n_cols", F.max("col").over(page) + 1
+    )
     rows = (
-        cells.groupBy(*PAGE, "y")
+        indexed.groupBy(*PAGE, "y", "n_cols")
         .agg(
             F.count_if(F.col("cell") != "").alias("filled"),
-            F.map_from_entries(F.collect_list(F.struct("x", "cell"))).alias("by_x"),
+            F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("found"),
         )
         .withColumn("good", F.col("filled") >= min_cols)
     )
-    w = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
     islands = rows.withColumn(
-        "_break", F.sum(F.when(F.col("good"), 0).otherwise(1)).over(w)
+        "_break", F.sum(F.when(F.col("good"), 0).otherwise(1)).over(page.orderBy(F.desc("y")))
     ).filter("good")
     wi = Window.partitionBy(*PAGE, "_break")
     sized = islands.withColumn("_n", F.count("*").over(wi)).filter(F.col("_n") >= min_rows)
-    numbered = sized.select(
+
+    def spread(found: Column, n_cols: Column) -> Column:
+        """Cells in column order with '' in the gaps, in one pass over the row."""
+        empty = lambda k: F.array_repeat(F.lit(""), k.cast("int"))
+        runs = F.transform(
+            found,
+            lambda c, i: F.concat(
+                F.array(c["cell"]),
+                empty(F.coalesce(F.get(found, i + 1)["col"], n_cols) - c["col"] - 1),
+            ),
+        )
+        return F.concat(empty(found[0]["col"]), F.flatten(runs))
+
+    return sized.select(
         *PAGE,
-        F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_break")).cast("long").alias("table_no"),
+        F.dense_rank().over(page.orderBy("_break")).cast("long").alias("table_no"),
         F.row_number().over(wi.orderBy(F.desc("y"))).cast("long").alias("row_no"),
         "y",
-        "by_x",
-    )
-    return numbered.join(columns, PAGE).select(
-        *PAGE, "table_no", "row_no", "y",
-        F.transform("cols", lambda c: F.coalesce(F.try_element_at("by_x", c), F.lit(""))).alias("cells"),
+        spread(F.col("found"), F.col("n_cols")).alias("cells"),
     )
 
 

@@ -10,6 +10,7 @@ from quirework.operators.prefix import BLOCK
 from quirework.plans import sqlviews as S
 from quirework.plans import views as V
 from quirework.plans.registry import query, r6
+from quirework.session import materialise
 from quirework.sources import writers
 
 TERMS = ["the", "tion.", "ÉT", "er", "a"]
@@ -342,11 +343,7 @@ def pair_pages(spark, sf):
 
 
 def _paired_texts(spark, sf):
-    a, b = V.doc_pages(spark, sf), _version_two(spark, sf)
-    pairs = compare.pair_pages(a, b)
-    wa = a.select(F.col("doc_id").alias("pair_id"), F.col("page_no").alias("page_a"), F.col("text").alias("text_a"))
-    wb = b.select(F.col("doc_id").alias("pair_id"), F.col("page_no").alias("page_b"), F.col("text").alias("text_b"))
-    return pairs.join(wa, ["pair_id", "page_a"], "left").join(wb, ["pair_id", "page_b"], "left")
+    return compare.pair_pages(V.doc_pages(spark, sf), _version_two(spark, sf), keep_text=True)
 
 
 def _word_list(c):
@@ -400,4 +397,4 @@ def moved_text(spark, sf):
     m = _marks(spark, sf).select(
         "pair_id", (F.coalesce("page_a", "page_b") * BLOCK + F.col("mark_no")).alias("seq"), "type", "text"
     )
-    return compare.find_moved(m)
+    return compare.find_moved(materialise(m, "marks"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.functions.names import let
 from quirework.functions.text import strip
 from quirework.operators.prefix import page_block, running
 
@@ -117,24 +118,40 @@ def document_json_rows(meta: DataFrame, pages: DataFrame, with_text: bool = True
 def table_json(tables: DataFrame, page_numbers: bool = True) -> DataFrame:
     """JSON per table; blank headers become ``column_k``, the last of equal
     headers wins."""
-    rows = F.col("rows")
-    heads = rows[0]
-    keys = F.transform(
-        heads, lambda h, i: F.when(h == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(h)
+    named = F.transform(
+        F.col("rows")[0],
+        lambda h, i: F.when(h == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(h),
     )
 
-    def obj(cells: Column) -> Column:
-        pairs = F.arrays_zip(keys.alias("k"), F.transform(cells, lambda c: F.coalesce(c, F.lit(""))).alias("v"))
-        named = F.transform(pairs, lambda p, i: F.struct(p["0"].alias("k"), p["1"].alias("v"), i.alias("i")))
-        uniq = F.array_distinct(keys)
-        last = F.transform(uniq, lambda k: F.element_at(F.filter(named, lambda p: p["k"] == k), -1))
-        return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    def render(keys: Column, pos: Column) -> Column:
+        def obj(cells: Column) -> Column:
+            picked = F.transform(pos, lambda p: F.coalesce(F.get(cells, p), F.lit("")))
+            return F.map_from_arrays(keys, picked)
+
+        fields = [
+            F.col("table_no").alias("tableIndex"),
+            F.col("rows")[0].alias("headers"),
+            F.transform(F.slice("rows", 2, F.size("rows")), obj).alias("rows"),
+        ]
+        if page_numbers:
+            fields.append(F.col("page_no").alias("pageNumber"))
+        return F.to_json(F.struct(*fields))
+
+    # headers sorted with their positions; the last entry of a run of equals stays
+    def last_of_equals(srt: Column) -> Column:
+        return F.filter(
+            srt, lambda e, j: F.coalesce(F.get(srt, j + 1)["k"] != e["k"], F.lit(True))
+        )
 
-    body = F.transform(F.slice(rows, 2, F.size(rows)), obj)
-    fields = [F.col("table_no").alias("tableIndex"), heads.alias("headers"), body.alias("rows")]
-    if page_numbers:
-        fields.append(F.col("page_no").alias("pageNumber"))
-    return tables.select("doc_id", "page_no", "table_no", F.to_json(F.struct(*fields)).alias("text"))
+    at = F.array_sort(F.transform(named, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    text = let(
+        let(at, last_of_equals),
+        lambda kept: let(
+            F.transform(kept, lambda e: e["k"]),
+            lambda ks: let(F.transform(kept, lambda e: e["i"]), lambda ps: render(ks, ps)),
+        ),
+    )
+    return tables.select("doc_id", "page_no", "table_no", text.alias("text"))
 
 
 def table_markdown(tables: DataFrame, page_numbers: bool = True) -> DataFrame:

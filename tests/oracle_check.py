@@ -94,7 +94,7 @@ if __name__ == "__main__":
         try:
             res = compare(spark, con, sf, n, fn, sqls.get(n))
         except Exception as e:  # noqa: BLE001
-            res = f"ERROR {type(e).__name__} {str(e)[:700]}"
+            res = f"FAIL {type(e).__name__} {str(e)[:700]}"
         if res and not res.startswith("rows only"):
             bad += 1
         print(f"{'ok ' if not res else '   '} {n} {time.time() - t:.1f}s {res}", flush=True)
