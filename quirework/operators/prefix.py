@@ -97,8 +97,8 @@ def number_rows(df, keys, order, number="row_no", total=None, blocks=None):
     """1-based row number inside ``keys``; blocks default to the first order column."""
     if blocks is None:
         blocks = [page_block(order[0])]
-    out = running(df, keys, blocks, order, before="_n", total=total)
-    return out.withColumn(number, (F.col("_n") + 1).cast("long")).drop("_n")
+    out = running(df, keys, blocks, order, before="__n", total=total)
+    return out.withColumn(number, (F.col("__n") + 1).cast("long")).drop("__n")
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], pos: str = "page_no", total: str = "total_pages"):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("page_queries", "text_queries", "web_queries", "log_queries", "geometry_queries")
+MODULES = ("page_queries", "text_queries", "web_queries", "log_queries", "geometry_queries", "stream_queries")
 
 
 def load_all() -> None:

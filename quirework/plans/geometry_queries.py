@@ -103,7 +103,7 @@ def divide(spark, sf):
 
 
 @query(f"""
-WITH {S.MANIFEST}, t AS (SELECT *, r, c FROM manifest, (VALUES (0), (1)) a(r), (VALUES (0), (1), (2)) b(c) WHERE page_no <= 10),
+WITH {S.MANIFEST}, t AS (SELECT *, r, c FROM manifest, (VALUES (0), (1)) a(r), (VALUES (0), (1), (2)) b(c)),
 b AS (SELECT *, c * width_pt / 3 - CASE WHEN c > 0 THEN 20 ELSE 0 END AS sx, height_pt - (r + 1) * height_pt / 2 - CASE WHEN r > 0 THEN 20 ELSE 0 END AS sy,
   width_pt / 3 + CASE WHEN c > 0 THEN 20 ELSE 0 END + CASE WHEN c < 2 THEN 20 ELSE 0 END AS ew, height_pt / 2 + CASE WHEN r > 0 THEN 20 ELSE 0 END + CASE WHEN r < 1 THEN 20 ELSE 0 END AS eh FROM t),
 e AS (SELECT *, greatest(sx, 0) AS l, greatest(sy, 0) AS bt, least(sx + ew, width_pt) AS rt, least(sy + eh, height_pt) AS tp,
@@ -113,7 +113,7 @@ SELECT doc_id, page_no, r AS "row", c AS col, round(l, 6) AS "left", round(bt, 6
   round((pw - (rt - l) * s) / 2, 6) AS x, round((ph - (tp - bt) * s) / 2, 6) AS y FROM f
 """)
 def posterize(spark, sf):
-    out = G.posterize(V.manifest(spark, sf), 2, 3, 20.0, "fill", page_range="1-10")
+    out = G.posterize(V.manifest(spark, sf), 2, 3, 20.0, "fill")
     return out.select("doc_id", "page_no", "row", "col", *[r6(c) for c in ("left", "bottom", "right", "top", "scale", "x", "y")])
 
 
