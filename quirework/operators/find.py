@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions.units import half_up
 from quirework.operators.errors import error_rows
 from quirework.operators.prefix import page_block, running
+from quirework.session import materialise
 
 WORD = "[A-Za-z0-9_]"
 
@@ -130,6 +131,8 @@ def find_text(
     )
     if not number:
         return found
+    # numbering reads the matches twice; the search itself must run once
+    found = materialise(found, "matches")
     numbered = running(
         found,
         ["doc_id"],

@@ -51,7 +51,13 @@ def split_by_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     Overlapping ranges put a page into several parts.  Use ``check_ranges``
     first; ranges reaching outside the document match only existing pages.
     """
-    joined = interval_join(pages, ranges, KEY, "page_no", "start_page", "end_page")
+    last = pages.groupBy("doc_id").agg(F.max("page_no").alias("_last"))
+    spans = ranges.join(last, "doc_id").select(
+        *ranges.columns,
+        F.greatest(F.col("start_page"), F.lit(1).cast("long")).alias("_lo"),
+        F.least("end_page", "_last").alias("_hi"),
+    )
+    joined = interval_join(pages, spans, KEY, "page_no", "_lo", "_hi").drop("_lo", "_hi")
     return joined.withColumnRenamed("range_no", "part_no").withColumn(
         "part_page", (F.col("page_no") - F.col("start_page") + 1).cast("long")
     )

@@ -26,7 +26,7 @@ x AS (SELECT doc_id, ls, unnest(range(0, (greatest(len(ls), 1) - 1) // 39 + 1))
 SELECT doc_id, i + 1 AS page_no, array_to_string(ls[i*39+1 : i*39+39], chr(10)) AS text FROM x
 """)
 def paginate_wrapped(spark, sf):
-    return paginate.paginate(V.table(spark, sf, "documents"), wrap_at=60)
+    return paginate.paginate(V.text_table(spark, sf, "documents", "doc_id", "text"), wrap_at=60)
 
 
 @query(f"""

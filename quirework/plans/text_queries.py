@@ -294,26 +294,15 @@ def recognised_text(spark, sf):
 
 
 @query(f"""
-WITH {S.OUTLINE}, {S.DOC_META}, {S.PAGE_COUNTS}
-SELECT doc_id, m.title, m.author, n_pages, (SELECT count(*) FROM outline o WHERE o.doc_id = m.doc_id AND level = 1) AS n_marks,
-  (SELECT string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), '|' ORDER BY page_no) FROM doc_pages p WHERE p.doc_id = m.doc_id) AS body
-FROM doc_meta m JOIN page_counts USING (doc_id)
+WITH {S.OUTLINE}, {S.DOC_META}, {S.PAGE_COUNTS},
+o AS (SELECT doc_id, string_agg('{{"title":' || CAST(to_json(title) AS VARCHAR) || ',"dest":' || page_no || '}}', ',' ORDER BY ordinal) AS marks FROM outline WHERE level = 1 GROUP BY 1),
+b AS (SELECT doc_id, string_agg('{{"pageNumber":' || page_no || ',"text":' || CAST(to_json(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS VARCHAR) || '}}', ',' ORDER BY page_no) AS body FROM doc_pages GROUP BY 1)
+SELECT doc_id, 1 AS part_no, '{{"metadata":{{"title":' || CAST(to_json(title) AS VARCHAR) || ',"author":"' || author || '","subject":"' || subject || '","keywords":"' || keywords || '","creator":"' || creator
+  || '","producer":"' || producer || '"}},"info":{{"pageCount":' || n_pages || '}},"outline":[' || coalesce(marks, '') || '],"pages":[' || body || ']}}' AS json
+FROM doc_meta JOIN page_counts USING (doc_id) JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)
 """)
 def document_json(spark, sf):
-    """The document JSON joined from its parts and read back."""
-    js = writers.to_document_json(V.doc_meta(spark, sf), V.doc_pages(spark, sf), V.outline(spark, sf))
-    schema = (
-        "metadata struct<title:string,author:string>, info struct<pageCount:long>, "
-        "outline array<struct<title:string>>, pages array<struct<pageNumber:long,text:string>>"
-    )
-    whole = js.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "json"))), lambda p: p["json"]), "").alias("j")
-    ).select("doc_id", F.from_json("j", schema).alias("j"))
-    return whole.select(
-        "doc_id", F.col("j.metadata.title").alias("title"), F.col("j.metadata.author").alias("author"),
-        F.col("j.info.pageCount").alias("n_pages"), F.size("j.outline").cast("long").alias("n_marks"),
-        F.array_join(F.transform("j.pages", lambda p: p["text"]), "|").alias("body"),
-    )
+    return writers.to_document_json(V.doc_meta(spark, sf), V.doc_pages(spark, sf), V.outline(spark, sf))
 
 
 # ---- two versions -------------------------------------------------------------
@@ -332,7 +321,7 @@ def _version_two(spark, sf):
             .otherwise(F.array(l)),
         )
     )
-    d = V.table(spark, sf, "documents").select("doc_id", F.array_join(edited, "\n").alias("text"))
+    d = V.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(edited, "\n").alias("text"))
     return paginate(d, per_page=V.PER_PAGE)
 
 

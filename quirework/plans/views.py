@@ -16,11 +16,24 @@ PER_PAGE = 4
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table, unchanged: filters and column choice reach the scan."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows carry much work (long texts).
+
+    A table of few row groups would be processed by few tasks; it is spread over
+    the cores first.  A large table has more splits than cores and is left alone.
+    """
+    df = table(spark, sf, name)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return paginate(table(spark, sf, "documents"), per_page=PER_PAGE)
+    return paginate(text_table(spark, sf, "documents", "doc_id", "text"), per_page=PER_PAGE)
 
 
 def page_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +45,7 @@ def page_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conv_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select(
+    return text_table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text"
     )
 
@@ -114,7 +127,7 @@ def word_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """One file per document with valid and broken bytes, by language and length."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     ext = (
         F.when(F.col("lang") == "fr", "PDF").when(F.col("lang") == "de", "txt")
         .when(F.col("lang") == "es", "png").otherwise("pdf")
@@ -232,7 +245,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def eml(spark: SparkSession, sf: str) -> DataFrame:
     """A message per conversation turn: plain, HTML or multipart by role and length."""
-    c = table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     doc_id = F.col("conv_id") * 100 + F.col("turn")
     subj = F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode(F.substring("text", 1, 30), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
     head = F.concat(
@@ -295,7 +308,7 @@ def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = text_table(spark, sf, "part")
     k = F.col("p_partkey")
     return p.select(
         k.alias("id"),

@@ -42,7 +42,7 @@ SELECT page_id, regexp_replace(string_agg(s, '' ORDER BY k), '(?i)on[a-zA-Z]+\\s
 
 @query("WITH " + _clean_sql("html"))
 def sanitize_html(spark, sf):
-    return html.sanitize_html(readers.html_pages(V.table(spark, sf, "pages"))).select("page_id", "html")
+    return html.sanitize_html(readers.html_pages(V.text_table(spark, sf, "pages"))).select("page_id", "html")
 
 
 @query(
@@ -50,14 +50,14 @@ def sanitize_html(spark, sf):
     + _clean_sql("regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')")
 )
 def sanitize_html_drop_scripts(spark, sf):
-    return html.sanitize_html(V.table(spark, sf, "pages"), drop_content=True).select("page_id", "html")
+    return html.sanitize_html(V.text_table(spark, sf, "pages"), drop_content=True).select("page_id", "html")
 
 
 @query("""
 SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS url FROM (SELECT page_id, regexp_extract_all(url || ' ' || html, '(https?://[^\\s<>"]+)', 1) AS l FROM pages)
 """)
 def html_links(spark, sf):
-    p = V.table(spark, sf, "pages").withColumn("html", F.concat_ws(" ", "url", "html"))
+    p = V.text_table(spark, sf, "pages").withColumn("html", F.concat_ws(" ", "url", "html"))
     return html.html_links(p)
 
 
@@ -66,14 +66,14 @@ SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS href,
   NOT regexp_matches(lower(trim(unnest(l))), '^(javascript:|data:|vbscript:)') AS safe FROM (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS l FROM pages)
 """)
 def html_hrefs(spark, sf):
-    return html.html_hrefs(V.table(spark, sf, "pages"))
+    return html.html_hrefs(V.text_table(spark, sf, "pages"))
 
 
 @query("""
 SELECT page_id, url FROM (SELECT page_id, CASE WHEN length(html) % 3 = 0 THEN ' JavaScript:' || url ELSE url END AS url FROM pages) WHERE NOT regexp_matches(lower(trim(url)), '^(javascript:|data:|vbscript:)')
 """)
 def safe_urls(spark, sf):
-    p = V.table(spark, sf, "pages")
+    p = V.text_table(spark, sf, "pages")
     bad = F.when(F.length("html") % 3 == 0, F.concat(F.lit(" JavaScript:"), F.col("url"))).otherwise(F.col("url"))
     return html.filter_safe_urls(p.select("page_id", bad.alias("url")))
 
@@ -82,7 +82,7 @@ def safe_urls(spark, sf):
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages
 """)
 def html_text(spark, sf):
-    return html.html_text(V.table(spark, sf, "pages"))
+    return html.html_text(V.text_table(spark, sf, "pages"))
 
 
 @query("""
@@ -90,7 +90,7 @@ SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<'
   regexp_replace(url, '(?i)(https?://[^\\s<>"]+)', '<a href="\\1">\\1</a>', 'g') AS linked FROM pages
 """)
 def escape_and_link(spark, sf):
-    return V.table(spark, sf, "pages").select(
+    return V.text_table(spark, sf, "pages").select(
         "page_id", T.escape_html(F.col("html")).alias("escaped"), T.linkify(F.col("url")).alias("linked")
     )
 
@@ -211,7 +211,7 @@ SELECT page_id, CASE WHEN s = '' THEN 'download' WHEN length(s) <= 200 THEN s WH
 """)
 def sanitize_filenames(spark, sf):
     raw = F.concat(F.substring("url", 1, 150), F.lit(".."), F.substring("html", 1, 120))
-    return V.table(spark, sf, "pages").select("page_id", N.sanitize_filename(raw).alias("safe"))
+    return V.text_table(spark, sf, "pages").select("page_id", N.sanitize_filename(raw).alias("safe"))
 
 
 @query(f"""

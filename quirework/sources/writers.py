@@ -234,10 +234,9 @@ def assign_bundles(files: DataFrame, per_bundle: int, order: str = "doc_id") ->
     is block-wise, so the whole list never sorts in one task.
     """
     df = files.withColumn("_all", F.lit(1))
-    # coarse, then fine blocks of the order column: both levels stay small
-    numbered = running(
-        df, ["_all"], [page_block(order, 1 << 24), page_block(order)], [order], before="_n", total="_t"
-    )
+    # four levels of blocks keep every level small for dense and for hashed ids
+    blocks = [page_block(order, 1 << k) for k in (52, 40, 24, 12)]
+    numbered = running(df, ["_all"], blocks, [order], before="_n", total="_t")
     digits = F.length(F.ceil(F.col("_t") / F.lit(per_bundle)).cast("string"))
     bundle = (F.floor(F.col("_n") / F.lit(per_bundle)) + 1).cast("long")
     return numbered.withColumn("bundle_id", bundle).withColumn(
