@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once for a body that uses it several times."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from quirework.functions.arrays import let
 
 
 def file_ext(name: Column) -> Column:

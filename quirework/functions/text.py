@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import let, sums_before
+
 # Fixed value: characters whose presence makes a text item split per character.
 CJK_CLASS = "[\\x{4e00}-\\x{9fa5}]"
 
@@ -54,36 +56,32 @@ def tokenize_words(s: Column, x: Column, width: Column) -> Column:
 
     Positions follow the share of characters, blanks included.
     """
-    n = F.greatest(F.length(s), F.lit(1))
-    per_char = width / n
-    chars = F.transform(
-        F.filter(F.split(s, ""), lambda c: c != ""),
-        lambda c, i: F.struct(
-            c.alias("text"), (x + i * per_char).alias("x"), per_char.alias("w")
-        ),
-    )
-    # runs of blanks and runs of non-blanks alternate; offsets are running lengths
-    runs = F.regexp_extract_all(s, F.lit(r"\s+|\S+"), 0)
-    acc0 = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<text:string,x:double,w:double>>").alias("out"),
-    )
-
-    def step(acc, t):
-        here = F.struct(
-            t.alias("text"),
-            (x + acc["pos"] * per_char).alias("x"),
-            (F.length(t) * per_char).alias("w"),
-        )
-        return F.struct(
-            (acc["pos"] + F.length(t)).alias("pos"),
-            F.when(t.rlike(r"^\s"), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(here)))
-            .alias("out"),
+    # the width per character is bound once: inside a lambda it would be worked
+    # out anew, by counting the whole text, for every word
+    share = width / F.greatest(F.length(s), F.lit(1))
+
+    def per_character(unit: Column) -> Column:
+        return F.transform(
+            F.filter(F.split(s, ""), lambda c: c != ""),
+            lambda c, i: F.struct(c.alias("text"), (x + i * unit).alias("x"), unit.alias("w")),
         )
 
-    words = F.aggregate(runs, acc0, step, lambda acc: acc["out"])
-    return F.when(s.rlike(CJK_CLASS), chars).otherwise(words)
+    # runs of blanks and runs of non-blanks alternate; offsets are running lengths
+    def per_word(unit: Column) -> Column:
+        def from_runs(runs: Column) -> Column:
+            sizes = F.transform(runs, lambda t: F.length(t))
+            placed = F.zip_with(
+                F.zip_with(runs, sizes, lambda t, k: F.struct(t.alias("t"), k.alias("k"))),
+                sums_before(sizes),
+                lambda r, at: F.struct(
+                    r["t"].alias("text"), (x + at * unit).alias("x"), (r["k"] * unit).alias("w")
+                ),
+            )
+            return F.filter(placed, lambda p: ~p["text"].rlike(r"^\s"))
+
+        return let(F.regexp_extract_all(s, F.lit(r"\s+|\S+"), 0), from_runs)
+
+    return let(share, lambda u: F.when(s.rlike(CJK_CLASS), per_character(u)).otherwise(per_word(u)))
 
 
 def wrap_lines(paragraph: Column, width: int) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import let, match_starts
 from quirework.functions.units import half_up
 from quirework.operators.errors import error_rows
 from quirework.operators.prefix import page_block, running
@@ -34,29 +35,16 @@ def term_pattern(term: str, regex: bool = False, whole_word: bool = False, case:
 def _spans(text: Column, pattern: str, term_no: int) -> Column:
     """array<struct<term_no,start,text>>: offsets are running lengths of the
     pieces between matches and of the matches before."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<term_no:int,start:int,text:string>>").alias("out"),
-    )
 
-    def step(acc, pair):
-        at = acc["pos"] + F.length(pair["piece"])
-        hit = F.struct(F.lit(term_no).alias("term_no"), at.alias("start"), pair["hit"].alias("text"))
-        return F.struct(
-            (at + F.length(pair["hit"])).alias("pos"),
-            F.concat(acc["out"], F.array(hit)).alias("out"),
+    def placed(found: Column) -> Column:
+        starts = match_starts(F.split(text, pattern, -1), found)
+        return F.zip_with(
+            starts,
+            found,
+            lambda at, h: F.struct(F.lit(term_no).alias("term_no"), at.alias("start"), h.alias("text")),
         )
 
-    pairs = F.zip_with(
-        F.slice(pieces, 1, F.size(found)),
-        found,
-        lambda p, h: F.struct(p.alias("piece"), h.alias("hit")),
-    )
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(
-        start["out"]
-    )
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
 
 
 def _empty_match_spans(pattern: str, case: bool):
@@ -107,23 +95,25 @@ def find_text(
         else:
             hits.append(_spans(F.col("str"), p, i))
             anyhit = anyhit | F.col("str").rlike(p)
-    n = F.length("str")
     tr = F.col("transform")
+    one = F.col("width") / F.length("str")
     found = (
         items.filter((F.col("str") != "") & anyhit)
+        # values of the item are worked out once, before its matches become rows
         .select(
             "doc_id", "page_no", "item_no",
-            n.alias("_n"), "width", "height", tr[0].alias("_sx"), tr[4].alias("_tx"), tr[5].alias("_ty"),
-            F.explode(F.flatten(F.array(*hits))).alias("m"),
+            one.alias("_one"), "height", tr[0].alias("_sx"), tr[4].alias("_tx"), tr[5].alias("_ty"),
+            F.flatten(F.array(*hits)).alias("_hits"),
         )
+        .withColumn("m", F.explode("_hits"))
         .select(
             "doc_id", "page_no", "item_no",
             F.col("m.term_no").alias("term_no"),
             F.col("m.start").alias("start"),
             F.col("m.text").alias("text"),
-            (F.col("_tx") + F.col("m.start") * (F.col("width") / F.col("_n"))).alias("x"),
+            (F.col("_tx") + F.col("m.start") * F.col("_one")).alias("x"),
             F.col("_ty").alias("y"),
-            (F.length("m.text") * (F.col("width") / F.col("_n"))).alias("width"),
+            (F.length("m.text") * F.col("_one")).alias("width"),
             F.when(F.col("height") != 0, F.abs("height"))
             .otherwise(F.abs("_sx") * 0.8)
             .alias("height"),

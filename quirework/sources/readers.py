@@ -38,10 +38,9 @@ def manifest(raw: DataFrame, content: bool = False) -> DataFrame:
 def read_text_docs(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One document per text file: (doc_id, filename, text)."""
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", glob)
+        spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
-        .text(path)
+        .text(path, wholetext=True)
         .withColumn("path", F.col("_metadata.file_path"))
     )
     return raw.select(_doc_id().alias("doc_id"), F.substring_index("path", "/", -1).alias("filename"), F.col("value").alias("text"))

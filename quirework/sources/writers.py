@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.names import let
+from quirework.functions.arrays import let
 from quirework.functions.text import strip
 from quirework.operators.prefix import page_block, running
 
