@@ -280,6 +280,10 @@ MARK_SCHEMA = (
 )
 
 
+def _field(name: str):
+    return lambda w: w[name]
+
+
 def diff_words(pairs: DataFrame) -> DataFrame:
     """Compacted highlights of each page pair.
 
@@ -293,7 +297,7 @@ def diff_words(pairs: DataFrame) -> DataFrame:
     slim = pairs.select(
         "pair_id", "page_a", "page_b", "height_a", "height_b",
         *[
-            F.transform(f"words_{s}", lambda w, c=c: w[c]).alias(f"{c}_{s}")
+            F.transform(f"words_{s}", _field(c)).alias(f"{c}_{s}")
             for s in ("a", "b")
             for c in BOX
         ],

@@ -61,6 +61,12 @@ def _empty_match_spans(pattern: str, case: bool):
     return spans
 
 
+def _tagged(term_no: int):
+    return lambda s: F.struct(
+        F.lit(term_no).alias("term_no"), s["start"].alias("start"), s["text"].alias("text")
+    )
+
+
 def find_text(
     items: DataFrame,
     terms: Sequence[str],
@@ -83,14 +89,7 @@ def find_text(
     for i, (t, p) in enumerate(zip(terms, patterns)):
         if regex and re.compile(t).match(""):
             raw = _empty_match_spans(t, case)(F.col("str"))
-            hits.append(
-                F.transform(
-                    raw,
-                    lambda s, i=i: F.struct(
-                        F.lit(i).alias("term_no"), s["start"].alias("start"), s["text"].alias("text")
-                    ),
-                )
-            )
+            hits.append(F.transform(raw, _tagged(i)))
             anyhit = F.lit(True)
         else:
             hits.append(_spans(F.col("str"), p, i))

@@ -16,7 +16,11 @@ def _doc_id():
 def read_files(
     spark: SparkSession, path: str, glob: str | None = None, content: bool = False
 ) -> DataFrame:
-    """File manifest; ``content`` is read only when asked for."""
+    """File manifest; ``content`` is read only when asked for.
+
+    Spark's file sources leave out files of zero bytes, here and in streams, so
+    the empty-file rule only applies to manifests that come from elsewhere.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)

@@ -63,8 +63,8 @@ def test_search_edges(spark):
     got = sorted((r.item_no, r.start, r.text) for r in find.find_text(df, ["ber"], whole_word=True).collect())
     # word edges are ASCII, so the umlaut before "ber" is an edge
     assert got == [(0, 1, "ber"), (0, 5, "ber"), (0, 9, "BER")]
-    empty = find.find_text(df.filter("item_no = 1"), ["b*"], regex=True, number=False).collect()
-    assert [(r.start, r.text) for r in sorted(empty, key=lambda r: r.start)] == [(0, ""), (1, ""), (2, ""), (3, "")]
+    empty = find.find_text(df.filter("item_no = 1"), ["aa", "b*"], regex=True, number=False).collect()
+    assert sorted((r.term_no, r.start, r.text) for r in empty) == [(0, 0, "aa"), (1, 0, ""), (1, 1, ""), (1, 2, ""), (1, 3, "")]
 
 
 def test_overlapping_matches_are_all_removed(spark):
@@ -175,9 +175,9 @@ def test_file_stream_reports_errors(spark, tmp_path):
     src.mkdir()
     (src / "good.pdf").write_bytes(b"%PDF-1.7\nx\n%%EOF\n")
     (src / "bad.pdf").write_bytes(b"hello")
-    (src / "empty.pdf").write_bytes(b"")
+    (src / "cut.pdf").write_bytes(b"%PDF-1.4\nno end")
     got = jobs.drain(jobs.intake_errors(jobs.intake(spark, str(src))), "t").collect()
-    assert sorted(r.code for r in got) == ["FILE_EMPTY", "FILE_NOT_PDF", "FILE_NOT_PDF"]
+    assert sorted(r.code for r in got) == ["FILE_NOT_PDF", "PDF_MALFORMED"]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
