@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,17 +25,20 @@ def build_session(app: str = "quirework", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the folder named by ``spark.checkpoint.dir``.
 
     The cluster owns that setting.  Only where it is unset (tests, local runs)
-    a temporary folder is chosen and recorded in the session.
+    a temporary folder is chosen, once per process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        base = _LOCAL.setdefault("dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL["dir"] = base
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialise(df, purpose: str):
