@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.pagespec import covers, literal_covers, literal_ranges, spec_ranges
+from quirework.functions.pagespec import literal_covers, literal_ranges, spec_ranges
 from quirework.operators.errors import error_rows
 from quirework.operators.prefix import interval_join, number_rows, page_block, running, with_totals
 
