@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,20 +25,21 @@ def build_session(app: str = "quirework", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder of the folder named by ``spark.checkpoint.dir``.
+    """A fresh sub-folder of the folder named by ``spark.checkpoint.dir``, deleted when the application ends.
 
-    The cluster owns that setting.  Only where it is unset (tests, local runs)
-    a temporary folder is chosen, once per process.
+    The cluster owns that setting, and without it a cluster run is refused: executors could not see each other's files.  Only
+    a session in one process (``local[...]``) gets a folder of its own under /tmp.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _LOCAL.setdefault("dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        _LOCAL["dir"] = base
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"/tmp/spark-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
 
 
 def materialise(df, purpose: str):
