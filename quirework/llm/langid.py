@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value.tables()
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, 2 << 20):
                 got = spans_of(shared.value, tables, part.column(1).to_pylist(), penalty)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], kind)],
@@ -217,7 +217,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, penal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value.tables()
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, 2 << 20):
                 got = spans_of(shared.value, tables, part.column(at).to_pylist(), penalty)
                 yield part.filter(pa.array([g[0] != "und" and g[1] >= min_score for g in got], pa.bool_()))
 

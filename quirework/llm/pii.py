@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -116,38 +117,47 @@ def base(docs: DataFrame, reach: int = 8) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, BASE)
 
 
-def term_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
-    """term_no, n: occurrences of every term of the corpus, by the hash of the term."""
+#: Slots of the filter that thins out the corpus count; its size is fixed, and what passes by chance is dropped by the join behind it.
+SLOTS = 1 << 22
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame, held: int = 100_000) -> DataFrame:
+    """term_no, n: occurrences in the corpus of the terms ``wanted`` (term_no) and of some others; without term_no, those of all."""
+    slots = np.zeros(SLOTS, dtype=bool)
+    slots[np.asarray(wanted.select(F.pmod("term_no", F.lit(SLOTS)).cast("int").alias("s")).distinct().toArrow().column(0))] = True
+    passed = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out():
-            keys = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in seen]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.uint64()).view(pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term_no", "n"])
+            keys = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in seen), np.uint64, len(seen)).view(np.int64)
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            ok = passed.value[keys % SLOTS]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([*keys[ok].tolist(), None], pa.int64()), pa.array([*n[ok].tolist(), int(n.sum())], pa.int64())], names=["term_no", "n"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1 << 20):
                 for t in part.column(0).to_pylist():
                     if t:
                         seen.update(_TERM.findall(t.lower()))
                 if len(seen) > held:
                     yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+        yield out()
 
     return docs.select("text").mapInArrow(run, "term_no long, n long").groupBy("term_no").agg(F.sum("n").alias("n"))
 
 
 def disclosing(near: DataFrame, docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
     """term, entity, disclosure: pairs at or above ``threshold``."""
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    counts = materialise(term_counts(docs), "terms")
-    total = F.lit(counts.agg(F.sum("n")).first()[0] or 1)
+    both = near.groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    pairs = materialise(both.withColumn("term_no", F.xxhash64("term")), "pairs")
+    counts = materialise(term_counts(docs, pairs), "terms")
+    total = F.lit(max(1, counts.where("term_no IS NULL").agg(F.sum("n")).first()[0] or 0))
     # IC(e) by the entity's share of all terms
     of_entity = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    rated = pairs.withColumn("term_no", F.xxhash64("term")).join(counts, "term_no").join(of_entity, "entity")
+    rated = pairs.join(counts, "term_no").join(of_entity, "entity")
     p_e = F.col("n_e") / F.greatest(total, "n_e")
     p_et = F.least(F.lit(1.0), F.col("both") / F.col("n"))
     score = F.when(p_e >= 1, 0.0).otherwise(F.log(p_et / p_e) / -F.log(p_e))

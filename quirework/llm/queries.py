@@ -123,8 +123,8 @@ SQL: dict[str, str] = {}
 
 SQL["op2_topk"] = """
 WITH v AS (
-    SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
@@ -181,3 +181,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
+
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, url, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM d),
+c AS (
+    SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((list_sum(list_transform(range(0, 5),
+        lambda j: (strpos('0123456789abcdef', substr(h, (i // 4) * 5 + j + 1, 1)) - 1) * CAST(power(16, 4 - j) AS BIGINT))) // CAST(power(32, 3 - i % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest
+    FROM k
+)
+SELECT page_id, url, CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type, payload_digest,
+    CAST(payload_bytes AS BIGINT) AS payload_bytes, CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM c
+"""
+
+SQL["op3_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, lower(hex(encode(coalesce(text, '')))) AS t FROM documents),
+g AS (SELECT r, doc_id, i, substr(t, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, t, unnest(range(0, len(t) // 2 - 49)) AS i FROM d WHERE len(t) >= 100)),
+f AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE first < doc_id),
+b AS (SELECT DISTINCT r, i + j AS p FROM f, (SELECT unnest(range(0, 50)) AS j)),
+n AS (SELECT r, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM b) GROUP BY r),
+kept AS (
+    SELECT r, string_agg(substr(t, 2 * i + 1, 2), '' ORDER BY i) AS k
+    FROM (SELECT r, t, unnest(range(0, len(t) // 2)) AS i FROM d WHERE r IN (SELECT r FROM n)) c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = c.r AND b.p = c.i) GROUP BY r
+)
+SELECT doc_id, CAST(len(t) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n.r IS NULL THEN t ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL["op5_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE first < doc_id),
+b AS (SELECT r, list(DISTINCT i + j) AS gone FROM f, (SELECT unnest(range(0, 13)) AS j) GROUP BY r),
+k AS (
+    SELECT r, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d WHERE r IN (SELECT r FROM b)) c
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(gone) AS i FROM b) z WHERE z.r = c.r AND z.i = c.i) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(CASE WHEN b.r IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN k USING (r)
+"""

@@ -343,7 +343,7 @@ class Finder(ABC):
             at += len(p.first)
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*cols), self.result, strict=True)], schema=self.result) if cols else self.result.empty_table()
 
-    def run(self, docs: DataFrame, chunk_bytes: int = 8 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
+    def run(self, docs: DataFrame, chunk_bytes: int = 4 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
         """One row per row of ``docs`` (doc_id, text)."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
