@@ -82,8 +82,11 @@ def trigram_keys(cp: np.ndarray, script: np.ndarray, number: np.ndarray, base: i
 def train(docs: DataFrame, docs_per_lang: int = 400, max_grams: int = 20_000, max_letters: int = 120, max_langs: int = 200) -> Model:
     """Model of the texts of ``docs`` (doc_id, text, lang); rows with null text or lang are left out."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).distinct()
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= docs_per_lang).drop("n")
+    # Ranked within 64 shares of a language first, so that the last window of a frequent one has a fixed size.
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    share = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(64))
+    chosen = known.withColumn("share", share).withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("n") <= docs_per_lang)
+    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= docs_per_lang).drop("n", "share")
     names = sorted(r.lang for r in chosen.select("lang").distinct().limit(max_langs + 1).collect())
     if len(names) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
