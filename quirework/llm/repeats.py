@@ -6,12 +6,12 @@ short phrases and answers travel between chunks and shards:
 1. *Parse.*  A rolling hash over ``gram`` symbols is taken at every place.  Each string of ``size`` symbols is triggered by the
    smallest hash in it (leftmost of equal ones), consecutive strings with one trigger form a phrase, and phrases overlap by
    ``size - 1`` symbols: every string lies in one phrase, and equal strings have equal triggers at equal places.
-2. *Triggers.*  Chunks send their distinct trigger hashes to shards (by hash), which answer with a few bits: which of them stand in two
-   documents or more, and which in very many chunks.
+2. *Triggers.*  Chunks send their distinct trigger hashes to shards (by hash), which answer with two bits: whether a trigger stands in two
+   documents or more, and whether it has very many phrases.
 3. *Dictionary.*  Chunks send their distinct phrases with such triggers, with smallest and largest id.  A shard unites equal phrases and
    takes the smallest id; phrases that share a trigger but differ are compared string by string by the operator's own
-   ``solve``.  Phrases under a trigger of very many chunks are sent string by string to shards by their own hash, so that a
-   passage with a third of all documents spreads.
+   ``solve``.  Phrases under a trigger that has very many are sent string by string to shards by their own hash, so that
+   the ends of a passage with a third of all documents spread.
 4. *Cut.*  Shards answer with runs of strings and the smallest id of each; chunks mark what is covered and cut their texts.
 
 Whatever is sent is distinct within its chunk: a group of copies costs one entry per chunk.  Hashes choose what is compared; the
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A trigger in more chunks than this has its strings dealt out one by one.
-WIDE = 48
+#: A trigger with about this many phrases, counted as distinct within each chunk, has its strings dealt out one by one.
+WIDE = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _BLOB = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary())])
@@ -168,43 +168,47 @@ class Finder(ABC):
         return parts, cat(lambda x: x[4].trigger, _U), cat(lambda x: x[4].hash, _U), cat(lambda x: x[1][x[4].row] if len(x[4].row) else np.zeros(0, np.int64), np.int64)
 
     @staticmethod
-    def keys(trigger: np.ndarray, doc: np.ndarray, shards: int):
-        """Distinct triggers by shard: shard, 47-bit key, whether in two documents of the chunk; and each phrase's index."""
+    def keys(trigger: np.ndarray, doc: np.ndarray, hashed: np.ndarray, shards: int):
+        """Distinct triggers by shard: shard, 43-bit key, whether in two documents of the chunk, log of the number of phrases;
+        and each phrase's index among them."""
         t, inverse = np.unique(trigger, return_inverse=True)
         low, high = np.full(len(t), np.iinfo(np.int64).max), np.full(len(t), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
-        shard, key = (t % _U(shards)).astype(np.int64), (t // _U(shards)) & _U((1 << 47) - 1)
+        by = np.lexsort((hashed, inverse))
+        new = np.concatenate([[True], (np.diff(inverse[by]) != 0) | (hashed[by][1:] != hashed[by][:-1])])
+        log = np.minimum(15, np.ceil(np.log2(np.bincount(inverse[by][new], minlength=len(t))))).astype(np.int64)
+        shard, key = (t % _U(shards)).astype(np.int64), (t // _U(shards)) & _U((1 << 43) - 1)
         order = np.lexsort((key, shard))
-        return shard[order], key[order], (low < high)[order], np.argsort(order)[inverse]
+        return shard[order], key[order], (low < high)[order], log[order], np.argsort(order)[inverse]
 
     # ---- the steps
 
     def send_triggers(self, chunk: int, rows: pa.Table, shards: int) -> pa.Table:
-        trigger, doc = [], []
-        for _, number, _, _, p in self.parse(rows):
-            trigger.append(p.trigger)
-            doc.append(number[p.row] if len(p.row) else np.zeros(0, np.int64))
-        if not trigger:
+        sent = [(p.trigger, number[p.row] if len(p.row) else np.zeros(0, np.int64), p.hash) for _, number, _, _, p in self.parse(rows)]
+        trigger, doc, hashed = (np.concatenate([x[i] for x in sent]) if sent else np.zeros(0, np.int64) for i in range(3))
+        if not len(trigger):
             return _BLOB.empty_table()
-        shard, key, twice, _ = self.keys(np.concatenate(trigger), np.concatenate(doc), shards)
-        packed = (key << _U(1) | twice.astype(_U)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        shard, key, twice, log, _ = self.keys(trigger, doc, hashed, shards)
+        packed = (key << _U(5) | log.astype(_U) << _U(1) | twice.astype(_U)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         at = np.searchsorted(shard, np.unique(shard))
         return pa.table([pa.array([chunk] * len(at), pa.int64()), pa.array(shard[at]), [x.tobytes() for x in np.split(packed, at[1:])] if len(at) else []], schema=_BLOB)
 
     @staticmethod
     def answer_triggers(shard: int, rows: pa.Table) -> pa.Table:
-        """Two bits for each trigger sent: in two documents, in more than ``WIDE`` chunks."""
+        """Two bits for each trigger sent: in two documents, with more than ``WIDE`` phrases."""
         chunks, parts = rows.column("chunk").to_pylist(), []
         for b in rows.column("blob"):
             raw = np.frombuffer(b.as_buffer(), dtype=np.uint8).reshape(-1, 6)
             whole = np.zeros((len(raw), 8), dtype=np.uint8)
             whole[:, :6] = raw
             parts.append(whole.view("<u8").ravel())
-        key, inverse, n = np.unique(np.concatenate(parts) >> _U(1), return_inverse=True, return_counts=True)
+        sent = np.concatenate(parts)
+        _, inverse, n = np.unique(sent >> _U(5), return_inverse=True, return_counts=True)
         twice = n > 1
-        twice[inverse[(np.concatenate(parts) & _U(1)) == 1]] = True
-        bits = np.stack([twice[inverse], (n > WIDE)[inverse]], axis=1)
+        twice[inverse[(sent & _U(1)) == 1]] = True
+        many = np.bincount(inverse, weights=2.0 ** ((sent >> _U(1)) & _U(15)).astype(np.int64)) > WIDE
+        bits = np.stack([twice[inverse], many[inverse]], axis=1)
         at = np.cumsum([0, *map(len, parts)])
         return pa.table([pa.array(chunks, pa.int64()), pa.array([shard] * len(chunks), pa.int64()), [np.packbits(bits[a:b].ravel()).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]], schema=_BLOB)
 
@@ -212,7 +216,7 @@ class Finder(ABC):
         parts, trigger, hashed, doc = self.phrases(rows)
         if not len(trigger):
             return _BLOB.empty_table()
-        shard, _, _, index = self.keys(trigger, doc, shards)
+        shard, _, _, _, index = self.keys(trigger, doc, hashed, shards)
         twice, wide = np.zeros(len(shard), dtype=bool), np.zeros(len(shard), dtype=bool)
         for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True):
             a, e = np.searchsorted(shard, [s, s + 1])
