@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,20 +254,24 @@ class Finder(ABC):
         content = [c for o in out for c in o[6]]
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.unique(to))
-        blobs = []
+        blobs, packer = [], zstandard.ZstdCompressor(level=1)
         for part in np.split(order, cuts[1:]):
             mine = [content[i] for i in part]
             head = np.array([len(part)], dtype="<i8").tobytes()
-            blobs.append(head + b"".join(x[part].astype("<i8").tobytes() for x in (key.view(np.int64), lo, hi)) + b"".join(x.astype("<u4").tobytes() for x in (u[part], off[part], np.array([len(c) for c in mine]))) + b"".join(mine))
+            blob = head + b"".join(x[part].astype("<i8").tobytes() for x in (key.view(np.int64), lo, hi - lo)) + b"".join(x.astype("<u4").tobytes() for x in (u[part], off[part], np.array([len(c) for c in mine]))) + b"".join(mine)
+            blobs.append(packer.compress(blob))
         return pa.table([pa.array([chunk] * len(blobs), pa.int64()), pa.array(np.unique(to)), blobs], schema=_BLOB)
 
     def answer_phrases(self, shard: int, rows: pa.Table) -> pa.Table:
         """Runs (phrase, first string, strings, smallest id) that matter to each chunk."""
         number: dict[bytes, int] = {}
         keys, entries = [], []
-        for b in rows.column("blob").to_pylist():
+        unpacker = zstandard.ZstdDecompressor()
+        for packed in rows.column("blob"):
+            b = unpacker.decompress(packed.as_buffer())
             n = int(np.frombuffer(b, "<i8", 1)[0])
-            key, lo, hi = np.frombuffer(b, "<i8", 3 * n, 8).reshape(3, n)
+            key, lo, span = np.frombuffer(b, "<i8", 3 * n, 8).reshape(3, n)
+            hi = lo + span
             u, off, size = np.frombuffer(b, "<u4", 3 * n, 8 + 24 * n).reshape(3, n)
             at, mine = 8 + 36 * n, np.zeros(n, dtype=np.int64)
             for i, z in enumerate(size.tolist()):
@@ -347,7 +352,7 @@ class Finder(ABC):
             at += len(p.first)
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*cols), self.result, strict=True)], schema=self.result) if cols else self.result.empty_table()
 
-    def run(self, docs: DataFrame, chunk_bytes: int = 4 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
+    def run(self, docs: DataFrame, chunk_bytes: int = 4 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
         """One row per row of ``docs`` (doc_id, text)."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
