@@ -35,9 +35,9 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def format_size(size: Column, digits: int = 2, byte_unit: str = "Bytes") -> Column:
-    """1536 -> '1.5 KB'; the unit list ends at GB."""
+    """1536 -> '1.5 KB'; units go up to EB, the largest a long can hold."""
     k = 1024.0
-    units = [(k**3, "GB"), (k**2, "MB"), (k, "KB"), (1.0, byte_unit)]
+    units = [(k**i, u) for i, u in ((6, "EB"), (5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))] + [(1.0, byte_unit)]
 
     def text(div: float, unit: str) -> Column:
         d = F.round(size / F.lit(div), digits).cast(f"decimal(24,{digits})").cast("string")

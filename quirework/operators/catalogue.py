@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,23 +111,36 @@ def dangling_related(df: DataFrame) -> DataFrame:
     return links.join(df.select(F.col("id").alias("related_id")), "related_id", "left_anti").select("id", "related_id")
 
 
-def flatten_keys(df: DataFrame, column: str = "json", key: Sequence[str] = ("doc_id",), depth: int = 4) -> DataFrame:
-    """Nested JSON objects as dotted keys: (key columns, path, value).
+def leaf_values(text: str | None) -> list[dict] | None:
+    """Leaves of a JSON value as {path, value}: objects and arrays are entered to any depth, array items by their index.
 
-    One generator per level, ``depth`` levels at most; deeper objects remain
-    JSON text under their own path.
+    Strings stay as they are, other leaves are JSON text, null stays null.  Text that is no JSON has no leaves.
     """
-    kv = "map<string,string>"
-    level = df.select(*key, F.explode(F.from_json(column, kv)).alias("path", "value"))
-    done = None
-    for _ in range(depth - 1):
-        nested = F.col("value").startswith("{")
-        leaf = level.filter(~nested | F.col("value").isNull())
-        done = leaf if done is None else done.unionByName(leaf)
-        level = level.filter(nested).select(
-            *key, "path", F.explode(F.from_json("value", kv)).alias("_k", "_v")
-        ).select(*key, F.concat_ws(".", "path", "_k").alias("path"), F.col("_v").alias("value"))
-    return level if done is None else done.unionByName(level)
+    try:
+        top = json.loads(text) if text else None
+    except ValueError:
+        return None
+    if not isinstance(top, (dict, list)):
+        return None
+    out, todo = [], [("", top)]
+    while todo:
+        prefix, value = todo.pop()
+        if isinstance(value, (dict, list)):
+            inner = value.items() if isinstance(value, dict) else enumerate(value)
+            todo.extend((f"{prefix}.{k}" if prefix else str(k), v) for k, v in inner)
+        else:
+            out.append({"path": prefix, "value": value if value is None or isinstance(value, str) else json.dumps(value)})
+    return out
+
+
+def flatten_keys(df: DataFrame, column: str = "json", key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Nested JSON as dotted keys: (key columns, path, value), one row per leaf of the parsed value."""
+
+    @F.pandas_udf("array<struct<path:string,value:string>>")
+    def leaves(texts: pd.Series) -> pd.Series:
+        return texts.map(leaf_values, na_action=None)
+
+    return df.select(*key, F.explode(leaves(column)).alias("leaf")).select(*key, "leaf.path", "leaf.value")
 
 
 def audit_keys(base: DataFrame, other: DataFrame, key: Sequence[str] = ("path",), skip: Sequence[str] = ("brand",)) -> DataFrame:

@@ -330,9 +330,9 @@ def dangling_related(spark, sf):
 
 
 _KEYS_BASE = """base AS (SELECT c_custkey AS doc_id, k.path, k.value FROM customer, LATERAL (VALUES ('profile.name', c_name), ('profile.segment', lower(c_mktsegment)),
-  ('place.home.nation', '' || c_nationkey), ('brand', 'quire')) k(path, value))"""
+  ('place.home.nation', '' || c_nationkey), ('profile.count', '{count} pages'), ('place.home.far.b.c.leaf', '' || c_custkey), ('list.0', c_name), ('list.1', '[x]'), ('brand', 'quire')) k(path, value))"""
 _KEYS_LOCAL = """local AS (SELECT * FROM (SELECT c_custkey AS doc_id, k.path, k.value FROM customer, LATERAL (VALUES ('profile.name', c_name),
-  ('profile.segment', CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) END), ('profile.level', CASE WHEN c_acctbal > 5000 THEN 'vip' END), ('place.home.nation', '' || c_nationkey), ('brand', 'quire')) k(path, value)) WHERE value IS NOT NULL)"""
+  ('profile.segment', CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) END), ('profile.level', CASE WHEN c_acctbal > 5000 THEN 'vip' END), ('place.home.nation', '' || c_nationkey), ('profile.count', '{count} pages'), ('place.home.far.b.c.leaf', '' || c_custkey), ('list.0', c_name), ('list.1', '[x]'), ('brand', 'quire')) k(path, value)) WHERE value IS NOT NULL)"""
 
 
 @query(f"WITH {_KEYS_LOCAL} SELECT doc_id, path, value FROM local")

@@ -49,7 +49,7 @@ FILES = """files AS (
     CASE WHEN n_chars % 11 = 0 THEN 0 ELSE n_chars * 100000 END AS size_bytes,
     CASE WHEN n_chars % 7 = 0 THEN 'PK--1.4 ' WHEN n_chars % 7 = 1 THEN '%PDF-x.y' ELSE '%PDF-1.7' END
     || chr(10) || CASE WHEN n_chars % 6 = 0 THEN '/Encrypt 1 0 R' || chr(10) ELSE '' END || text
-    || CASE WHEN n_chars % 5 = 0 THEN chr(10) || '<< /Type /Sig /ByteRange [0 100 200 ' || n_chars || '] /Contents <00FFAA> /Reason (by '
+    || CASE WHEN n_chars % 5 = 0 THEN chr(10) || '<< /Type /Sig /ByteRange [0 100 200 ' || n_chars || '] /Prop << /Name (inner) >> /Contents <' || repeat('00FFAA', CASE WHEN n_chars % 10 = 0 THEN 4000 ELSE 1 END) || '> /Reason (by '
             || source || ') /M (D:20240102030405) >>' || chr(10) ELSE chr(10) END
     || CASE WHEN n_chars % 4 = 0 THEN '' ELSE '%%EOF' || chr(10) END AS content
   FROM documents)"""

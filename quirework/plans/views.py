@@ -144,7 +144,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         F.col("n_chars") % 5 == 0,
         F.concat(
             F.lit("\n<< /Type /Sig /ByteRange [0 100 200 "), F.col("n_chars").cast("string"),
-            F.lit("] /Contents <00FFAA> /Reason (by "), F.col("source"), F.lit(") /M (D:20240102030405) >>\n"),
+            F.lit("] /Prop << /Name (inner) >> /Contents <"), F.expr("repeat('00FFAA', IF(n_chars % 10 = 0, 4000, 1))"),
+            F.lit("> /Reason (by "), F.col("source"), F.lit(") /M (D:20240102030405) >>\n"),
         ),
     ).otherwise("\n")
     tail = F.when(F.col("n_chars") % 4 == 0, "").otherwise("%%EOF\n")
@@ -331,12 +332,14 @@ def locale_json(spark: SparkSession, sf: str, local: bool) -> DataFrame:
         extra = F.when(F.col("c_acctbal") > 5000, F.lit("vip"))
     else:
         seg, extra = F.lower("c_mktsegment"), F.lit(None).cast("string")
+    deep = F.struct(F.struct(F.struct(F.col("c_custkey").alias("leaf")).alias("c")).alias("b"))
     return c.select(
         F.col("c_custkey").alias("doc_id"),
         F.to_json(
             F.struct(
-                F.struct(F.col("c_name").alias("name"), seg.alias("segment"), extra.alias("level")).alias("profile"),
-                F.struct(F.struct(F.col("c_nationkey").cast("string").alias("nation")).alias("home")).alias("place"),
+                F.struct(F.col("c_name").alias("name"), seg.alias("segment"), extra.alias("level"), F.lit("{count} pages").alias("count")).alias("profile"),
+                F.struct(F.struct(F.col("c_nationkey").cast("string").alias("nation"), deep.alias("far")).alias("home")).alias("place"),
+                F.array(F.col("c_name"), F.lit("[x]")).alias("list"),
                 F.lit("quire").alias("brand"),
             )
         ).alias("json"),

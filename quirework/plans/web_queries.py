@@ -177,14 +177,20 @@ def validate_structure(spark, sf):
     return files.validate_structure(V.files(spark, sf)).select("doc_id", "code", "message")
 
 
-@query(f"WITH {S.FILES} SELECT doc_id, n_chars % 6 = 0 OR contains(content[1:1300], '/Encrypt') AS encrypted FROM files")
+@query(f"WITH {S.FILES} SELECT doc_id, contains(content, '/Encrypt') AS encrypted FROM files")
 def flag_encrypted(spark, sf):
     return files.flag_encrypted(V.files(spark, sf)).select("doc_id", "encrypted")
 
 
-@query(f"WITH {S.FILES} SELECT doc_id, contains(content, '/Encrypt') AS encrypted FROM files")
+def _behind_text(df):
+    """Every ninth file with its mark behind all else."""
+    mark = F.when(F.col("n_chars") % 9 == 0, "/Encrypt 2 0 R").otherwise("").cast("binary")
+    return df.withColumn("content", F.concat("content", mark))
+
+
+@query(f"WITH {S.FILES} SELECT doc_id, contains(content, '/Encrypt') OR n_chars % 9 = 0 AS encrypted FROM files")
 def flag_encrypted_full(spark, sf):
-    return files.flag_encrypted(V.files(spark, sf), scan="full").select("doc_id", "encrypted")
+    return files.flag_encrypted(_behind_text(V.files(spark, sf))).select("doc_id", "encrypted")
 
 
 @query(f"""

@@ -204,3 +204,27 @@ def test_late_rows_are_dropped(spark, tmp_path):
     go()
     got = {str(r.window_start): r.total for r in spark.read.parquet(out).collect()}
     assert got["2024-01-01 00:00:00"] == 1 and got["2024-01-01 03:00:00"] == 1
+
+
+def test_flatten_keys_enters_any_depth(spark):
+    rows = [(1, '{"d": {"e": {"f": {"g": {"h": "x"}}}}, "t": "{count} pages", "n": 1.5, "z": null, "l": ["a", {"k": true}], "o": {}}'), (2, "{broken"), (3, None), (4, '"text"')]
+    df = spark.createDataFrame(rows, "doc_id long, json string")
+    got = {(r.path, r.value) for r in catalogue.flatten_keys(df).collect()}
+    assert got == {("d.e.f.g.h", "x"), ("t", "{count} pages"), ("n", "1.5"), ("z", None), ("l.0", "a"), ("l.1.k", "true")}
+
+
+def test_signatures_at_their_own_bounds(spark):
+    from quirework.operators import files
+
+    sig = b"<< /Type /Sig /ByteRange [0 1 2 3] /Contents <" + b"0A" * 9000 + b"> /Name (a \\(b\\)) /Prop << /Name (inner) /Reason (no) >> /ContactInfo (me) /M (D:20240102030405) >>"
+    none = b"<< /Type /SigFieldLock /ByteRange [0 1 2 3] /Contents <00> >> << /Type /Sig /Contents <00> >>"
+    df = spark.createDataFrame([(1, b"x" * 9000 + none + sig + b"<<" + sig), (2, b"/Type /Sig"), (3, None)], "doc_id long, content binary")
+    got = files.signature_inventory(df).orderBy("idx").collect()
+    assert [(r.doc_id, r.idx, r.contents_hex, r.reason, r.contact, r.signing_time) for r in got] == [(1, i, 18000, None, "me", "2024-01-02T03:04:05") for i in (0, 1)]
+
+
+def test_encryption_mark_anywhere(spark):
+    from quirework.operators import files
+
+    df = spark.createDataFrame([(1, b"a" * 5000 + b"/Encrypt"), (2, b"a")], "doc_id long, content binary")
+    assert {r.doc_id: r.encrypted for r in files.flag_encrypted(df).collect()} == {1: True, 2: False}
