@@ -102,13 +102,15 @@ def n_up(
 ) -> DataFrame:
     """Place ``n`` pages on a sheet, row by row from the top.
 
-    ``grid`` (columns, rows; each 1..10) replaces ``n``.  ``auto`` turns the sheet when page 1
+    ``grid`` (columns, rows; each 1..10, others are refused) replaces ``n``.  ``auto`` turns the sheet when page 1
     is landscape and the grid is wider than tall; only that choice needs a join,
     on the first pages.
     """
     W, H = _size()
     if grid:
-        cols, rows = (max(1, min(10, g)) for g in grid)
+        cols, rows = grid
+        if not (1 <= cols <= 10 and 1 <= rows <= 10):
+            raise ValueError(f"grid {cols} x {rows} is not within 1 x 1 and 10 x 10")
     else:
         cols, rows = N_UP_GRIDS.get(n, (2, 2))
         if vertical and n == 2:

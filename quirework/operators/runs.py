@@ -50,7 +50,7 @@ def batch_summary(files: DataFrame, *by: str) -> DataFrame:
 
 
 def vitals_summary(samples: DataFrame) -> DataFrame:
-    """Rating mix per metric, with the exact 75th percentile by counting values."""
+    """Rating mix per metric, with the largest value of each rating; ``vitals_percentile`` gives percentiles."""
     rated = samples.withColumn("rating", rating(F.col("metric"), F.col("value")))
     return (
         rated.groupBy("metric", "rating")
