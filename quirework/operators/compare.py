@@ -30,7 +30,9 @@ def _from_end(pages: DataFrame, side: str) -> DataFrame:
 
 
 def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(pair_id, page_a, page_b, similarity); an unmatched side is null.
+    """(pair_id, pair_no, page_a, page_b, similarity); an unmatched side is null.
+
+    ``pair_no`` rises in reading order: 0 is the last pair, the one before is -1.
 
     The alignment is walked from the last pages: while page N-k of one version
     resembles page M-k of the other (>= 0.25) they pair up, whatever the rest
@@ -54,20 +56,24 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
         .agg(F.min("k").alias("_break"))
     )
     marked = diag.join(breaks, "pair_id", "left")
-    out = ["pair_id", "page_a", "page_b", "similarity"] + (["text_a", "text_b"] if keep_text else [])
-    settled = marked.filter(F.col("_break").isNull() | (F.col("k") < F.col("_break"))).select(*out)
+    out = ["pair_id", "pair_no", "page_a", "page_b", "similarity"] + (["text_a", "text_b"] if keep_text else [])
+    settled = (
+        marked.filter(F.col("_break").isNull() | (F.col("k") < F.col("_break")))
+        .withColumn("pair_no", -F.col("k"))
+        .select(*out)
+    )
     rest = diag.join(breaks, "pair_id").filter(F.col("k") >= F.col("_break"))
     resolved = (
         _page_features(rest)
         .groupBy("pair_id")
-        .applyInPandas(_align, "pair_id long, page_a long, page_b long, similarity double")
+        .applyInPandas(_align, "pair_id long, pair_no long, page_a long, page_b long, similarity double")
     )
     if keep_text:
         for s in ("a", "b"):
             resolved = resolved.join(
                 rest.select("pair_id", f"page_{s}", f"text_{s}"), ["pair_id", f"page_{s}"], "left"
             )
-    return settled.unionByName(resolved)
+    return settled.unionByName(resolved.select(*out))
 
 
 def _page_features(rest: DataFrame) -> DataFrame:
@@ -84,12 +90,12 @@ def _page_features(rest: DataFrame) -> DataFrame:
     )
     letters = F.array_sort(F.filter(F.split("t", ""), lambda c: c != ""))
     return (
-        rest.select("pair_id", F.explode(sides).alias("s"))
-        .select("pair_id", "s.*")
+        rest.select("pair_id", "_break", F.explode(sides).alias("s"))
+        .select("pair_id", "_break", "s.*")
         .filter("page_no IS NOT NULL")
-        .select("pair_id", "side", "page_no", F.length("t").alias("n"), letters.alias("letters"))
+        .select("pair_id", "_break", "side", "page_no", F.length("t").alias("n"), letters.alias("letters"))
         .select(
-            "pair_id", "side", "page_no", "n",
+            "pair_id", "_break", "side", "page_no", "n",
             F.array_distinct("letters").alias("chars"),
             F.transform(
                 F.array_distinct("letters"), lambda c: F.size(F.filter("letters", lambda d: d == c))
@@ -161,6 +167,8 @@ def _align(pdf: pd.DataFrame) -> pd.DataFrame:
     res["page_b"] = res["page_b"].astype("Int64")
     res["similarity"] = res["similarity"].astype("float64")
     res.insert(0, "pair_id", pdf.pair_id.iloc[0])
+    # pairs come out last to first, and begin where the settled ones end
+    res.insert(1, "pair_no", -(int(pdf._break.iloc[0]) + np.arange(len(res))))
     return res
 
 
@@ -224,60 +232,69 @@ def lcs_ops(a: list, b: list) -> list[tuple[int, int]]:
     return ops
 
 
-def _edge(y: float, height: float) -> bool:
-    return y <= height * EDGE_BAND or y >= height * (1 - EDGE_BAND)
-
+BOX = ("text", "x", "y", "w", "h", "font")
+MARK_SCHEMA = (
+    ("pair_id", pa.int64()), ("pair_no", pa.int64()), ("page_a", pa.int64()), ("page_b", pa.int64()),
+    ("mark_no", pa.int64()), ("diff_percent", pa.float64()), ("side", pa.string()), ("type", pa.string()),
+    ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("w", pa.float64()), ("h", pa.float64()),
+    ("category", pa.string()),
+)
+MARK_DDL = ", ".join(f"{n} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'string'}" for n, t in MARK_SCHEMA)
 
-def _compact(marks: list[dict]) -> list[dict]:
-    """Join neighbours of one kind on one line into a single box."""
-    out: list[dict] = []
-    for h in marks:
-        cur = out[-1] if out else None
-        if (
-            cur
-            and abs(h["y"] - cur["y"]) < SAME_LINE
-            and abs(h["x"] - (cur["x"] + cur["w"])) < ADJOINING
-            and (h["category"], h["type"]) == (cur["category"], cur["type"])
-        ):
-            cur["w"] = h["x"] + h["w"] - cur["x"]
-            cur["text"] += h["text"]
-        else:
-            out.append(dict(h))
-    return out
 
+def islands(y: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Number of the stretch each box belongs to.
 
-def _boxes(words, index: int, kind: str, category: str, side: str) -> dict:
-    w = words[index]
+    ``joined`` tells whether a box continues the one before; a stretch also ends
+    before its first box that is off the line of the stretch's own first box.
+    """
+    starts = ~joined
+    if len(starts):
+        starts[0] = True
+    while True:
+        stretch = np.cumsum(starts) - 1
+        anchor = y[np.flatnonzero(starts)]
+        off = np.flatnonzero(np.abs(y - anchor[stretch]) >= SAME_LINE)
+        if not len(off):
+            return stretch
+        # the first one of each stretch opens a new stretch, and the rest is judged again
+        starts[off[np.unique(stretch[off], return_index=True)[1]]] = True
+
+
+def side_marks(words: dict, kinds: list[str], height: float, side: str) -> dict:
+    """Highlights of one side, as columns: the marked words, neighbours of one kind merged.
+
+    ``kinds`` holds added, deleted, modified or an empty text for each word.
+    """
+    at = np.array([i for i, k in enumerate(kinds) if k], dtype=int)
+    x, y, w, h = (np.array(words[c], dtype=float)[at] for c in ("x", "y", "w", "h"))
+    edge = (y <= height * EDGE_BAND) | (y >= height * (1 - EDGE_BAND))
+    type_ = np.array([kinds[i] for i in at], dtype=object)
+    category = np.where(type_ == "modified", "formatting", np.where(edge, "header-footer", "text"))
+    left, right = x - 1, x + w + 1
+    joined = np.zeros(len(at), dtype=bool)
+    joined[1:] = (
+        (np.abs(left[1:] - right[:-1]) < ADJOINING) & (type_[1:] == type_[:-1]) & (category[1:] == category[:-1])
+    )
+    first = np.flatnonzero(np.diff(islands(y, joined), prepend=-1))
+    stop = np.append(first[1:], len(at))[: len(first)]
+    text = [words["text"][i] for i in at]
     return {
-        "side": side, "type": kind, "text": w["text"], "x": w["x"] - 1, "y": w["y"] - 1,
-        "w": w["w"] + 2, "h": w["h"] + 2, "category": category,
+        "side": [side] * len(first), "type": type_[first].tolist(),
+        "text": ["".join(text[i:j]) for i, j in zip(first, stop)],
+        "x": left[first].tolist(), "y": (y[first] - 1).tolist(), "w": (right[stop - 1] - left[first]).tolist(),
+        "h": (h[first] + 2).tolist(), "category": category[first].tolist(),
     }
 
 
-def page_highlights(wa, wb, height_a: float, height_b: float) -> tuple[list[dict], int]:
-    """Highlights of one page pair and the number of differing words."""
-    left, right, differing = [], [], 0
-    for ia, ib in lcs_ops([w["text"] for w in wa], [w["text"] for w in wb]):
-        if ib < 0:
-            differing += 1
-            cat = "header-footer" if _edge(wa[ia]["y"], height_a) else "text"
-            left.append(_boxes(wa, ia, "deleted", cat, "a"))
-        elif ia < 0:
-            differing += 1
-            cat = "header-footer" if _edge(wb[ib]["y"], height_b) else "text"
-            right.append(_boxes(wb, ib, "added", cat, "b"))
-        elif wa[ia]["font"] != wb[ib]["font"]:
-            left.append(_boxes(wa, ia, "modified", "formatting", "a"))
-            right.append(_boxes(wb, ib, "modified", "formatting", "b"))
-    return _compact(left) + _compact(right), differing
-
-
-BOX = ("text", "x", "y", "w", "h", "font")
-MARK_SCHEMA = (
-    ("pair_id", pa.int64()), ("page_a", pa.int64()), ("page_b", pa.int64()), ("mark_no", pa.int64()),
-    ("diff_percent", pa.float64()), ("side", pa.string()), ("type", pa.string()), ("text", pa.string()),
-    ("x", pa.float64()), ("y", pa.float64()), ("w", pa.float64()), ("h", pa.float64()), ("category", pa.string()),
-)
+def page_highlights(wa: dict, wb: dict, height_a: float, height_b: float) -> tuple[dict, int]:
+    """Highlights of one page pair (side a first) and the number of differing words; words come as columns."""
+    kinds_a, kinds_b = ["deleted"] * len(wa["text"]), ["added"] * len(wb["text"])
+    same = [(i, j) for i, j in lcs_ops(wa["text"], wb["text"]) if i >= 0 and j >= 0]
+    for i, j in same:
+        kinds_a[i] = kinds_b[j] = "" if wa["font"][i] == wb["font"][j] else "modified"
+    left, right = side_marks(wa, kinds_a, height_a, "a"), side_marks(wb, kinds_b, height_b, "b")
+    return {c: left[c] + right[c] for c in left}, len(kinds_a) + len(kinds_b) - 2 * len(same)
 
 
 def _field(name: str):
@@ -285,17 +302,16 @@ def _field(name: str):
 
 
 def diff_words(pairs: DataFrame) -> DataFrame:
-    """Compacted highlights of each page pair.
+    """Merged highlights of each page pair, numbered by mark_no.
 
-    Input, one row per page pair: pair_id, page_a, page_b, words_a, words_b
-    (arrays of words with boxes, y from the top), height_a, height_b.  The work
-    is per row, so no grouping happens here.
+    Input, one row per page pair: pair_id, pair_no, page_a, page_b, words_a,
+    words_b (arrays of words with boxes, y from the top), height_a, height_b.
+    The work is per row, so no grouping happens here.
     """
-
-    parts = [f"{c}_{s}" for s in ("a", "b") for c in BOX]
+    keys = ("pair_id", "pair_no", "page_a", "page_b")
     # boxes travel as plain arrays, one per property, which convert fastest
     slim = pairs.select(
-        "pair_id", "page_a", "page_b", "height_a", "height_b",
+        *keys, "height_a", "height_b",
         *[
             F.transform(f"words_{s}", _field(c)).alias(f"{c}_{s}")
             for s in ("a", "b")
@@ -306,26 +322,22 @@ def diff_words(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = {n: b.column(n) for n in b.schema.names}
-            out: list[tuple] = []
+            out = {n: [] for n, _ in MARK_SCHEMA}
             for i in range(b.num_rows):
-                v = {n: col[n][i].as_py() or [] for n in parts}
                 wa, wb = (
-                    [dict(zip(BOX, t)) for t in zip(*(v[f"{c}_{s}"] for c in BOX))] for s in ("a", "b")
+                    {c: col[f"{c}_{s}"][i].as_py() or [] for c in BOX} for s in ("a", "b")
                 )
-                key = tuple(col[n][i].as_py() for n in ("pair_id", "page_a", "page_b"))
                 marks, differing = page_highlights(wa, wb, col["height_a"][i].as_py(), col["height_b"][i].as_py())
-                pct = 100.0 * differing / max(len(wa), len(wb), 1)
-                out += [(*key, k, pct, *h.values()) for k, h in enumerate(marks)]
-            arrays = list(zip(*out)) if out else [[] for _ in MARK_SCHEMA]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, (_, t) in zip(arrays, MARK_SCHEMA)], names=[n for n, _ in MARK_SCHEMA]
-            )
+                n = len(marks["text"])
+                for k in keys:
+                    out[k] += [col[k][i].as_py()] * n
+                out["mark_no"] += range(n)
+                out["diff_percent"] += [100.0 * differing / max(len(wa["text"]), len(wb["text"]), 1)] * n
+                for c, values in marks.items():
+                    out[c] += values
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in MARK_SCHEMA], names=[n for n, _ in MARK_SCHEMA])
 
-    return slim.mapInArrow(
-        run,
-        "pair_id long, page_a long, page_b long, mark_no long, diff_percent double, side string, "
-        "type string, text string, x double, y double, w double, h double, category string",
-    )
+    return slim.mapInArrow(run, MARK_DDL)
 
 
 def word_ops(pairs: DataFrame) -> DataFrame:
@@ -374,66 +386,120 @@ def filter_highlights(marks: DataFrame, hidden: tuple[str, ...] = ()) -> DataFra
 
 
 MOVED_CHUNK = 2048
+#: Shortest added segment, as a share of the deleted one's length, that can still reach MOVED_MATCH:
+#: 2 * shared / (a + d) with shared <= a.
+MOVED_SHARE = MOVED_MATCH / (2 - MOVED_MATCH)
 
 
 def find_moved(marks: DataFrame) -> DataFrame:
     """Deleted and added segments of a document pair that are the same text.
 
     Every added segment belongs to the first deleted one it resembles (>= 0.85);
-    a deleted segment points to the last added one it won.  Segments travel in
-    chunks of 2048 per side, and one task compares one chunk pair with array
-    operations: no row per segment pair exists, and a pair with very many
-    segments spreads over many tasks.
-
-    Input: pair_id, seq (reading order), type, text plus any position columns.
-    Returns (pair_id, deleted_seq, added_seq, is_target).
+    a deleted segment points to the last added one it won.  Likeness depends on
+    the texts alone, so equal texts are compared once (with the first place of
+    the deleted ones).  Distinct texts are ordered by length and cut into chunks
+    of 2048 per side; every pair of chunks whose lengths can match is one row
+    with its own join key, so a pair with very many segments spreads.
+
+    Input: pair_id, pair_no, mark_no (reading order), type, text.
+    Returns (pair_id, deleted_pair, deleted_mark, added_pair, added_mark,
+    is_target).
     """
     clean = F.regexp_replace("text", r"\s+", "")
     usable = marks.filter(
         F.col("type").isin("deleted", "added") & (F.length(strip(F.col("text"))) >= MOVED_MIN)
-    ).select("pair_id", "seq", "type", clean.alias("t"))
-    numbered = running(usable, ["pair_id", "type"], [page_block("seq", MOVED_CHUNK)], ["seq"], before="_i")
-    chunked = (
-        numbered.withColumn("chunk", F.floor(F.col("_i") / MOVED_CHUNK))
-        .groupBy("pair_id", "type", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("segs"))
+    ).select("pair_id", F.struct("pair_no", "mark_no").alias("place"), "type", clean.alias("t"))
+    texts = usable.groupBy("pair_id", "type", "t").agg(F.min("place").alias("place"))
+    texts = texts.withColumns({"n": F.length("t"), "h": F.pmod(F.xxhash64("t"), F.lit(64))})
+    for kind in ("deleted", "added"):
+        mine = (F.col("type") == kind).cast("long")
+        texts = running(texts, ["pair_id"], [F.col("n"), F.col("h")], ["n", "h", "t", "type"], mine, f"_{kind}", f"_all_{kind}")
+
+    def chunks(kind: str, other: str, segs: str) -> DataFrame:
+        return (
+            texts.filter(F.col("type") == kind)
+            .groupBy("pair_id", F.floor(F.col(f"_{kind}") / MOVED_CHUNK).alias(f"c_{kind}"))
+            .agg(
+                F.array_sort(F.collect_list(F.struct("place", "t"))).alias(segs),
+                F.first(f"_all_{other}").alias("_n"), F.min("n").alias(f"lo_{segs}"), F.max("n").alias(f"hi_{segs}"),
+            )
+            .filter("_n > 0")
+            .withColumn(f"c_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / MOVED_CHUNK))))
+            .drop("_n")
+        )
+
+    blocks = (
+        chunks("deleted", "added", "dels")
+        .join(chunks("added", "deleted", "adds"), ["pair_id", "c_deleted", "c_added"])
+        .filter(F.col("hi_adds") >= F.col("lo_dels") * F.lit(MOVED_SHARE))
     )
-    dele = chunked.filter("type = 'deleted'").select("pair_id", F.col("chunk").alias("cd"), F.col("segs").alias("dels"))
-    adds = chunked.filter("type = 'added'").select("pair_id", F.col("chunk").alias("ca"), F.col("segs").alias("adds"))
-    # chunks of one pair are spread by (cd, ca); each row is one chunk against one chunk
-    blocks = dele.join(adds, "pair_id").repartition("pair_id", "cd", "ca")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                ids: dict = {}
-                for d in r.dels:
-                    for c in set(d["t"]):
-                        ids.setdefault(c, len(ids))
-                has = np.zeros((len(r.dels), len(ids)), dtype=np.float32)
-                for i, d in enumerate(r.dels):
-                    has[i, [ids[c] for c in set(d["t"])]] = 1
-                size = np.array([len(d["t"]) for d in r.dels], dtype=float)
-                for lo in range(0, len(r.adds), 256):
-                    some = r.adds[lo : lo + 256]
-                    counts = np.zeros((len(some), len(ids)), dtype=np.float32)
-                    for i, ad in enumerate(some):
-                        for c in ad["t"]:
-                            if c in ids:
-                                counts[i, ids[c]] += 1
-                    length = np.array([len(ad["t"]) for ad in some], dtype=float)
-                    alike = 2.0 * (counts @ has.T).astype(float) / (length[:, None] + size[None, :])
-                    hit = alike >= MOVED_MATCH
-                    for i in np.flatnonzero(hit.any(axis=1)):
-                        rows.append((r.pair_id, some[i]["seq"], r.dels[int(hit[i].argmax())]["seq"]))
-            yield pd.DataFrame(rows, columns=["pair_id", "added_seq", "deleted_seq"])
-
-    hits = blocks.select("pair_id", "dels", "adds").mapInPandas(
-        match, "pair_id long, added_seq long, deleted_seq long"
+            for pair_id, dels, adds in zip(pdf.pair_id, pdf.dels, pdf.adds):
+                letters = {c: k for k, c in enumerate(sorted({c for d in dels for c in d["t"]}))}
+                has = np.zeros((len(dels), len(letters)), dtype=np.float32)
+                for row, d in zip(has, dels):
+                    row[[letters[c] for c in set(d["t"])]] = 1
+                size = np.array([len(d["t"]) for d in dels], dtype=float)
+                for add in adds:
+                    counts = np.bincount([letters[c] for c in add["t"] if c in letters], minlength=len(letters))
+                    alike = 2.0 * (has @ counts.astype(np.float32)).astype(float) / (size + len(add["t"]))
+                    hit = np.flatnonzero(alike >= MOVED_MATCH)
+                    if len(hit):
+                        first = dels[hit[0]]["place"]
+                        rows.append((pair_id, add["t"], first["pair_no"], first["mark_no"]))
+            yield pd.DataFrame(rows, columns=["pair_id", "t", "pair_no", "mark_no"])
+
+    hits = (
+        blocks.select("pair_id", "dels", "adds")
+        .mapInPandas(match, "pair_id long, t string, pair_no long, mark_no long")
+        .groupBy("pair_id", "t")
+        .agg(F.min(F.struct("pair_no", "mark_no")).alias("deleted"))
+    )
+    added = usable.filter("type = 'added'").select("pair_id", "t", F.col("place").alias("added"))
+    won = added.join(hits, ["pair_id", "t"]).select("pair_id", "deleted", "added")
+    last = won.groupBy("pair_id", "deleted").agg(F.max("added").alias("added"))
+    last = last.select("pair_id", "added", F.lit(True).alias("_last"))
+    return won.join(last, ["pair_id", "added"], "left").select(
+        "pair_id",
+        F.col("deleted.pair_no").alias("deleted_pair"), F.col("deleted.mark_no").alias("deleted_mark"),
+        F.col("added.pair_no").alias("added_pair"), F.col("added.mark_no").alias("added_mark"),
+        F.coalesce("_last", F.lit(False)).alias("is_target"),
     )
-    won = hits.groupBy("pair_id", "added_seq").agg(F.min("deleted_seq").alias("deleted_seq"))
-    last = won.groupBy("pair_id", "deleted_seq").agg(F.max("added_seq").alias("_last"))
-    return won.join(last, ["pair_id", "deleted_seq"]).select(
-        "pair_id", "deleted_seq", "added_seq", (F.col("added_seq") == F.col("_last")).alias("is_target")
+
+
+def mark_moved(marks: DataFrame) -> DataFrame:
+    """Highlights with both ends of a moved text turned into type ``moved``.
+
+    Adds to_page, to_x and to_y: where the text went (side a) or came from
+    (side b); null on other highlights.
+    """
+    moved = find_moved(marks)
+    place = ["pair_id", "pair_no", "mark_no"]
+    ends = marks.select(
+        "pair_id", F.col("pair_no").alias("_p"), F.col("mark_no").alias("_m"),
+        F.struct(
+            F.when(F.col("side") == "a", F.col("page_a")).otherwise(F.col("page_b")).alias("page"), "x", "y"
+        ).alias("to"),
+    )
+
+    def end(pairs: DataFrame, mine: str, other: str) -> DataFrame:
+        links = pairs.select(
+            "pair_id", F.col(f"{mine}_pair").alias("pair_no"), F.col(f"{mine}_mark").alias("mark_no"),
+            F.col(f"{other}_pair").alias("_p"), F.col(f"{other}_mark").alias("_m"),
+        )
+        return links.join(ends, ["pair_id", "_p", "_m"]).select(*place, "to")
+
+    links = end(moved.filter("is_target"), "deleted", "added").unionByName(end(moved, "added", "deleted"))
+    return (
+        marks.join(links, place, "left")
+        .withColumns(
+            {
+                "type": F.when(F.col("to").isNotNull(), "moved").otherwise(F.col("type")),
+                "to_page": F.col("to.page"), "to_x": F.col("to.x"), "to_y": F.col("to.y"),
+            }
+        )
+        .drop("to")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,24 +49,59 @@ def _spans(text: Column, pattern: str, term_no: int) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
 
 
-def _empty_match_spans(pattern: str, case: bool):
-    """Spans of a pattern that can match empty text (offsets cannot be told from
-    the pieces then); vectorised over Arrow batches."""
+# What the browser's classes stand for (ASCII only, edges included).
+CLASSES = {"w": "A-Za-z0-9_", "d": "0-9"}
+EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+INNER = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
+
+
+def browser_regex(pattern: str, case: bool) -> re.Pattern:
+    """A browser pattern compiled here: ASCII classes, ``$`` at the very end, named groups."""
+    out, in_class = [], False
+    for tok in re.findall(r"(?s)\\.|\(\?<(?![=!])|.", pattern):
+        low = tok[1:].lower()
+        if tok[0] == "\\" and low in CLASSES and tok[1:].islower():
+            tok = CLASSES[low] if in_class else f"[{CLASSES[low]}]"
+        elif tok[0] == "\\" and low in CLASSES and not in_class:
+            tok = f"[^{CLASSES[low]}]"
+        elif tok in ("\\b", "\\B") and not in_class:
+            tok = EDGE if tok == "\\b" else INNER
+        elif tok == "(?<" and not in_class:
+            tok = "(?P<"
+        elif tok == "$" and not in_class:
+            tok = r"\Z"
+        elif tok == "[" and in_class:
+            tok = r"\["
+        elif tok in "[]":
+            in_class = tok == "["
+        out.append(tok)
+    return re.compile("".join(out), 0 if case else re.IGNORECASE)
+
+
+def _regex_spans(patterns: Sequence[str], case: bool):
+    """Spans of every pattern in one pass over Arrow batches.
+
+    After an empty match the search goes on one character later.
+    """
 
-    @F.pandas_udf("array<struct<start:int,text:string>>")
+    @F.pandas_udf("array<struct<term_no:int,start:int,text:string>>")
     def spans(text: pd.Series) -> pd.Series:
-        rx = re.compile(pattern, 0 if case else re.IGNORECASE)
-        return text.map(
-            lambda s: [{"start": m.start(), "text": m.group()} for m in rx.finditer(s or "")]
-        )
+        rxs = [browser_regex(p, case) for p in patterns]
 
-    return spans
+        def found(s: str) -> list[dict]:
+            out = []
+            for no, rx in enumerate(rxs):
+                m = rx.search(s)
+                while m:
+                    out.append({"term_no": no, "start": m.start(), "text": m.group()})
+                    at = m.end() + (m.end() == m.start())
+                    m = rx.search(s, at) if at <= len(s) else None
+            return out
 
+        return text.map(found)
 
-def _tagged(term_no: int):
-    return lambda s: F.struct(
-        F.lit(term_no).alias("term_no"), s["start"].alias("start"), s["text"].alias("text")
-    )
+    # a deterministic function would be run a second time for the filter that explode implies
+    return spans.asNondeterministic()
 
 
 def find_text(
@@ -79,30 +116,28 @@ def find_text(
 
     ``match_no`` counts per document in page, item, term, offset order and is
     part of the id.  Items without any match never leave the scan stage.
+    Literal terms are searched in the JVM, patterns in Arrow batches.
     """
     terms = [t for t in terms if t.strip()]
     if not terms:
         raise ValueError("Search term is required")
-    patterns = [term_pattern(t, regex, whole_word, case) for t in terms]
-    hits = []
-    anyhit = F.lit(False)
-    for i, (t, p) in enumerate(zip(terms, patterns)):
-        if regex and re.compile(t).match(""):
-            raw = _empty_match_spans(t, case)(F.col("str"))
-            hits.append(F.transform(raw, _tagged(i)))
-            anyhit = F.lit(True)
-        else:
-            hits.append(_spans(F.col("str"), p, i))
-            anyhit = anyhit | F.col("str").rlike(p)
+    text = F.col("str")
+    if regex:
+        # one engine for all patterns, and one pass over the item
+        spans, wanted = _regex_spans(terms, case)(text), F.lit(True)
+    else:
+        patterns = [term_pattern(t, False, whole_word, case) for t in terms]
+        spans = F.flatten(F.array(*[_spans(text, p, i) for i, p in enumerate(patterns)]))
+        wanted = reduce(or_, [text.rlike(p) for p in patterns])
     tr = F.col("transform")
     one = F.col("width") / F.length("str")
     found = (
-        items.filter((F.col("str") != "") & anyhit)
+        items.filter((text != "") & wanted)
         # values of the item are worked out once, before its matches become rows
         .select(
             "doc_id", "page_no", "item_no",
             one.alias("_one"), "height", tr[0].alias("_sx"), tr[4].alias("_tx"), tr[5].alias("_ty"),
-            F.flatten(F.array(*hits)).alias("_hits"),
+            spans.alias("_hits"),
         )
         .withColumn("m", F.explode("_hits"))
         .select(

@@ -101,11 +101,14 @@ def drop_attachments(att: DataFrame, drop: DataFrame) -> DataFrame:
 def dedupe_names(att: DataFrame) -> DataFrame:
     """Final, unique attachment names: document stem, page, then the name.
 
-    Equal final names get ``_1``, ``_2``, ... before the extension in order of
-    idx.  Copies are numbered inside blocks, so one very common name spreads.
+    The first of equal final names (by doc_id, idx) keeps it; the others get
+    ``_1``, ``_2``, ... before the extension, leaving out every number whose name
+    some attachment bears already.  Names are numbered inside blocks of ever
+    narrower id ranges, dense or hashed, so one very common name spreads.
     """
     from quirework.functions.names import stem
     from quirework.operators.prefix import page_block, running
+    from quirework.session import materialise
 
     full = F.concat(
         stem(F.col("filename")),
@@ -113,24 +116,60 @@ def dedupe_names(att: DataFrame) -> DataFrame:
         F.lit("_"),
         F.col("name"),
     )
+    ident = F.col("doc_id").cast("long")
     named = running(
-        att.withColumn("_full", full),
+        att.withColumns({"_full": full, "_dot": F.col("name").contains(".")}),
         ["_full"],
-        [page_block("doc_id"), F.col("doc_id"), page_block("idx")],
+        [F.shiftright(ident, 44), F.shiftright(ident, 22), F.col("doc_id"), page_block("idx")],
         ["doc_id", "idx"],
         before="_k",
     )
-    dotted = F.col("name").contains(".")
+    # three readers follow
+    named = materialise(named, "names")
+    # numbers taken: names that read like a numbered copy of another one
+    numbered = named.filter("_k = 0").select(
+        F.explode(
+            F.array(
+                F.struct(
+                    F.lit(True).alias("_dot"),
+                    F.regexp_replace("_full", r"_[1-9]\d{0,14}(\.[^.]*)$", "$1").alias("_base"),
+                    F.regexp_extract("_full", r"_([1-9]\d{0,14})\.[^.]*$", 1).alias("_n"),
+                ),
+                F.struct(
+                    F.lit(False).alias("_dot"),
+                    F.regexp_replace("_full", r"_[1-9]\d{0,14}$", "").alias("_base"),
+                    F.regexp_extract("_full", r"_([1-9]\d{0,14})$", 1).alias("_n"),
+                ),
+            )
+        ).alias("t")
+    )
+    taken = numbered.filter("t._n <> ''").select(
+        F.col("t._base").alias("_full"), F.col("t._dot").alias("_dot"), F.col("t._n").cast("long").alias("_n")
+    )
+    key = ["_full", "_dot"]
+    taken = running(taken, key, [F.shiftright("_n", 32), F.shiftright("_n", 16)], ["_n"], before="_i")
+    # free numbers below the i-th taken one; copy k gets the k-th free number: k plus the taken ones below it
+    free_below = taken.groupBy(*key, (F.col("_n") - F.col("_i") - 1).alias("_at")).agg(F.count("*").alias("_v"))
+    copies = named.filter("_k > 0").select(*key, F.col("_k").alias("_at"), F.lit(0).cast("long").alias("_v"))
+    shifted = running(
+        copies.unionByName(free_below),
+        key,
+        [F.shiftright("_at", 32), F.shiftright("_at", 16)],
+        ["_at", "_v"],
+        F.col("_v"),
+        before="_skip",
+    )
+    shifts = shifted.filter("_v = 0 AND _skip > 0").select(*key, F.col("_at").alias("_k"), "_skip")
+    number = (F.col("_k") + F.coalesce("_skip", F.lit(0))).cast("string")
     again = F.when(
-        dotted,
-        F.concat(
-            stem(F.col("_full")), F.lit("_"), F.col("_k").cast("string"), F.lit("."),
-            F.substring_index("_full", ".", -1),
-        ),
-    ).otherwise(F.concat(F.col("_full"), F.lit("_"), F.col("_k").cast("string")))
-    return named.withColumn(
-        "unique_name", F.when(F.col("_k") == 0, F.col("_full")).otherwise(again)
-    ).drop("_full", "_k")
+        F.col("_dot"),
+        F.concat(stem(F.col("_full")), F.lit("_"), number, F.lit("."), F.substring_index("_full", ".", -1)),
+    ).otherwise(F.concat(F.col("_full"), F.lit("_"), number))
+    return (
+        named.join(shifts, [*key, "_k"], "left")
+        .withColumn("unique_name", F.when(F.col("_k") == 0, F.col("_full")).otherwise(again))
+        .select(*att.columns, "unique_name")
+    )
 
 
 def list_fields(fields: DataFrame) -> DataFrame:

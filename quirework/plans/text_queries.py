@@ -63,6 +63,18 @@ def find_regex(spark, sf):
     return _found(find.find_text(V.line_items(spark, sf), [r"[0-9]+\.[0-9]+", "t[hi]{1,2}e?"], case=True, regex=True))
 
 
+@query(f"""
+WITH {S.LINE_ITEMS}, p AS (SELECT doc_id, page_no, item_no, str, unnest(generate_series(0, length(str))) AS start FROM line_items WHERE str <> ''),
+c AS (SELECT *, start > 0 AND regexp_matches(substr(str, start, 1), '[A-Za-z0-9_]') AS l, regexp_matches(substr(str, start + 1, 1), '[A-Za-z0-9_]') AS r FROM p)
+SELECT doc_id, page_no, item_no, 0 AS term_no, start, '' AS text FROM c WHERE lower(substr(str, start + 1, 3)) = 'the'
+UNION ALL SELECT doc_id, page_no, item_no, 1, start, '' FROM c WHERE l <> r
+""")
+def find_zero_width(spark, sf):
+    """Patterns that match places, not text."""
+    found = find.find_text(V.line_items(spark, sf), ["(?=the)", r"\b"], regex=True, number=False)
+    return found.select("doc_id", "page_no", "item_no", "term_no", "start", "text")
+
+
 @query(f"""
 WITH {S.LINE_ITEMS}, m AS (SELECT doc_id, page_no, len(regexp_extract_all(str, '(?i)the')) + len(regexp_extract_all(str, '(?i)le')) AS n FROM line_items)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_matches, count(DISTINCT page_no) AS n_pages, min(page_no) AS first_page, max(page_no) AS last_page
@@ -367,7 +379,7 @@ def _boxed(c, font):
 def _marks(spark, sf):
     t = _paired_texts(spark, sf)
     pairs = t.select(
-        "pair_id", "page_a", "page_b",
+        "pair_id", "pair_no", "page_a", "page_b",
         _boxed(F.col("text_a"), F.lit("F1")).alias("words_a"),
         _boxed(F.col("text_b"), F.when(F.col("page_b") % 5 == 0, "F2").otherwise("F1")).alias("words_b"),
         F.lit(842.0).alias("height_a"),
@@ -383,7 +395,10 @@ def diff_highlights(spark, sf):
 
 @query()
 def moved_text(spark, sf):
-    m = _marks(spark, sf).select(
-        "pair_id", (F.coalesce("page_a", "page_b") * BLOCK + F.col("mark_no")).alias("seq"), "type", "text"
-    )
-    return compare.find_moved(materialise(m, "marks"))
+    return compare.find_moved(materialise(_marks(spark, sf), "marks"))
+
+
+@query()
+def moved_highlights(spark, sf):
+    """Highlights without the moved ones."""
+    return compare.filter_highlights(compare.mark_moved(materialise(_marks(spark, sf), "marks")), ("moved",))

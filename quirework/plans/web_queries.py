@@ -376,8 +376,12 @@ def filter_images(spark, sf):
 
 
 def _attachments(spark, sf):
+    """Some names look like numbered copies of others."""
     o = V.table(spark, sf, "orders")
-    name = F.when(F.col("o_orderstatus") == "P", F.lit("notes")).otherwise(F.concat(F.lower(F.substring("o_orderpriority", 3, 3)), F.lit(".a.txt")))
+    again = F.when(F.col("o_orderkey") % 17 < 2, F.concat(F.lit("_"), (F.col("o_orderkey") % 5 + 1).cast("string"))).otherwise("")
+    name = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("notes"), again)).otherwise(
+        F.concat(F.lower(F.substring("o_orderpriority", 3, 3)), F.lit(".a"), again, F.lit(".txt"))
+    )
     return o.select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("idx"), name.alias("name"),
         F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).cast("long").alias("page_no"),
@@ -386,10 +390,15 @@ def _attachments(spark, sf):
 
 
 @query("""
-WITH n AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, 'cust' || (o_custkey % 10) || CASE WHEN o_orderstatus = 'F' THEN '' ELSE '_page1' END || '_'
-    || CASE WHEN o_orderstatus = 'P' THEN 'notes' ELSE lower(substr(o_orderpriority, 3, 3)) || '.a.txt' END AS f FROM orders),
-k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY doc_id, idx) - 1 AS k FROM n)
-SELECT doc_id, idx, CASE WHEN k = 0 THEN f WHEN ends_with(f, '.txt') THEN f[1:-5] || '_' || k || '.txt' ELSE f || '_' || k END AS unique_name FROM k
+WITH a AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, 'cust' || (o_custkey % 10) || CASE WHEN o_orderstatus = 'F' THEN '' ELSE '_page1' END || '_'
+    || CASE WHEN o_orderstatus = 'P' THEN 'notes' ELSE lower(substr(o_orderpriority, 3, 3)) || '.a' END
+    || CASE WHEN o_orderkey % 17 < 2 THEN '_' || (o_orderkey % 5 + 1) ELSE '' END AS head, CASE WHEN o_orderstatus = 'P' THEN '' ELSE '.txt' END AS tail FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY doc_id, idx) - 1 AS k FROM a),
+names AS (SELECT DISTINCT head || tail AS f FROM a),
+bases AS (SELECT head, tail, max(k) AS most FROM k GROUP BY ALL),
+free AS (SELECT head, tail, n, row_number() OVER (PARTITION BY head, tail ORDER BY n) AS k
+         FROM (SELECT head, tail, unnest(generate_series(1, most + 20)) AS n FROM bases) s WHERE head || '_' || n || tail NOT IN (SELECT f FROM names))
+SELECT doc_id, idx, k.head || CASE WHEN k.k = 0 THEN '' ELSE '_' || n END || k.tail AS unique_name FROM k LEFT JOIN free USING (head, tail, k)
 """)
 def dedupe_attachment_names(spark, sf):
     return meta.dedupe_names(_attachments(spark, sf)).select("doc_id", "idx", "unique_name")

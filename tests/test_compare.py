@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -88,8 +89,19 @@ def test_moved_text_equals_loops(spark):
     for seq in range(120):
         text = "".join(random.choice("abcdef") for _ in range(random.randint(3, 14)))
         rows.append((1, seq, random.choice(["added", "deleted", "modified"]), text))
-    df = spark.createDataFrame(rows, "pair_id long, seq long, type string, text string")
-    got = {(r.added_seq, r.deleted_seq, r.is_target) for r in compare.find_moved(df).collect()}
+    # reading order runs over pairs: two marks of different pairs may share mark_no
+    df = spark.createDataFrame(
+        [(p, -9 + seq // 16, seq % 16, kind, text) for p, seq, kind, text in rows],
+        "pair_id long, pair_no long, mark_no long, type string, text string",
+    )
+
+    def seq(pair_no, mark_no):
+        return (pair_no + 9) * 16 + mark_no
+
+    got = {
+        (seq(r.added_pair, r.added_mark), seq(r.deleted_pair, r.deleted_mark), r.is_target)
+        for r in compare.find_moved(df).collect()
+    }
     owner, target = {}, {}
     for _, ds, kind, dt in rows:
         if kind == "deleted" and len(dt) >= 5:
@@ -104,19 +116,67 @@ def word(text, x, y, font="F"):
     return {"text": text, "x": x, "y": y, "w": 10.0, "h": 8.0, "font": font}
 
 
+def words(*rows):
+    return {c: [r[c] for r in rows] for c in compare.BOX}
+
+
 def test_highlights_join_and_classify():
-    wa = [word("a", 0.0, 400.0), word("b", 12.0, 400.0), word("c", 24.0, 400.0), word("foot", 0.0, 790.0)]
-    wb = [word("a", 0.0, 400.0, "G"), word("x", 12.0, 400.0)]
+    wa = words(
+        word("a", 0.0, 400.0), word("b", 12.0, 400.0), word("c", 24.0, 400.0), word("foot", 0.0, 790.0)
+    )
+    wb = words(word("a", 0.0, 400.0, "G"), word("x", 12.0, 400.0))
     marks, differing = compare.page_highlights(wa, wb, 800.0, 800.0)
     assert differing == 4
-    kinds = [(m["side"], m["type"], m["text"], m["category"]) for m in marks]
-    assert kinds == [
+    assert list(zip(marks["side"], marks["type"], marks["text"], marks["category"])) == [
         ("a", "modified", "a", "formatting"),
         ("a", "deleted", "bc", "text"),
         ("a", "deleted", "foot", "header-footer"),
         ("b", "modified", "a", "formatting"),
         ("b", "added", "x", "text"),
     ]
+    assert marks["w"][1] == 24.0
+    empty, none = compare.page_highlights(words(), words(), 800.0, 800.0)
+    assert empty["text"] == [] and none == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.booleans()), max_size=20))
+def test_islands_follow_their_first_box(rows):
+    y = np.array([float(v) for v, _ in rows])
+    joined = np.array([j for _, j in rows], dtype=bool)
+    want, anchor, n = [], None, -1
+    for v, j in rows:
+        if n < 0 or not j or abs(v - anchor) >= compare.SAME_LINE:
+            anchor, n = v, n + 1
+        want.append(n)
+    assert compare.islands(y, joined).tolist() == want
+
+
+def test_moved_text_through_page_pairs(spark):
+    """A deleted page and an inserted one: both texts keep their own marks."""
+    schema = "doc_id long, page_no long, text string"
+    a = spark.createDataFrame([(1, 1, "abcdefgh"), (1, 2, "12345678"), (1, 3, "stuvwxyz")], schema)
+    b = spark.createDataFrame([(1, 1, "12345678"), (1, 2, "stuvwxyz"), (1, 3, "ABCDEFGH abcdefgh"), (1, 4, "abcdefgh")], schema)
+    pairs = compare.pair_pages(a, b, keep_text=True)
+    numbers = sorted(r.pair_no for r in pairs.collect())
+    assert numbers == list(range(1 - len(numbers), 1))
+
+    def boxed(text):
+        one = F.struct(
+            F.col(text).alias("text"), F.lit(9.0).alias("x"), F.lit(400.0).alias("y"),
+            F.lit(10.0).alias("w"), F.lit(8.0).alias("h"), F.lit("F").alias("font"),
+        )
+        return F.when(F.col(text).isNotNull(), F.array(one))
+
+    marks = compare.diff_words(
+        pairs.withColumns(
+            {"words_a": boxed("text_a"), "words_b": boxed("text_b"), "height_a": F.lit(800.0), "height_b": F.lit(800.0)}
+        )
+    )
+    got = {(r.side, r.type, r.text, r.to_page) for r in compare.mark_moved(marks).collect()}
+    assert got == {
+        ("a", "moved", "abcdefgh", 4), ("b", "moved", "abcdefgh", 1), ("b", "added", "ABCDEFGH abcdefgh", None),
+    }
 
 
 def test_difference_counts(spark):

@@ -67,6 +67,34 @@ def test_search_edges(spark):
     assert sorted((r.term_no, r.start, r.text) for r in empty) == [(0, 0, "aa"), (1, 0, ""), (1, 1, ""), (1, 2, ""), (1, 3, "")]
 
 
+def test_patterns_that_match_places(spark):
+    schema = "doc_id long, page_no long, item_no long, str string, width double, height double, transform array<double>"
+    df = spark.createDataFrame([(1, 1, 1, "the cat the", 110.0, 8.0, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0])], schema)
+
+    def starts(term):
+        return sorted(r.start for r in find.find_text(df, [term], regex=True, number=False).collect())
+
+    assert starts("(?=the)") == [0, 8]
+    assert starts(r"\b") == [0, 3, 4, 7, 8, 11]
+    assert starts("$") == [11]
+    assert starts(r"(?<w>[\w[]+)") == [0, 4, 8]
+
+
+def test_names_are_unique(spark):
+    def final(names, hashed=False):
+        ids = [(i * 2654435761 << 24) % (1 << 62) if hashed else i for i in range(len(names))]
+        rows = [(d, 1, n, 0, "d.pdf") for d, n in zip(sorted(ids), names)]
+        df = spark.createDataFrame(rows, "doc_id long, idx long, name string, page_no long, filename string")
+        out = meta.dedupe_names(df).orderBy("doc_id", "idx").collect()
+        return [r.unique_name for r in out]
+
+    assert final(["a.txt", "a.txt", "a_1.txt"]) == ["d_a.txt", "d_a_2.txt", "d_a_1.txt"]
+    many = ["n", "n_2", "n", "n", "n_1", "n_4", "n_2", "n", "n_2_1", "b.x", "b_1.x", "b.x", "b_2.x", "b.x"] * 3
+    for hashed in (False, True):
+        got = final(many, hashed)
+        assert len(set(got)) == len(many)
+        assert got[:14:13] == ["d_n", "d_b_4.x"]
+
 def test_overlapping_matches_are_all_removed(spark):
     df = items(spark, [("abcabc", 50, 700)])
     found = find.find_text(df, ["ab", "bc"], number=False).withColumn("selected", F.lit(True))
