@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import re
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,163 +170,168 @@ def heading_level(lines: DataFrame) -> DataFrame:
     return df.withColumn("heading_level", level).drop("_mean")
 
 
-BULLET = re.compile(r"^[•●○◦▪▸►\-*]\s+")
-NUMBERED = re.compile(r"^(\d+)[.)]\s+(.*)$", re.S)
-URL = re.compile(r"(https?://\S+)")
-
-
-def _probe_table(xs: list[list[float]], texts: list[list[str]], at: int):
-    """Columns come from a sample of five lines, rows from up to a hundred."""
-    sample = sorted(x for row in xs[at : at + 5] for x in row)
-    if len(sample) < 6:
-        return None
-    groups = [[sample[0]]]
-    for a, b in zip(sample, sample[1:]):
-        if b - a < 15:
-            groups[-1].append(b)
-        else:
-            groups.append([b])
-    cols = [sum(g) / len(g) for g in groups if len(g) >= 2]
-    if len(cols) < 3:
-        return None
-    rows, last = [], at
-    for i in range(at, min(at + 100, len(xs))):
-        cells = [""] * len(cols)
-        for x, s in zip(xs[i], texts[i]):
-            # nearest column; the left one on equal distance
-            c = bisect_left(cols, x)
-            if c == len(cols) or (c > 0 and x - cols[c - 1] <= cols[c] - x):
-                c -= 1
-            if abs(x - cols[c]) < 40:
-                cells[c] = f"{cells[c]} {s}" if cells[c] else s
-        cells = [c.strip() for c in cells]
-        if any(cells):
-            rows.append(cells)
-            last = i
-        elif len(rows) >= 2:
-            break
-    return (rows, last) if len(rows) >= 2 else None
-
-
-def page_markdown(recs: list[dict], keep_breaks: bool = False, links: bool = False) -> str:
-    """Markdown of one page from its line records (top to bottom)."""
-    mean = sum(r["font_size"] for r in recs) / len(recs)
-    margin = min(r["x"] for r in recs)
-    xs = [r["xs"] for r in recs]
-    texts = [r["strs"] for r in recs]
-    out: list[str] = []
-    in_code = False
-    prev_y, prev_indent = 0.0, 0
-
-    def blank() -> None:
-        if out and out[-1] != "":
-            out.append("")
-
-    def close_code() -> None:
-        nonlocal in_code
-        if in_code:
-            out.append("```")
-        in_code = False
-
-    i = 0
-    while i < len(recs):
-        table = _probe_table(xs, texts, i)
-        if table:
-            rows, last = table
-            close_code()
-            blank()
-            body = ["| " + " | ".join(r) + " |" for r in rows]
-            body.insert(1, "| " + " | ".join("---" for _ in rows[0]) + " |")
-            out += ["\n".join(body), ""]
-            i, prev_y, prev_indent = last + 1, 0.0, 0
-            continue
-        rec = recs[i]
-        text = re.sub(r"\s+", " ", " ".join(texts[i])).strip()
-        if not text:
-            close_code()
-            blank()
-            prev_y = rec["y"]
-            i += 1
-            continue
-        shown = URL.sub(r"[\1](\1)", text) if links else text
-        indent = math.floor((rec["x"] - margin) / mean + 0.5)
-        font = rec["font"].lower()
-        mono = "mono" in font or "courier" in font
-        level = rec["heading_level"]
-        pad = "  " * min(indent, 3)
-        if level:
-            close_code()
-            blank()
-            shown = "#" * level + " " + shown
-        elif mono:
-            if not in_code:
-                blank()
-                out.append("```")
-                in_code = True
-            out.append(text)
-            prev_y, prev_indent = rec["y"], indent
-            i += 1
+# List marks, numbered entries, addresses.
+BULLET, NUMBERED, URL = r"^[•●○◦▪▸►\-*]\s+", r"^(\d+)[.)]\s+(.*)$", r"(https?://\S+)"
+# Lines that show the columns of a table, items and columns it needs, gap between columns and
+# reach of a column (points).
+SAMPLE_LINES, SAMPLE_ITEMS, MIN_COLUMNS, COLUMN_GAP, COLUMN_REACH = 5, 6, 3, 15.0, 40.0
+
+
+def column_centres(xs: list[np.ndarray]) -> np.ndarray:
+    """Centres of the columns that a few lines share; empty if they form no table."""
+    sample = np.sort(np.concatenate(xs))
+    if len(sample) < SAMPLE_ITEMS:
+        return np.empty(0)
+    groups = np.split(sample, np.flatnonzero(np.diff(sample) >= COLUMN_GAP) + 1)
+    centres = np.array([g.mean() for g in groups if len(g) > 1])
+    return centres if len(centres) >= MIN_COLUMNS else np.empty(0)
+
+
+def line_cells(xs: np.ndarray, texts: np.ndarray, centres: np.ndarray) -> list[str]:
+    """Texts of a line under their nearest column (the left one on equal distance)."""
+    away = np.abs(np.asarray(xs)[:, None] - centres)
+    nearest = away.argmin(axis=1)
+    reached = away.min(axis=1) < COLUMN_REACH
+    return [" ".join(t for t, c, r in zip(texts, nearest, reached) if r and c == k and t).strip() for k in range(len(centres))]
+
+
+def page_tables(xs: list[np.ndarray], texts: list[np.ndarray]) -> list[dict]:
+    """Tables of a page as (first line, last line, Markdown), from the top, however long.
+
+    A table takes its columns from its first lines and goes on until a line has
+    nothing under them.
+    """
+    found, at = [], 0
+    while at < len(xs):
+        centres = column_centres(xs[at : at + SAMPLE_LINES])
+        rows: list[tuple[int, list[str]]] = []
+        for i in range(at, len(xs) if len(centres) else at):
+            cells = line_cells(xs[i], texts[i], centres)
+            if any(cells):
+                rows.append((i, cells))
+            elif len(rows) > 1 or i >= at + SAMPLE_LINES:
+                break
+        if len(rows) < 2:
+            at += 1
             continue
-        elif BULLET.match(text):
-            close_code()
-            shown = f"{pad}- " + BULLET.sub("", shown)
-        elif NUMBERED.match(text):
-            close_code()
-            num, rest = NUMBERED.match(text).groups()
-            shown = f"{pad}{num}. {rest}"
-        elif rec["is_bold"]:
-            close_code()
-            shown = f"**{shown}**"
-        elif rec["is_italic"]:
-            close_code()
-            shown = f"*{shown}*"
-        elif not keep_breaks and i > 0 and not in_code and out and out[-1]:
-            last = out[-1]
-            near = abs(prev_y - rec["y"]) < mean * 1.2 * 1.5
-            plain = not (
-                last.startswith(("#", "|"))
-                or last.strip().startswith("-")
-                or re.match(r"\d+\.", last.strip())
-            )
-            if near and plain and abs(indent - prev_indent) <= 1:
-                out[-1] = f"{last} {shown}"
-                prev_y, prev_indent = rec["y"], indent
-                i += 1
-                continue
-        if in_code:
-            close_code()
-            out.append("")
-        out.append(shown)
-        if level:
-            out.append("")
-        prev_y, prev_indent = rec["y"], indent
-        i += 1
-    close_code()
-    md = re.sub(r"\n{4,}", "\n\n\n", "\n".join(out))
-    return re.sub(r" +\n", "\n", md).strip()
+        shown = ["| " + " | ".join(cells) + " |" for _, cells in rows]
+        rule = "| " + " | ".join(["---"] * len(centres)) + " |"
+        last = rows[-1][0]
+        found.append({"first": at, "last": last, "text": "\n".join([shown[0], rule, *shown[1:]])})
+        at = last + 1
+    return found
+
+
+def tables_of(xs: Column, texts: Column) -> Column:
+    """page_tables of a row's lines, as array<struct<first,last,text>>."""
+
+    @F.pandas_udf("array<struct<first:int,last:int,text:string>>")
+    def found(xs: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([page_tables(list(x), list(t)) for x, t in zip(xs, texts)], dtype=object)
+
+    return found(xs, texts)
+
+
+def line_kinds(lines: DataFrame, links: bool = False) -> DataFrame:
+    """kind (blank, heading, mono, bullet, numbered, bold, italic, body), indent and the line as Markdown shows it.
+
+    Needs the columns of ``heading_level`` plus font, _mean and _margin of the page.
+    """
+    text = F.col("text")
+    shown = F.regexp_replace(text, URL, "[$1]($1)") if links else text
+    pad = F.repeat(F.lit("  "), F.least("indent", F.lit(3)))
+    kind = (
+        F.when(text == "", "blank")
+        .when(F.col("heading_level") > 0, "heading")
+        .when(F.lower("font").rlike("mono|courier"), "mono")
+        .when(text.rlike(BULLET), "bullet")
+        .when(text.rlike(NUMBERED), "numbered")
+        .when(F.col("is_bold"), "bold")
+        .when(F.col("is_italic"), "italic")
+        .otherwise("body")
+    )
+    as_shown = (
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("heading_level")), F.lit(" "), shown))
+        .when(F.col("kind") == "mono", text)
+        .when(F.col("kind") == "bullet", F.concat(pad, F.lit("- "), F.regexp_replace(shown, BULLET, "")))
+        .when(F.col("kind") == "numbered", F.concat(pad, F.regexp_replace(text, NUMBERED, "$1. $2")))
+        .when(F.col("kind") == "bold", F.concat(F.lit("**"), shown, F.lit("**")))
+        .when(F.col("kind") == "italic", F.concat(F.lit("*"), shown, F.lit("*")))
+        .otherwise(shown)
+    )
+    indent = F.floor((F.col("x") - F.col("_margin")) / F.col("_mean") + 0.5).cast("int")
+    return lines.withColumns({"kind": kind, "indent": indent}).withColumn("shown", as_shown)
 
 
 def lines_to_markdown(lines: DataFrame, keep_breaks: bool = False, links: bool = False) -> DataFrame:
-    """(doc_id, page_no, markdown).  A page is one cell, so its lines (not a
-    document's) are put in one row; the shuffle key is (doc_id, page_no)."""
-    # items travel as two plain arrays, which convert fastest
+    """(doc_id, page_no, markdown).
+
+    Every line has a kind; lines of one table, of one code block and of one
+    paragraph are stretches of the page and become one unit each, and units are
+    put together with or without a blank line.  A page is one cell, so its lines
+    (not a document's) come together: everything after the first exchange is
+    keyed by (doc_id, page_no).  Only table columns are found in Python.
+    """
+    page = Window.partitionBy(*PAGE)
+    down = page.orderBy("line")
     slim = heading_level(lines).select(
-        *PAGE,
-        (-F.col("y")).alias("up"),
-        "y", "x", "font_size", "is_bold", "is_italic", "heading_level",
+        *PAGE, (-F.col("y")).alias("up"), "y", "x", "text", "is_bold", "is_italic", "heading_level",
+        F.col("items")[0]["font_name"].alias("font"),
+        F.avg("font_size").over(page).alias("_mean"),
+        F.min("x").over(page).alias("_margin"),
         F.transform("items", lambda i: i["x"]).alias("xs"),
         F.transform("items", lambda i: i["str"]).alias("strs"),
-        F.col("items")[0]["font_name"].alias("font"),
     )
-    fields = [c for c in slim.columns if c not in PAGE]
-    by_page = slim.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lines"))
-
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [page_markdown(r.as_py(), keep_breaks, links) for r in b.column("lines")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("page_no"), pa.array(texts, pa.string())],
-                names=["doc_id", "page_no", "markdown"],
-            )
-
-    return by_page.mapInArrow(render, "doc_id long, page_no long, markdown string")
+    kinds = line_kinds(slim, links).select(*PAGE, F.struct("up", "x", "y", "kind", "indent", "shown", "_mean", "xs", "strs").alias("l"))
+    by_page = kinds.groupBy(*PAGE).agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    by_page = by_page.withColumn("tables", tables_of(F.col("ls.xs"), F.col("ls.strs")))
+    df = by_page.select(*PAGE, "tables", F.posexplode("ls").alias("line", "l")).select(
+        *PAGE, "line", "l.y", "l.kind", "l.indent", "l.shown", "l._mean",
+        F.get(F.filter("tables", lambda t: F.col("line").between(t["first"], t["last"])), 0).alias("_t"),
+    )
+    in_table = F.col("_t").isNotNull()
+    df = df.withColumns(
+        {
+            "kind": F.when(in_table, "table").otherwise(F.col("kind")),
+            "shown": F.when(in_table, F.col("_t.text")).otherwise(F.col("shown")),
+        }
+    )
+    before = F.lag("kind").over(down)
+    # a body line may go on with the running text of the line before
+    close = (F.abs(F.lag("y").over(down) - F.col("y")) < F.col("_mean") * 1.8) & (
+        F.abs(F.lag("indent").over(down) - F.col("indent")) <= 1
+    )
+    flows = F.lit(not keep_breaks) & (F.col("kind") == "body") & before.isin("body", "bold", "italic") & close
+    df = df.withColumns({"_before": before, "_flows": F.coalesce(flows, F.lit(False))})
+    df = df.withColumn("_run", F.sum(F.when(F.col("_flows"), 0).otherwise(1)).over(down))
+    # lines that look like list entries take nothing up: a paragraph begins at the first line of its run that does not
+    open_ = F.when(~F.col("shown").rlike(r"^\s*-|^\s*\d+\.|^[#|]"), F.col("line"))
+    head = F.min(open_).over(Window.partitionBy(*PAGE, "_run"))
+    same = (
+        F.when(F.col("kind") == "table", (F.col("_before") == "table") & (F.lag("_t.first").over(down) == F.col("_t.first")))
+        .when(F.col("kind") == "mono", F.col("_before") == "mono")
+        .otherwise(F.col("_flows") & (F.col("line") > head))
+    )
+    df = df.withColumn("_unit", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(down))
+    units = df.groupBy(*PAGE, "_unit").agg(
+        F.min_by("kind", "line").alias("kind"),
+        F.array_sort(F.collect_list(F.struct("line", "shown"))).alias("ls"),
+    )
+    parts = F.transform("ls", lambda v: v["shown"])
+    body = (
+        F.when(F.col("kind") == "table", parts[0])
+        .when(F.col("kind") == "mono", F.concat(F.lit("```\n"), F.array_join(parts, "\n"), F.lit("\n```")))
+        .otherwise(F.array_join(parts, " "))
+    )
+    last = F.lag("kind").over(page.orderBy("_unit"))
+    apart = (
+        F.col("kind").isin("heading", "table", "mono")
+        | last.isin("heading", "table", "blank")
+        | ((last == "mono") & (F.col("kind") == "body"))
+    )
+    units = units.select(
+        *PAGE, "_unit", "kind",
+        F.concat(F.when(last.isNull(), "").when(apart, "\n\n").otherwise("\n"), body).alias("s"),
+    ).withColumn("s", F.when(F.col("kind") == "blank", "").otherwise(F.col("s")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_unit", "s"))), lambda u: u["s"]), "")
+    return units.groupBy(*PAGE).agg(strip(F.regexp_replace(joined, r" +\n", "\n")).alias("markdown"))

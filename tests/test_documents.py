@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quirework.operators import catalogue, files, find, html, mail, meta, runs, tables
@@ -58,6 +59,17 @@ def test_markdown_code_and_emphasis(spark):
     assert "```\nx = 1\ny = 2\n```" in md and "*slanted words, many of them.*" in md
 
 
+def test_markdown_tables_of_any_length():
+    xs = [np.array([10.0, 80.0, 150.0])] * 150 + [np.array([10.0])] * 3 + [np.array([400.0])]
+    texts = [np.array([f"r{i}", "b", "c"], dtype=object) for i in range(150)]
+    texts += [np.array(["tail"], dtype=object)] * 3 + [np.array(["far"], dtype=object)]
+    (table,) = tables.page_tables(xs, texts)
+    shown = table["text"].split("\n")
+    assert (table["first"], table["last"], len(shown)) == (0, 152, 154)
+    assert shown[:3] == ["| r0 | b | c |", "| --- | --- | --- |", "| r1 | b | c |"] and shown[-1] == "| tail |  |  |"
+    assert tables.page_tables(xs[-2:], texts[-2:]) == [] and tables.page_tables([], []) == []
+
+
 def test_search_edges(spark):
     df = items(spark, [("über ber BER, ber_x", 50, 700), ("aaa", 50, 680)])
     got = sorted((r.item_no, r.start, r.text) for r in find.find_text(df, ["ber"], whole_word=True).collect())
