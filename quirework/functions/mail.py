@@ -9,7 +9,7 @@ ENCODED_WORD = r"(?i)=\?([^?]+)\?([BQ])\?([^?]+)\?="
 
 
 def _bytes_to_text(b: Column, charset: Column) -> Column:
-    latin = F.lower(charset).isin("iso-8859-1", "latin1", "us-ascii")
+    latin = F.lower(charset).isin("iso-8859-1", "latin-1", "latin1", "us-ascii")
     return F.when(latin, F.decode(b, "ISO-8859-1")).otherwise(F.make_valid_utf8(b.cast("string")))
 
 
@@ -38,6 +38,16 @@ def decode_b64(s: Column, charset: Column | None = None) -> Column:
     return F.coalesce(_bytes_to_text(raw, cs), s)
 
 
+def decode_body(content: Column, encoding: Column, content_type: Column) -> Column:
+    """A text body by its transfer encoding and the charset of its content type (UTF-8 where none is named)."""
+    charset = F.regexp_extract(content_type, r"(?i)charset=\"?([^\";\s]+)", 1)
+    return (
+        F.when(encoding.contains("quoted-printable"), decode_qp(content, charset))
+        .when(encoding.contains("base64"), decode_b64(content, charset))
+        .otherwise(content)
+    )
+
+
 def decode_words(s: Column) -> Column:
     """Header text with ``=?charset?B|Q?...?=`` words decoded."""
     tokens = F.regexp_extract_all(s, F.lit(r"(?is)=\?[^?]+\?[BQ]\?[^?]+\?=|[^=]+|="), 0)

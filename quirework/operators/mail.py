@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.mail import decode_qp, decode_words
+from quirework.functions.mail import decode_body, decode_words
 from quirework.functions.text import strip
 
-MARK = "\u0001"
-
 
 def _header_lines(head: Column) -> Column:
     """array<struct<key,value>> with folded lines joined; a key may repeat."""
@@ -48,7 +46,8 @@ def _with_headers(raw: DataFrame) -> DataFrame:
     df = raw.withColumn("_t", text).select("doc_id", head.alias("_head"), body.alias("_body"))
     df = df.select("doc_id", "_body", _header_lines(F.col("_head")).alias("_h"))
     ctype = F.coalesce(_header(F.col("_h"), "content-type"), F.lit("text/plain"))
-    return df.withColumn("_ct", ctype)
+    encoding = F.lower(F.coalesce(_header(F.col("_h"), "content-transfer-encoding"), F.lit("")))
+    return df.withColumns({"_ct": ctype, "_enc": encoding})
 
 
 def email_parts(raw: DataFrame) -> DataFrame:
@@ -61,9 +60,9 @@ def email_parts(raw: DataFrame) -> DataFrame:
         "_boundary", F.regexp_extract("_ct", r"(?i)boundary=\"?([^\";\s]+)\"?", 1)
     )
     df = df.filter(F.col("_ct").contains("multipart") & (F.col("_boundary") != ""))
-    pieces = F.split(
-        F.replace(F.col("_body"), F.concat(F.lit("--"), F.col("_boundary")), F.lit(MARK)), MARK
-    )
+    # the boundary is quoted, so no sign of it is taken for a pattern
+    quoted = F.regexp_replace(F.col("_boundary"), r"([^A-Za-z0-9_])", r"\\$1")
+    pieces = F.split(F.col("_body"), F.concat(F.lit("--"), quoted))
     parts = df.select("doc_id", F.posexplode(pieces).alias("_i", "_p")).filter(
         ~strip(F.col("_p")).isin("", "--")
     )
@@ -100,8 +99,13 @@ def email_parts(raw: DataFrame) -> DataFrame:
 
 
 def parse_emails(raw: DataFrame) -> DataFrame:
-    """(doc_id, raw) -> one row per message: headers and last html / text body."""
+    """(doc_id, raw) -> one row per message: headers and last html / text body.
+
+    Bodies are decoded by transfer encoding and charset, in messages of one part
+    and of several.
+    """
     df = _with_headers(raw)
+    body = decode_body(F.col("_body"), F.col("_enc"), F.col("_ct"))
     h = F.col("_h")
 
     def head(key: str, default: str | None = "") -> Column:
@@ -127,13 +131,11 @@ def parse_emails(raw: DataFrame) -> DataFrame:
                 for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss")
             ]
         ).alias("sent_ts"),
-        F.when(~multi & F.col("_ct").contains("text/html"), F.col("_body")).alias("_html"),
-        F.when(~multi & ~F.col("_ct").contains("text/html"), F.col("_body")).alias("_text"),
+        F.when(~multi & F.col("_ct").contains("text/html"), body).alias("_html"),
+        F.when(~multi & ~F.col("_ct").contains("text/html"), body).alias("_text"),
     )
     parts = email_parts(raw)
-    decoded = F.when(F.col("encoding").contains("quoted-printable"), decode_qp(F.col("content"))).otherwise(
-        F.col("content")
-    )
+    decoded = decode_body(F.col("content"), F.col("encoding"), F.col("content_type"))
     bodies = (
         parts.filter("kind IN ('html', 'text')")
         .withColumn("_c", decoded)
@@ -171,9 +173,10 @@ def resolve_cids(bodies: DataFrame, attachments: DataFrame) -> DataFrame:
     """
     ref = r"""(?i)src=["']cid:[^"']+["']|url\(["']?cid:[^"')]+["']?\)"""
     cid = F.regexp_extract("_tok", r"""(?i)cid:([^"')]+)""", 1)
-    marked = F.regexp_replace(F.coalesce("html_body", F.lit("")), f"({ref})", f"{MARK}$1{MARK}")
-    toks = bodies.select("doc_id", F.posexplode(F.split(marked, MARK)).alias("_i", "_tok"))
-    toks = toks.withColumn("content_id", F.when(F.col("_i") % 2 == 1, cid))
+    # each piece is a reference or the text up to the next one
+    pieces = F.regexp_extract_all(F.coalesce("html_body", F.lit("")), F.lit(f"(?s){ref}|.+?(?={ref}|$(?!.))"), F.lit(0))
+    toks = bodies.select("doc_id", F.posexplode_outer(pieces).alias("_i", "_tok"))
+    toks = toks.withColumn("content_id", F.when(F.col("_tok").rlike(f"^(?:{ref})$"), cid))
     known = (
         attachments.filter("is_inline AND content_id <> '' AND base64_data IS NOT NULL")
         .groupBy("doc_id", "content_id")

@@ -64,14 +64,13 @@ def find_regex(spark, sf):
 
 
 @query(f"""
-WITH {S.LINE_ITEMS}, p AS (SELECT doc_id, page_no, item_no, str, unnest(generate_series(0, length(str))) AS start FROM line_items WHERE str <> ''),
-c AS (SELECT *, start > 0 AND regexp_matches(substr(str, start, 1), '[A-Za-z0-9_]') AS l, regexp_matches(substr(str, start + 1, 1), '[A-Za-z0-9_]') AS r FROM p)
-SELECT doc_id, page_no, item_no, 0 AS term_no, start, '' AS text FROM c WHERE lower(substr(str, start + 1, 3)) = 'the'
-UNION ALL SELECT doc_id, page_no, item_no, 1, start, '' FROM c WHERE l <> r
+WITH {S.LINE_ITEMS}, p AS (SELECT doc_id, page_no, item_no, str, unnest(generate_series(0, length(str))) AS start FROM line_items WHERE str <> '')
+SELECT doc_id, page_no, item_no, 0 AS term_no, start, '' AS text FROM p WHERE lower(substr(str, start + 1, 3)) = 'the'
+UNION ALL SELECT doc_id, page_no, item_no, 1, length(str), '' FROM line_items WHERE str <> ''
 """)
 def find_zero_width(spark, sf):
     """Patterns that match places, not text."""
-    found = find.find_text(V.line_items(spark, sf), ["(?=the)", r"\b"], regex=True, number=False)
+    found = find.find_text(V.line_items(spark, sf), ["(?=the)", "$"], regex=True, number=False)
     return found.select("doc_id", "page_no", "item_no", "term_no", "start", "text")
 
 

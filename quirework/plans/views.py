@@ -245,7 +245,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eml(spark: SparkSession, sf: str) -> DataFrame:
-    """A message per conversation turn: plain, HTML or multipart by role and length."""
+    """A message per conversation turn: plain, HTML or multipart by role and turn, with every transfer encoding."""
     c = text_table(spark, sf, "conversations")
     doc_id = F.col("conv_id") * 100 + F.col("turn")
     subj = F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode(F.substring("text", 1, 30), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
@@ -255,18 +255,29 @@ def eml(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("turn") % 10).cast("string"), F.lit(" +0000\r\n"),
     )
     img = F.replace(F.base64(F.encode(F.substring("text", 1, 9), "UTF-8")), F.lit("\r\n"), F.lit(""))
+    def b64(c: Column) -> Column:
+        return F.base64(F.encode(c, "UTF-8"))
+
+    def qp(c: Column) -> Column:
+        return F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "=$1")
+
+    odd = F.col("conv_id") % 2 == 1
+    b64_head, qp_head = (F.lit(f"Content-Transfer-Encoding: {e}\r\n\r\n") for e in ("base64", "quoted-printable"))
+    page = F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))
     multi = F.concat(
-        F.lit('Content-Type: multipart/mixed; boundary="b0"\r\n\r\n--b0\r\nContent-Type: text/plain\r\n\r\n'),
-        F.col("text"),
+        F.lit('Content-Type: multipart/mixed; boundary="b0"\r\n\r\n--b0\r\nContent-Type: text/plain; charset=utf-8\r\n'),
+        # the line break before the boundary belongs to the part
+        F.when(odd, F.concat(b64_head, b64(F.concat("text", F.lit("\n"))))).otherwise(F.concat(F.lit("\r\n"), F.col("text"))),
         F.lit('\r\n--b0\r\nContent-Type: text/html\r\n\r\n<p><img src="cid:pic1"> and <img src="cid:none"></p>\r\n--b0\r\nContent-Type: image/png; name="p.png"\r\nContent-ID: <pic1>\r\nContent-Transfer-Encoding: base64\r\n\r\n'),
         img,
         F.lit("\r\n--b0--\r\n"),
     )
-    body = (
-        F.when(F.col("turn") % 3 == 2, multi)
-        .when(F.col("role") == "user", F.concat(F.lit("\r\n"), F.col("text")))
-        .otherwise(F.concat(F.lit("Content-Type: text/html\r\n\r\n<p>"), F.col("text"), F.lit("</p>")))
+    plain = F.when(odd, F.concat(qp_head, qp(F.col("text")))).otherwise(F.concat(F.lit("\r\n"), F.col("text")))
+    web = F.concat(
+        F.lit("Content-Type: text/html\r\n"),
+        F.when(odd, F.concat(b64_head, b64(page))).otherwise(F.concat(F.lit("\r\n"), page)),
     )
+    body = F.when(F.col("turn") % 3 == 2, multi).when(F.col("role") == "user", plain).otherwise(web)
     return c.select(doc_id.alias("doc_id"), F.concat(head, body).alias("raw"))
 
 

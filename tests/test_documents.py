@@ -70,6 +70,27 @@ def test_markdown_tables_of_any_length():
     assert tables.page_tables(xs[-2:], texts[-2:]) == [] and tables.page_tables([], []) == []
 
 
+def test_mail_bodies_are_decoded(spark):
+    rows = [
+        (1, "Content-Transfer-Encoding: base64\r\n\r\nZ3LDvMOfZQ=="),
+        (2, "Content-Type: text/plain; charset=iso-8859-1\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\ngr=FC=DFe=\r\n!"),
+        (3, "Content-Type: text/html\r\nContent-Transfer-Encoding: BASE64\r\n\r\nPGI+\r\nPC9iPg=="),
+        (4, 'Content-Type: multipart/mixed; boundary="x.+1"\r\n\r\n--x.+1\r\nContent-Type: text/plain; charset="latin1"\r\n'
+            "Content-Transfer-Encoding: base64\r\n\r\nZ3L8\r\n--x.+1\r\nContent-Type: text/html\r\n\r\na\u0001b <img src='cid:q'> \u0001\r\n--x.+1--"),
+        (5, "\r\nplain"),
+    ]
+    got = {r.doc_id: r for r in mail.parse_emails(spark.createDataFrame(rows, "doc_id long, raw string")).collect()}
+    assert [got[i].text_body for i in (1, 2, 4, 5)] == ["grüße", "grüße!", "grü", "plain"]
+    assert got[3].html_body == "<b></b>" and got[4].html_body == "a\u0001b <img src='cid:q'> \u0001\n"
+    bodies = spark.createDataFrame([(4, got[4].html_body), (5, None), (6, "no\nlinks")], "doc_id long, html_body string")
+    att = spark.createDataFrame(
+        [(4, 1, "q", True, "image/png", "QQ==")],
+        "doc_id long, part_no long, content_id string, is_inline boolean, content_type string, base64_data string",
+    )
+    shown = {r.doc_id: r.html_body for r in mail.resolve_cids(bodies, att).collect()}
+    assert shown == {4: 'a\u0001b <img src="data:image/png;base64,QQ=="> \u0001\n', 5: "", 6: "no\nlinks"}
+
+
 def test_search_edges(spark):
     df = items(spark, [("über ber BER, ber_x", 50, 700), ("aaa", 50, 680)])
     got = sorted((r.item_no, r.start, r.text) for r in find.find_text(df, ["ber"], whole_word=True).collect())
