@@ -17,26 +17,30 @@ from quirework.sources import readers, writers
 # ---- HTML ---------------------------------------------------------------------
 
 _TAGS = ", ".join(f"'{t}'" for t in html.ALLOWED_TAGS)
-_ATTR = html.ATTR.replace("'", "''")
+_NAME, _ATTRIBUTE, _HANDLER = (x.replace("'", "''") for x in (html.NAME, html.ATTRIBUTE, html.HANDLER))
+_OWN = "\n    OR ".join(
+    "(" + (f"tag = '{t}' AND " if t else "") + "name IN (" + ", ".join(f"'{n}'" for n in names) + "))"
+    for t, names in ({"": html.COMMON_ATTRS} | html.TAG_ATTRS).items()
+)
 
 
 def _clean_sql(column: str) -> str:
-    """Allow-list cleaning in SQL; RE2's word edge is ASCII, as the rule wants."""
+    """Allow-list cleaning in SQL over the pieces of a page; RE2's word edge is ASCII, as the rule wants."""
     return f"""
-toks AS (SELECT page_id, unnest(l) AS tok, generate_subscripts(l, 1) AS k FROM (SELECT page_id, regexp_extract_all({column}, '(?s)</?[a-zA-Z][a-zA-Z0-9]*\\b[^>]*>|[^<]+|<') AS l FROM pages)),
-named AS (SELECT *, lower(regexp_extract(tok, '(?s)^</?([a-zA-Z][a-zA-Z0-9]*)\\b[^>]*>$', 1)) AS tag FROM toks),
-attrs AS (SELECT page_id, k, tag, unnest(l) AS raw, generate_subscripts(l, 1) AS j FROM (
-  SELECT page_id, k, tag, regexp_extract_all(regexp_replace(regexp_replace(tok, '(?s)^<[a-zA-Z][a-zA-Z0-9]*\\s*', ''), '/?>$', ''), '{_ATTR}') AS l
-  FROM named WHERE tag IN ({_TAGS}) AND NOT starts_with(tok, '</'))),
-vals AS (SELECT *, lower(regexp_extract(raw, '(?s)^{_ATTR}$', 1)) AS name, regexp_extract(raw, '(?s)^{_ATTR}$', 2) || regexp_extract(raw, '(?s)^{_ATTR}$', 3) || regexp_extract(raw, '(?s)^{_ATTR}$', 4) AS val FROM attrs),
-kept AS (SELECT page_id, k, string_agg(' ' || name || '="' || replace(val, '"', '&quot;') || '"' || CASE WHEN tag = 'a' AND name = 'href' THEN ' rel="noopener noreferrer"' ELSE '' END, '' ORDER BY j) AS a
-  FROM vals WHERE (name IN ('class', 'id', 'style') OR (tag = 'a' AND name IN ('href', 'title', 'target', 'rel')) OR (tag = 'img' AND name IN ('src', 'alt', 'width', 'height'))
-    OR (tag IN ('td', 'th') AND name IN ('colspan', 'rowspan')) OR (tag = 'th' AND name = 'scope'))
-    AND NOT (name IN ('href', 'src') AND regexp_matches(lower(trim(val)), '^(javascript:|data:|vbscript:)')) GROUP BY ALL),
-built AS (SELECT n.page_id, n.k, CASE WHEN tag = '' THEN tok WHEN tag NOT IN ({_TAGS}) THEN '' WHEN starts_with(tok, '</') THEN '</' || tag || '>'
-  WHEN ends_with(tok, '/>') THEN '<' || tag || coalesce(a, '') || ' />' ELSE '<' || tag || coalesce(a, '') || '>' END AS s
-  FROM named n LEFT JOIN kept USING (page_id, k))
-SELECT page_id, regexp_replace(string_agg(s, '' ORDER BY k), '(?i)on[a-zA-Z]+\\s*=\\s*["''][^"'']*["'']', '', 'g') AS html FROM built GROUP BY page_id
+cut AS (SELECT page_id, string_split({column}, '>') AS l FROM pages),
+piece AS (SELECT page_id, len(l) AS n, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM cut),
+part AS (SELECT *, regexp_extract(p, '(?s)^(.*?)<(/?)([a-zA-Z][a-zA-Z0-9]*)\\b(.*)$', ['front', 'slash', 'tag', 'rest']) AS m FROM piece),
+tags AS (SELECT page_id, k, p, k < n AS ended, m.front AS front, m.slash AS slash, lower(m.tag) AS tag, m.rest AS rest FROM part),
+attr AS (SELECT page_id, k, tag, unnest(l) AS raw, generate_subscripts(l, 1) AS j FROM (
+  SELECT page_id, k, tag, regexp_extract_all(regexp_replace(rest, '/\\z', ''), '{_ATTRIBUTE}') AS l FROM tags WHERE ended AND slash = '' AND tag IN ({_TAGS}))),
+pair AS (SELECT page_id, k, tag, j, lower(regexp_extract(raw, '^{_NAME}')) AS name, regexp_replace(raw, '^{_NAME}\\s*=?\\s*', '') AS v FROM attr),
+val AS (SELECT page_id, k, tag, j, name, CASE WHEN length(v) > 1 AND v[1] IN ('"', '''') AND v[1] = v[-1] THEN v[2:-2] ELSE v END AS v FROM pair),
+kept AS (SELECT page_id, k, string_agg(' ' || name || '="' || replace(v, '"', '&quot;') || '"' || CASE WHEN tag = 'a' AND name = 'href' THEN ' rel="noopener noreferrer"' ELSE '' END, '' ORDER BY j) AS a
+  FROM val WHERE ({_OWN})
+    AND NOT (name IN ('href', 'src') AND regexp_matches(lower(trim(v)), '^(javascript:|data:|vbscript:)')) GROUP BY ALL),
+shown AS (SELECT page_id, k, CASE WHEN NOT ended THEN p WHEN tag = '' THEN p || '>' WHEN tag NOT IN ({_TAGS}) THEN front WHEN slash = '/' THEN front || '</' || tag || '>'
+  ELSE front || '<' || tag || coalesce(a, '') || CASE WHEN ends_with(rest, '/') THEN ' />' ELSE '>' END END AS s FROM tags LEFT JOIN kept USING (page_id, k))
+SELECT page_id, regexp_replace(string_agg(s, '' ORDER BY k), '{_HANDLER}', '', 'g') AS html FROM shown GROUP BY page_id
 """
 
 

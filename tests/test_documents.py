@@ -289,3 +289,22 @@ def test_encryption_mark_anywhere(spark):
 
     df = spark.createDataFrame([(1, b"a" * 5000 + b"/Encrypt"), (2, b"a")], "doc_id long, content binary")
     assert {r.doc_id: r.encrypted for r in files.flag_encrypted(df).collect()} == {1: True, 2: False}
+
+
+def test_html_cleaning_by_pieces(spark):
+    cases = [
+        ('<a href=x/>t', '<a href="x" rel="noopener noreferrer" />t'),
+        ("<a href=x/\n>t", '<a href="x/" rel="noopener noreferrer">t'),
+        ("<A HREF='q\"r' onclick=\"f()\">t</A >", '<a href="q&quot;r" rel="noopener noreferrer">t</a>'),
+        ("1 < 2 <b-x class='k' id>b</b> > c", '1 < 2 <b class="k" id="">b</b> > c'),
+        ('<img src=" JavaScript:x" alt="\U0001F600">', '<img alt="\U0001F600">'),
+        ("<script>x</script><b_c>y", "x<b_c>y"),
+        ("<a <b>z</b>", "<a>z</b>"),
+        ('on <td colspan="2" scope=r>onload="x"', 'on <td colspan="2">'),
+        ("", ""),
+        ("<p", "<p"),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id long, html string")
+    got = [r.html for r in html.sanitize_html(df).orderBy("page_id").collect()]
+    assert got == [c[1] for c in cases]
