@@ -37,11 +37,22 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"/tmp/spark-{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    system, folder = _folder(spark, path)
+    system.deleteOnExit(folder)
     return path
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own making; one that is not there is no error."""
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
 def materialise(df, purpose: str):
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     lets several consumers reuse one evaluation even when executors are lost."""

@@ -4,13 +4,15 @@ starts a query whose sink is a table folder."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quirework.operators import files as file_ops
 from quirework.operators.runs import latest, run_stats
-from quirework.session import shared_dir
+from quirework.session import remove_folder, shared_dir
 from quirework.sources.readers import manifest
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -65,20 +67,27 @@ def user_sessions(runs: DataFrame, gap: str = "30 minutes", late: str = "1 hour"
     )
 
 
-def keep_latest(stream: DataFrame, path: str, key: list[str], ts: str, tie: str, checkpoint: str) -> StreamingQuery:
-    """Maintain the newest row per key in a versioned table folder.
+def keep_latest(
+    stream: DataFrame, path: str, key: list[str], ts: str, tie: str, checkpoint: str, fold_every: int = 16
+) -> StreamingQuery:
+    """Maintain the newest row per key in a table folder; :func:`read_latest` reads it.
 
-    Each batch is reduced to one row per key before it meets the stored rows,
-    and writes a new version; a replayed batch rewrites its own version only.
+    A batch writes one row for each of its own keys and nothing else.  Every
+    ``fold_every``-th batch also takes in what was written since the last such
+    batch, itself included, and folders older than that are deleted.  A replayed
+    batch rewrites its own folder from folders that are still there.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
         fresh = latest(batch, key, ts, tie)
-        if epoch > 0:
-            fresh = fresh.unionByName(spark.read.parquet(f"{path}/v={epoch - 1}"))
-            fresh = latest(fresh, key, ts, tie)
+        if epoch and (epoch + 1) % fold_every == 0:
+            earlier = [f"{path}/v={v}" for v in range(max(0, epoch - fold_every), epoch)]
+            fresh = latest(fresh.unionByName(spark.read.schema(fresh.schema).parquet(*earlier)), key, ts, tie)
         fresh.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        if (epoch + 1) % fold_every == 0:
+            for v in range(max(0, epoch - 2 * fold_every), epoch - fold_every):
+                remove_folder(spark, f"{path}/v={v}")
 
     return (
         stream.writeStream.foreachBatch(merge)
@@ -88,35 +97,66 @@ def keep_latest(stream: DataFrame, path: str, key: list[str], ts: str, tie: str,
     )
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The last complete version written by :func:`keep_latest`."""
-    newest = spark.read.parquet(path)
-    top = newest.agg(F.max("v").alias("v"))
-    return newest.join(F.broadcast(top), "v").drop("v")
+def read_latest(spark: SparkSession, path: str, key: list[str], ts: str, tie: str) -> DataFrame:
+    """The newest row per key over the folders of :func:`keep_latest`; a row seen in several of them counts once."""
+    return latest(spark.read.parquet(path).drop("v"), key, ts, tie)
+
 
+def drain(df: DataFrame, purpose: str, later: Iterable[Callable[[], None]] = ()) -> DataFrame:
+    """Run a stream over everything that has arrived and read its sink back.
 
-def drain(df: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream over everything that has arrived and read its sink back."""
+    Windows and sessions that the mark has not passed yet are not in the result.
+    Each function of ``later`` delivers more input; the stream is taken up again
+    from its checkpoint after each.
+    """
     spark = df.sparkSession
     out, ck = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-progress")
-    q = (
-        df.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", ck)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+
+    def go() -> None:
+        (
+            df.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", ck)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+
+    go()
+    for deliver in later:
+        deliver()
+        go()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def replay(spark: SparkSession, folder: str, name: str, per_trigger: int = 1) -> DataFrame:
-    """A table of the folder as a file stream (same schema as the table)."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(folder)
-    )
+def arrivals(table: DataFrame, ts: str, key: str, parts: int = 3, close: bool = True) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A table as a stream whose rows arrive in ``parts`` deliveries by time: the stream, and the deliveries after the first.
+
+    Rows with an odd ``key`` of the last half hour of a part come with the next
+    one, as rows that are late but within an hour.  ``close`` adds a last
+    delivery: one row two days after all others, which lets every window of the
+    table end, and copies of the first hour's rows under negative keys, which are
+    too late to count.
+    """
+    spark = table.sparkSession
+    folder = shared_dir(spark, "arrivals")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    lo, hi = table.agg(F.min(at), F.max(at)).first()
+    span = max(1, ((hi or 0) - (lo or 0)) // parts + 1)
+    half_hour = 30 * 60 * 1_000_000
+    held = (F.pmod(F.col(key), F.lit(2)) == 1) & (F.pmod(at - F.lit(lo), F.lit(span)) >= span - half_hour)
+    part = F.coalesce(F.floor((at - F.lit(lo)) / F.lit(span)), F.lit(0)) + F.when(held, 1).otherwise(0)
+    dealt = table.withColumn("_part", F.least(part, F.lit(parts - 1)))
+
+    def part_no(k: int) -> Callable[[], None]:
+        return lambda: dealt.filter(F.col("_part") == k).drop("_part").write.mode("append").parquet(folder)
+
+    def closing() -> None:
+        again = table.filter(at < F.lit(lo) + 2 * half_hour).withColumn(key, -F.col(key) - 1)
+        end = table.filter(at == hi).limit(1).withColumn(ts, F.col(ts) + F.expr("INTERVAL 2 DAYS"))
+        again.unionByName(end.withColumn(key, -F.col(key) - 1)).write.mode("append").parquet(folder)
+
+    part_no(0)()
+    later = [part_no(k) for k in range(1, parts)] + ([closing] if close and hi is not None else [])
+    return spark.readStream.schema(table.schema).parquet(folder), later
