@@ -185,6 +185,14 @@ def vitals_summary(spark, sf):
     return runs.vitals_summary(_vitals(spark, sf)).withColumn("worst", F.round("worst", 6))
 
 
+@query(f"""
+WITH {_VITALS} SELECT metric, round(quantile_disc(value, 0.75), 6) AS p75 FROM s GROUP BY metric
+""")
+def vitals_percentile(spark, sf):
+    """Exact while a metric has fewer samples than the sketch has places."""
+    return runs.vitals_percentile(_vitals(spark, sf)).select("metric", F.round("p", 6).alias("p75"))
+
+
 @query("""
 SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1
 """)

@@ -10,7 +10,7 @@ from quirework.operators.prefix import BLOCK
 from quirework.plans import sqlviews as S
 from quirework.plans import views as V
 from quirework.plans.registry import query, r6
-from quirework.session import materialise
+from quirework.session import materialise, shared_dir
 from quirework.sources import writers
 
 TERMS = ["the", "tion.", "ÉT", "er", "a"]
@@ -229,6 +229,20 @@ def table_csv(spark, sf):
     return writers.table_csv(_tables(spark, sf))
 
 
+@query(f"""
+WITH {TABLES_SQL}, t AS (SELECT doc_id, page_no, table_no, '# Table ' || table_no || ' (Page ' || page_no || ')' || chr(10) ||
+  array_to_string(list_transform(rws, lambda r: array_to_string(list_transform(r, lambda c:
+    CASE WHEN contains(c, ',') OR contains(c, chr(10)) THEN '"' || replace(c, '"', '""') || '"' ELSE replace(c, '"', '""') END), ',') || chr(10)), '') || chr(10) AS text FROM tabs)
+SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text[:-2], chr(10))) AS line FROM t) GROUP BY ALL
+""")
+def table_csv_files(spark, sf):
+    """The CSV sink's files read back: the lines of each document with their counts."""
+    path = shared_dir(spark, "csv")
+    writers.write_tables(_tables(spark, sf), path, "csv")
+    lines = spark.read.schema("value string, doc_id long").text(path)
+    return lines.groupBy("doc_id", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query(f"""
 WITH {TABLES_SQL}, b AS (SELECT doc_id, page_no, table_no, list_transform(rws, lambda r: '| ' || array_to_string(list_transform(r, lambda c: CASE WHEN c = '' THEN ' ' ELSE c END), ' | ') || ' |' || chr(10)) AS bars, len(rws[1]) AS k FROM tabs)
 SELECT doc_id, page_no, table_no, '## Table ' || table_no || ' (Page ' || page_no || ')' || chr(10) || chr(10) || bars[1] || '| ' || rtrim(repeat('--- | ', k), ' ')

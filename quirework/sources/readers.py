@@ -60,7 +60,10 @@ def read_json_docs(spark: SparkSession, path: str, glob: str = "*.json") -> Data
 
 
 def check_json(docs: DataFrame) -> DataFrame:
-    ok = F.try_parse_json("text").isNotNull()
+    """Exactly one JSON value per text.  The parser stops behind the first value, so the text is tried as the only item of
+    an array and as the only field of an object: what follows a value breaks one of the two."""
+    alone = [F.try_parse_json(F.concat(F.lit(a), "text", F.lit(z))) for a, z in (("[", "]"), ('{"v":', "}"))]
+    ok = alone[0].isNotNull() & alone[1].isNotNull()
     return docs.select(
         *[c for c in docs.columns if c != "text"],
         F.col("text").alias("json"),

@@ -7,7 +7,7 @@ text, and no task ever holds more than one part.  Ordinary documents have one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.arrays import let
@@ -197,9 +197,26 @@ def number_tables(tables: DataFrame) -> DataFrame:
     ).withColumn("table_no", (F.col("_k") + 1).cast("long")).drop("_k")
 
 
+def _write_documents(texts: DataFrame, path: str, part: Column, *order: str) -> None:
+    """Texts as text files, one folder per document and part; folders in the order of their names hold a document's texts in
+    order.  Parts are dealt by hash, so a long document is written by several tasks.  Every text gets a line break at its end.
+    """
+    dealt = texts.withColumn("part", F.lpad(part.cast("string"), 9, "0")).repartition("doc_id", "part")
+    ordered = dealt.sortWithinPartitions("doc_id", "part", *order)
+    ordered.select("doc_id", "part", "text").write.mode("overwrite").partitionBy("doc_id", "part").text(path)
+
+
 def write_tables(tables: DataFrame, path: str, fmt: str = "json") -> None:
-    text = {"json": table_json, "markdown": table_markdown, "csv": table_csv}[fmt](tables)
-    text.write.mode("overwrite").parquet(path)
+    """Tables in their own format: ``json`` as JSON lines, one table each with its ``docId``; ``csv`` and ``markdown`` as
+    text files in a folder per document and part of ``PAGES_PER_PART`` pages."""
+    if fmt == "json":
+        line = F.concat(F.lit('{"docId":'), F.col("doc_id").cast("string"), F.lit(","), F.substring("text", 2, 1 << 30))
+        table_json(tables).select(line.alias("text")).write.mode("overwrite").text(path)
+        return
+    texts = {"markdown": table_markdown, "csv": table_csv}[fmt](tables)
+    ended = texts.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+    part = F.floor((F.col("page_no") - 1) / F.lit(PAGES_PER_PART)) + 1
+    _write_documents(ended, path, part, "page_no", "table_no")
 
 
 def markdown_parts(pages: DataFrame, page_heads: bool = False, per_part: int = PAGES_PER_PART) -> DataFrame:
@@ -212,8 +229,13 @@ def markdown_parts(pages: DataFrame, page_heads: bool = False, per_part: int = P
     return _parts(shown, "markdown", "\n\n---\n\n", per_part)
 
 
-def write_markdown(pages: DataFrame, path: str, page_heads: bool = False) -> None:
-    markdown_parts(pages, page_heads).write.mode("overwrite").parquet(path)
+def write_markdown(pages: DataFrame, path: str, page_heads: bool = False, per_part: int = PAGES_PER_PART) -> None:
+    """Markdown text files, a folder per document and part."""
+    parts = markdown_parts(pages, page_heads, per_part)
+    first = F.min("part_no").over(Window.partitionBy("doc_id"))
+    # the line break that the writer puts behind a part is the one that the next part begins with
+    body = F.when(F.col("_first") == F.col("part_no"), F.col("text")).otherwise(F.regexp_replace("text", r"\A\n", ""))
+    _write_documents(parts.withColumn("_first", first).withColumn("text", body), path, F.col("part_no"))
 
 
 def assemble_page_text(pages: DataFrame, per_part: int = PAGES_PER_PART) -> DataFrame:
@@ -246,5 +268,5 @@ def assign_bundles(files: DataFrame, per_bundle: int, order: str = "doc_id") ->
 
 
 def write_bundle(files: DataFrame, path: str) -> None:
-    """One folder per bundle; writers of a large bundle are spread by file."""
-    files.write.mode("overwrite").partitionBy("bundle_id").parquet(path)
+    """Numbered files as a table in order of their bundles, a bundle within one part file; ``bundle_id`` stays a column."""
+    files.repartitionByRange("bundle_id").sortWithinPartitions("bundle_id").write.mode("overwrite").parquet(path)

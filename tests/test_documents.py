@@ -308,3 +308,45 @@ def test_html_cleaning_by_pieces(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id long, html string")
     got = [r.html for r in html.sanitize_html(df).orderBy("page_id").collect()]
     assert got == [c[1] for c in cases]
+
+
+def test_newest_rows_over_many_batches(spark, tmp_path):
+    src, path, ck = (str(tmp_path / n) for n in ("in", "latest", "ck"))
+    schema = "k string, ts long, id long"
+    for i in range(6):
+        rows = [("hot", i, i), (f"k{i}", i, i), ("old", 100 - i, i)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        jobs.keep_latest(stream, path, ["k"], "ts", "id", ck, fold_every=2).awaitTermination()
+        got = {r.k: r.id for r in jobs.read_latest(spark, path, ["k"], "ts", "id").collect()}
+        assert got == {"hot": i, "old": 0} | {f"k{j}": j for j in range(i + 1)}
+    assert sorted(p.name for p in (tmp_path / "latest").iterdir()) == ["v=3", "v=4", "v=5"]
+
+
+def test_table_and_markdown_files(spark, tmp_path):
+    t = spark.createDataFrame(
+        [(7, 1, 1, [["a", "b"], ["1,5", 'q"']]), (7, 2, 1, [["c"], ["2"]]), (8, 1, 1, [["d"], ["3"]])],
+        "doc_id long, page_no long, table_no int, rows array<array<string>>",
+    )
+    out = {f: str(tmp_path / f) for f in ("json", "csv", "markdown", "pages")}
+    for f in ("json", "csv", "markdown"):
+        writers.write_tables(t, out[f], f)
+    js = spark.read.json(out["json"]).orderBy("docId", "pageNumber").collect()
+    assert [(r.docId, r.pageNumber, r.tableIndex, r.headers) for r in js] == [(7, 1, 1, ["a", "b"]), (7, 2, 1, ["c"]), (8, 1, 1, ["d"])]
+
+    def whole(f, doc):
+        return "".join(p.read_text() for p in sorted((tmp_path / f / f"doc_id={doc}").rglob("part-*.txt")))
+
+    assert whole("csv", 7) == '# Table 1 (Page 1)\na,b\n"1,5",q""\n\n# Table 1 (Page 2)\nc\n2\n\n'
+    assert whole("markdown", 8) == "## Table 1 (Page 1)\n\n| d |\n| --- |\n| 3 |\n\n"
+    pages = spark.createDataFrame([(1, i, f"p{i}") for i in range(1, 6)], "doc_id long, page_no long, markdown string")
+    writers.write_markdown(pages, out["pages"], per_part=2)
+    assert whole("pages", 1) == "\n\n---\n\n".join(f"p{i}" for i in range(1, 6)) + "\n"
+
+
+def test_json_texts_hold_one_value(spark):
+    good = ['{"a": 1}', " [1, 2]\n", '"x"', "null", "0"]
+    bad = ["", "{broken", '{"a": 1},', "1, 2", '1, "b": 2', "1], [2", '1}, {"a": 2', '{"a": 1} x', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    got = {r.doc_id for r in readers.check_json(df).filter("error_code IS NULL").collect()}
+    assert got == set(range(len(good)))
