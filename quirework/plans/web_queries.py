@@ -558,14 +558,12 @@ def read_text_files(spark, sf):
     return docs.groupBy("text").agg(F.count("*").alias("n"))
 
 
-_JSON_ITEM = F.concat(F.to_json(F.struct("text")), F.when(F.length("text") % 3 == 0, ",").otherwise(""))
-
-
 @query("""
 SELECT CASE WHEN length(text) % 3 = 0 THEN NULL ELSE text END AS text, length(text) % 3 <> 0 AS good, count(*) AS n FROM benchmark WHERE text IS NOT NULL GROUP BY ALL
 """)
 def read_json_files(spark, sf):
-    docs = readers.read_json_docs(spark, _files(spark, sf, _JSON_ITEM, "json"), "*.txt").filter(F.length("json") > 3)
+    item = F.concat(F.to_json(F.struct("text")), F.when(F.length("text") % 3 == 0, ",").otherwise(""))
+    docs = readers.read_json_docs(spark, _files(spark, sf, item, "json"), "*.txt").filter(F.length("json") > 3)
     text = F.when(F.col("error_code").isNull(), F.get_json_object("json", "$.text"))
     return docs.groupBy(text.alias("text"), F.col("error_code").isNull().alias("good")).agg(F.count("*").alias("n"))
 
