@@ -7,7 +7,8 @@ own partition, and sequence numbers are unique through the partition's number.
 
 A document longer than ``capacity`` is cut into pieces of ``capacity``; its first piece takes the remainder.  Ids are those of the
 byte-level BPE file given; ``tokenizers`` files are read for their vocabulary and encoded with ``tiktoken``, whose ids are the
-same and which is about four times as fast.  The special token's string in a text is ordinary text.
+same and which is about four times as fast.  With ``added_tokens`` the file's added tokens in a text get their single ids, as
+``tokenizers`` does with ``add_special_tokens=False`` unless told otherwise; without, their strings are ordinary text.
 
 Edge cases: a null text is empty and gives the end id alone.  Repeated rows are packed as often as they occur; null ids stay null.
 Extra columns are ignored.  An empty table gives an empty table.
@@ -46,13 +47,16 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    for t in spec["added_tokens"]:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token {t['content']!r} takes in more than its string")
     special, letters = {t["content"] for t in spec["added_tokens"]}, byte_letters()
     ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
-def tokens_of(enc, text: str | None, end_id: int) -> np.ndarray:
-    ids = enc.encode_ordinary(text) if text else []
+def tokens_of(enc, text: str | None, end_id: int, added_tokens: bool = False) -> np.ndarray:
+    ids = (enc.encode(text, allowed_special="all") if added_tokens else enc.encode_ordinary(text)) if text else []
     return np.fromiter([*ids, end_id], dtype="<u4", count=len(ids) + 1)
 
 
@@ -89,7 +93,7 @@ class Bins:
         return s, self.capacity - f
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int = 1024, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
     """Columns of ``PIECES``, one row per piece of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int =
             for part in slices(batch):
                 out = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = tokens_of(enc, text, end_id)
+                    ids = tokens_of(enc, text, end_id, added_tokens)
                     first = (len(ids) - 1) % capacity + 1
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
