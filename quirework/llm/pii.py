@@ -1,14 +1,15 @@
 """Personal data: four patterns, and terms of their surroundings that give the protected value away.
 
 Protected entities are the values that the patterns find (e-mail and IP addresses, card and phone numbers).  A term is a word of
-three letters or more, lower-cased.  Co-occurrence is counted over the whole corpus: n(t, e), the occurrences of t within
-``reach`` words of an occurrence of e, and n(t), all its occurrences.  The disclosure of e by t is its pointwise mutual information
-relative to the entity's own information, PMI(e; t) / IC(e), which is 1 where t never stands without e.  Terms at or above
-``threshold``, with ``support`` common occurrences at least, are sanitised beside that entity: removed where the term
-gives it away for certain (``remove_at``), generalised otherwise.
+three letters or more, lower-cased.  Co-occurrence is counted over the whole corpus in two ways: n(t, e), the occurrences of t within
+``reach`` words of an occurrence of e, beside n(t), all its occurrences; and the documents that hold t and e at any distance, beside
+those that hold t.  The disclosure of e by t is its pointwise mutual information relative to the entity's own information,
+PMI(e; t) / IC(e), which is 1 where t never stands without e, and the larger of the two counts.  Terms at or above
+``threshold``, with ``support`` common occurrences or documents at least, are sanitised wherever they stand in a document that
+holds that entity: removed where the term gives it away for certain (``remove_at``), generalised otherwise.
 
 Only counts, words near entities and spans are shuffled, never texts (but by ``redact``, which gives texts back).  Counts are
-pre-aggregated in each task.
+pre-aggregated in each task.  A document's own work is its terms times its entities.
 
 Offsets are code points, ends exclusive.  Base spans are leftmost and do not overlap within their kind; different kinds may
 overlap, and terms never overlap a base span.  Edge cases: a null text is empty; repeated rows each get their result; null ids are
@@ -40,7 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _SPAN = "struct<kind:string,start:int,end:int>"
-BASE = f"doc_id long, text_key long, base array<{_SPAN}>, near array<struct<term:string,start:int,end:int,entity:long>>"
+BASE = f"doc_id long, text_key long, base array<{_SPAN}>, near array<struct<term:string,start:int,end:int,entity:long>>, entities array<long>"
 
 
 def luhn(digits: str) -> bool:
@@ -82,6 +83,25 @@ def entity(kind: int, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{KINDS[kind]}:{plain}".encode()) - (1 << 63)
 
 
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    return sorted({entity(kind, text[s:e]) for s, kind, e in spans})
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Places of all terms that do not overlap a base span."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    covered, at = sorted((s, e) for s, _, e in spans), 0
+    reach = 0  # end of the spans that begin before the term's end
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][0] < b:
+            reach = max(reach, covered[at][1])
+            at += 1
+        if reach <= a:
+            out.setdefault(m[0].lower(), []).append((a, b))
+    return out
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[dict]:
     """Terms within ``reach`` terms of an entity on either side, looked for within 40 letters for each of them."""
     out, width = {}, 40 * reach
@@ -110,8 +130,8 @@ def base(docs: DataFrame, reach: int = 8) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 found = [base_spans(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f] for f in found], span), pa.array([near_terms(t, f, reach) if f else [] for t, f in zip(texts, found, strict=True)], near)],
-                    names=["doc_id", "text_key", "base", "near"],
+                    [part.column(0), part.column(2), pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f] for f in found], span), pa.array([near_terms(t, f, reach) if f else [] for t, f in zip(texts, found, strict=True)], near), pa.array([entities(t, f) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "base", "near", "entities"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, BASE)
@@ -121,11 +141,18 @@ def base(docs: DataFrame, reach: int = 8) -> DataFrame:
 SLOTS = 1 << 22
 
 
-def term_counts(docs: DataFrame, wanted: DataFrame, held: int = 100_000) -> DataFrame:
-    """term_no, n: occurrences in the corpus of the terms ``wanted`` (term_no) and of some others; without term_no, those of all."""
+def passing(numbers: DataFrame):
+    """Broadcast filter by slots of the only column's numbers."""
     slots = np.zeros(SLOTS, dtype=bool)
-    slots[np.asarray(wanted.select(F.pmod("term_no", F.lit(SLOTS)).cast("int").alias("s")).distinct().toArrow().column(0))] = True
-    passed = docs.sparkSession.sparkContext.broadcast(slots)
+    slots[np.asarray(numbers.select(F.pmod(F.col(numbers.columns[0]), F.lit(SLOTS)).cast("int").alias("s")).distinct().toArrow().column(0))] = True
+    return numbers.sparkSession.sparkContext.broadcast(slots)
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame, held: int = 100_000, by_document: bool = False) -> DataFrame:
+    """term_no, n: occurrences in the corpus of the terms ``wanted`` (term_no) and of some others; without term_no, those of all.
+
+    With ``by_document`` a document counts once."""
+    passed = passing(wanted.select("term_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -141,7 +168,8 @@ def term_counts(docs: DataFrame, wanted: DataFrame, held: int = 100_000) -> Data
             for part in slices(batch, 1 << 20):
                 for t in part.column(0).to_pylist():
                     if t:
-                        seen.update(_TERM.findall(t.lower()))
+                        found = [m.lower() for m in _TERM.findall(t)]
+                        seen.update(set(found) if by_document else found)
                 if len(seen) > held:
                     yield out()
         yield out()
@@ -164,14 +192,83 @@ def disclosing(near: DataFrame, docs: DataFrame, threshold: float = 0.95, suppor
     return rated.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
 
 
+def pair_counts(docs: DataFrame, frequent: DataFrame, held: int = 100_000) -> DataFrame:
+    """term, entity, n: documents that hold both, for the entities ``frequent`` (entity) and some others."""
+    passed = passing(frequent.select("entity"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out():
+            terms, numbers = zip(*seen, strict=True) if seen else ((), ())
+            batch = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int64()), pa.array(seen.values(), pa.int64())], names=["term", "entity", "n"])
+            seen.clear()
+            return batch
+
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                for t in part.column(0).to_pylist():
+                    spans = base_spans(t) if t else []
+                    some = [e for e in entities(t, spans) if passed.value[e % SLOTS]] if spans else []
+                    terms = free_terms(t, spans) if some else ()
+                    for e in some:
+                        seen.update((w, e) for w in terms)
+                        if len(seen) > held:
+                            yield out()
+        yield out()
+
+    return docs.select("text").mapInArrow(run, "term string, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+
+
+def disclosing_documents(rows: DataFrame, docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
+    """term, entity, disclosure: pairs at or above ``threshold`` by the documents that hold them."""
+    of_entity = materialise(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
+    both = pair_counts(docs, of_entity).where(F.col("n") >= support).withColumnRenamed("n", "both")
+    pairs = materialise(both.withColumn("term_no", F.xxhash64("term")), "pairs")
+    counts = term_counts(docs, pairs, by_document=True)
+    p_e = F.col("n_e") / F.lit(max(1, rows.count()))
+    p_et = F.least(F.lit(1.0), F.col("both") / F.col("n"))
+    score = F.when(p_e >= 1, 0.0).otherwise(F.log(p_et / p_e) / -F.log(p_e))
+    rated = pairs.join(counts, "term_no").join(of_entity, "entity")
+    return rated.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
+
+
+def occurrences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, text_key, term, entity, places: all places of the terms in documents that hold the entity, for ``pairs`` and some others."""
+    passed = passing(pairs.select(F.xxhash64("term").bitwiseXOR(F.col("entity")).alias("pair")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                out: list[tuple] = []
+                for i, t, key in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    spans = base_spans(t) if t else []
+                    terms = free_terms(t, spans) if spans else {}
+                    words = list(terms)
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
+                    for e in entities(t, spans) if words else ():
+                        for j in np.flatnonzero(passed.value[(hashes ^ np.int64(e)) % SLOTS]):
+                            out.append((i, key, words[j], e, [{"start": a, "end": b} for a, b in terms[words[j]]]))
+                cols = [*zip(*out, strict=True)] or [()] * 5
+                place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), place)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "text_key", "term", "entity", "places"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return own.mapInArrow(run, "doc_id long, text_key long, term string, entity long, places array<struct<start:int,end:int>>")
+
+
 def find(docs: DataFrame, reach: int = 8, threshold: float = 0.95, support: int = 3) -> DataFrame:
     """doc_id, text_key, base, terms (start, end, disclosure): one row per document."""
     rows = materialise(base(docs, reach), "pii")
-    near = rows.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    pairs = disclosing(near, docs, threshold, support)
+    near = rows.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
+    rated = disclosing(near, docs, threshold, support).unionByName(disclosing_documents(rows, docs, threshold, support))
+    pairs = materialise(rated.groupBy("term", "entity").agg(F.max("disclosure").alias("disclosure")), "disclosing")
     terms = (
-        near.join(pairs, ["term", "entity"])
-        .groupBy("doc_id", "text_key", "start", "end")
+        occurrences(docs, pairs)
+        .join(pairs, ["term", "entity"])
+        .select("doc_id", "text_key", F.explode("places").alias("p"), "disclosure")
+        .groupBy("doc_id", "text_key", "p.start", "p.end")
         .agg(F.max("disclosure").alias("disclosure"))
         .groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
