@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.session import materialise
 
-from . import automata, decontam, langid, packing, pii, simhash, suffixdedup, topk, urlfilter, warc
+from . import automata, bitplanes, decontam, langid, packing, pii, simhash, suffixdedup, topk, urlfilter, warc
 from .common import table
 
 HOST_RULES = (
@@ -108,6 +108,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bitplanes.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.col("centroid").cast("binary"), 256)).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_simhash, op5_substring_dedup, op6_pii, op7_language_id, op8_packing, op9_url_filter, op10_decontaminate, pipeline)
+    for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_simhash, op5_substring_dedup, op6_pii, op7_language_id, op8_packing, op9_url_filter, op10_decontaminate, op13_bitplanes, pipeline)
 }
 
 SQL: dict[str, str] = {}
@@ -224,3 +229,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
     sha256(CASE WHEN b.r IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
 FROM d LEFT JOIN b USING (r) LEFT JOIN k USING (r)
 """
+
+
+def _rounds(n: int) -> str:
+    """Assignments and centroids of ``n`` rounds, each a step of the twin."""
+    steps = []
+    for i in range(n + 1):
+        near = f"""
+a{i} AS MATERIALIZED (
+    SELECT r, any_value(vec_id) AS vec_id, min(d) AS d, arg_min(c, d * 16 + c) AS c
+    FROM (SELECT r, vec_id, c, CAST(list_sum(list_transform(list_zip(v.e, k.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, k{i} k) GROUP BY r
+)"""
+        mean = f""",
+m{i} AS (
+    SELECT c, list(m ORDER BY i) AS e
+    FROM (SELECT c, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT c, unnest(v.e) AS x, generate_subscripts(v.e, 1) AS i FROM a{i} JOIN v USING (r)) GROUP BY c, i) GROUP BY c
+),
+k{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM k{i} k LEFT JOIN m{i} m USING (c))"""
+        steps.append(near + (mean if i < n else ""))
+    return ",".join(steps)
+
+
+SQL["op13_bitplanes"] = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+k0 AS MATERIALIZED (
+    SELECT c, e FROM (SELECT e, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS c FROM v) WHERE c < 16
+),{_rounds(3)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(e, ',')) AS centroid_sha256
+FROM a3 JOIN k3 USING (c)
+"""
