@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.session import materialise
 
-from . import automata, bitplanes, decontam, langid, packing, pii, simhash, suffixdedup, topk, urlfilter, warc
+from . import automata, bitplanes, decontam, langid, packing, pii, simhash, suffixdedup, topk, turns, urlfilter, warc
 from .common import table
 
 HOST_RULES = (
@@ -108,6 +108,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    edited, report = turns.repair(turns.damaged(rows))
+    counts = [c for c in report.columns if c != "conv_id"]
+    parts = rows.select("conv_id").unionByName(report, allowMissingColumns=True).unionByName(turns.digests(edited), allowMissingColumns=True)
+    return parts.groupBy("conv_id").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bitplanes.cluster(table(spark, sf_dir, "embeddings"))
     return found.withColumn("centroid_sha256", F.sha2(F.col("centroid").cast("binary"), 256)).drop("centroid")
@@ -121,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_simhash, op5_substring_dedup, op6_pii, op7_language_id, op8_packing, op9_url_filter, op10_decontaminate, op13_bitplanes, pipeline)
+    for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_simhash, op5_substring_dedup, op6_pii, op7_language_id, op8_packing, op9_url_filter, op10_decontaminate, op12_turns, op13_bitplanes, pipeline)
 }
 
 SQL: dict[str, str] = {}
