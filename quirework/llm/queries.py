@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.session import materialise
 
-from . import automata, bitplanes, decontam, langid, packing, pii, simhash, suffixdedup, topk, turns, urlfilter, warc
+from . import automata, bitplanes, decontam, langid, packing, pii, postings, simhash, suffixdedup, topk, turns, urlfilter, warc
 from .common import table
 
 HOST_RULES = (
@@ -108,6 +108,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     edited, report = turns.repair(turns.damaged(rows))
@@ -133,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_simhash, op5_substring_dedup, op6_pii, op7_language_id, op8_packing, op9_url_filter, op10_decontaminate, op12_turns, op13_bitplanes, pipeline)
+    for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_simhash, op5_substring_dedup, op6_pii, op7_language_id, op8_packing, op9_url_filter, op10_decontaminate, op11_postings, op12_turns, op13_bitplanes, pipeline)
 }
 
 SQL: dict[str, str] = {}
