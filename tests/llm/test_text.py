@@ -222,10 +222,10 @@ def test_pipeline(spark):
         if name != "packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     found, unique, clean, redacted, packed = stages
-    from test_dedup import components, slow_fingerprint
+    from test_nearcopies import kept
 
     rows = sorted((r.doc_id, r.text) for r in found.collect())
-    keep = {c for c in components([(i, slow_fingerprint(t)) for i, t in rows])}
+    keep = {i for _, i, _ in kept(rows)}
     assert {r.doc_id for r in unique.collect()} == keep
     dirty = {w[0] for w in contaminated([(i, t) for i, t in rows if i in keep], bench) if w[5]}
     assert dirty and {r.doc_id for r in clean.collect()} == keep - dirty
