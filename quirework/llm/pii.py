@@ -1,24 +1,28 @@
 """Personal data: four patterns, and terms of their surroundings that give the protected value away.
 
 Protected entities are the values that the patterns find (e-mail and IP addresses, card and phone numbers).  A term is a word of
-three letters or more, lower-cased.  Co-occurrence is counted over the whole corpus in two ways: n(t, e), the occurrences of t within
-``reach`` words of an occurrence of e, beside n(t), all its occurrences; and the documents that hold t and e at any distance, beside
-those that hold t.  The disclosure of e by t is its pointwise mutual information relative to the entity's own information,
+three letters or more, lower-cased.  Co-occurrence is counted over the whole corpus, equal texts once, in two ways: n(t, e), the occurrences
+of t within ``reach`` terms of an occurrence of e, beside n(t), all its occurrences; and the texts that hold t and e at any distance,
+beside those that hold t.  The disclosure of e by t is its pointwise mutual information relative to the entity's own information,
 PMI(e; t) / IC(e), which is 1 where t never stands without e, and the larger of the two counts.  Terms at or above
-``threshold``, with ``support`` common occurrences or documents at least, are sanitised wherever they stand in a document that
+``threshold``, with ``support`` common texts at least, are sanitised wherever they stand in a document that
 holds that entity: removed where the term gives it away for certain (``remove_at``), generalised otherwise.
 
-Only counts, words near entities and spans are shuffled, never texts (but by ``redact``, which gives texts back).  Counts are
-pre-aggregated in each task.  A document's own work is its terms times its entities.
+Disclosure reaches the threshold just where p(e | t) >= p(e) ^ (1 - threshold).  A term stands at least as often as with the entity it meets most,
+so most pairs go before the corpus is read for n(t), which is counted for the rest only, occurrences and texts in one pass.
+Only counts, words near entities and spans are shuffled, never texts (but by ``redact``, which gives texts back).  A task adds up its counts
+before they leave it.  Texts that may have copies (by a filter of fixed size) are counted under their key, and each key once.
 
 Offsets are code points, ends exclusive.  Base spans are leftmost and do not overlap within their kind; different kinds may
 overlap, and terms never overlap a base span.  Edge cases: a null text is empty; repeated rows each get their result; null ids are
-an id like any other; extra columns are kept by ``redact`` and ignored by ``find``.  An empty table gives an empty table.
+an id like any other; extra columns of any name are kept by ``redact`` and ignored by ``find``; texts are told apart by 64-bit hashes.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +45,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _SPAN = "struct<kind:string,start:int,end:int>"
-BASE = f"doc_id long, text_key long, base array<{_SPAN}>, near array<struct<term:string,start:int,end:int,entity:long>>, entities array<long>"
+BASE = f"doc_id long, text_key long, base array<{_SPAN}>, near array<struct<term:string,start:int,entity:long>>, entities array<long>, n_terms long"
 
 
 def luhn(digits: str) -> bool:
@@ -87,9 +91,9 @@ def entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
     return sorted({entity(kind, text[s:e]) for s, kind, e in spans})
 
 
-def free_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
-    """Places of all terms that do not overlap a base span."""
-    out: dict[str, list[tuple[int, int]]] = {}
+def free_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Places of all terms that do not overlap a base span, in order."""
+    out: list[tuple[int, int]] = []
     covered, at = sorted((s, e) for s, _, e in spans), 0
     reach = 0  # end of the spans that begin before the term's end
     for m in _TERM.finditer(text):
@@ -98,47 +102,61 @@ def free_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[t
             reach = max(reach, covered[at][1])
             at += 1
         if reach <= a:
-            out.setdefault(m[0].lower(), []).append((a, b))
+            out.append((a, b))
+    return out
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Places by term."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for a, b in free_spans(text, spans):
+        out.setdefault(text[a:b].lower(), []).append((a, b))
     return out
 
 
 def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[dict]:
-    """Terms within ``reach`` terms of an entity on either side, looked for within 40 letters for each of them."""
-    out, width = {}, 40 * reach
+    """The ``reach`` terms before and behind each entity, however far away."""
+    free = free_spans(text, spans)
+    starts = [a for a, _ in free]
+    out = {}
     for s, kind, e in spans:
         e_no = entity(kind, text[s:e])
-        left = [m.span() for m in _TERM.finditer(text, max(0, s - width), s)]
-        if left and left[0][0] == s - width:  # perhaps cut by the bound
-            left = left[1:]
-        right = [m.span() for m in _TERM.finditer(text, e, e + width)]
-        if right and right[-1][1] == e + width:
-            right = right[:-1]
-        for a, b in left[-reach:] + right[:reach]:
-            out[a, b, e_no] = {"term": text[a:b].lower(), "start": a, "end": b, "entity": e_no}
-    covered = sorted((s, e) for s, _, e in spans)
-    return [r for (a, b, _), r in sorted(out.items()) if not any(s < b and a < e for s, e in covered if e > a - 400 and s < b)]
+        left, right = bisect_left(starts, s), bisect_left(starts, e)
+        for a, b in free[max(0, left - reach) : left] + free[right : right + reach]:
+            out[a, e_no] = {"term": text[a:b].lower(), "start": a, "entity": e_no}
+    return [out[k] for k in sorted(out)]
 
 
 def base(docs: DataFrame, reach: int = 8) -> DataFrame:
     """Columns of ``BASE``, one row per document."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.int64())]))
+    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("entity", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 found = [base_spans(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f] for f in found], span), pa.array([near_terms(t, f, reach) if f else [] for t, f in zip(texts, found, strict=True)], near), pa.array([entities(t, f) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "base", "near", "entities"],
-                )
+                cols = [
+                    pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f] for f in found], span),
+                    pa.array([near_terms(t, f, reach) if f else [] for t, f in zip(texts, found, strict=True)], near),
+                    pa.array([entities(t, f) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
+                    pa.array([len(_TERM.findall(t)) for t in texts], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=["doc_id", "text_key", "base", "near", "entities", "n_terms"])
+
+    return keyed(docs).mapInArrow(run, BASE)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, BASE)
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
 
-#: Slots of the filter that thins out the corpus count; its size is fixed, and what passes by chance is dropped by the join behind it.
+#: Slots of the filters that thin out what is counted; their size is fixed, and what passes by chance is dropped by the join behind them.
 SLOTS = 1 << 22
+#: Keys that a task adds up before it lets them go: 16 bytes each.
+HELD = 1 << 22
 
 
 def passing(numbers: DataFrame):
@@ -148,135 +166,190 @@ def passing(numbers: DataFrame):
     return numbers.sparkSession.sparkContext.broadcast(slots)
 
 
-def term_counts(docs: DataFrame, wanted: DataFrame, held: int = 100_000, by_document: bool = False) -> DataFrame:
-    """term_no, n: occurrences in the corpus of the terms ``wanted`` (term_no) and of some others; without term_no, those of all.
+def term_number(term: str) -> int:
+    """As Spark's xxhash64 of a string."""
+    n = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42)
+    return n - (1 << 64) if n >> 63 else n
 
-    With ``by_document`` a document counts once."""
+
+def term_counts(docs: DataFrame, wanted: DataFrame, copied) -> DataFrame:
+    """term_no, n, texts: occurrences in the corpus, and texts, of the terms ``wanted`` (term_no) and of some others, equal texts once.
+
+    ``copied`` is the filter of texts that may have copies."""
     passed = passing(wanted.select("term_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        number: dict[str, int | None] = {}
+        sums: dict[int, list[int]] = {}
+        seen: set[int] = set()
+
+        def out(rows):
+            cols = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["text_key", "term_no", "n", "texts"])
 
-        def out():
-            keys = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in seen), np.uint64, len(seen)).view(np.int64)
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            ok = passed.value[keys % SLOTS]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([*keys[ok].tolist(), None], pa.int64()), pa.array([*n[ok].tolist(), int(n.sum())], pa.int64())], names=["term_no", "n"])
+        def look_up(term):
+            no = number[term] = no if passed.value[(no := term_number(term)) % SLOTS] else None
+            return no
 
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                for t in part.column(0).to_pylist():
-                    if t:
-                        found = [m.lower() for m in _TERM.findall(t)]
-                        seen.update(set(found) if by_document else found)
-                if len(seen) > held:
-                    yield out()
-        yield out()
-
-    return docs.select("text").mapInArrow(run, "term_no long, n long").groupBy("term_no").agg(F.sum("n").alias("n"))
-
-
-def disclosing(near: DataFrame, docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
-    """term, entity, disclosure: pairs at or above ``threshold``."""
-    both = near.groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = materialise(both.withColumn("term_no", F.xxhash64("term")), "pairs")
-    counts = materialise(term_counts(docs, pairs), "terms")
-    total = F.lit(max(1, counts.where("term_no IS NULL").agg(F.sum("n")).first()[0] or 0))
-    # IC(e) by the entity's share of all terms
-    of_entity = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    rated = pairs.join(counts, "term_no").join(of_entity, "entity")
-    p_e = F.col("n_e") / F.greatest(total, "n_e")
-    p_et = F.least(F.lit(1.0), F.col("both") / F.col("n"))
-    score = F.when(p_e >= 1, 0.0).otherwise(F.log(p_et / p_e) / -F.log(p_e))
-    return rated.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
-
-
-def pair_counts(docs: DataFrame, frequent: DataFrame, held: int = 100_000) -> DataFrame:
-    """term, entity, n: documents that hold both, for the entities ``frequent`` (entity) and some others."""
-    passed = passing(frequent.select("entity"))
+                single: list[tuple] = []
+                if len(number) > HELD // 8:
+                    number.clear()
+                for t, key in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    many = t and copied.value[key % SLOTS]
+                    if not t or many and key in seen:
+                        continue
+                    if many:
+                        seen.add(key)
+                    own = {}
+                    for w, n in Counter(_TERM.findall(t)).items():
+                        w = w.lower()
+                        no = number[w] if w in number else look_up(w)
+                        if no is not None:
+                            own[no] = own.get(no, 0) + n
+                    if many:
+                        single += [(key, no, n, 1) for no, n in own.items()]
+                        continue
+                    for no, n in own.items():
+                        s = sums.setdefault(no, [0, 0])
+                        s[0] += n
+                        s[1] += 1
+                if single:
+                    yield out(single)
+                if len(sums) > HELD:
+                    yield out([(None, no, *s) for no, s in sums.items()])
+                    sums.clear()
+        if sums:
+            yield out([(None, no, *s) for no, s in sums.items()])
+
+    found = keyed(docs).mapInArrow(run, "text_key long, term_no long, n long, texts long")
+    # a text with copies comes once from each task, always with the same counts
+    once = found.groupBy("text_key", "term_no").agg(F.when(F.col("text_key").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"), F.when(F.col("text_key").isNull(), F.sum("texts")).otherwise(F.lit(1)).alias("texts"))
+    return once.groupBy("term_no").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+
+
+def pair_counts(docs: DataFrame, frequent: DataFrame, holders: DataFrame, copied) -> DataFrame:
+    """term, entity, both: texts that hold both, for the entities ``frequent`` (entity) and some others, found in the texts ``holders`` (text_key)."""
+    passed, held = passing(frequent.select("entity")), passing(holders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        sums: Counter = Counter()
+        seen: set[int] = set()
 
-        def out():
-            terms, numbers = zip(*seen, strict=True) if seen else ((), ())
-            batch = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int64()), pa.array(seen.values(), pa.int64())], names=["term", "entity", "n"])
-            seen.clear()
-            return batch
+        def out(rows):
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["text_key", "term", "entity", "n"])
 
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                for t in part.column(0).to_pylist():
-                    spans = base_spans(t) if t else []
+                single: list[tuple] = []
+                for t, key in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    many = t and copied.value[key % SLOTS]
+                    if not t or not held.value[key % SLOTS] or many and key in seen:
+                        continue
+                    if many:
+                        seen.add(key)
+                    spans = base_spans(t)
                     some = [e for e in entities(t, spans) if passed.value[e % SLOTS]] if spans else []
                     terms = free_terms(t, spans) if some else ()
-                    for e in some:
-                        seen.update((w, e) for w in terms)
-                        if len(seen) > held:
-                            yield out()
-        yield out()
-
-    return docs.select("text").mapInArrow(run, "term string, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
-
-
-def disclosing_documents(rows: DataFrame, docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
-    """term, entity, disclosure: pairs at or above ``threshold`` by the documents that hold them."""
-    of_entity = materialise(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
-    both = pair_counts(docs, of_entity).where(F.col("n") >= support).withColumnRenamed("n", "both")
-    pairs = materialise(both.withColumn("term_no", F.xxhash64("term")), "pairs")
-    counts = term_counts(docs, pairs, by_document=True)
-    p_e = F.col("n_e") / F.lit(max(1, rows.count()))
-    p_et = F.least(F.lit(1.0), F.col("both") / F.col("n"))
-    score = F.when(p_e >= 1, 0.0).otherwise(F.log(p_et / p_e) / -F.log(p_e))
-    rated = pairs.join(counts, "term_no").join(of_entity, "entity")
-    return rated.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
-
-
-def occurrences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, text_key, term, entity, places: all places of the terms in documents that hold the entity, for ``pairs`` and some others."""
+                    for e in some if terms else ():
+                        if many:
+                            single += [(key, w, e, 1) for w in terms]
+                        else:
+                            sums.update((w, e) for w in terms)
+                if single:
+                    yield out(single)
+                if len(sums) > HELD // 8:
+                    yield out([(None, *p, n) for p, n in sums.items()])
+                    sums.clear()
+        if sums:
+            yield out([(None, *p, n) for p, n in sums.items()])
+
+    found = keyed(docs).mapInArrow(run, "text_key long, term string, entity long, n long")
+    once = found.groupBy("text_key", "term", "entity").agg(F.when(F.col("text_key").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"))
+    return once.groupBy("term", "entity").agg(F.sum("n").alias("both"))
+
+
+def likely(pairs: DataFrame, of_entity: DataFrame, total, threshold: float) -> DataFrame:
+    """Pairs (term, entity, both) that can reach the threshold, with p_e: a term stands at least as often as with the entity it meets most."""
+    most = pairs.groupBy("term").agg(F.max("both").alias("most"))
+    p_e = F.col("n_e") / F.greatest(F.lit(total), "n_e")
+    rated = pairs.join(most, "term").join(of_entity.withColumn("p_e", p_e).select("entity", "p_e"), "entity")
+    # a little room for rounding; the score itself decides later
+    return rated.where(F.col("both") >= F.col("most") * F.pow("p_e", F.lit(1 - threshold)) * (1 - 1e-9)).drop("most")
+
+
+def disclosing(rows: DataFrame, docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
+    """term, entity, disclosure: pairs at or above ``threshold``, for ``rows`` of ``base``."""
+    texts = rows.groupBy("text_key").agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("rows"))
+    texts = materialise(texts, "texts")
+    n_texts, n_terms = texts.agg(F.count("*"), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    copied = passing(texts.where("rows > 1").select("text_key"))
+    once = materialise(rows.where(F.size("entities") > 0).select("text_key", "near", "entities").dropDuplicates(["text_key"]), "entities")
+    near = once.select("text_key", F.explode("near").alias("x")).select("text_key", "x.term", "x.entity")
+    by_text = near.groupBy("term", "entity", "text_key").agg(F.count("*").alias("n"))
+    close = by_text.groupBy("term", "entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    close = likely(close.drop("texts"), near.groupBy("entity").agg(F.count("*").alias("n_e")), max(1, n_terms), threshold)
+    frequent = once.select("text_key", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    frequent = materialise(frequent, "frequent")
+    holders = once.select("text_key", F.explode("entities").alias("entity")).join(frequent, "entity").select("text_key").distinct()
+    wide = pair_counts(docs, frequent, holders, copied).where(F.col("both") >= support)
+    wide = likely(wide, frequent, max(1, n_texts), threshold)
+    mark = lambda pairs, kind: pairs.withColumn("kind", F.lit(kind))
+    pairs = materialise(mark(close, "near").unionByName(mark(wide, "text")).withColumn("term_no", F.xxhash64("term")), "pairs")
+    counts = term_counts(docs, pairs, copied)
+    n = F.when(F.col("kind") == "near", F.col("n")).otherwise(F.col("texts"))
+    p_et = F.least(F.lit(1.0), F.col("both") / n)
+    score = F.when(F.col("p_e") >= 1, 0.0).otherwise(F.log(p_et / F.col("p_e")) / -F.log("p_e"))
+    rated = pairs.join(counts, "term_no").withColumn("disclosure", score).where(F.col("disclosure") >= threshold)
+    return rated.groupBy("term", "entity").agg(F.max("disclosure").alias("disclosure"))
+
+
+def occurrences(docs: DataFrame, pairs: DataFrame, holders: DataFrame) -> DataFrame:
+    """text_key, term, entity, places: all places of the terms in the texts that hold the entity, for ``pairs`` and some others.
+
+    Equal texts have equal places: each comes once from a task, and the caller takes one."""
     passed = passing(pairs.select(F.xxhash64("term").bitwiseXOR(F.col("entity")).alias("pair")))
+    held = passing(holders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                out: list[tuple] = []
-                for i, t, key in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
-                    spans = base_spans(t) if t else []
+                out: dict[tuple, list] = {}
+                for t, key in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if not t or not held.value[key % SLOTS]:
+                        continue
+                    spans = base_spans(t)
                     terms = free_terms(t, spans) if spans else {}
                     words = list(terms)
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
+                    hashes = np.fromiter(map(term_number, words), np.int64, len(words))
                     for e in entities(t, spans) if words else ():
                         for j in np.flatnonzero(passed.value[(hashes ^ np.int64(e)) % SLOTS]):
-                            out.append((i, key, words[j], e, [{"start": a, "end": b} for a, b in terms[words[j]]]))
-                cols = [*zip(*out, strict=True)] or [()] * 5
+                            out[key, words[j], e] = [{"start": a, "end": b} for a, b in terms[words[j]]]
+                keys, words, numbers = zip(*out, strict=True) if out else ((), (), ())
                 place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), place)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "text_key", "term", "entity", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(numbers, pa.int64()), pa.array(list(out.values()), place)], names=["text_key", "term", "entity", "places"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return own.mapInArrow(run, "doc_id long, text_key long, term string, entity long, places array<struct<start:int,end:int>>")
+    return keyed(docs).mapInArrow(run, "text_key long, term string, entity long, places array<struct<start:int,end:int>>")
 
 
 def find(docs: DataFrame, reach: int = 8, threshold: float = 0.95, support: int = 3) -> DataFrame:
     """doc_id, text_key, base, terms (start, end, disclosure): one row per document."""
     rows = materialise(base(docs, reach), "pii")
-    near = rows.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
-    rated = disclosing(near, docs, threshold, support).unionByName(disclosing_documents(rows, docs, threshold, support))
-    pairs = materialise(rated.groupBy("term", "entity").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    pairs = materialise(disclosing(rows, docs, threshold, support), "disclosing")
+    holders = rows.select("text_key", F.explode("entities").alias("entity")).join(pairs, "entity", "left_semi").select("text_key").distinct()
     terms = (
-        occurrences(docs, pairs)
+        occurrences(docs, pairs, holders)
         .join(pairs, ["term", "entity"])
-        .select("doc_id", "text_key", F.explode("places").alias("p"), "disclosure")
-        .groupBy("doc_id", "text_key", "p.start", "p.end")
+        .select("text_key", F.explode("places").alias("p"), "disclosure")
+        .groupBy("text_key", "p.start", "p.end")
         .agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("doc_id", "text_key")
+        .groupBy("text_key")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     )
-    own, more = rows.alias("o"), terms.alias("t")
-    same = F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.text_key") == F.col("t.text_key"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,disclosure:double>>)")
-    return own.join(more, same, "left").select("o.doc_id", "o.text_key", "o.base", F.coalesce("t.terms", none).alias("terms"))
+    return rows.join(terms, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def cut(text: str | None, base: list, terms: list, remove_at: float) -> str | None:
@@ -295,11 +368,12 @@ def cut(text: str | None, base: list, terms: list, remove_at: float) -> str | No
 
 def redact(docs: DataFrame, reach: int = 8, threshold: float = 0.95, support: int = 3, remove_at: float = 1.0) -> DataFrame:
     """``docs`` with sanitised texts; all columns stay."""
-    found = find(docs, reach, threshold, support).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_key"])
+    found = find(docs, reach, threshold, support).where((F.size("base") > 0) | (F.size("terms") > 0))
+    found = found.select("text_key", "base", "terms").dropDuplicates(["text_key"])
     schema, at = docs.schema, docs.columns.index("text")
-    own, more = docs.withColumn("text_key", F.xxhash64("text")).alias("o"), found.alias("f")
-    same = F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("o.text_key") == F.col("f.text_key"))
-    both = own.join(more, same, "left").select(*[F.col(f"o.`{c}`") for c in docs.columns], F.col("f.base").alias("__base"), F.col("f.terms").alias("__terms"))
+    # columns are told apart by place, so any name of the caller's may stand
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).alias("o")
+    both = own.join(found.alias("f"), F.col("o.text_key") == F.col("f.text_key"), "left").select(*[F.col("o.row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "base", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
