@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.text import strip, text_similarity
+from quirework.operators.align import align
 from quirework.operators.prefix import page_block, running, with_totals
 from quirework.session import materialise
 
@@ -39,7 +40,8 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
     looks like.  That diagonal is one equi-join on (pair_id, k), written once to
     the shared folder because three readers follow (each reads few columns).
     Only pairs with a break in it need the full recurrence, and only for the
-    pages before the break.  ``keep_text`` adds text_a and text_b.
+    pages before the break (``align``, in blocks of pages).  ``keep_text`` adds
+    text_a and text_b.
     """
     side_a, side_b = _from_end(a, "a"), _from_end(b, "b")
     joined = side_a.join(side_b, ["pair_id", "k"], "full").withColumn(
@@ -63,11 +65,7 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
         .select(*out)
     )
     rest = diag.join(breaks, "pair_id").filter(F.col("k") >= F.col("_break"))
-    resolved = (
-        _page_features(rest)
-        .groupBy("pair_id")
-        .applyInPandas(_align, "pair_id long, pair_no long, page_a long, page_b long, similarity double")
-    )
+    resolved = align(_pages_of(rest), PAGE_MATCH)
     if keep_text:
         for s in ("a", "b"):
             resolved = resolved.join(
@@ -76,100 +74,10 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
     return settled.unionByName(resolved.select(*out))
 
 
-def _page_features(rest: DataFrame) -> DataFrame:
-    """Per page: letters with counts; enough for every similarity of the page."""
-    sides = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("side"),
-                F.col(f"page_{s}").alias("page_no"),
-                F.regexp_replace(F.col(f"text_{s}"), r"\s+", "").alias("t"),
-            )
-            for s in ("a", "b")
-        ]
-    )
-    letters = F.array_sort(F.filter(F.split("t", ""), lambda c: c != ""))
-    return (
-        rest.select("pair_id", "_break", F.explode(sides).alias("s"))
-        .select("pair_id", "_break", "s.*")
-        .filter("page_no IS NOT NULL")
-        .select("pair_id", "_break", "side", "page_no", F.length("t").alias("n"), letters.alias("letters"))
-        .select(
-            "pair_id", "_break", "side", "page_no", "n",
-            F.array_distinct("letters").alias("chars"),
-            F.transform(
-                F.array_distinct("letters"), lambda c: F.size(F.filter("letters", lambda d: d == c))
-            ).alias("counts"),
-        )
-    )
-
-
-def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Recurrence over the unsettled pages of one pair, one row of the table at a
-    time; only the direction bit of every cell is kept."""
-    a = pdf[pdf.side == "a"].sort_values("page_no")
-    b = pdf[pdf.side == "b"].sort_values("page_no")
-    n, m = len(a), len(b)
-    ids = {c: i for i, c in enumerate(sorted({c for cs in b.chars for c in cs}))}
-    hist = np.zeros((m, max(len(ids), 1)))
-    for j, (cs, ct) in enumerate(zip(b.chars, b.counts)):
-        for c, v in zip(cs, ct):
-            hist[j, ids[c]] = v
-    len_b = b.n.to_numpy(dtype=float)
-    a_chars = [[ids[c] for c in cs if c in ids] for cs in a.chars]
-    a_len = a.n.to_numpy(dtype=float)
-
-    def similar(i: int) -> np.ndarray:
-        shared = hist[:, a_chars[i]].sum(axis=1) if a_chars[i] else np.zeros(m)
-        if a_len[i] == 0:
-            return np.where(len_b == 0, 1.0, 0.0)
-        return np.where(len_b == 0, 0.0, 2.0 * shared / (a_len[i] + len_b))
-
-    go_left = []
-    up = np.zeros(m + 1)
-    for i in range(n):
-        s = similar(i)
-        row = np.zeros(m + 1)
-        hit = s >= PAGE_MATCH
-        row[1:] = np.where(hit, up[:-1] + s, up[1:])
-        # a cell without match takes the best of the cell above and its left neighbour:
-        # a running maximum that restarts at every matching cell
-        start = 0
-        for stop in [*np.flatnonzero(hit), m]:
-            seg = slice(start, stop + 1)
-            row[seg] = np.maximum.accumulate(row[seg])
-            start = stop + 1
-        go_left.append(np.packbits(row[:-1] >= up[1:]))
-        up = row
-    out = []
-    i, j = n, m
-    pa, pb = a.page_no.to_numpy(), b.page_no.to_numpy()
-    sims: tuple[int, np.ndarray] = (-1, np.empty(0))
-    while i > 0 or j > 0:
-        if i > 0 and j > 0:
-            if sims[0] != i:
-                sims = (i, similar(i - 1))
-            if sims[1][j - 1] >= PAGE_MATCH:
-                out.append((pa[i - 1], pb[j - 1], sims[1][j - 1]))
-                i, j = i - 1, j - 1
-                continue
-            left = (go_left[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7))) & 1
-        else:
-            left = i == 0
-        if left:
-            out.append((None, pb[j - 1], None))
-            j -= 1
-        else:
-            out.append((pa[i - 1], None, None))
-            i -= 1
-    res = pd.DataFrame(out, columns=["page_a", "page_b", "similarity"])
-    res["page_a"] = res["page_a"].astype("Int64")
-    res["page_b"] = res["page_b"].astype("Int64")
-    res["similarity"] = res["similarity"].astype("float64")
-    res.insert(0, "pair_id", pdf.pair_id.iloc[0])
-    # pairs come out last to first, and begin where the settled ones end
-    res.insert(1, "pair_no", -(int(pdf._break.iloc[0]) + np.arange(len(res))))
-    return res
+def _pages_of(rest: DataFrame) -> DataFrame:
+    """Pages of both sides without their whitespace."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"page_{s}").alias("page_no"), F.regexp_replace(F.col(f"text_{s}"), r"\s+", "").alias("t")) for s in ("a", "b")])
+    return rest.select("pair_id", "_break", F.explode(sides).alias("s")).select("pair_id", "_break", "s.*").filter("page_no IS NOT NULL")
 
 
 def page_pair_summary(pairs: DataFrame) -> DataFrame:

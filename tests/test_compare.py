@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirework.operators import compare
+from quirework.operators import align, compare
 
 
 def slow_ops(a, b):
@@ -66,7 +67,10 @@ def slow_pairs(a, b):
     return sorted(out, key=str)
 
 
-def test_page_pairing_equals_table(spark):
+@pytest.mark.parametrize("size", [None, 3, 1])
+def test_page_pairing_equals_table(spark, monkeypatch, size):
+    if size:
+        monkeypatch.setattr(compare, "align", lambda pages, at_least: align.align(pages, at_least, size))
     random.seed(5)
     kinds = ["", "abc abd", "xyz zzy x", "0123 99", "abx 01"]
     a_rows, b_rows, docs = [], [], {}
@@ -83,6 +87,55 @@ def test_page_pairing_equals_table(spark):
         assert mine == slow_pairs(a, b), (a, b)
 
 
+def test_scores_of_a_block():
+    r = np.random.default_rng(3)
+    for n, m in ((1, 1), (1, 7), (7, 1), (5, 9), (12, 4), (0, 3), (3, 0)):
+        s = r.random((n, m)).round(2)
+        hit = s >= 0.6
+        top, left = r.random(m + 1), r.random(n + 1)
+        left[0] = top[0]
+        want = np.zeros((n + 1, m + 1))
+        want[0], want[:, 0] = top, left
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                want[i, j] = want[i - 1, j - 1] + s[i - 1, j - 1] if hit[i - 1, j - 1] else max(want[i - 1, j], want[i, j - 1])
+        assert (align.fill(s, hit, top, left) == want).all()
+
+
+def letters_of(n, seed):
+    r = np.random.default_rng(seed)
+    words = ["".join(r.choice(list(alphabet), 6)) for alphabet in ("abcdef", "ghijkl", "mnopqr", "stuvwx", "0123456")]
+    return [words[k] if k < 5 else "" for k in r.integers(0, 6, n)]
+
+
+def pages_of(spark, a, b):
+    rows = [(1, 2, s, i + 1, t) for s, side in (("a", a), ("b", b)) for i, t in enumerate(side)]
+    return spark.createDataFrame(rows, "pair_id long, _break long, side string, page_no long, t string")
+
+
+def in_order(rows):
+    return [(r.page_a, r.page_b, r.similarity) for r in sorted(rows, key=lambda r: -r.pair_no)]
+
+
+def test_blocks_equal_one_block(spark):
+    a, b = letters_of(1300, 1), letters_of(1100, 2)
+    one = align.align(pages_of(spark, a, b), 0.25, 2000).collect()
+    cut = align.align(pages_of(spark, a, b), 0.25, 256).collect()
+    assert sorted(r.pair_no for r in cut) == sorted(range(-1 - len(cut), -1))
+    assert in_order(one) == in_order(cut)
+    assert any(r.page_a is None for r in cut) and any(r.page_b is None for r in cut) and any(r.similarity for r in cut)
+
+
+def test_two_long_dissimilar_versions(spark, monkeypatch):
+    """20,000 pages a side over 100 blocks: every page once, both in order, matches alike, and no block larger than its bound."""
+    a, b = letters_of(20_000, 4), letters_of(20_000, 5)
+    rows = align.align(pages_of(spark, a, b), 0.25, 2048).sort(F.desc("pair_no")).collect()
+    for side in ("page_a", "page_b"):
+        assert [r[side] for r in rows if r[side] is not None] == list(range(20_000, 0, -1))
+    assert all((r.similarity is not None) == (r.page_a is not None and r.page_b is not None) for r in rows)
+    assert all(r.similarity >= 0.25 and similar(a[r.page_a - 1], b[r.page_b - 1]) == r.similarity for r in rows if r.similarity is not None)
+
+
 def test_moved_text_equals_loops(spark):
     random.seed(7)
     rows = []
