@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,62 +52,166 @@ def _with_headers(raw: DataFrame) -> DataFrame:
     return df.withColumns({"_ct": ctype, "_enc": encoding})
 
 
+_STATE = (
+    "struct<stack:array<struct<b:string,path:string,n:int,fwd:boolean>>,cur:struct<path:string,at:int,fwd:boolean>,"
+    "done:array<struct<path:string,at:int,upto:int,fwd:boolean>>>"
+)
+
+
+def _boundary(content_type: Column) -> Column:
+    return F.regexp_extract(content_type, r"(?i)boundary=\"?([^\";\s]+)\"?", 1)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _behind_first(a: Column) -> Column:
+    return F.slice(a, 2, F.size(a))
+
+
+def _segments(body: Column, declared: Column) -> Column:
+    """Text behind each delimiter line of any declared boundary: i, name (behind the dashes), content, head and body of the part, its type and,
+    where it holds parts, their boundary; ``msg`` marks an enclosed message."""
+    quoted = F.transform(declared, lambda b: F.regexp_replace(b, r"([^A-Za-z0-9_])", r"\\$1"))
+    line = F.concat(F.lit("(?m)^--(?:"), F.array_join(quoted, "|"), F.lit(r")(?:--)?[ \t]*$"))
+    cut = F.transform(
+        F.arrays_zip(F.regexp_extract_all(body, line, F.lit(0)).alias("mark"), _behind_first(F.split(body, line, -1)).alias("text")),
+        # a part begins on the line behind its delimiter
+        lambda p: F.struct(F.regexp_replace(F.substring(p["mark"], F.lit(3), F.length(p["mark"])), r"[ \t]+$", "").alias("name"), F.regexp_replace(p["text"], r"^\n", "").alias("content")),
+    )
+
+    def with_head(p: Column, i: Column) -> Column:
+        head, rest = _cut(p["content"])
+        return F.struct(i.cast("int").alias("i"), p["name"].alias("name"), p["content"].alias("content"), _header_lines(head).alias("h"), rest.alias("body"))
+
+    def with_type(p: Column) -> Column:
+        return F.struct(*[p[c].alias(c) for c in ("i", "name", "content", "h", "body")], F.coalesce(_header(p["h"], "content-type"), F.lit("text/plain")).alias("ctype"))
+
+    def with_box(p: Column) -> Column:
+        msg = F.lower(p["ctype"]).contains("message/rfc822")
+        box = F.when(~msg, p["ctype"]).otherwise(_header(_header_lines(_cut(p["body"])[0]), "content-type"))
+        box = _let(box, lambda b: F.when(F.lower(b).contains("multipart"), _boundary(b)).otherwise(F.lit("")))
+        return F.struct(*[p[c].alias(c) for c in ("i", "name", "content", "h", "body", "ctype")], msg.alias("msg"), F.coalesce(box, F.lit("")).alias("box"))
+
+    return F.transform(F.transform(F.transform(cut, with_head), with_type), with_box)
+
+
+def _resolve(segments: Column, outer: Column) -> Column:
+    """Parts as (path, at, upto, fwd): delimiters are brackets, opened and closed in one ordered fold over the segments.
+
+    A delimiter of an outer boundary closes what is open inside; one that is not open is content.  ``fwd`` marks parts of an enclosed message."""
+    none = F.lit(None).cast("struct<path:string,at:int,fwd:boolean>")
+    top = F.array(F.struct(outer.alias("b"), F.lit("").alias("path"), F.lit(0).alias("n"), F.lit(False).alias("fwd")))
+    start = F.struct(top.alias("stack"), none.alias("cur"), F.lit(None).alias("done")).cast(_STATE)
+    start = F.struct(start["stack"].alias("stack"), start["cur"].alias("cur"), F.array().cast("array<struct<path:string,at:int,upto:int,fwd:boolean>>").alias("done")).cast(_STATE)
+
+    def close(acc: Column, last: Column) -> Column:
+        c = acc["cur"]
+        more = F.array(F.struct(c["path"].alias("path"), c["at"].alias("at"), last.alias("upto"), c["fwd"].alias("fwd")))
+        return F.when(c.isNull(), acc["done"]).otherwise(F.concat(acc["done"], more))
+
+    def bracket(acc: Column, s: Column) -> Column:
+        """Which open boundary a delimiter belongs to (0: none), and whether it closes it."""
+
+        def found(names: Column) -> Column:
+            short = F.regexp_replace(s["name"], "--$", "")
+            ends = ~F.array_contains(names, s["name"]) & F.array_contains(names, short)
+            # the innermost of that name
+            at = F.array_position(F.reverse(names), F.when(ends, short).otherwise(s["name"]))
+            return F.struct(ends.alias("ends"), F.when(at > 0, F.size(names) - at + 1).otherwise(0).cast("int").alias("depth"))
+
+        return _let(F.transform(acc["stack"], lambda x: x["b"]), found)
+
+    def step(acc: Column, s: Column) -> Column:
+        def moved(m: Column) -> Column:
+            below = F.slice(acc["stack"], 1, F.greatest(m["depth"] - 1, F.lit(0)))
+
+            def opened(own: Column) -> Column:
+                path = F.concat_ws(".", F.when(own["path"] != "", own["path"]), (own["n"] + 1).cast("string"))
+                counted = F.struct(own["b"].alias("b"), own["path"].alias("path"), (own["n"] + 1).alias("n"), own["fwd"].alias("fwd"))
+                inside = F.struct(s["box"].alias("b"), path.alias("path"), F.lit(0).alias("n"), (own["fwd"] | s["msg"]).alias("fwd"))
+                stack = F.concat(below, F.when(s["box"] != "", F.array(counted, inside)).otherwise(F.array(counted)))
+                part = F.struct(path.alias("path"), s["i"].alias("at"), own["fwd"].alias("fwd"))
+                return F.struct(stack.alias("stack"), F.when((s["box"] == "") | s["msg"], part).alias("cur"), close(acc, s["i"] - 1).alias("done")).cast(_STATE)
+
+            closed = F.struct(below.alias("stack"), none.alias("cur"), close(acc, s["i"] - 1).alias("done")).cast(_STATE)
+            return F.when(m["depth"] == 0, acc).when(m["ends"], closed).otherwise(_let(F.get(acc["stack"], m["depth"] - 1), opened))
+
+        return _let(bracket(acc, s), moved)
+
+    return F.aggregate(segments, start, step, lambda acc: close(acc, F.size(segments) - 1))
+
+
+def _parts(df: DataFrame) -> DataFrame:
+    """Adds ``_parts``, the array of parts of each message; null where it is not of several parts."""
+    multi = F.lower("_ct").contains("multipart") & (_boundary(F.col("_ct")) != "")
+    # boundaries that no header declares are text; those that a text happens to name are sorted out by the fold
+    declared = F.array_distinct(F.concat(F.array(_boundary(F.col("_ct"))), F.regexp_extract_all("_body", F.lit(r"(?i)boundary=\"?([^\";\s]+)\"?"), F.lit(1))))
+    df = df.withColumn("_s", F.when(multi, _segments(F.col("_body"), declared)))
+    df = df.withColumn("_p", F.when(multi, _resolve(F.col("_s"), _boundary(F.col("_ct")))))
+
+    def lines(s: Column) -> Column:
+        return F.concat(F.lit("--"), s["name"], F.lit("\n"), s["content"])
+
+    def part(p: Column, i: Column) -> Column:
+        inside = F.filter(F.col("_p"), lambda x: F.startswith(x["path"], F.concat(p["path"], F.lit("."))))
+        upto = F.greatest(p["upto"], F.array_max(F.transform(inside, lambda x: x["upto"])))
+
+        def built(s: Column) -> Column:
+            more = F.array_join(F.transform(F.slice(F.col("_s"), p["at"] + 2, F.when(s["msg"], upto).otherwise(p["upto"]) - p["at"]), lines), "")
+            end = F.when(s["msg"] & (s["box"] != ""), F.concat(F.lit("--"), s["box"], F.lit("--\n"))).otherwise("")
+            return F.struct(
+                (i + 1).cast("long").alias("part_no"), p["path"].alias("path"), p["fwd"].alias("forwarded"), s["ctype"].alias("content_type"),
+                F.lower(F.coalesce(_header(s["h"], "content-transfer-encoding"), F.lit(""))).alias("encoding"),
+                _header(s["h"], "content-disposition").alias("disposition"),
+                F.regexp_replace(_header(s["h"], "content-id"), "[<>]", "").alias("content_id"),
+                F.concat(s["body"], more, end).alias("content"), s["msg"].alias("msg"),
+            )
+
+        return _let(F.element_at("_s", p["at"] + 1), built)
+
+    def described(p: Column) -> Column:
+        ct, disp, cid = p["content_type"], F.coalesce(p["disposition"], F.lit("")), F.coalesce(p["content_id"], F.lit(""))
+        put_aside = F.lower(disp).startswith("attachment")
+        name_d = F.regexp_extract(disp, r"(?i)filename=\"?([^\";\s]+)\"?", 1)
+        name_c = F.regexp_extract(ct, r"(?i)name=\"?([^\";\s]+)\"?", 1)
+        kind = (
+            F.when(put_aside | p["msg"], "attachment").when(ct.contains("text/html"), "html").when(ct.contains("text/plain"), "text")
+            .when(ct.contains("image/") | (disp != "") | (cid != ""), "attachment").otherwise("other")
+        )
+        names = ("part_no", "path", "forwarded", "content_type", "encoding", "disposition", "content_id")
+        return F.struct(
+            *[p[c].alias(c) for c in names], kind.alias("kind"),
+            F.when(name_d != "", name_d).when(name_c != "", name_c).otherwise("attachment").alias("filename"),
+            (disp.contains("inline") | ((cid != "") & ~disp.contains("attachment"))).alias("is_inline"), p["content"].alias("content"),
+        )
+
+    return df.withColumn("_parts", F.transform(F.transform("_p", part), described)).drop("_s", "_p")
+
+
 def email_parts(raw: DataFrame) -> DataFrame:
     """Parts of multipart messages, in order, without the body texts' decoding.
 
-    (doc_id, part_no, content_type, encoding, disposition, content_id, kind,
-    filename, is_inline, content); kind is html, text, attachment or other.
+    (doc_id, part_no, path, forwarded, content_type, encoding, disposition,
+    content_id, kind, filename, is_inline, content); kind is html, text,
+    attachment or other.  Parts may hold parts: ``path`` is the place in the tree
+    (2.1 is the first part of the second one), containers have no row of
+    their own, and an enclosed message is an attachment whose parts are
+    ``forwarded``.
     """
-    df = _with_headers(raw).withColumn(
-        "_boundary", F.regexp_extract("_ct", r"(?i)boundary=\"?([^\";\s]+)\"?", 1)
-    )
-    df = df.filter(F.col("_ct").contains("multipart") & (F.col("_boundary") != ""))
-    # the boundary is quoted, so no sign of it is taken for a pattern
-    quoted = F.regexp_replace(F.col("_boundary"), r"([^A-Za-z0-9_])", r"\\$1")
-    pieces = F.split(F.col("_body"), F.concat(F.lit("--"), quoted))
-    parts = df.select("doc_id", F.posexplode(pieces).alias("_i", "_p")).filter(
-        ~strip(F.col("_p")).isin("", "--")
-    )
-    # a piece opens with the rest of the boundary line
-    head, body = _cut(F.regexp_replace("_p", r"^[ \t]*\n", ""))
-    parts = parts.select("doc_id", "_i", head.alias("_head"), body.alias("content"))
-    parts = parts.select("doc_id", "_i", "content", _header_lines(F.col("_head")).alias("_h"))
-    h = F.col("_h")
-    ctype = F.coalesce(_header(h, "content-type"), F.lit("text/plain"))
-    parts = parts.select(
-        "doc_id",
-        F.col("_i").cast("long").alias("part_no"),
-        ctype.alias("content_type"),
-        F.lower(F.coalesce(_header(h, "content-transfer-encoding"), F.lit(""))).alias("encoding"),
-        _header(h, "content-disposition").alias("disposition"),
-        F.regexp_replace(_header(h, "content-id"), "[<>]", "").alias("content_id"),
-        "content",
-    )
-    ct, disp, cid = F.col("content_type"), F.col("disposition"), F.col("content_id")
-    is_file = ct.contains("image/") | F.coalesce(disp != "", F.lit(False)) | F.coalesce(cid != "", F.lit(False))
-    name_d = F.regexp_extract(F.coalesce(disp, F.lit("")), r"(?i)filename=\"?([^\";\s]+)\"?", 1)
-    name_c = F.regexp_extract(ct, r"(?i)name=\"?([^\";\s]+)\"?", 1)
-    return parts.withColumns(
-        {
-            "kind": F.when(ct.contains("text/html"), "html")
-            .when(ct.contains("text/plain"), "text")
-            .when(is_file, "attachment")
-            .otherwise("other"),
-            "filename": F.when(name_d != "", name_d).when(name_c != "", name_c).otherwise("attachment"),
-            "is_inline": F.coalesce(disp.contains("inline"), F.lit(False))
-            | (F.coalesce(cid != "", F.lit(False)) & ~F.coalesce(disp.contains("attachment"), F.lit(False))),
-        }
-    )
+    return _parts(_with_headers(raw)).select("doc_id", F.explode("_parts").alias("p")).select("doc_id", "p.*")
 
 
 def parse_emails(raw: DataFrame) -> DataFrame:
     """(doc_id, raw) -> one row per message: headers and last html / text body.
 
     Bodies are decoded by transfer encoding and charset, in messages of one part
-    and of several.
+    and of several, at any depth; texts that are attached, and those of an
+    enclosed message, are no bodies.  All of it is work within the row.
     """
-    df = _with_headers(raw)
-    body = decode_body(F.col("_body"), F.col("_enc"), F.col("_ct"))
+    df = _parts(_with_headers(raw))
     h = F.col("_h")
 
     def head(key: str, default: str | None = "") -> Column:
@@ -114,8 +220,21 @@ def parse_emails(raw: DataFrame) -> DataFrame:
             return F.when(v != "", decode_words(v))
         return decode_words(F.when(v != "", v).otherwise(F.lit(default)))
 
-    multi = F.col("_ct").contains("multipart")
-    heads = df.select(
+    def last(kind: str) -> Column:
+        return F.try_element_at(F.filter("_parts", lambda p: (p["kind"] == kind) & ~p["forwarded"]), F.lit(-1))
+
+    multi = F.lower("_ct").contains("multipart")
+    web = F.col("_ct").contains("text/html")
+    single = F.struct(F.col("_body").alias("content"), F.col("_enc").alias("encoding"), F.col("_ct").alias("content_type"))
+    pick = lambda p: F.struct(*[p[c].alias(c) for c in ("content", "encoding", "content_type")])
+    df = df.withColumns(
+        {
+            "_mh": F.when(multi, pick(last("html"))).when(web, single),
+            "_mt": F.when(multi, pick(last("text"))).when(~web, single),
+        }
+    )
+    body = lambda c: decode_body(F.col(c)["content"], F.col(c)["encoding"], F.col(c)["content_type"])
+    return df.select(
         "doc_id",
         head("subject", "(No Subject)").alias("subject"),
         head("from").alias("sender"),
@@ -131,26 +250,9 @@ def parse_emails(raw: DataFrame) -> DataFrame:
                 for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss")
             ]
         ).alias("sent_ts"),
-        F.when(~multi & F.col("_ct").contains("text/html"), body).alias("_html"),
-        F.when(~multi & ~F.col("_ct").contains("text/html"), body).alias("_text"),
-    )
-    parts = email_parts(raw)
-    decoded = decode_body(F.col("content"), F.col("encoding"), F.col("content_type"))
-    bodies = (
-        parts.filter("kind IN ('html', 'text')")
-        .withColumn("_c", decoded)
-        .groupBy("doc_id")
-        .agg(
-            F.max_by(F.when(F.col("kind") == "html", F.col("_c")), F.when(F.col("kind") == "html", F.col("part_no"))).alias("_mh"),
-            F.max_by(F.when(F.col("kind") == "text", F.col("_c")), F.when(F.col("kind") == "text", F.col("part_no"))).alias("_mt"),
-        )
-    )
-    files = parts.filter("kind = 'attachment'").groupBy("doc_id").agg(F.count("*").alias("_nf"))
-    return heads.join(bodies, "doc_id", "left").join(files, "doc_id", "left").select(
-        "doc_id", "subject", "sender", "recipients", "cc", "bcc", "sent_ts",
-        F.coalesce("_html", "_mh").alias("html_body"),
-        F.coalesce("_text", "_mt").alias("text_body"),
-        F.coalesce("_nf", F.lit(0)).cast("long").alias("n_attachments"),
+        body("_mh").alias("html_body"),
+        body("_mt").alias("text_body"),
+        F.coalesce(F.size(F.filter("_parts", lambda p: (p["kind"] == "attachment") & ~p["forwarded"])), F.lit(0)).cast("long").alias("n_attachments"),
     )
 
 

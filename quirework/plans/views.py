@@ -245,16 +245,17 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eml(spark: SparkSession, sf: str) -> DataFrame:
-    """A message per conversation turn: plain, HTML or multipart by role and turn, with every transfer encoding."""
+    """A message per conversation turn: plain, HTML or multipart by role and turn, with every transfer encoding; of the multipart ones one
+    in three is flat, one holds alternatives and an attached text, and one also an enclosed message of several parts."""
     c = text_table(spark, sf, "conversations")
     doc_id = F.col("conv_id") * 100 + F.col("turn")
-    subj = F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode(F.substring("text", 1, 30), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
+    subj = F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
     head = F.concat(
-        F.lit("Subject: "), subj, F.lit("\r\nFrom: user"), F.col("conv_id").cast("string"),
+        F.lit("Subject:\r\n "), subj, F.lit("\r\nFrom: user"), F.col("conv_id").cast("string"),
         F.lit("@example.org\r\nTo: a@example.org,\r\n  b@example.org\r\nDate: Mon, 1 Jan 2024 10:00:0"),
         (F.col("turn") % 10).cast("string"), F.lit(" +0000\r\n"),
     )
-    img = F.replace(F.base64(F.encode(F.substring("text", 1, 9), "UTF-8")), F.lit("\r\n"), F.lit(""))
+    img = F.base64(F.encode("text", "UTF-8"))
     def b64(c: Column) -> Column:
         return F.base64(F.encode(c, "UTF-8"))
 
@@ -272,6 +273,22 @@ def eml(spark: SparkSession, sf: str) -> DataFrame:
         img,
         F.lit("\r\n--b0--\r\n"),
     )
+    nested = F.concat(
+        F.lit('Content-Type: multipart/mixed; boundary="b0"\r\n\r\nnot shown\r\n--b0\r\nContent-Type: multipart/alternative;\r\n boundary="b0.in"\r\n\r\n--b0.in\r\nContent-Type: text/plain; charset=utf-8\r\n'),
+        F.when(odd, F.concat(qp_head, qp(F.col("text")))).otherwise(F.concat(F.lit("\r\n"), F.col("text"))),
+        F.lit("\r\n--b0.in\r\nContent-Type: text/html\r\n\r\n"), page,
+        F.lit('\r\n--b0.in--\r\n--b0\r\nContent-Type: text/plain; name="notes.txt"\r\nContent-Disposition: attachment; filename="notes.txt"\r\nContent-Transfer-Encoding: base64\r\n\r\n'),
+        b64(F.col("text")),
+        F.when(
+            F.col("conv_id") % 3 == 2,
+            F.concat(
+                F.lit('\r\n--b0\r\nContent-Type: message/rfc822\r\n\r\nSubject: enclosed\r\nContent-Type: multipart/mixed; boundary="b0.fwd"\r\n\r\n--b0.fwd\r\nContent-Type: text/plain\r\n\r\n'),
+                F.col("text"), F.lit("\r\n--b0.fwd--"),
+            ),
+        ).otherwise(""),
+        F.lit("\r\n--b0--\r\n"),
+    )
+    multi = F.when(F.col("conv_id") % 3 == 0, multi).otherwise(nested)
     plain = F.when(odd, F.concat(qp_head, qp(F.col("text")))).otherwise(F.concat(F.lit("\r\n"), F.col("text")))
     web = F.concat(
         F.lit("Content-Type: text/html\r\n"),

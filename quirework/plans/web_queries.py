@@ -103,38 +103,44 @@ def escape_and_link(spark, sf):
 # ---- mail ---------------------------------------------------------------------
 
 _MULTI = "turn % 3 = 2"
+_FLAT = "turn % 3 = 2 AND conv_id % 3 = 0"
 
 
 @query(f"""
-SELECT conv_id * 100 + turn AS doc_id, substr(text, 1, 30) AS subject, 'user' || conv_id || '@example.org' AS sender,
+SELECT conv_id * 100 + turn AS doc_id, text AS subject, 'user' || conv_id || '@example.org' AS sender,
   'a@example.org, b@example.org' AS recipients, CAST(NULL AS VARCHAR) AS cc, CAST(NULL AS VARCHAR) AS bcc,
   TIMESTAMP '2024-01-01 10:00:00' + INTERVAL (turn % 10) SECOND AS sent_ts,
-  CASE WHEN {_MULTI} THEN '<p><img src="cid:pic1"> and <img src="cid:none"></p>' || chr(10) WHEN role <> 'user' THEN '<p>' || text || '</p>' END AS html_body,
+  CASE WHEN {_FLAT} THEN '<p><img src="cid:pic1"> and <img src="cid:none"></p>' || chr(10) WHEN {_MULTI} THEN '<p>' || text || '</p>' || chr(10) WHEN role <> 'user' THEN '<p>' || text || '</p>' END AS html_body,
   CASE WHEN {_MULTI} THEN text || chr(10) WHEN role = 'user' THEN text END AS text_body,
-  CASE WHEN {_MULTI} THEN 1 ELSE 0 END AS n_attachments FROM conversations
+  CASE WHEN NOT {_MULTI} THEN 0 WHEN conv_id % 3 = 2 THEN 2 ELSE 1 END AS n_attachments FROM conversations
 """)
 def parse_emails(spark, sf):
     return mail.parse_emails(V.eml(spark, sf))
 
 
 @query(f"""
-SELECT conv_id * 100 + turn AS doc_id, p.* FROM conversations, LATERAL (VALUES (1, 'text', 'attachment', false), (2, 'html', 'attachment', false), (3, 'attachment', 'p.png', true)) p(part_no, kind, filename, is_inline)
+SELECT conv_id * 100 + turn AS doc_id, p.* EXCLUDE (k) FROM conversations JOIN (VALUES
+  (0, 1, '1', 'text', 'attachment', false, false), (0, 2, '2', 'html', 'attachment', false, false), (0, 3, '3', 'attachment', 'p.png', true, false),
+  (1, 1, '1.1', 'text', 'attachment', false, false), (1, 2, '1.2', 'html', 'attachment', false, false), (1, 3, '2', 'attachment', 'notes.txt', false, false),
+  (2, 1, '1.1', 'text', 'attachment', false, false), (2, 2, '1.2', 'html', 'attachment', false, false), (2, 3, '2', 'attachment', 'notes.txt', false, false),
+  (2, 4, '3', 'attachment', 'attachment', false, false), (2, 5, '3.1', 'text', 'attachment', false, true)) p(k, part_no, path, kind, filename, is_inline, forwarded) ON conv_id % 3 = k
 WHERE {_MULTI}
 """)
 def email_parts(spark, sf):
-    return mail.email_parts(V.eml(spark, sf)).select("doc_id", "part_no", "kind", "filename", "is_inline")
+    return mail.email_parts(V.eml(spark, sf)).select("doc_id", "part_no", "path", "kind", "filename", "is_inline", "forwarded")
 
 
 @query(f"""
-SELECT conv_id * 100 + turn AS doc_id, 'pic1' AS content_id, substr(text, 1, 9) AS content FROM conversations WHERE {_MULTI}
+SELECT conv_id * 100 + turn AS doc_id, CASE conv_id % 3 WHEN 0 THEN 'pic1' END AS content_id, text AS content FROM conversations WHERE {_MULTI}
+UNION ALL SELECT conv_id * 100 + turn, NULL, NULL FROM conversations WHERE {_MULTI} AND conv_id % 3 = 2
 """)
 def email_attachments(spark, sf):
     return mail.email_attachments(V.eml(spark, sf)).select("doc_id", "content_id", F.col("data").cast("string").alias("content"))
 
 
 @query(f"""
-SELECT conv_id * 100 + turn AS doc_id, CASE WHEN {_MULTI} THEN '<p><img src="data:image/png; name="p.png";base64,' || to_base64(encode(substr(text, 1, 9))) || '"> and <img src="cid:none"></p>' || chr(10)
-  WHEN role <> 'user' THEN '<p>' || text || '</p>' ELSE '' END AS html_body FROM conversations
+SELECT conv_id * 100 + turn AS doc_id, CASE WHEN {_FLAT} THEN '<p><img src="data:image/png; name="p.png";base64,' || to_base64(encode(text)) || '"> and <img src="cid:none"></p>' || chr(10)
+  WHEN {_MULTI} THEN '<p>' || text || '</p>' || chr(10) WHEN role <> 'user' THEN '<p>' || text || '</p>' ELSE '' END AS html_body FROM conversations
 """)
 def resolve_inline_images(spark, sf):
     raw = V.eml(spark, sf)
@@ -142,16 +148,17 @@ def resolve_inline_images(spark, sf):
 
 
 @query("""
-SELECT conv_id, turn, substr(text, 1, 12) AS b64, substr(text, 1, 12) AS qp, 'Re: ' || substr(text, 1, 12) || ' end' AS word FROM conversations
+SELECT conv_id, turn, text AS b64, text AS qp, 'Re: ' || text || ' end' AS word FROM conversations
 """)
 def decode_mail_text(spark, sf):
     c = V.table(spark, sf, "conversations")
-    raw = F.encode(F.substring("text", 1, 12), "UTF-8")
-    b64 = F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))
+    raw = F.encode("text", "UTF-8")
+    # lines of base64 and soft line breaks stay in
     qp = F.regexp_replace(F.hex(raw), "(..)", "=$1")
+    soft = F.regexp_replace(qp, "((?:=..){25})", "$1=\r\n")
     word = F.concat(F.lit("Re: =?UTF-8?q?"), qp, F.lit("?= end"))
     return c.select(
-        "conv_id", "turn", M.decode_b64(b64).alias("b64"), M.decode_qp(qp).alias("qp"), M.decode_words(word).alias("word")
+        "conv_id", "turn", M.decode_b64(F.base64(raw)).alias("b64"), M.decode_qp(soft).alias("qp"), M.decode_words(word).alias("word")
     )
 
 
@@ -212,7 +219,7 @@ def file_names(spark, sf):
     )
 
 
-_SAFE = "regexp_replace(regexp_replace(regexp_replace(replace(substr(url, 1, 150) || '..' || html[1:120], '..', ''), '[/\\\\]', '', 'g'), '^\\.+', ''), '[\\x00-\\x1f\\x7f]', '', 'g')"
+_SAFE = "regexp_replace(regexp_replace(regexp_replace(replace(url || '..' || html, '..', ''), '[/\\\\]', '', 'g'), '^\\.+', ''), '[\\x00-\\x1f\\x7f]', '', 'g')"
 
 
 @query(f"""
@@ -221,7 +228,7 @@ e AS (SELECT *, CASE WHEN contains(s, '.') AND NOT regexp_matches(s, '^\\.[^.]*$
 SELECT page_id, CASE WHEN s = '' THEN 'download' WHEN length(s) <= 200 THEN s WHEN ext <> '' THEN substr(s, 1, greatest(199 - length(ext), 0)) || '.' || ext ELSE substr(s, 1, 199) END AS safe FROM e
 """)
 def sanitize_filenames(spark, sf):
-    raw = F.concat(F.substring("url", 1, 150), F.lit(".."), F.substring("html", 1, 120))
+    raw = F.concat("url", F.lit(".."), "html")
     return V.text_table(spark, sf, "pages").select("page_id", N.sanitize_filename(raw).alias("safe"))
 
 
@@ -534,12 +541,16 @@ def output_names(spark, sf):
 
 
 @query("""
-SELECT doc_id, text <> '' AND json_valid('{"id": ' || doc_id || CASE WHEN n_chars % 3 = 0 THEN '' ELSE '}' END) AS good FROM documents
+WITH d AS (SELECT doc_id, n_chars, CAST(to_json({text: text}) AS VARCHAR) AS j, '{"text": "' || text || '"}' AS bare FROM documents)
+SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN json_valid(left(j, length(j) - 1)) WHEN 1 THEN json_valid(bare) ELSE json_valid(j) END AS good FROM d
 """)
 def check_json(spark, sf):
+    """Whole texts as JSON: cut short, put in quotes as they are, or escaped."""
     d = V.table(spark, sf, "documents")
-    js = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 3 == 0, "").otherwise("}"))
-    return readers.check_json(d.select("doc_id", js.alias("text"))).select("doc_id", F.col("error_code").isNull().alias("good"))
+    js, k = F.to_json(F.struct("text")), F.col("n_chars") % 3
+    bare = F.concat(F.lit('{"text": "'), "text", F.lit('"}'))
+    text = F.when(k == 0, F.substring(js, F.lit(1), F.length(js) - 1)).when(k == 1, bare).otherwise(js)
+    return readers.check_json(d.select("doc_id", text.alias("text"))).select("doc_id", F.col("error_code").isNull().alias("good"))
 
 
 def _files(spark, sf, text, purpose):
@@ -563,7 +574,7 @@ SELECT CASE WHEN length(text) % 3 = 0 THEN NULL ELSE text END AS text, length(te
 """)
 def read_json_files(spark, sf):
     item = F.concat(F.to_json(F.struct("text")), F.when(F.length("text") % 3 == 0, ",").otherwise(""))
-    docs = readers.read_json_docs(spark, _files(spark, sf, item, "json"), "*.txt").filter(F.length("json") > 3)
+    docs = readers.read_json_docs(spark, _files(spark, sf, item, "json"), "*.txt")
     text = F.when(F.col("error_code").isNull(), F.get_json_object("json", "$.text"))
     return docs.groupBy(text.alias("text"), F.col("error_code").isNull().alias("good")).agg(F.count("*").alias("n"))
 
