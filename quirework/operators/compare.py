@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.text import strip, text_similarity
 from quirework.operators.align import align
-from quirework.operators.prefix import page_block, running, with_totals
+from quirework.operators.prefix import with_totals
 from quirework.session import materialise
 
 # Page match, same page, moved text, short segment, header band.
@@ -293,10 +295,91 @@ def filter_highlights(marks: DataFrame, hidden: tuple[str, ...] = ()) -> DataFra
     )
 
 
-MOVED_CHUNK = 2048
-#: Shortest added segment, as a share of the deleted one's length, that can still reach MOVED_MATCH:
-#: 2 * shared / (a + d) with shared <= a.
-MOVED_SHARE = MOVED_MATCH / (2 - MOVED_MATCH)
+#: Deleted texts, in reading order, that every added text is compared with before the join on letters.
+MOVED_FIRST = 8
+#: Lengths are told apart by steps of a quarter: the bounds of a step must hold for all lengths in it.
+LENGTH_STEP = 1.25
+
+
+def _step(n: int) -> int:
+    return int(math.log(n) / math.log(LENGTH_STEP) + 1e-9)
+
+
+def _shortest(step: int) -> int:
+    n = max(1, int(LENGTH_STEP**step))
+    while _step(n) < step:
+        n += 1
+    return n
+
+
+def deleted_keys(kinds: DataFrame) -> DataFrame:
+    """pair_id, step, letter, letters, n, place: deleted letter sets (pair_id, letters, n, place) under each of their letters."""
+    step = F.floor(F.log("n") / math.log(LENGTH_STEP) + 1e-9).cast("int")
+    each = kinds.select("pair_id", "letters", "n", "place", step.alias("step"))
+    return each.withColumn("letter", F.explode(F.split("letters", ""))).where("letter <> ''")
+
+
+def added_keys(texts: DataFrame, frequency: dict[str, int]) -> DataFrame:
+    """pair_id, t, step, letter: the letters of which a likeness of MOVED_MATCH needs one, rarest first, for each step of lengths.
+
+    Of an added text of n letters, at most n - MOVED_MATCH / 2 * (n + m) may be missing in a deleted one of m letters, so one of the
+    rarest letters that together stand more often than that has to occur in it."""
+    half = MOVED_MATCH / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                part = batch.slice(at, 4096)
+                for pair, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    n = len(t)
+                    rare = sorted(Counter(t).items(), key=lambda c: (frequency.get(c[0], 0), c[0]))
+                    for step in range(_step(MOVED_MIN), _step(max(MOVED_MIN, int(n * (1 - half) / half) + 1)) + 1):
+                        spare, held = n - half * (n + max(MOVED_MIN, _shortest(step))) + 1e-9, 0
+                        if spare < 0:
+                            break
+                        for c, k in rare:
+                            if frequency.get(c):
+                                for col, v in zip(out, (pair, t, step, c), strict=True):
+                                    col.append(v)
+                            held += k
+                            if held > spare:
+                                break
+                types = (pa.int64(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names=["pair_id", "t", "step", "letter"])
+
+    return texts.select("pair_id", "t").mapInArrow(run, "pair_id long, t string, step int, letter string")
+
+
+def resembles(t: Column, letters: Column, n: Column) -> Column:
+    """Whether the added text ``t`` is like a deleted one of ``n`` letters, known by their set."""
+    shared = F.length(t) - F.length(F.call_function("translate", t, letters, F.lit("")))
+    return 2.0 * shared / (n + F.length(t)) >= MOVED_MATCH
+
+
+def moved_candidates(kinds: DataFrame, texts: DataFrame) -> DataFrame:
+    """pair_id, t, letters, n, place: pairs that may be alike, by the join on letters."""
+    counts = kinds.select(F.explode(F.split("letters", "")).alias("c")).groupBy("c").count()
+    # one row per code point at most
+    frequency = {r["c"]: r["count"] for r in counts.collect()}
+    return added_keys(texts, frequency).join(deleted_keys(kinds), ["pair_id", "step", "letter"])
+
+
+def first_alike(kinds: DataFrame, texts: DataFrame) -> DataFrame:
+    """pair_id, t, deleted (place): the first deleted text that each added text (pair_id, t) is like.
+
+    ``kinds``: pair_id, letters (their set), n (length) and the first place of the deleted texts of that set and length, which is all that
+    likeness depends on.  Long texts of one language are alike almost all, and find their first among the MOVED_FIRST
+    first ones; the rest goes through the join on letters."""
+    order = Window.partitionBy("pair_id").orderBy("place")
+    head = kinds.withColumn("no", F.row_number().over(order)).where(F.col("no") <= MOVED_FIRST)
+    head = head.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("place", "letters", "n"))).alias("head"))
+    found = F.get(F.filter("head", lambda h: resembles(F.col("t"), h["letters"], h["n"])), F.lit(0))["place"]
+    tried = materialise(texts.join(head, "pair_id", "left").select("pair_id", "t", found.alias("deleted")), "moved-first")
+    rest = tried.where("deleted IS NULL").select("pair_id", "t")
+    some = moved_candidates(kinds, rest).where(resembles(F.col("t"), F.col("letters"), F.col("n")))
+    late = some.groupBy("pair_id", "t").agg(F.min("place").alias("deleted"))
+    return tried.where("deleted IS NOT NULL").unionByName(late)
 
 
 def find_moved(marks: DataFrame) -> DataFrame:
@@ -304,10 +387,8 @@ def find_moved(marks: DataFrame) -> DataFrame:
 
     Every added segment belongs to the first deleted one it resembles (>= 0.85);
     a deleted segment points to the last added one it won.  Likeness depends on
-    the texts alone, so equal texts are compared once (with the first place of
-    the deleted ones).  Distinct texts are ordered by length and cut into chunks
-    of 2048 per side; every pair of chunks whose lengths can match is one row
-    with its own join key, so a pair with very many segments spreads.
+    the texts alone, and of a deleted one on its set of letters and its length,
+    so equal ones are compared once (``first_alike``).
 
     Input: pair_id, pair_no, mark_no (reading order), type, text.
     Returns (pair_id, deleted_pair, deleted_mark, added_pair, added_mark,
@@ -317,56 +398,10 @@ def find_moved(marks: DataFrame) -> DataFrame:
     usable = marks.filter(
         F.col("type").isin("deleted", "added") & (F.length(strip(F.col("text"))) >= MOVED_MIN)
     ).select("pair_id", F.struct("pair_no", "mark_no").alias("place"), "type", clean.alias("t"))
-    texts = usable.groupBy("pair_id", "type", "t").agg(F.min("place").alias("place"))
-    texts = texts.withColumns({"n": F.length("t"), "h": F.pmod(F.xxhash64("t"), F.lit(64))})
-    for kind in ("deleted", "added"):
-        mine = (F.col("type") == kind).cast("long")
-        texts = running(texts, ["pair_id"], [F.col("n"), F.col("h")], ["n", "h", "t", "type"], mine, f"_{kind}", f"_all_{kind}")
-
-    def chunks(kind: str, other: str, segs: str) -> DataFrame:
-        return (
-            texts.filter(F.col("type") == kind)
-            .groupBy("pair_id", F.floor(F.col(f"_{kind}") / MOVED_CHUNK).alias(f"c_{kind}"))
-            .agg(
-                F.array_sort(F.collect_list(F.struct("place", "t"))).alias(segs),
-                F.first(f"_all_{other}").alias("_n"), F.min("n").alias(f"lo_{segs}"), F.max("n").alias(f"hi_{segs}"),
-            )
-            .filter("_n > 0")
-            .withColumn(f"c_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / MOVED_CHUNK))))
-            .drop("_n")
-        )
-
-    blocks = (
-        chunks("deleted", "added", "dels")
-        .join(chunks("added", "deleted", "adds"), ["pair_id", "c_deleted", "c_added"])
-        .filter(F.col("hi_adds") >= F.col("lo_dels") * F.lit(MOVED_SHARE))
-    )
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pair_id, dels, adds in zip(pdf.pair_id, pdf.dels, pdf.adds):
-                letters = {c: k for k, c in enumerate(sorted({c for d in dels for c in d["t"]}))}
-                has = np.zeros((len(dels), len(letters)), dtype=np.float32)
-                for row, d in zip(has, dels):
-                    row[[letters[c] for c in set(d["t"])]] = 1
-                size = np.array([len(d["t"]) for d in dels], dtype=float)
-                for add in adds:
-                    counts = np.bincount([letters[c] for c in add["t"] if c in letters], minlength=len(letters))
-                    alike = 2.0 * (has @ counts.astype(np.float32)).astype(float) / (size + len(add["t"]))
-                    hit = np.flatnonzero(alike >= MOVED_MATCH)
-                    if len(hit):
-                        first = dels[hit[0]]["place"]
-                        rows.append((pair_id, add["t"], first["pair_no"], first["mark_no"]))
-            yield pd.DataFrame(rows, columns=["pair_id", "t", "pair_no", "mark_no"])
-
-    hits = (
-        blocks.select("pair_id", "dels", "adds")
-        .mapInPandas(match, "pair_id long, t string, pair_no long, mark_no long")
-        .groupBy("pair_id", "t")
-        .agg(F.min(F.struct("pair_no", "mark_no")).alias("deleted"))
-    )
-    added = usable.filter("type = 'added'").select("pair_id", "t", F.col("place").alias("added"))
+    letters = F.array_join(F.array_sort(F.array_distinct(F.split("t", ""))), "")
+    kinds = usable.where("type = 'deleted'").groupBy("pair_id", letters.alias("letters"), F.length("t").alias("n")).agg(F.min("place").alias("place"))
+    added = usable.where("type = 'added'").select("pair_id", "t", F.col("place").alias("added"))
+    hits = first_alike(materialise(kinds, "moved-from"), added.select("pair_id", "t").distinct())
     won = added.join(hits, ["pair_id", "t"]).select("pair_id", "deleted", "added")
     last = won.groupBy("pair_id", "deleted").agg(F.max("added").alias("added"))
     last = last.select("pair_id", "added", F.lit(True).alias("_last"))

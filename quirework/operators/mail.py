@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import let
 from quirework.functions.mail import decode_body, decode_words
 from quirework.functions.text import strip
 
@@ -62,11 +61,6 @@ def _boundary(content_type: Column) -> Column:
     return F.regexp_extract(content_type, r"(?i)boundary=\"?([^\";\s]+)\"?", 1)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _behind_first(a: Column) -> Column:
     return F.slice(a, 2, F.size(a))
 
@@ -92,7 +86,7 @@ def _segments(body: Column, declared: Column) -> Column:
     def with_box(p: Column) -> Column:
         msg = F.lower(p["ctype"]).contains("message/rfc822")
         box = F.when(~msg, p["ctype"]).otherwise(_header(_header_lines(_cut(p["body"])[0]), "content-type"))
-        box = _let(box, lambda b: F.when(F.lower(b).contains("multipart"), _boundary(b)).otherwise(F.lit("")))
+        box = let(box, lambda b: F.when(F.lower(b).contains("multipart"), _boundary(b)).otherwise(F.lit("")))
         return F.struct(*[p[c].alias(c) for c in ("i", "name", "content", "h", "body", "ctype")], msg.alias("msg"), F.coalesce(box, F.lit("")).alias("box"))
 
     return F.transform(F.transform(F.transform(cut, with_head), with_type), with_box)
@@ -122,7 +116,7 @@ def _resolve(segments: Column, outer: Column) -> Column:
             at = F.array_position(F.reverse(names), F.when(ends, short).otherwise(s["name"]))
             return F.struct(ends.alias("ends"), F.when(at > 0, F.size(names) - at + 1).otherwise(0).cast("int").alias("depth"))
 
-        return _let(F.transform(acc["stack"], lambda x: x["b"]), found)
+        return let(F.transform(acc["stack"], lambda x: x["b"]), found)
 
     def step(acc: Column, s: Column) -> Column:
         def moved(m: Column) -> Column:
@@ -137,9 +131,9 @@ def _resolve(segments: Column, outer: Column) -> Column:
                 return F.struct(stack.alias("stack"), F.when((s["box"] == "") | s["msg"], part).alias("cur"), close(acc, s["i"] - 1).alias("done")).cast(_STATE)
 
             closed = F.struct(below.alias("stack"), none.alias("cur"), close(acc, s["i"] - 1).alias("done")).cast(_STATE)
-            return F.when(m["depth"] == 0, acc).when(m["ends"], closed).otherwise(_let(F.get(acc["stack"], m["depth"] - 1), opened))
+            return F.when(m["depth"] == 0, acc).when(m["ends"], closed).otherwise(let(F.get(acc["stack"], m["depth"] - 1), opened))
 
-        return _let(bracket(acc, s), moved)
+        return let(bracket(acc, s), moved)
 
     return F.aggregate(segments, start, step, lambda acc: close(acc, F.size(segments) - 1))
 
@@ -170,7 +164,7 @@ def _parts(df: DataFrame) -> DataFrame:
                 F.concat(s["body"], more, end).alias("content"), s["msg"].alias("msg"),
             )
 
-        return _let(F.element_at("_s", p["at"] + 1), built)
+        return let(F.element_at("_s", p["at"] + 1), built)
 
     def described(p: Column) -> Column:
         ct, disp, cid = p["content_type"], F.coalesce(p["disposition"], F.lit("")), F.coalesce(p["content_id"], F.lit(""))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import let
 from quirework.functions.text import strip
 from quirework.functions.units import half_up
 
@@ -267,13 +268,12 @@ def lines_to_markdown(lines: DataFrame, keep_breaks: bool = False, links: bool =
     """(doc_id, page_no, markdown).
 
     Every line has a kind; lines of one table, of one code block and of one
-    paragraph are stretches of the page and become one unit each, and units are
-    put together with or without a blank line.  A page is one cell, so its lines
-    (not a document's) come together: everything after the first exchange is
-    keyed by (doc_id, page_no).  Only table columns are found in Python.
+    paragraph are one unit each, and units are put together with or without a
+    blank line.  A page is one cell, so its lines (not a document's) come
+    together: one exchange by (doc_id, page_no), then one ordered fold over the
+    lines of each page.  Only table columns are found in Python.
     """
     page = Window.partitionBy(*PAGE)
-    down = page.orderBy("line")
     slim = heading_level(lines).select(
         *PAGE, (-F.col("y")).alias("up"), "y", "x", "text", "is_bold", "is_italic", "heading_level",
         F.col("items")[0]["font_name"].alias("font"),
@@ -285,53 +285,53 @@ def lines_to_markdown(lines: DataFrame, keep_breaks: bool = False, links: bool =
     kinds = line_kinds(slim, links).select(*PAGE, F.struct("up", "x", "y", "kind", "indent", "shown", "_mean", "xs", "strs").alias("l"))
     by_page = kinds.groupBy(*PAGE).agg(F.array_sort(F.collect_list("l")).alias("ls"))
     by_page = by_page.withColumn("tables", tables_of(F.col("ls.xs"), F.col("ls.strs")))
-    df = by_page.select(*PAGE, "tables", F.posexplode("ls").alias("line", "l")).select(
-        *PAGE, "line", "l.y", "l.kind", "l.indent", "l.shown", "l._mean",
-        F.get(F.filter("tables", lambda t: F.col("line").between(t["first"], t["last"])), 0).alias("_t"),
-    )
-    in_table = F.col("_t").isNotNull()
-    df = df.withColumns(
-        {
-            "kind": F.when(in_table, "table").otherwise(F.col("kind")),
-            "shown": F.when(in_table, F.col("_t.text")).otherwise(F.col("shown")),
-        }
-    )
-    before = F.lag("kind").over(down)
-    # a body line may go on with the running text of the line before
-    close = (F.abs(F.lag("y").over(down) - F.col("y")) < F.col("_mean") * 1.8) & (
-        F.abs(F.lag("indent").over(down) - F.col("indent")) <= 1
-    )
-    flows = F.lit(not keep_breaks) & (F.col("kind") == "body") & before.isin("body", "bold", "italic") & close
-    df = df.withColumns({"_before": before, "_flows": F.coalesce(flows, F.lit(False))})
-    df = df.withColumn("_run", F.sum(F.when(F.col("_flows"), 0).otherwise(1)).over(down))
-    # lines that look like list entries take nothing up: a paragraph begins at the first line of its run that does not
-    open_ = F.when(~F.col("shown").rlike(r"^\s*-|^\s*\d+\.|^[#|]"), F.col("line"))
-    head = F.min(open_).over(Window.partitionBy(*PAGE, "_run"))
-    same = (
-        F.when(F.col("kind") == "table", (F.col("_before") == "table") & (F.lag("_t.first").over(down) == F.col("_t.first")))
-        .when(F.col("kind") == "mono", F.col("_before") == "mono")
-        .otherwise(F.col("_flows") & (F.col("line") > head))
-    )
-    df = df.withColumn("_unit", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(down))
-    units = df.groupBy(*PAGE, "_unit").agg(
-        F.min_by("kind", "line").alias("kind"),
-        F.array_sort(F.collect_list(F.struct("line", "shown"))).alias("ls"),
-    )
-    parts = F.transform("ls", lambda v: v["shown"])
-    body = (
-        F.when(F.col("kind") == "table", parts[0])
-        .when(F.col("kind") == "mono", F.concat(F.lit("```\n"), F.array_join(parts, "\n"), F.lit("\n```")))
-        .otherwise(F.array_join(parts, " "))
-    )
-    last = F.lag("kind").over(page.orderBy("_unit"))
-    apart = (
-        F.col("kind").isin("heading", "table", "mono")
-        | last.isin("heading", "table", "blank")
-        | ((last == "mono") & (F.col("kind") == "body"))
-    )
-    units = units.select(
-        *PAGE, "_unit", "kind",
-        F.concat(F.when(last.isNull(), "").when(apart, "\n\n").otherwise("\n"), body).alias("s"),
-    ).withColumn("s", F.when(F.col("kind") == "blank", "").otherwise(F.col("s")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_unit", "s"))), lambda u: u["s"]), "")
-    return units.groupBy(*PAGE).agg(strip(F.regexp_replace(joined, r" +\n", "\n")).alias("markdown"))
+    return by_page.select(*PAGE, strip(F.regexp_replace(page_text(F.col("ls"), F.col("tables"), keep_breaks), r" +\n", "\n")).alias("markdown"))
+
+
+_PAGE_STATE = "struct<last:string,before:string,y:double,indent:int,first:int,open:boolean,out:array<string>>"
+
+
+def page_text(lines: Column, tables: Column, keep_breaks: bool) -> Column:
+    """Markdown of a page by one fold over its lines, from the top.
+
+    The state holds the kind of the unit at hand and of the line before, where
+    that line stood, whether its paragraph can take more lines up, and the
+    pieces put out so far.
+    """
+
+    def shown_line(line: Column, i: Column) -> Column:
+        def as_row(t: Column) -> Column:
+            return F.struct(
+                F.when(t.isNotNull(), "table").otherwise(line["kind"]).alias("kind"), F.when(t.isNotNull(), t["text"]).otherwise(line["shown"]).alias("shown"),
+                line["y"].alias("y"), line["indent"].alias("indent"), line["_mean"].alias("mean"), t["first"].alias("first"),
+            )
+
+        return let(F.get(F.filter(tables, lambda t: i.between(t["first"], t["last"])), 0), as_row)
+
+    def step(a: Column, line: Column) -> Column:
+        kind, shown = line["kind"], line["shown"]
+        # a body line may go on with the running text of the line before
+        close = (F.abs(a["y"] - line["y"]) < line["mean"] * 1.8) & (F.abs(a["indent"] - line["indent"]) <= 1)
+        flows = F.lit(not keep_breaks) & (kind == "body") & a["before"].isin("body", "bold", "italic") & close
+
+        def joined(m: Column) -> Column:
+            same = F.when(kind == "table", (a["before"] == "table") & (a["first"] == line["first"])).when(kind == "mono", a["before"] == "mono").otherwise(m["flows"] & a["open"])
+            # lines that look like list entries take nothing up: a paragraph begins at the first line of its run that does not
+            loose = ~shown.rlike(r"^\s*-|^\s*\d+\.|^[#|]")
+            return F.struct(F.coalesce(same, F.lit(False)).alias("same"), F.when(m["flows"], a["open"] | loose).otherwise(loose).alias("open"))
+
+        def put_out(m: Column) -> Column:
+            apart = kind.isin("heading", "table", "mono") | a["last"].isin("heading", "table", "blank") | ((a["last"] == "mono") & (kind == "body"))
+            more = F.when(kind == "table", "").when(kind == "mono", F.concat(F.lit("\n"), shown)).otherwise(F.concat(F.lit(" "), shown))
+            begun = F.when(kind == "blank", "").otherwise(F.concat(F.when(a["last"].isNull(), "").when(apart, "\n\n").otherwise("\n"), F.when(kind == "mono", "```\n").otherwise(""), shown))
+            ended = F.when(a["last"] == "mono", "\n```").otherwise("")
+            return F.struct(
+                F.when(m["same"], a["last"]).otherwise(kind).alias("last"), kind.alias("before"), line["y"].alias("y"), line["indent"].alias("indent"),
+                line["first"].alias("first"), m["open"].alias("open"), F.concat(a["out"], F.array(F.when(m["same"], more).otherwise(F.concat(ended, begun)))).alias("out"),
+            ).cast(_PAGE_STATE)
+
+        return let(let(F.struct(F.coalesce(flows, F.lit(False)).alias("flows")), joined), put_out)
+
+    start = F.from_json(F.lit('{"out": []}'), _PAGE_STATE)
+    end = lambda a: F.concat(F.array_join(a["out"], ""), F.when(a["last"] == "mono", "\n```").otherwise(""))
+    return F.aggregate(F.transform(lines, shown_line), start, step, end)

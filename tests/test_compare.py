@@ -165,6 +165,56 @@ def test_moved_text_equals_loops(spark):
     assert got == {(a, d, target[d] == a) for a, d in owner.items()}
 
 
+def moved_rows(rows, spark):
+    return spark.createDataFrame(rows, "pair_id long, pair_no long, mark_no long, type string, text string")
+
+
+def slow_first(rows):
+    """{(pair, added text): place of the first deleted text alike}."""
+    out = {}
+    deleted = sorted((p, n, m, t) for p, n, m, kind, t in rows if kind == "deleted" and len(t) >= 5)
+    for p, _, _, kind, t in rows:
+        if kind == "added" and len(t) >= 5:
+            first = next(((n, m) for q, n, m, d in deleted if q == p and similar(d, t) >= 0.85), None)
+            if first:
+                out[p, t] = first
+    return out
+
+
+@pytest.mark.parametrize("letters,longest,heads", [("abcdefghijklmnopqrstuvwxyz", 30, 0), ("abcdefgh", 12, 0), ("aeiouäß€😀xyz", 60, 2), ("abcdefghijklmnopqrstuvwxyz", 200, 8)])
+def test_first_alike_by_letters(spark, monkeypatch, letters, longest, heads):
+    monkeypatch.setattr(compare, "MOVED_FIRST", heads)
+    r = random.Random(longest)
+    texts = ["".join(r.choices(letters, weights=range(1, len(letters) + 1), k=r.randint(5, longest))) for _ in range(160)]
+    rows = [(i % 2, i // 40, i % 40, r.choice(["added", "deleted"]), r.choice(texts)) for i in range(400)]
+    got = {(x.pair_id, x.t): tuple(x.deleted) for x in first_alike_of(moved_rows(rows, spark)).collect()}
+    assert got == slow_first(rows)
+
+
+def first_alike_of(marks):
+    marks = marks.withColumns({"t": F.col("text"), "place": F.struct("pair_no", "mark_no")})
+    letters = F.array_join(F.array_sort(F.array_distinct(F.split("t", ""))), "")
+    kinds = marks.where("type = 'deleted'").groupBy("pair_id", letters.alias("letters"), F.length("t").alias("n")).agg(F.min("place").alias("place"))
+    return compare.first_alike(kinds, marks.where("type = 'added'").select("pair_id", "t").distinct())
+
+
+def test_few_pairs_on_a_hot_document(spark, monkeypatch):
+    """Segments of prose, short and long, of one document: those that match hardly meet anything, and only short ones that match nothing are joined."""
+    r = random.Random(11)
+    words = ["".join(r.choices("etaoinshrdlucmfwypvbgkjqxz", weights=range(26, 0, -1), k=r.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(6000):
+        text = "".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 8, 20, 60])))
+        rows.append((1, i // 100, i % 100, "added" if i % 2 else "deleted", text))
+    made = []
+    keep = compare.moved_candidates
+    monkeypatch.setattr(compare, "moved_candidates", lambda k, t: made.append(keep(k, t)) or made[-1])
+    found = first_alike_of(moved_rows(rows, spark)).count()
+    pairs = made[0].count()
+    print("pairs", pairs, "found", found)
+    assert found > 2000 and pairs + compare.MOVED_FIRST * 3000 < 3000 * 3000 / 4
+
+
 def word(text, x, y, font="F"):
     return {"text": text, "x": x, "y": y, "w": 10.0, "h": 8.0, "font": font}
 
