@@ -1,8 +1,8 @@
 """Language identification: scripts narrow the candidates, letter-trigram scores per word, Viterbi over the words of a text.
 
 ``train`` fits letter trigrams on a bounded sample: per language the ``docs_per_lang`` labelled documents with the smallest hash of
-their id, whole texts; counts are made by Spark, and at most ``max_grams`` trigrams over ``max_letters`` letters reach the driver
-(``max_langs`` is checked).  ``identify`` needs no shuffle: a word's languages are those that use its script, its score is the sum
+their id, whole texts; counts are made by Spark, and all letters and trigrams of the sample, which bounds them, reach the driver
+(more than ``max_langs`` languages are refused).  ``identify`` needs no shuffle: a word's languages are those that use its script, its score is the sum
 of the log probabilities of its letters' trigrams, and switching the language between words costs ``penalty``.  Texts of a
 slice are decoded in step, so the work per word is a few vectorised operations.
 
@@ -53,6 +53,43 @@ def points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def numbered(alphabet: list[int]) -> np.ndarray:
+    """Number of each code point: 1 and up for known letters, the last one for all others."""
+    letter = np.full(0x110000, len(alphabet) + 1, dtype=np.int32)
+    letter[alphabet] = np.arange(1, len(alphabet) + 1)
+    return letter
+
+
+class Rows:
+    """Row (1 and up, 0: unknown) by trigram key: a hash table with linear probing, filled and asked for many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.concatenate([[-1], keys]).astype(np.int64)
+        self.bits = max(10, (4 * len(keys)).bit_length())
+        self.table = np.zeros(1 << self.bits, dtype=np.int32)
+        left, slot = np.arange(1, len(self.keys)), self.slots(self.keys[1:])
+        while len(left):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.table[slot[first]] == 0]
+            self.table[slot[first]] = left[first]
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, slot = left[rest], (slot[rest] + 1) & (len(self.table) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slots(keys)
+        out = self.table[slot]
+        other = np.flatnonzero((out > 0) & (self.keys[out] != keys))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.table) - 1)
+            out[other] = self.table[slot[other]]
+            other = other[(out[other] > 0) & (self.keys[out[other]] != keys[other])]
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -61,14 +98,9 @@ class Model:
     logp: np.ndarray  # row 0: unseen trigram; then one row per trigram, one column per language
     scripts: np.ndarray  # script number x language: whether the language uses it
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self) -> tuple[np.ndarray, Rows]:
         """Letter number by code point, and row of ``logp`` by trigram key."""
-        base = len(self.alphabet) + 2
-        letter = np.full(0x110000, base - 1, dtype=np.int32)
-        letter[self.alphabet] = np.arange(1, base - 1)
-        row = np.zeros(base**3, dtype=np.int32)
-        row[self.grams] = np.arange(1, len(self.grams) + 1)
-        return letter, row
+        return numbered(self.alphabet), Rows(self.grams)
 
 
 def trigram_keys(cp: np.ndarray, script: np.ndarray, number: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +111,7 @@ def trigram_keys(cp: np.ndarray, script: np.ndarray, number: np.ndarray, base: i
     return at, (around[at] * base + around[at + 1]) * base + around[at + 2]
 
 
-def train(docs: DataFrame, docs_per_lang: int = 400, max_grams: int = 20_000, max_letters: int = 120, max_langs: int = 200) -> Model:
+def train(docs: DataFrame, docs_per_lang: int = 400, max_langs: int = 200) -> Model:
     """Model of the texts of ``docs`` (doc_id, text, lang); rows with null text or lang are left out."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).distinct()
     # Ranked within 64 shares of a language first, so that the last window of a frequent one has a fixed size.
@@ -108,25 +140,20 @@ def train(docs: DataFrame, docs_per_lang: int = 400, max_grams: int = 20_000, ma
 
         return sample.mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
-    by_letter = count("letter")
-    top = [r.k for r in by_letter.groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(max_letters).collect()]
+    by_letter = count("letter").collect()
+    alphabet = sorted({r.k for r in by_letter})
     script, _ = letters()
     use = np.zeros((len(SCRIPTS) + 2, len(names)))
-    for r in by_letter.where(F.col("n") > 0).orderBy(F.desc("n"), "lang", "k").limit(max_grams).collect():
-        use[script[r.k], names.index(r.lang)] += r.n
+    column = {name: i for i, name in enumerate(names)}
+    for r in by_letter:
+        use[script[r.k], column[r.lang]] += r.n
     uses = use >= 0.01 * np.maximum(use.sum(axis=0), 1)
-    base = len(top) + 2
-    number = np.full(0x110000, base - 1, dtype=np.int32)
-    number[top] = np.arange(1, base - 1)
-    grams = count("trigram", number, base)
-    keep = grams.groupBy("k").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "k").limit(max_grams)
-    got = grams.join(F.broadcast(keep), "k").collect()
-    keys = np.array(sorted({r.k for r in got}), dtype=np.int64)
+    grams = count("trigram", numbered(alphabet), len(alphabet) + 2).toArrow()
+    keys, row = np.unique(np.asarray(grams.column("k")), return_inverse=True)
     counts = np.zeros((len(keys) + 1, len(names)))
-    for r in got:
-        counts[1 + np.searchsorted(keys, r.k), names.index(r.lang)] = r.n
+    counts[1 + row, [column[x] for x in grams.column("lang").to_pylist()]] = np.asarray(grams.column("n"))
     counts += 0.5
-    return Model(names, top, keys, np.log(counts / counts.sum(axis=0)).astype(np.float32) if names else counts.astype(np.float32), uses)
+    return Model(names, alphabet, keys, np.log(counts / counts.sum(axis=0)).astype(np.float32) if names else counts.astype(np.float32), uses)
 
 
 def viterbi(scores: np.ndarray, begins: np.ndarray, penalty: float) -> np.ndarray:

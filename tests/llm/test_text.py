@@ -117,6 +117,28 @@ def test_query_of_pii(spark, docs, monkeypatch):
         assert r == (i, *(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), listed)
 
 
+def test_rows_by_trigram_key():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 50, 5000))
+    rows = langid.Rows(keys)
+    assert (rows[keys] == np.arange(1, len(keys) + 1)).all()
+    other = np.setdiff1d(r.integers(0, 1 << 50, 20_000), keys)
+    assert not rows[other].any() and not langid.Rows(keys[:0])[other].any()
+
+
+def test_letters_of_many_scripts_are_kept(spark):
+    """Thousands of letters: every one of them and every language's script is learned."""
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    rows = [(i, "".join(han[(60 * i + k) % 3000] for k in range(60)), "zh") for i in range(60)] + [(100 + i, "the cat sat on a mat", "en") for i in range(400)]
+    rows += [(900, "Ωμέγα και άλφα", "el")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["el", "en", "zh"] and len(model.alphabet) >= 3000
+    docs = spark.createDataFrame([(1, han[5] + han[6]), (2, "the mat"), (3, "άλφα"), (4, f"the mat. {han[9] * 3}, cat")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["zh", "en", "el"]
+    assert [s.lang for s in got[4].spans] == ["en", "zh", "en"]
+
+
 def test_language_held_out(spark):
     got = queries.op7_language_id(spark, SF.replace("0.001", "0.01"))
     docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "lang")
