@@ -21,15 +21,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table whose rows carry much work (long texts).
+    """Columns of a table whose rows carry much work (long texts), spread evenly.
 
-    A table of few row groups would be processed by few tasks; it is spread over
-    the cores first.  A large table has more splits than cores and is left alone.
+    A file is cut at its row groups only, and a few of them may hold all long
+    texts; Spark picks the number of partitions at run time, on tables of any size.
     """
     df = table(spark, sf, name)
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return (df.select(*columns) if columns else df).hint("rebalance")
 
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
