@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirework.operators.runs import retain
 from quirework.plans.registry import query
 from quirework.plans.views import table
 from quirework.session import shared_dir
@@ -106,8 +105,11 @@ WITH l AS (SELECT user_id AS name, event_type AS tool, arg_max(event_id, (ts, ev
 SELECT name, tool, id FROM l QUALIFY row_number() OVER (PARTITION BY name ORDER BY t DESC, id DESC) <= 3
 """)
 def stream_recent_per_user(spark, sf):
-    """The three newest of each user."""
-    return retain(_recent(spark, sf), 3, ["name"], ["processed_ts", "id"]).select("name", "tool", "id")
+    """The three newest types of each user, held as state over three deliveries and restarts."""
+    events, later = _events(spark, sf, close=False)
+    with jobs.stateful(spark):
+        changes = jobs.drain(jobs.newest_changes(events, "user_id", "event_type", "ts", "event_id", 3), "newest", later)
+    return jobs.newest_of(changes, "user_id").select(F.col("user_id").alias("name"), F.col("item").alias("tool"), "id")
 
 
 @query()

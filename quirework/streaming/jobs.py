@@ -5,10 +5,12 @@ starts a query whose sink is a table folder."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from quirework.operators import files as file_ops
 from quirework.operators.runs import latest, run_stats
@@ -102,6 +104,91 @@ def read_latest(spark: SparkSession, path: str, key: list[str], ts: str, tie: st
     return latest(spark.read.parquet(path).drop("v"), key, ts, tie)
 
 
+class NewestRows(StatefulProcessor):
+    """State of one key: its ``n`` newest items, newest first, and the number of the last change.
+
+    An item that leaves the list cannot come back by a row that is older than the list, so nothing else has to be kept.
+    With ``idle`` a key whose newest row lies that many milliseconds of event time back is let go by a timer.
+    """
+
+    ITEM = "item string, ts timestamp, id long"
+
+    def __init__(self, key: str, n: int, idle: int | None):
+        self.key, self.n, self.idle = key, n, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.items, self.version = handle.getListState("items", self.ITEM), handle.getValueState("version", "v long")
+
+    def _held(self) -> dict:
+        return {item: (ts, id_) for item, ts, id_ in self.items.get()} if self.items.exists() else {}
+
+    def _changes(self, key, before: dict, after: dict):
+        rows = [(item, *after[item], True) for item in after if before.get(item) != after[item]]
+        rows += [(item, *before[item], False) for item in before if item not in after]
+        if rows:
+            version = self.version.get()[0] + 1 if self.version.exists() else 1
+            self.version.update((version,))
+            item, ts, id_, kept = zip(*rows, strict=True)
+            yield pd.DataFrame({self.key: [key[0]] * len(rows), "item": item, "ts": ts, "id": id_, "version": [version] * len(rows), "kept": kept})
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self._held()
+        now = dict(before)
+        for pdf in rows:
+            for item, ts, id_ in zip(pdf["item"], pdf["ts"].dt.to_pydatetime(), pdf["id"].tolist(), strict=True):
+                if item not in now or now[item] < (ts, id_):
+                    now[item] = (ts, id_)
+            now = dict(sorted(now.items(), key=lambda x: x[1], reverse=True)[: self.n])
+        self.items.put([(item, *at) for item, at in now.items()])
+        if self.idle is not None and now:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            newest = pd.Timestamp(next(iter(now.values()))[0]).tz_localize("UTC")
+            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.idle)
+        yield from self._changes(key, before, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        before = self._held()
+        self.items.clear()
+        yield from self._changes(key, before, {})
+
+    def close(self) -> None:
+        pass
+
+
+def newest_changes(stream: DataFrame, key: str, item: str, ts: str, tie: str, n: int, idle_ms: int | None = None, late: str = "1 hour") -> DataFrame:
+    """Changes of the ``n`` newest items of each key: (key, item, ts, id, version, kept), ``kept`` false where an item leaves.
+
+    State is bounded by ``n`` rows a key, whatever arrives; it needs the RocksDB state store (``stateful``)."""
+    key_type = dict(stream.dtypes)[key]
+    rows = stream.select(F.col(key).alias(key), F.col(item).cast("string").alias("item"), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("id"))
+    if idle_ms is not None:
+        rows = rows.withWatermark("ts", late)
+    return rows.groupBy(key).transformWithStateInPandas(
+        NewestRows(key, n, idle_ms), f"{key} {key_type}, item string, ts timestamp, id long, version long, kept boolean",
+        "Append", "None" if idle_ms is None else "EventTime",
+    )
+
+
+def newest_of(changes: DataFrame, key: str) -> DataFrame:
+    """The items held at the end of the changes: (key, item, ts, id)."""
+    last = F.max_by(F.struct("ts", "id", "kept"), "version")
+    return changes.groupBy(key, "item").agg(last.alias("l")).where("l.kept").select(key, "item", "l.ts", "l.id")
+
+
+@contextmanager
+def stateful(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which state of lists and timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(df: DataFrame, purpose: str, later: Iterable[Callable[[], None]] = ()) -> DataFrame:
     """Run a stream over everything that has arrived and read its sink back.
 

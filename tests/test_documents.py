@@ -1,6 +1,8 @@
 """Tables, Markdown, HTML, mail, files, readers, sinks and streams on small input."""
 
+import datetime
 import json
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -350,3 +352,47 @@ def test_json_texts_hold_one_value(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
     got = {r.doc_id for r in readers.check_json(df).filter("error_code IS NULL").collect()}
     assert got == set(range(len(good)))
+
+
+def newest_by_hand(deliveries, n):
+    """{key: items held} after each delivery, by looking at all rows so far."""
+    best, out = {}, []
+    for rows in deliveries:
+        for k, item, ts, i in rows:
+            best[k, item] = max(best.get((k, item), (ts, i)), (ts, i))
+        held = {}
+        for (k, item), at in best.items():
+            held.setdefault(k, []).append((at, item))
+        out.append({(k, item, at[1]) for k, v in held.items() for at, item in sorted(v, reverse=True)[:n]})
+    return out
+
+
+def test_newest_rows_over_restarts_and_late_rows(spark, tmp_path):
+    r = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    deliveries = [[(r.randrange(5), r.choice("abcdef"), start + datetime.timedelta(minutes=60 * d + r.randint(-90, 60)), 100 * d + i) for i in range(40)] for d in range(4)]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    schema = "k int, item string, ts timestamp, id long"
+    for d, want in zip(deliveries, newest_by_hand(deliveries, 2), strict=True):
+        spark.createDataFrame(d, schema).write.mode("append").parquet(src)
+        with jobs.stateful(spark):
+            stream = spark.readStream.schema(schema).parquet(src)
+            changes = jobs.newest_changes(stream, "k", "item", "ts", "id", 2)
+            changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+        got = jobs.newest_of(spark.read.parquet(out), "k").collect()
+        assert {(x.k, x.item, x.id) for x in got} == want
+    state = spark.read.format("statestore").option("path", ck).option("stateVarName", "items").load()
+    assert state.count() <= 2 * 5
+
+
+def test_idle_keys_are_let_go(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    at = lambda hour: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hour)
+    schema = "k int, item string, ts timestamp, id long"
+    for rows in ([(1, "a", at(0), 1), (2, "a", at(0), 2)], [(2, "b", at(20), 3)], [(3, "c", at(40), 4)], [(3, "c", at(41), 5)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        with jobs.stateful(spark):
+            changes = jobs.newest_changes(spark.readStream.schema(schema).parquet(src), "k", "item", "ts", "id", 2, idle_ms=10 * 3_600_000)
+            changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    got = jobs.newest_of(spark.read.parquet(out), "k").collect()
+    assert {(x.k, x.item) for x in got} == {(3, "c")}
