@@ -63,6 +63,24 @@ def vitals_percentile(samples: DataFrame, p: float = 0.75) -> DataFrame:
     return samples.groupBy("metric").agg(F.percentile_approx("value", p, 10000).alias("p"))
 
 
+def vitals_sketches(samples: DataFrame, width: str = "1 hour", places: int = 4096) -> DataFrame:
+    """(metric, window_start, n, sketch): one quantile sketch per metric and time window of samples (metric, ts, value), to be kept as rows."""
+    w = F.window("ts", width)
+    return samples.groupBy("metric", w.alias("w")).agg(F.count("value").alias("n"), F.kll_sketch_agg_double("value", F.lit(places)).alias("sketch")).select(
+        "metric", F.col("w.start").alias("window_start"), "n", "sketch"
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, sketch): sketches of windows put together without reading a sample again."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_percentile(sketches: DataFrame, p: float = 0.75) -> DataFrame:
+    """Adds ``p``, the percentile of each sketch, within the rank error of its places (exact up to that many samples)."""
+    return sketches.withColumn("p", F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+
+
 def latest(df: DataFrame, key: Sequence[str], ts: str, tie: str) -> DataFrame:
     """Newest row per key; ``max_by`` combines before the shuffle, so a hot key
     costs one row per task instead of a sort of the whole group."""

@@ -163,12 +163,12 @@ def batch_summary(spark, sf):
     return runs.batch_summary(b, "user_id")
 
 
-def _vitals(spark, sf):
+def _vitals(spark, sf, *more):
     t = F.col("event_type")
     metric = F.when(t == "click", "INP").when(t == "view", "LCP").when(t == "error", "FID").when(t == "signup", "TTFB").otherwise("CLS")
     v = F.col("value")
     return V.table(spark, sf, "events").select(
-        metric.alias("metric"), F.when(t == "view", v * 20).when(t == "purchase", v / 1000).when(t == "signup", v * 10).otherwise(v * 4).alias("value")
+        *more, metric.alias("metric"), F.when(t == "view", v * 20).when(t == "purchase", v / 1000).when(t == "signup", v * 10).otherwise(v * 4).alias("value")
     )
 
 
@@ -193,6 +193,22 @@ def vitals_percentile(spark, sf):
     return runs.vitals_percentile(_vitals(spark, sf)).select("metric", F.round("p", 6).alias("p75"))
 
 
+@query(f"""
+WITH {_VITALS}, q AS (SELECT metric, quantile_disc(value, 0.72) AS lo, quantile_disc(value, 0.78) AS hi FROM s GROUP BY metric)
+SELECT metric, count(*) AS n, true AS near FROM s JOIN q USING (metric) GROUP BY metric
+""")
+def vitals_percentile_merged(spark, sf):
+    """Hourly sketches merged to days and days to one: within three hundredths of the rank of the exact percentile."""
+    at = V.table(spark, sf, "events").select("event_id", "ts")
+    s = _vitals(spark, sf, "event_id").join(at, "event_id").select("metric", "ts", "value")
+    hours = runs.vitals_sketches(s)
+    days = runs.merge_sketches(hours.withColumn("day", F.to_date("window_start")), ["metric", "day"])
+    found = runs.sketch_percentile(runs.merge_sketches(days, ["metric"]))
+    exact = s.groupBy("metric").agg(F.percentile("value", F.array(F.lit(0.72), F.lit(0.78))).alias("b"))
+    near = F.col("p").between(F.col("b")[0], F.col("b")[1])
+    return found.join(exact, "metric").select("metric", F.col("n").cast("long").alias("n"), near.alias("near"))
+
+
 @query("""
 SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1
 """)

@@ -112,13 +112,39 @@ def stream_recent_per_user(spark, sf):
     return jobs.newest_of(changes, "user_id").select(F.col("user_id").alias("name"), F.col("item").alias("tool"), "id")
 
 
-@query()
+def _document_files(spark, sf):
+    """The documents of each source as one text file in a folder of that name."""
+    path = shared_dir(spark, "document-files")
+    docs = table(spark, sf, "documents").select("source", "text")
+    docs.repartition("source").write.partitionBy("source").text(path)
+    return path
+
+
+def _source():
+    return F.url_decode(F.regexp_extract("path", "source=([^/]*)/", 1))
+
+
+_FILES = "SELECT source, 'text/plain' AS mime, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY source"
+
+
+@query(_FILES)
 def stream_file_intake(spark, sf):
-    """The table files themselves as arriving files: manifest and rule errors."""
-    files = jobs.intake(spark, sf, "*.parquet", content=False)
-    return jobs.drain(files.select("filename", "mime", "size_bytes"), "intake")
+    """Files written from the documents, as they arrive."""
+    files = jobs.intake(spark, f"{_document_files(spark, sf)}/*", "*.txt", content=False)
+    return jobs.drain(files.select(_source().alias("source"), "mime", "size_bytes"), "intake")
+
+
+@query("""
+SELECT source, code, message FROM (SELECT DISTINCT source FROM documents), (VALUES
+  ('FILE_TYPE_INVALID', 'Invalid file type. Expected: application/pdf'), ('FILE_NOT_PDF', 'The file does not appear to be a valid PDF.')) e(code, message)
+""")
+def stream_intake_errors(spark, sf):
+    """Error rows of the arriving files: none of them is a PDF file."""
+    files = jobs.intake(spark, f"{_document_files(spark, sf)}/*", "*.txt")
+    errors = jobs.intake_errors(files.withColumn("doc_id", _source()))
+    return jobs.drain(errors.select(F.col("doc_id").alias("source"), "code", "message"), "intake-errors")
 
 
-@query()
+@query(_FILES)
 def file_manifest(spark, sf):
-    return read_files(spark, sf, "*.parquet").select("filename", "mime", "size_bytes")
+    return read_files(spark, _document_files(spark, sf), "*.txt").select(_source().alias("source"), "mime", "size_bytes")

@@ -586,3 +586,30 @@ def read_mail_files(spark, sf):
     head = F.concat(F.lit("From: item"), F.length("text").cast("string"), F.lit("@example.org\nSubject: item\n\n"))
     found = mail.parse_emails(readers.read_emails(spark, _files(spark, sf, F.concat(head, F.col("text")), "mail"), "*.txt"))
     return found.filter("sender <> ''").groupBy("sender", F.col("text_body").alias("body")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'doc' || doc_id || '@example.org' AS sender, regexp_replace(text, '\\n+$', '') AS body, count(*) AS n FROM documents GROUP BY ALL
+""")
+def read_mailbox(spark, sf):
+    """Every document as a message of a few large mail boxes, cut by bytes; lines that look like a message's first are quoted."""
+    path = shared_dir(spark, "mailbox")
+    sender = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("@example.org"))
+    text = F.regexp_replace(F.col("text"), r"(?m)^(>*From )", ">$1")
+    box = F.concat(F.lit("From "), sender, F.lit(" Mon Jan  1 10:00:00 2024\nFrom: "), sender, F.lit("\nSubject: document\n\n"), text, F.lit("\n"))
+    V.table(spark, sf, "documents").select(box.alias("value")).write.text(path)
+    found = readers.read_mailboxes(spark, path).where("error_code IS NULL").select(F.monotonically_increasing_id().alias("doc_id"), "raw")
+    return mail.parse_emails(found).groupBy("sender", F.col("text_body").alias("body")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT CASE WHEN n_chars % 3 <> 0 THEN text END AS text, n_chars % 3 <> 0 AS good, count(*) AS n FROM documents GROUP BY ALL
+""")
+def read_json_lines(spark, sf):
+    """Every document as a line of JSON, every third one cut short."""
+    path = shared_dir(spark, "json-lines")
+    js = F.to_json(F.struct("text"))
+    V.table(spark, sf, "documents").select(F.when(F.col("n_chars") % 3 == 0, F.substring(js, F.lit(1), F.length(js) - 1)).otherwise(js).alias("value")).write.text(path)
+    good = F.col("error_code").isNull()
+    docs = readers.read_json_lines(spark, path)
+    return docs.groupBy(F.when(good, F.get_json_object("json", "$.text")).alias("text"), good.alias("good")).agg(F.count("*").alias("n"))

@@ -35,6 +35,7 @@ def manifest(raw: DataFrame, content: bool = False) -> DataFrame:
         mime_from_name(name).alias("mime"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_ts"),
+        F.col("path"),
     ]
     return raw.select(*cols, *(["content"] if content else []))
 
@@ -59,6 +60,36 @@ def read_json_docs(spark: SparkSession, path: str, glob: str = "*.json") -> Data
     return check_json(docs)
 
 
+def read_json_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """One JSON document per line: (filename, json, error_code).
+
+    Spark cuts a large file by bytes, so one file is read by many tasks; a line
+    that does not parse is kept with an error code.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    return check_json(lines.select(name.alias("filename"), F.col("value").alias("text")).where("trim(text) <> ''"))
+
+
+def read_mailboxes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Messages of mail boxes: (filename, envelope, raw, error_code).
+
+    A message begins with a ``From `` line (sender and date); such lines inside a
+    message are quoted by ``>``.  The line break before it separates records, so
+    Spark cuts a large box by bytes.  What has no sender and date on its first
+    line is kept whole, with an error code.  Line breaks at a message's end
+    belong to the box.
+    """
+    r = spark.read.option("lineSep", "\nFrom ").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    # the first record of a file still has its mark, the others lost it to the separator
+    own = r.select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("filename"), F.regexp_replace("value", "^From ", "").alias("t")).where("trim(t) <> ''")
+    envelope = F.substring_index("t", "\n", 1)
+    good = envelope.rlike(r"^\S+ +[A-Z][a-z]{2} [A-Z][a-z]{2} ")
+    body = F.when(F.position(F.lit("\n"), F.col("t")) > 0, F.substring("t", F.position(F.lit("\n"), F.col("t")) + 1, F.length("t"))).otherwise("")
+    raw = F.regexp_replace(F.regexp_replace(body, r"(?m)^>(>*From )", "$1"), r"\n+\z", "")
+    return own.select("filename", F.when(good, envelope).alias("envelope"), F.when(good, raw).otherwise(F.col("t")).alias("raw"), F.when(~good, "FILE_CORRUPTED").alias("error_code"))
+
+
 def check_json(docs: DataFrame) -> DataFrame:
     """Exactly one JSON value per text.  The parser stops behind the first value, so the text is tried as the only item of
     an array and as the only field of an object: what follows a value breaks one of the two."""
