@@ -111,3 +111,37 @@ def fuzzy_sql(q: str, t: str) -> str:
         f"lambda rest, c: CASE WHEN rest <> '' AND rest[1] = c THEN rest[2:] ELSE rest END, {q})))"
     )
     return FUZZY_MACRO.format(q=q, t=t, run=run)
+
+#: Page pairs of the two versions: scores of the recurrence row by row, then the steps back from the last pages; begins with RECURSIVE parts.
+PAGE_PAIRS = r"""
+lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+v2 AS (SELECT doc_id, flatten(list_transform(ls, lambda l, i: CASE WHEN (i - 1) % 7 = 6 THEN []::VARCHAR[] WHEN (i - 1) % 11 = 10 THEN [l, l] ELSE [l] END)) AS ls FROM lines),
+pages_a AS (SELECT doc_id, i + 1 AS page_no, array_to_string(ls[i*4+1 : i*4+4], chr(10)) AS text FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) - 1) // 4 + 1)) AS i FROM lines)),
+pages_b AS (SELECT doc_id, i + 1 AS page_no, array_to_string(ls[i*4+1 : i*4+4], chr(10)) AS text FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) - 1) // 4 + 1)) AS i FROM v2)),
+ca AS (SELECT doc_id, page_no, regexp_replace(text, '\s+', '', 'g') AS c FROM pages_a),
+cb AS (SELECT doc_id, page_no, regexp_replace(text, '\s+', '', 'g') AS c FROM pages_b),
+sims AS MATERIALIZED (
+  SELECT a.doc_id, a.page_no AS i, list(CASE WHEN a.c = '' AND b.c = '' THEN 1.0 WHEN a.c = '' OR b.c = '' THEN 0.0
+    ELSE 2.0 * (length(b.c) - length(translate(b.c, a.c, ''))) / (length(a.c) + length(b.c)) END::DOUBLE ORDER BY b.page_no) AS s
+  FROM ca a JOIN cb b USING (doc_id) GROUP BY ALL),
+shape AS (SELECT doc_id, n, m FROM (SELECT doc_id, max(page_no) AS n FROM pages_a GROUP BY 1) JOIN (SELECT doc_id, max(page_no) AS m FROM pages_b GROUP BY 1) USING (doc_id)),
+score(doc_id, i, d) AS (
+  SELECT doc_id, 0::BIGINT, list_transform(range(0, m + 1), lambda x: 0.0::DOUBLE) FROM shape
+  UNION ALL
+  SELECT p.doc_id, p.i + 1, list_reduce(list_zip(s.s, p.d[:-2], p.d[2:]), lambda acc, z: list_append(acc, CASE WHEN z[1] >= 0.25 THEN z[2] + z[1] ELSE greatest(z[3], acc[-1]) END), [0.0]::DOUBLE[])
+  FROM score p JOIN sims s ON s.doc_id = p.doc_id AND s.i = p.i + 1),
+table_ AS MATERIALIZED (SELECT * FROM score),
+steps(doc_id, k, i, j, page_a, page_b, similarity) AS (
+  SELECT doc_id, -1::BIGINT, n, m, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM shape
+  UNION ALL
+  SELECT t.doc_id, t.k + 1,
+    CASE WHEN hit OR NOT go_left THEN t.i - 1 ELSE t.i END, CASE WHEN hit OR go_left THEN t.j - 1 ELSE t.j END,
+    CASE WHEN hit OR NOT go_left THEN t.i END, CASE WHEN hit OR go_left THEN t.j END, CASE WHEN hit THEN sim END
+  FROM (
+    SELECT w.doc_id, w.k, w.i, w.j, s.s[w.j] AS sim, coalesce(w.i > 0 AND w.j > 0 AND s.s[w.j] >= 0.25, false) AS hit,
+      coalesce(w.j > 0 AND (w.i = 0 OR own.d[w.j] >= up.d[w.j + 1]), false) AS go_left
+    FROM steps w LEFT JOIN sims s ON s.doc_id = w.doc_id AND s.i = w.i
+      LEFT JOIN table_ own ON own.doc_id = w.doc_id AND own.i = w.i LEFT JOIN table_ up ON up.doc_id = w.doc_id AND up.i = w.i - 1
+    WHERE w.i > 0 OR w.j > 0) t),
+pairs AS (SELECT doc_id AS pair_id, -k AS pair_no, page_a, page_b, similarity FROM steps WHERE k >= 0)
+"""

@@ -350,7 +350,10 @@ def _version_two(spark, sf):
     return paginate(d, per_page=V.PER_PAGE)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {S.PAGE_PAIRS}
+SELECT pair_id, pair_no, page_a, page_b, similarity, coalesce(similarity, 0) < 0.999 AS has_difference, (1 - coalesce(similarity, 0)) * 100 AS diff_percent FROM pairs
+""")
 def pair_pages(spark, sf):
     pairs = compare.pair_pages(V.doc_pages(spark, sf), _version_two(spark, sf))
     return compare.page_pair_summary(pairs)

@@ -9,7 +9,7 @@ from quirework.plans.registry import SQL as TWINS
 
 #: Order-dependent folds, tested elsewhere; every other query of the library has a SQL twin.
 NO_TWIN = {
-    "lines_to_markdown", "pair_pages", "word_diff", "diff_highlights", "moved_text", "moved_highlights",
+    "lines_to_markdown", "word_diff", "diff_highlights", "moved_text", "moved_highlights",
 }
 
 SF = "/root/testdata/sf0.001"
