@@ -1,9 +1,10 @@
 """Bounded-space online best-fit packing of tokenised documents into sequences.
 
-Each task packs its own partition as rows stream through it: ``open_bins`` sequences are open at a time, their free space is the
-index of a bitset, and the best fit is the lowest set bit at or above the piece's length.  When all are open and none fits,
-the fullest one closes.  Within an Arrow batch longer pieces come first.  No shuffle: a lost task is packed again from its
-own partition, and sequence numbers are unique through the partition's number.
+Documents are tokenised where they stand, and their pieces (numbers only, no text) are written to the shared folder.  Then pieces are dealt
+evenly to tasks of about ``PER_TASK`` each, so the fill does not depend on how the input is cut; a task leaves ``open_bins`` sequences
+open at its end at most.  In a task ``open_bins`` sequences are open at a time, their free space is the index of a bitset, and
+the best fit is the lowest set bit at or above the piece's length.  When all are open and none fits, the fullest one
+closes.  Within an Arrow batch longer pieces come first.  Sequence numbers are unique through the task's number.
 
 A document longer than ``capacity`` is cut into pieces of ``capacity``; its first piece takes the remainder.  Ids are those of the
 byte-level BPE file given; ``tokenizers`` files are read for their vocabulary and encoded with ``tiktoken``, whose ids are the
@@ -17,6 +18,7 @@ Extra columns are ignored.  An empty table gives an empty table.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.session import materialise
+
 from .common import slices
 
+#: Pieces that one task packs.
+PER_TASK = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -93,12 +99,11 @@ class Bins:
         return s, self.capacity - f
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int = 1024, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
-    """Columns of ``PIECES``, one row per piece of a document."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, added_tokens: bool) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        bins = Bins(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part in slices(batch):
                 out = []
@@ -108,13 +113,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int =
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b])))
-                out.sort(key=lambda r: -r[3])
-                placed = [bins.place(r[3]) for r in out]
-                cols = [*zip(*out), *zip(*placed)]
-                types = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+                types = (pa.int64(), pa.int32(), *[pa.int64()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int = 1024, end_id: int = 2, added_tokens: bool = False, per_task: int = PER_TASK) -> DataFrame:
+    """Columns of ``PIECES``, one row per piece of a document."""
+    found = materialise(pieces(docs, tokenizer, capacity, end_id, added_tokens), "pieces")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = Bins(capacity, open_bins, TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            longest_first = np.argsort(-np.asarray(batch.column(3)), kind="stable")
+            part = batch.take(pa.array(longest_first))
+            placed = [bins.place(n) for n in part.column(3).to_pylist()]
+            sequence, offset = zip(*placed, strict=True) if placed else ((), ())
+            names = [c.split()[0] for c in PIECES.split(", ")]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
+
+    return found.repartition(max(1, math.ceil(found.count() / per_task))).mapInArrow(run, PIECES)

@@ -224,6 +224,14 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_fill_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text")
+    sequences = {n: packing.pack(docs.repartition(n), queries.tokenizer_path()) for n in (1, 64, 211)}
+    found = {n: df.agg(F.count_distinct("sequence_id"), F.sum("length")).first() for n, df in sequences.items()}
+    print({n: (r[0], -(-r[1] // 1024)) for n, r in found.items()})
+    assert all(r[0] <= 1.02 * -(-r[1] // 1024) for r in found.values())
+
+
 def test_open_bins():
     bins = packing.Bins(10, 2, 0)
     assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
