@@ -1,11 +1,13 @@
 """Substring deduplication over words by suffix automata of reference shards.
 
 The reference is the corpus itself, cut down to the distinct phrases whose trigger stands in two documents or more (see ``repeats``) and
-sharded by trigger.  Each shard's phrases are built into suffix automata of bounded size whose states carry the smallest
-document id of their occurrences; the phrases of all documents stream through the automaton of their own shard for matching
-statistics, and windows whose match has the threshold's length and a smaller document are removed, as maximal spans.  All
-shards together grow with the corpus, so they are not broadcast to every task: a phrase and the only automaton that can
-hold its windows are brought together by trigger instead.
+sharded by trigger.  Equal phrases are settled by equality, with the smallest document id of their copies.  Phrases that share a trigger but
+differ are built into suffix automata whose states carry the smallest document id of their occurrences, and stream through them for
+matching statistics; windows whose match has the threshold's length and a smaller document are removed, as maximal
+spans.  Phrases under a trigger with very many of them are settled window by window, by equality, without an automaton.
+
+Where this departs from the name: no automaton is broadcast and whole documents do not stream through one, since all shards together grow with
+the corpus; a phrase and the only automaton that can hold its windows are brought together by trigger instead.
 
 Words are runs without space and U+0009 to U+000D, unchanged.  Edge cases: a null text has no words; texts of fewer words than the
 window stay whole; rows that repeat an id do not remove each other's words; a row without an id neither loses words nor
@@ -96,8 +98,8 @@ class WordFinder(Finder):
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>"
 
-    def __init__(self, size: int = 13, gram: int = 5, shard_words: int = 100_000):
-        self.size, self.gram, self.shard_words = size, gram, shard_words
+    def __init__(self, size: int = 13, gram: int = 5):
+        self.size, self.gram = size, gram
 
     def symbols(self, texts):
         raw = b"\n".join([*texts, b""])

@@ -14,8 +14,8 @@ short phrases and answers travel between chunks and shards:
    the ends of a passage with a third of all documents spread.
 4. *Cut.*  Shards answer with runs of strings and the smallest id of each; chunks mark what is covered and cut their texts.
 
-Whatever is sent is distinct within its chunk: a group of copies costs one entry per chunk.  Hashes choose what is compared; the
-comparison itself is on the phrases' bytes.
+Whatever is sent is distinct within its chunk, told apart by 64-bit hashes: a group of copies costs one entry per chunk.  In a shard phrases are
+compared by their bytes.  ``WIDE`` only chooses how strings under one trigger meet, the result is the same for any value.
 """
 
 from __future__ import annotations

@@ -1,10 +1,13 @@
 """Suffix-array deduplication of byte strings over a prefix-free parse.
 
 Rolling-hash triggers cut the texts into phrases that overlap by ``size - 1`` bytes (see ``repeats``), so a byte string of the threshold's
-length is a prefix of exactly one phrase suffix.  The dictionary of distinct phrases is sorted by suffix, once for however many
-copies a phrase has in the corpus; the parse contributes the documents in which each phrase occurs.  Neighbours in that corpus
-order with a common prefix of ``size`` bytes form one class, whose smallest document keeps its bytes.  The order behind the
-threshold's length is never needed, so the parse's own suffixes are only ranked as far as the phrases' overlap reaches.
+length lies in one phrase, and equal strings lie at equal places of phrases with one trigger.  Equal phrases are settled by equality,
+once for however many copies a phrase has in the corpus, with the smallest document of those in which the parse holds it.  Phrases that
+share a trigger but differ are compared by sorting their strings of ``size`` bytes: neighbours that are equal form one class, whose smallest document
+keeps its bytes.
+
+Where this departs from the name: no suffix array of the whole dictionary nor of the parse is built, because order beyond the threshold's
+length decides nothing here and the parse of a large corpus does not fit one task; only strings under one trigger are sorted.
 
 Removed from a document is each byte covered by a string that also starts in a document with a smaller id; strings are judged on the
 input.  Texts are UTF-8 bytes; matches never cross documents.
