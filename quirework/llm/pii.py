@@ -8,7 +8,7 @@ PMI(e; t) / IC(e), which is 1 where t never stands without e, and the larger of
 ``threshold``, with ``support`` common texts at least, are sanitised wherever they stand in a document that
 holds that entity: removed where the term gives it away for certain (``remove_at``), generalised otherwise.
 
-Disclosure reaches the threshold just where p(e | t) >= p(e) ^ (1 - threshold).  A term stands at least as often as with the entity it meets most,
+Disclosure reaches the threshold just where p(e | t) >= p(e) ^ (1 - threshold).  A term stands at least as often as near all entities together,
 so most pairs go before the corpus is read for n(t), which is counted for the rest only, occurrences and texts in one pass.
 Only counts, words near entities and spans are shuffled, never texts (but by ``redact``, which gives texts back).  A task adds up its counts
 before they leave it.  Texts that may have copies (by a filter of fixed size) are counted under their key, and each key once.
@@ -230,7 +230,8 @@ def term_counts(docs: DataFrame, wanted: DataFrame, copied) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, frequent: DataFrame, holders: DataFrame, copied) -> DataFrame:
-    """term, entity, both: texts that hold both, for the entities ``frequent`` (entity) and some others, found in the texts ``holders`` (text_key)."""
+    """term, entity, both: texts that hold both, for the entities ``frequent`` (entity) and some others, found in the texts ``holders`` (text_key);
+    without entity, those that hold the term."""
     passed, held = passing(frequent.select("entity")), passing(holders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,7 @@ def pair_counts(docs: DataFrame, frequent: DataFrame, holders: DataFrame, copied
                     spans = base_spans(t)
                     some = [e for e in entities(t, spans) if passed.value[e % SLOTS]] if spans else []
                     terms = free_terms(t, spans) if some else ()
-                    for e in some if terms else ():
+                    for e in [*some, None] if terms else ():
                         if many:
                             single += [(key, w, e, 1) for w in terms]
                         else:
@@ -271,9 +272,8 @@ def pair_counts(docs: DataFrame, frequent: DataFrame, holders: DataFrame, copied
     return once.groupBy("term", "entity").agg(F.sum("n").alias("both"))
 
 
-def likely(pairs: DataFrame, of_entity: DataFrame, total, threshold: float) -> DataFrame:
-    """Pairs (term, entity, both) that can reach the threshold, with p_e: a term stands at least as often as with the entity it meets most."""
-    most = pairs.groupBy("term").agg(F.max("both").alias("most"))
+def likely(pairs: DataFrame, most: DataFrame, of_entity: DataFrame, total, threshold: float) -> DataFrame:
+    """Pairs (term, entity, both) that can reach the threshold, with p_e: a term (term, most) stands at least as often as with all entities together."""
     p_e = F.col("n_e") / F.greatest(F.lit(total), "n_e")
     rated = pairs.join(most, "term").join(of_entity.withColumn("p_e", p_e).select("entity", "p_e"), "entity")
     # a little room for rounding; the score itself decides later
@@ -288,14 +288,18 @@ def disclosing(rows: DataFrame, docs: DataFrame, threshold: float = 0.95, suppor
     copied = passing(texts.where("rows > 1").select("text_key"))
     once = materialise(rows.where(F.size("entities") > 0).select("text_key", "near", "entities").dropDuplicates(["text_key"]), "entities")
     near = once.select("text_key", F.explode("near").alias("x")).select("text_key", "x.term", "x.entity")
+    # a place near two entities counts once
+    places = F.array_distinct(F.transform("near", lambda x: F.struct(x["start"].alias("start"), x["term"].alias("term"))))
+    most = once.select(F.explode(places).alias("x")).groupBy("x.term").agg(F.count("*").alias("most"))
     by_text = near.groupBy("term", "entity", "text_key").agg(F.count("*").alias("n"))
     close = by_text.groupBy("term", "entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    close = likely(close.drop("texts"), near.groupBy("entity").agg(F.count("*").alias("n_e")), max(1, n_terms), threshold)
+    close = likely(close.drop("texts"), most, near.groupBy("entity").agg(F.count("*").alias("n_e")), max(1, n_terms), threshold)
     frequent = once.select("text_key", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     frequent = materialise(frequent, "frequent")
     holders = once.select("text_key", F.explode("entities").alias("entity")).join(frequent, "entity").select("text_key").distinct()
-    wide = pair_counts(docs, frequent, holders, copied).where(F.col("both") >= support)
-    wide = likely(wide, frequent, max(1, n_texts), threshold)
+    counted = materialise(pair_counts(docs, frequent, holders, copied).where(F.col("both") >= support), "counted")
+    most = counted.where("entity IS NULL").select("term", F.col("both").alias("most"))
+    wide = likely(counted.where("entity IS NOT NULL"), most, frequent, max(1, n_texts), threshold)
     mark = lambda pairs, kind: pairs.withColumn("kind", F.lit(kind))
     pairs = materialise(mark(close, "near").unionByName(mark(wide, "text")).withColumn("term_no", F.xxhash64("term")), "pairs")
     counts = term_counts(docs, pairs, copied)
