@@ -362,7 +362,8 @@ def moved_candidates(kinds: DataFrame, texts: DataFrame) -> DataFrame:
     counts = kinds.select(F.explode(F.split("letters", "")).alias("c")).groupBy("c").count()
     # one row per code point at most
     frequency = {r["c"]: r["count"] for r in counts.collect()}
-    return added_keys(texts, frequency).join(deleted_keys(kinds), ["pair_id", "step", "letter"])
+    # a file's size tells little of its rows under each of their letters, and nothing here is small
+    return added_keys(texts, frequency).join(deleted_keys(kinds).hint("merge"), ["pair_id", "step", "letter"])
 
 
 def first_alike(kinds: DataFrame, texts: DataFrame) -> DataFrame:
@@ -375,7 +376,7 @@ def first_alike(kinds: DataFrame, texts: DataFrame) -> DataFrame:
     head = kinds.withColumn("no", F.row_number().over(order)).where(F.col("no") <= MOVED_FIRST)
     head = head.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("place", "letters", "n"))).alias("head"))
     found = F.get(F.filter("head", lambda h: resembles(F.col("t"), h["letters"], h["n"])), F.lit(0))["place"]
-    tried = materialise(texts.join(head, "pair_id", "left").select("pair_id", "t", found.alias("deleted")), "moved-first")
+    tried = materialise(texts.join(head.hint("merge"), "pair_id", "left").select("pair_id", "t", found.alias("deleted")), "moved-first")
     rest = tried.where("deleted IS NULL").select("pair_id", "t")
     some = moved_candidates(kinds, rest).where(resembles(F.col("t"), F.col("letters"), F.col("n")))
     late = some.groupBy("pair_id", "t").agg(F.min("place").alias("deleted"))
@@ -388,7 +389,8 @@ def find_moved(marks: DataFrame) -> DataFrame:
     Every added segment belongs to the first deleted one it resembles (>= 0.85);
     a deleted segment points to the last added one it won.  Likeness depends on
     the texts alone, and of a deleted one on its set of letters and its length,
-    so equal ones are compared once (``first_alike``).
+    so equal ones are compared once (``first_alike``).  Every table here grows with
+    the corpus, so none is sent whole to all executors: joins are merge joins.
 
     Input: pair_id, pair_no, mark_no (reading order), type, text.
     Returns (pair_id, deleted_pair, deleted_mark, added_pair, added_mark,
@@ -402,10 +404,10 @@ def find_moved(marks: DataFrame) -> DataFrame:
     kinds = usable.where("type = 'deleted'").groupBy("pair_id", letters.alias("letters"), F.length("t").alias("n")).agg(F.min("place").alias("place"))
     added = usable.where("type = 'added'").select("pair_id", "t", F.col("place").alias("added"))
     hits = first_alike(materialise(kinds, "moved-from"), added.select("pair_id", "t").distinct())
-    won = added.join(hits, ["pair_id", "t"]).select("pair_id", "deleted", "added")
+    won = added.join(hits.hint("merge"), ["pair_id", "t"]).select("pair_id", "deleted", "added")
     last = won.groupBy("pair_id", "deleted").agg(F.max("added").alias("added"))
     last = last.select("pair_id", "added", F.lit(True).alias("_last"))
-    return won.join(last, ["pair_id", "added"], "left").select(
+    return won.join(last.hint("merge"), ["pair_id", "added"], "left").select(
         "pair_id",
         F.col("deleted.pair_no").alias("deleted_pair"), F.col("deleted.mark_no").alias("deleted_mark"),
         F.col("added.pair_no").alias("added_pair"), F.col("added.mark_no").alias("added_mark"),
@@ -433,11 +435,11 @@ def mark_moved(marks: DataFrame) -> DataFrame:
             "pair_id", F.col(f"{mine}_pair").alias("pair_no"), F.col(f"{mine}_mark").alias("mark_no"),
             F.col(f"{other}_pair").alias("_p"), F.col(f"{other}_mark").alias("_m"),
         )
-        return links.join(ends, ["pair_id", "_p", "_m"]).select(*place, "to")
+        return links.join(ends.hint("merge"), ["pair_id", "_p", "_m"]).select(*place, "to")
 
     links = end(moved.filter("is_target"), "deleted", "added").unionByName(end(moved, "added", "deleted"))
     return (
-        marks.join(links, place, "left")
+        marks.join(links.hint("merge"), place, "left")
         .withColumns(
             {
                 "type": F.when(F.col("to").isNotNull(), "moved").otherwise(F.col("type")),

@@ -297,3 +297,17 @@ def test_hidden_kinds(spark):
     assert compare.filter_highlights(df, ("moved", "formatting")).count() == 1
     assert compare.filter_highlights(df).count() == 3
     assert df.filter(F.lit(True)).count() == 3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moved_text_sends_no_table_whole(spark, tmp_path):
+    """Files are far smaller than their rows under each letter: a join that trusts a file's size fills the driver."""
+    rows = [(i % 7, 0, i, "added" if i % 2 else "deleted", f"text of number {i}") for i in range(200)]
+    moved_rows(rows, spark).write.parquet(f"{tmp_path}/marks")
+    marks = spark.read.parquet(f"{tmp_path}/marks")
+    assert "Broadcast" not in plan_of(first_alike_of(marks))
+    kinds = marks.where("type = 'deleted'").selectExpr("pair_id", "text AS letters", "length(text) AS n", "struct(pair_no, mark_no) AS place")
+    assert "Broadcast" not in plan_of(compare.moved_candidates(kinds, marks.selectExpr("pair_id", "text AS t")))
