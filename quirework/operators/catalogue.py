@@ -159,9 +159,11 @@ def audit_keys(base: DataFrame, other: DataFrame, key: Sequence[str] = ("path",)
 
 
 def lookup_with_fallback(keys: DataFrame, local: DataFrame, base: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Local value, else the base value, else the key itself."""
-    l = local.select(*key, F.col("value").alias("_l"))
-    b = base.select(*key, F.col("value").alias("_b"))
+    """Local value, else the base value, else the key itself.
+
+    Leaves are many times the size of the files they come from, so neither side is sent whole to all executors."""
+    l = local.select(*key, F.col("value").alias("_l")).hint("merge")
+    b = base.select(*key, F.col("value").alias("_b")).hint("merge")
     return (
         keys.join(l, list(key), "left")
         .join(b, list(key), "left")

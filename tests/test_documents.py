@@ -396,3 +396,14 @@ def test_idle_keys_are_let_go(spark, tmp_path):
             changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     got = jobs.newest_of(spark.read.parquet(out), "k").collect()
     assert {(x.k, x.item) for x in got} == {(3, "c")}
+
+
+def test_lookup_sends_no_side_whole(spark, tmp_path):
+    from quirework.operators import catalogue
+
+    spark.createDataFrame([(i, f"k{i}", f"v{i}") for i in range(50)], "doc_id long, path string, value string").write.parquet(f"{tmp_path}/keys")
+    base = spark.read.parquet(f"{tmp_path}/keys")
+    found = catalogue.lookup_with_fallback(base.select("doc_id", "path"), base.where("doc_id % 2 = 0"), base.where("doc_id % 3 > 0"), ("doc_id", "path"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {i: f"v{i}" if i % 2 == 0 or i % 3 else f"k{i}" for i in range(50)}
+    assert {r["doc_id"]: r["value"] for r in found.collect()} == want
