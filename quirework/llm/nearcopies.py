@@ -1,8 +1,10 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, candidates by MinHash bands.
+"""Near copies by SimHash fingerprints and MinHash bands, each link checked by the exact Jaccard similarity of five-word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of shingles is ``SIMILARITY`` or more, computed from the shingles
-themselves; bands only propose pairs.  ``BANDS`` bands of ``ROWS`` minima miss a pair at 0.8 with probability
-(1 - 0.8 ** 5) ** 30 = 7e-6, and fewer above.  A radius on 64-bit fingerprints would not do: pairs at 0.8 differ in about ten bits
+themselves; fingerprints and bands only propose pairs.  First come the SimHash links (``simhash.links``: deletion variants of two
+segments, 3 or fewer differing bits, only spanning edges), which join most of a large group of near copies without its pairs; bands
+and prefixes then propose pairs of different components alone.  ``BANDS`` bands of ``ROWS`` minima miss a pair at 0.8 with probability
+(1 - 0.8 ** 5) ** 30 = 7e-6, and fewer above.  Fingerprints alone would not do: pairs at 0.8 differ in about ten bits
 and often in fifteen, and segments short enough to leave one differing bit would hold a fixed share of all fingerprints.
 
 Texts with equal sets are one node.  In a band's group of up to ``SMALL`` nodes every pair is compared; in a larger one all nodes are
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from quirework.session import materialise
 
 from .common import ASCII_LOWER, slices, utf8
-from .simhash import components
+from .simhash import components, fingerprint, links
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -54,15 +56,15 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return common >= SIMILARITY * (len(a) + len(b) - common)
 
 
-def signature(text: str | None) -> tuple[int, int, bytes]:
-    """Number of the set, its size, and a key of 64 bits for each band."""
+def signature(text: str | None) -> tuple[int, int, bytes, int]:
+    """Number of the set, its size, a key of 64 bits for each band, and the SimHash fingerprint."""
     grams = shingles(text)
     h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(7)), np.uint64, len(grams)))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for s in range(0, len(h), 2048):
         least = np.minimum(least, (_A * h[s : s + 2048] + _B).min(axis=1))
     keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return xxhash.xxh64_intdigest(h.tobytes(), 1), len(h), np.array(keys, dtype=np.uint64).tobytes()
+    return xxhash.xxh64_intdigest(h.tobytes(), 1), len(h), np.array(keys, dtype=np.uint64).tobytes(), fingerprint(text, WIDTH)
 
 
 def text_key():
@@ -70,18 +72,18 @@ def text_key():
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """text_key, node, size, bands: one row per document."""
+    """text_key, node, size, bands, fp: one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                node, size, bands = zip(*map(signature, part.column(1).to_pylist()), strict=True)
+                node, size, bands, fp = zip(*map(signature, part.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.binary())],
-                    names=["text_key", "node", "size", "bands"],
+                    [part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))],
+                    names=["text_key", "node", "size", "bands", "fp"],
                 )
 
-    return docs.select(text_key().alias("text_key"), "text").mapInArrow(run, "text_key string, node long, size long, bands binary")
+    return docs.select(text_key().alias("text_key"), "text").mapInArrow(run, "text_key string, node long, size long, bands binary, fp long")
 
 
 def index(nodes: DataFrame) -> DataFrame:
@@ -97,6 +99,15 @@ def index(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "size", "bands").mapInArrow(run, "k long, node long, size long")
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """a < b: pairs of nodes (node, fp) that span what fingerprints at few differing bits link; of equal fingerprints each node and the smallest."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = nodes.join(least, "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda c, n: least.select(F.col("fp").alias(c), F.col("least").alias(n))
+    near = links(least).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near)
+
+
 def meet(rows: DataFrame, leaders_only: bool) -> DataFrame:
     """a < b: pairs of nodes with an equal key, in different components (k, node, size, place, comp, bits), whose sizes, places and bits allow the similarity.
 
@@ -237,24 +248,29 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def forest(root: DataFrame) -> DataFrame:
+    """Edges that keep the components found so far."""
+    return root.select(F.col("v").alias("a"), F.col("root").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """text_key, component: one row per distinct text."""
     prints = materialise(signatures(docs), "signatures")
-    nodes = prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
     keys = materialise(nodes, "nodes")
     rows = index(keys).withColumns({"place": F.lit(0).cast("long"), "bits": F.lit(b"")})
-    keys = keys.select("node", "text_key")
-    near = materialise(meet(rows.withColumn("comp", F.col("node")), True), "pairs")
-    links = verified(near, texts_of(ends(near), docs, keys))
-    root = components(links)
+    prints_of, keys = keys.select("node", "fp"), keys.select("node", "text_key")
     comp = F.coalesce("root", "node")
     labelled = lambda r: r.join(root.withColumnRenamed("v", "node"), "node", "left").withColumn("comp", comp)
+    near = materialise(alike(prints_of), "alike")
+    root = components(verified(near, texts_of(ends(near), docs, keys)))
+    near = materialise(meet(labelled(rows), True), "pairs")
+    root = components(forest(root).unionByName(verified(near, texts_of(ends(near), docs, keys))))
     open_ = materialise(crowded(labelled(rows)), "crowded")
     if not open_.isEmpty():
         texts = texts_of(open_, docs, keys)
         rare = materialise(prefixes(texts), "prefixes")
         for leaders_only in (True, False):
             more = materialise(meet(labelled(rare), leaders_only), "pairs")
-            # edges of a forest keep the components found so far
-            root = components(root.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(verified(more, texts)))
+            root = components(forest(root).unionByName(verified(more, texts)))
     return prints.select("text_key", "node").distinct().join(root.withColumnRenamed("v", "node"), "node", "left").select("text_key", comp.alias("component"))

@@ -104,3 +104,20 @@ def test_whole_table(spark):
     """Rows kept of a given table, against all pairs."""
     rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert [(i is None, i or 0, t or "") for i, t in stage(spark, rows)] == kept(rows)
+
+
+def test_a_large_group_is_joined_by_fingerprints(spark, monkeypatch):
+    """Near copies of one text: what few bits join, bands do not pair again."""
+    r = random.Random(12)
+    base, rows = text(r, 600), []
+    for k in range(300):
+        w = list(base)
+        w[r.randrange(600)] = f"other{k}"
+        rows.append((k, " ".join(w)))
+    made = []
+    write = nearcopies.materialise
+    monkeypatch.setattr(nearcopies, "materialise", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    assert stage(spark, rows) == [rows[0]]
+    count = {name: df.count() for name, df in reversed(made) if name in ("alike", "pairs")}
+    print(count)
+    assert 250 < count.get("alike", 0) <= 300 and count["pairs"] < 30 * len(rows) / 10, count
