@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 128
 
 
+def exploded(df: DataFrame, *keep: Column | str, array: Column, value: str, at: str | None = None) -> DataFrame:
+    """A row per element of ``array``, none of which may be null, and its place if ``at`` names it.
+
+    A plain explode filters by the array's size first and works the array out a second time for that."""
+    element = F.explode_outer(array).alias(value) if at is None else F.posexplode_outer(array).alias(at, value)
+    return df.select(*keep, element).where(F.col(value).isNotNull())
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for a body that uses it several times."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import exploded, let
 from quirework.functions.text import wrap_lines
 
 # Page sizes (points), margin, font size and leading of plain-text pages.
@@ -72,11 +73,9 @@ def json_lines(docs: DataFrame, width: int = 80, column: str = "json") -> DataFr
         first = F.greatest(F.lit(width) - F.length(pad), F.lit(1))
         later = F.greatest(F.lit(width) - F.length(pad) - 2, F.lit(1))
         rest = F.substring(body, first + 1, F.length(body))
-        n = F.ceil(F.length(rest) / later).cast("int")
-        tail = F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-            lambda i: F.concat(pad, F.lit("  "), F.substring(rest, i * later + 1, later)),
-        )
+        # one pass: a substring by place walks the text from its start each time
+        pieces = F.regexp_extract_all(rest, F.concat(F.lit("(?s).{1,"), later.cast("string"), F.lit("}")), F.lit(0))
+        tail = let(F.concat(pad, F.lit("  ")), lambda p: F.transform(pieces, lambda piece: F.concat(p, piece)))
         head = F.array(F.concat(pad, F.substring(body, F.lit(1), first)))
         return (
             F.when(F.length(line) <= width, F.array(line))
@@ -84,6 +83,6 @@ def json_lines(docs: DataFrame, width: int = 80, column: str = "json") -> DataFr
         )
 
     lines = F.flatten(F.transform(F.split(F.col(column), "\n"), wrapped))
-    return docs.select("doc_id", F.posexplode(lines).alias("_i", "line")).select(
+    return exploded(docs, "doc_id", array=lines, value="line", at="_i").select(
         "doc_id", (F.col("_i") + 1).cast("long").alias("line_no"), "line"
     )

@@ -491,7 +491,7 @@ q AS (SELECT doc_id, k, 0 AS i, CASE WHEN length(line) <= 70 THEN line ELSE pad
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS line_no, line FROM q WHERE NOT wrapped OR regexp_matches(line, '\S')
 """)
 def json_pretty_lines(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.text_table(spark, sf, "documents", "doc_id", "text")
     j = F.concat(
         F.lit('{\n  "id": '), F.col("doc_id").cast("string"), F.lit(',\n    "body": "'),
         F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit('"\n}'),
