@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.arrays import let
+from quirework.functions.arrays import exploded, let
 from quirework.functions.mail import decode_body, decode_words
 from quirework.functions.text import strip
 
@@ -195,7 +195,7 @@ def email_parts(raw: DataFrame) -> DataFrame:
     their own, and an enclosed message is an attachment whose parts are
     ``forwarded``.
     """
-    return _parts(_with_headers(raw)).select("doc_id", F.explode("_parts").alias("p")).select("doc_id", "p.*")
+    return exploded(_parts(_with_headers(raw)), "doc_id", array=F.col("_parts"), value="p").select("doc_id", "p.*")
 
 
 def parse_emails(raw: DataFrame) -> DataFrame:
