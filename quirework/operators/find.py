@@ -139,7 +139,9 @@ def find_text(
             one.alias("_one"), "height", tr[0].alias("_sx"), tr[4].alias("_tx"), tr[5].alias("_ty"),
             spans.alias("_hits"),
         )
-        .withColumn("m", F.explode("_hits"))
+        .withColumn("m", F.explode_outer("_hits"))
+        # a plain explode would search a second time, for a filter on the number of matches
+        .where("m IS NOT NULL")
         .select(
             "doc_id", "page_no", "item_no",
             F.col("m.term_no").alias("term_no"),
