@@ -2,27 +2,64 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirework.functions.arrays import let
 from quirework.functions.text import strip
 from quirework.functions.units import half_up
+from quirework.operators.pagepacks import PAGE, map_pages, ordered
 
 # Row and column tolerance of the table grid, line tolerance (points).
 ROW_STEP, COL_STEP, LINE_TOLERANCE = 5.0, 10.0, 5.0
-PAGE = ["doc_id", "page_no"]
 
 
-def table_rows(items: DataFrame, min_cols: int = 2, min_rows: int = 2) -> DataFrame:
-    """Rows of detected tables: (doc_id, page_no, table_no, row_no, y, cells).
+#: What a pattern's white space is to the JVM.
+BLANK = " \t\n\x0b\f\r"
+
+
+def page_grid(ys: np.ndarray, xs: np.ndarray, nos: np.ndarray, strs: list, min_cols: int, min_rows: int) -> list[tuple]:
+    """Tables of a page as (table_no, y of each row, rows of cells), from items on the grid."""
+    order = ordered(strs, nos, xs, -ys)
+    y, x = ys[order], xs[order]
+    columns, col = np.unique(x, return_inverse=True)
+    new_row = np.r_[True, y[1:] != y[:-1]]
+    new_cell = new_row | np.r_[True, x[1:] != x[:-1]]
+    first = np.flatnonzero(new_cell)
+    cells: list[str | None] = [None if strs[k] is None else strs[k].strip(BLANK) for k in order[first].tolist()]
+    size = np.diff(np.r_[first, len(order)])
+    for c in np.flatnonzero(size > 1).tolist():
+        for k in order[first[c] + 1 : first[c] + size[c]].tolist():
+            cells[c] = None if strs[k] is None or cells[c] is None else f"{cells[c]} {strs[k]}".strip(BLANK)
+    col = col[first].tolist()
+    row_at = np.flatnonzero(new_row[first]).tolist()
+    found: list[tuple[list, list]] = []
+    open_ = False
+    for i, j in zip(row_at, [*row_at[1:], len(cells)], strict=True):
+        if sum(1 for c in cells[i:j] if c) < min_cols:
+            open_ = False
+            continue
+        row: list[str | None] = [""] * len(columns)
+        for c, text in zip(col[i:j], cells[i:j], strict=True):
+            row[c] = text
+        if not open_:
+            found.append(([], []))
+            open_ = True
+        found[-1][0].append(float(y[first[i]]))
+        found[-1][1].append(row)
+    return [(no, *t) for no, t in enumerate((t for t in found if len(t[0]) >= min_rows), 1)]
 
-    Items snap to a 5 x 10 point grid.  Items of a cell are combined first, then
-    cells of a grid row; the last window only sees the grid rows of one page,
-    at most page height / 5 of them.
-    """
+
+def page_tables_of(items: DataFrame, min_cols: int, min_rows: int) -> DataFrame:
+    """(doc_id, page_no, table_no, ys, rows): one row per table.
+
+    Items snap to a 5 x 10 point grid.  A page's items come together once, packed, and its tables are found in one go."""
     grid = items.select(
         *PAGE,
         (half_up(F.col("transform")[5] / ROW_STEP) * ROW_STEP).alias("y"),
@@ -30,65 +67,53 @@ def table_rows(items: DataFrame, min_cols: int = 2, min_rows: int = 2) -> DataFr
         "item_no",
         "str",
     )
-    joined = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("item_no", "str"))),
-        F.lit(""),
-        lambda acc, i: strip(F.concat(acc, F.lit(" "), i["str"])),
-    )
-    cells = grid.groupBy(*PAGE, "y", "x").agg(joined.alias("cell"))
-    # column numbers are page-wide: distinct x positions from the left
-    page = Window.partitionBy(*PAGE)
-    indexed = cells.withColumn("col", F.dense_rank().over(page.orderBy("x")) - 1).withColumn(
-        "n_cols", F.max("col").over(page) + 1
-    )
-    rows = (
-        indexed.groupBy(*PAGE, "y", "n_cols")
-        .agg(
-            F.count_if(F.col("cell") != "").alias("filled"),
-            F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("found"),
-        )
-        .withColumn("good", F.col("filled") >= min_cols)
-    )
-    islands = rows.withColumn(
-        "_break", F.sum(F.when(F.col("good"), 0).otherwise(1)).over(page.orderBy(F.desc("y")))
-    ).filter("good")
-    wi = Window.partitionBy(*PAGE, "_break")
-    sized = islands.withColumn("_n", F.count("*").over(wi)).filter(F.col("_n") >= min_rows)
-
-    def spread(found: Column, n_cols: Column) -> Column:
-        """Cells in column order with '' in the gaps, in one pass over the row."""
-        empty = lambda k: F.array_repeat(F.lit(""), k.cast("int"))
-        runs = F.transform(
-            found,
-            lambda c, i: F.concat(
-                F.array(c["cell"]),
-                empty(F.coalesce(F.get(found, i + 1)["col"], n_cols) - c["col"] - 1),
-            ),
-        )
-        return F.concat(empty(found[0]["col"]), F.flatten(runs))
-
-    return sized.select(
-        *PAGE,
-        F.dense_rank().over(page.orderBy("_break")).cast("long").alias("table_no"),
-        F.row_number().over(wi.orderBy(F.desc("y"))).cast("long").alias("row_no"),
-        "y",
-        spread(F.col("found"), F.col("n_cols")).alias("cells"),
-    )
+    keys = dict(grid.dtypes)
+    arrow = pa.schema([
+        *((c, to_arrow_type(grid.schema[c].dataType)) for c in PAGE), ("table_no", pa.int64()), ("ys", pa.list_(pa.float64())), ("rows", pa.list_(pa.list_(pa.string()))),
+    ])
+    schema = ", ".join(f"{c} {keys[c]}" for c in PAGE) + ", table_no long, ys array<double>, rows array<array<string>>"
+    return map_pages(grid, lambda y, x, no, s: page_grid(y, x, no, s, min_cols, min_rows), schema, arrow)
+
+
+def table_rows(items: DataFrame, min_cols: int = 2, min_rows: int = 2) -> DataFrame:
+    """Rows of detected tables: (doc_id, page_no, table_no, row_no, y, cells)."""
+    found = page_tables_of(items, min_cols, min_rows)
+    rows = found.select(*PAGE, "table_no", F.posexplode(F.arrays_zip("ys", "rows")).alias("i", "r"))
+    return rows.select(*PAGE, "table_no", (F.col("i") + 1).cast("long").alias("row_no"), F.col("r.ys").alias("y"), F.col("r.rows").alias("cells"))
 
 
 def detect_tables(items: DataFrame, min_cols: int = 2, min_rows: int = 2) -> DataFrame:
     """One row per table: (doc_id, page_no, table_no, start_y, end_y, rows)."""
-    return (
-        table_rows(items, min_cols, min_rows)
-        .groupBy(*PAGE, "table_no")
-        .agg(
-            F.max("y").alias("start_y"),
-            F.min("y").alias("end_y"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda r: r["cells"]
-            ).alias("rows"),
-        )
-    )
+    # rows come from the top
+    found = page_tables_of(items, min_cols, min_rows)
+    return found.select(*PAGE, "table_no", F.col("ys")[0].alias("start_y"), F.element_at("ys", -1).alias("end_y"), "rows")
+
+
+def page_lines(ys: np.ndarray, xs: np.ndarray, nos: np.ndarray, strs: list, fonts: list, sizes: np.ndarray) -> list[tuple]:
+    """Lines of a page as (y, font size, bold, italic, items, x), first fit in item order."""
+    values, place = np.unique(ys, return_inverse=True)
+    first = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(first, place, nos)
+    leaders: list[float] = []
+    line = np.zeros(len(values), dtype=np.int64)
+    for v in np.lexsort((values, first)).tolist():
+        at = next((k for k, l in enumerate(leaders) if abs(l - values[v]) < LINE_TOLERANCE), None)
+        if at is None:
+            leaders.append(float(values[v]))
+    for v, y in enumerate(values.tolist()):
+        line[v] = next(k for k, l in enumerate(leaders) if abs(l - y) < LINE_TOLERANCE)
+    of = line[place]
+    order = ordered(strs, nos, xs, of)
+    start = np.flatnonzero(np.diff(of[order], prepend=-1)).tolist()
+    styles = {f: (bool(re.search("bold|heavy|black", f.lower())), bool(re.search("italic|oblique", f.lower()))) for f in set(fonts) if f is not None}
+    out = []
+    for i, j in zip(start, [*start[1:], len(order)], strict=True):
+        at = order[i:j]
+        own = [styles[f] for f in {fonts[k] for k in at.tolist()} if f is not None]
+        bold, italic = (any(s[n] for s in own) if own else None for n in (0, 1))
+        listed = (xs[at], nos[at], [strs[k] for k in at.tolist()], [fonts[k] for k in at.tolist()])
+        out.append((leaders[of[at[0]]], float(np.max(sizes[at])), bold, italic, listed, float(xs[at[0]])))
+    return out
 
 
 def group_lines(items: DataFrame) -> DataFrame:
@@ -96,47 +121,23 @@ def group_lines(items: DataFrame) -> DataFrame:
 
     An item joins the first line whose opening item is less than 5 points away
     in y.  Whether and where it joins depends on y alone, so the fold runs over
-    the distinct y values of a page (in order of first appearance) and items are
-    attached by an equi-join afterwards.
+    the distinct y values of a page (in order of first appearance).  A page's
+    items come together once, packed.
     """
-    y, x = F.col("transform")[5], F.col("transform")[4]
     base = items.select(
-        *PAGE, "item_no", "str", "font_name", y.alias("y"), x.alias("x"),
-        F.when(F.col("height") > 0, F.col("height")).otherwise(F.abs(F.col("transform")[0])).alias("fs"),
-    )
-    first_seen = base.groupBy(*PAGE, "y").agg(F.min("item_no").alias("first"))
-    ys = first_seen.groupBy(*PAGE).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("first", "y"))), lambda s: s["y"]
-        ).alias("ys")
-    )
-
-    def near(v):
-        return lambda l: F.abs(l - v) < LINE_TOLERANCE
-
-    leaders = F.aggregate(
-        "ys",
-        F.array().cast("array<double>"),
-        lambda acc, v: F.when(F.exists(acc, near(v)), acc).otherwise(F.concat(acc, F.array(v))),
-    )
-    placed = (
-        ys.withColumn("leaders", leaders)
-        .select(*PAGE, "leaders", F.explode("ys").alias("y"))
-        .select(*PAGE, "y", F.filter("leaders", lambda l: F.abs(l - F.col("y")) < LINE_TOLERANCE)[0].alias("line_y"))
-    )
-    font = F.lower(F.col("font_name"))
-    return (
-        base.join(placed, [*PAGE, "y"])
-        .groupBy(*PAGE, "line_y")
-        .agg(
-            F.max("fs").alias("font_size"),
-            F.bool_or(font.rlike("bold|heavy|black")).alias("is_bold"),
-            F.bool_or(font.rlike("italic|oblique")).alias("is_italic"),
-            F.array_sort(F.collect_list(F.struct("x", "item_no", "str", "font_name"))).alias("items"),
-        )
-        .withColumn("x", F.col("items")[0]["x"])
-        .withColumnRenamed("line_y", "y")
+        *PAGE, F.col("transform")[5].cast("double").alias("y"), F.col("transform")[4].cast("double").alias("x"), F.col("item_no").cast("long").alias("item_no"), "str", "font_name",
+        F.when(F.col("height") > 0, F.col("height")).otherwise(F.abs(F.col("transform")[0])).cast("double").alias("fs"),
+    )
+    keys = dict(base.dtypes)
+    item = pa.struct([("x", pa.float64()), ("item_no", pa.int64()), ("str", pa.string()), ("font_name", pa.string())])
+    arrow = pa.schema([
+        *((c, to_arrow_type(base.schema[c].dataType)) for c in PAGE), ("y", pa.float64()), ("font_size", pa.float64()),
+        ("is_bold", pa.bool_()), ("is_italic", pa.bool_()), ("items", pa.list_(item)), ("x", pa.float64()),
+    ])
+    schema = ", ".join(f"{c} {keys[c]}" for c in PAGE) + (
+        ", y double, font_size double, is_bold boolean, is_italic boolean, items array<struct<x:double,item_no:long,str:string,font_name:string>>, x double"
     )
+    return map_pages(base, page_lines, schema, arrow)
 
 
 def line_text(items: Column) -> Column:

@@ -407,3 +407,56 @@ def test_lookup_sends_no_side_whole(spark, tmp_path):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     want = {i: f"v{i}" if i % 2 == 0 or i % 3 else f"k{i}" for i in range(50)}
     assert {r["doc_id"]: r["value"] for r in found.collect()} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marked_files_hold_every_line(spark, tmp_path):
+    t = spark.createDataFrame(
+        [(7, 1, 1, [["a", "b"], ["1,5", "x\ny"]]), (7, 2, 1, [["c"], ["2"]]), (8, 1, 1, [["d"], [""]])],
+        "doc_id long, page_no long, table_no int, rows array<array<string>>",
+    )
+    path = str(tmp_path / "csv")
+    writers.write_tables(t, path, "csv", folders=False)
+    assert not list((tmp_path / "csv").glob("doc_id=*"))
+    got = sorted((r.doc_id, r.line) for r in readers.marked_lines(spark, path).collect())
+    seven = ["# Table 1 (Page 1)", "a,b", '"1,5","x', 'y"', "", "# Table 1 (Page 2)", "c", "2", ""]
+    assert got == sorted([(7, x) for x in seven] + [(8, x) for x in ("# Table 1 (Page 1)", "d", "", "")])
+
+
+def test_items_of_a_page_meet_once(spark):
+    """Tables and lines take one exchange, of packed pages; scattered items give what neighbours give."""
+    r = random.Random(4)
+    rows = [(r.choice(["a", " b", "", "c d "]), 50 + 60 * r.randrange(6) + r.choice([0, 3]), 700 - 14 * r.randrange(9) - r.randrange(2)) for _ in range(200)]
+    df = items(spark, rows).withColumn("page_no", F.col("item_no") % 3).repartition(1).sortWithinPartitions("page_no")
+    for fn, order in ((tables.table_rows, ("page_no", "table_no", "row_no")), (tables.detect_tables, ("page_no", "table_no")), (tables.group_lines, ("page_no", "y"))):
+        one = fn(df)
+        assert plan_of(one).count("RepartitionByExpression") == 1 and "Aggregate" not in plan_of(one)
+        same = [x.orderBy(*order).collect() for x in (one, fn(df.repartition(7, "item_no")))]
+        assert same[0] == same[1] and same[0]
+
+
+def test_arrays_are_worked_out_once(spark, tmp_path):
+    """An explode that filters by an array's size works the array out a second time."""
+    spark.createDataFrame([(1, 1, 0, "the other", [10.0, 0.0, 0.0, 10.0, 50.0, 800.0], 45.0, 10.0)], "doc_id long, page_no long, item_no long, str string, transform array<double>, width double, height double").write.parquet(f"{tmp_path}/i")
+    spark.createDataFrame([(1, "Subject: x\r\n\r\nbody")], "doc_id long, raw string").write.parquet(f"{tmp_path}/m")
+    found = find.find_text(spark.read.parquet(f"{tmp_path}/i"), ["the"], number=False)
+    assert plan_of(found).count("regexp_extract_all") == 1 and [r.start for r in found.orderBy("start").collect()] == [0, 5]
+    assert plan_of(mail.email_parts(spark.read.parquet(f"{tmp_path}/m"))).count("size(transform(transform(") == 0
+
+
+def test_long_json_lines_are_cut_in_one_pass(spark):
+    import time
+
+    from quirework.operators import paginate
+
+    body = "ab cdé " * 700000
+    df = spark.createDataFrame([(1, f'{{\n  "body": "{body}"\n}}')], "doc_id long, json string")
+    began = time.time()
+    got = [r.line for r in paginate.json_lines(df, width=70).orderBy("line_no").collect()]
+    assert time.time() - began < 40
+    line = f'  "body": "{body}"'
+    assert got[0] == "{" and got[1] == line[:70] and got[-1] == "}"
+    assert "".join(x[4:] for x in got[2:-1]) == line[70:]
