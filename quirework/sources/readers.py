@@ -111,3 +111,10 @@ def html_pages(df: DataFrame, key: str = "page_id", column: str = "html") -> Dat
     """A table with an HTML column as the page source of the HTML operators."""
     rest = [c for c in df.columns if c not in (key, column)]
     return df.select(F.col(key).alias("page_id"), F.col(column).alias("html"), *rest)
+
+
+def marked_lines(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, line: lines of files that begin with their document's id and a comma."""
+    raw = spark.read.schema("value string").text(path)
+    at = F.position(F.lit(","), F.col("value"))
+    return raw.select(F.substring("value", F.lit(1), at - 1).cast("long").alias("doc_id"), F.substring(F.col("value"), at + 1, F.length("value")).alias("line"))

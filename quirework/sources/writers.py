@@ -206,9 +206,21 @@ def _write_documents(texts: DataFrame, path: str, part: Column, *order: str) ->
     ordered.select("doc_id", "part", "text").write.mode("overwrite").partitionBy("doc_id", "part").text(path)
 
 
-def write_tables(tables: DataFrame, path: str, fmt: str = "json") -> None:
+def _write_marked(texts: DataFrame, path: str, part: Column, *order: str) -> None:
+    """The same texts in as many files as there are tasks: every line begins with its document's id and a comma, and a
+    document's lines stand in order within each part.  ``readers.marked_lines`` takes them apart again."""
+    dealt = texts.withColumn("part", part).repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", *order)
+    mark = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(","))
+    lines = F.transform(F.split("text", "\n"), lambda l: F.concat(mark, l))
+    dealt.select(F.array_join(lines, "\n").alias("text")).write.mode("overwrite").text(path)
+
+
+def write_tables(tables: DataFrame, path: str, fmt: str = "json", folders: bool = True) -> None:
     """Tables in their own format: ``json`` as JSON lines, one table each with its ``docId``; ``csv`` and ``markdown`` as
-    text files in a folder per document and part of ``PAGES_PER_PART`` pages."""
+    text files in a folder per document and part of ``PAGES_PER_PART`` pages.
+
+    A folder per document costs some file operations each; for a corpus, without ``folders``, the same lines go to a file
+    per task, each behind its document's id."""
     if fmt == "json":
         line = F.concat(F.lit('{"docId":'), F.col("doc_id").cast("string"), F.lit(","), F.substring("text", 2, 1 << 30))
         table_json(tables).select(line.alias("text")).write.mode("overwrite").text(path)
@@ -216,7 +228,7 @@ def write_tables(tables: DataFrame, path: str, fmt: str = "json") -> None:
     texts = {"markdown": table_markdown, "csv": table_csv}[fmt](tables)
     ended = texts.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
     part = F.floor((F.col("page_no") - 1) / F.lit(PAGES_PER_PART)) + 1
-    _write_documents(ended, path, part, "page_no", "table_no")
+    (_write_documents if folders else _write_marked)(ended, path, part, "page_no", "table_no")
 
 
 def markdown_parts(pages: DataFrame, page_heads: bool = False, per_part: int = PAGES_PER_PART) -> DataFrame:
