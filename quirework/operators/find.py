@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,26 +82,29 @@ def browser_regex(pattern: str, case: bool) -> re.Pattern:
 
 
 def _regex_spans(patterns: Sequence[str], case: bool):
-    """Spans of every pattern in one pass over Arrow batches.
+    """Spans of every pattern in one pass over Arrow batches, held as columns of plain values.
 
     After an empty match the search goes on one character later.
     """
 
-    @F.pandas_udf("array<struct<term_no:int,start:int,text:string>>")
-    def spans(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<term_no:int,start:int,text:string>>")
+    def spans(text: pa.Array) -> pa.Array:
         rxs = [browser_regex(p, case) for p in patterns]
-
-        def found(s: str) -> list[dict]:
-            out = []
-            for no, rx in enumerate(rxs):
+        nos, starts, found, offsets = array("i"), array("i"), [], array("i", [0])
+        for value in text:
+            s = value.as_py()
+            for no, rx in enumerate(rxs if s is not None else ()):
                 m = rx.search(s)
                 while m:
-                    out.append({"term_no": no, "start": m.start(), "text": m.group()})
+                    nos.append(no)
+                    starts.append(m.start())
+                    found.append(sys.intern(m.group()))
                     at = m.end() + (m.end() == m.start())
                     m = rx.search(s, at) if at <= len(s) else None
-            return out
-
-        return text.map(found)
+            offsets.append(len(nos))
+        ints = lambda v: pa.array(np.frombuffer(v, dtype=np.int32))
+        structs = pa.StructArray.from_arrays([ints(nos), ints(starts), pa.array(found, pa.string())], names=["term_no", "start", "text"])
+        return pa.ListArray.from_arrays(ints(offsets), structs)
 
     # a deterministic function would be run a second time for the filter that explode implies
     return spans.asNondeterministic()
