@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +101,13 @@ def lcs_ops(a: list, b: list) -> list[tuple[int, int]]:
     scores the word of ``b`` counts as added.
     """
     n, m = len(a), len(b)
+    ops = []
+    # the way back starts along equal words, which need no scores
+    while n > 0 and m > 0 and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+        ops.append((n, m))
     masks: dict = {}
-    for j, w in enumerate(b):
+    for j, w in enumerate(b[:m]):
         masks[w] = masks.get(w, 0) | (1 << j)
     full = (1 << m) - 1
 
@@ -115,7 +122,6 @@ def lcs_ops(a: list, b: list) -> list[tuple[int, int]]:
         v = advance(v, a[i])
         if (i + 1) % stride == 0:
             saved.append(v)
-    ops = []
     i, j = n, m
     block, rows = -1, []
     while i > 0 or j > 0:
@@ -211,6 +217,54 @@ def _field(name: str):
     return lambda w: w[name]
 
 
+#: What white space and CJK characters are to ``functions.text.tokenize_words``.
+_WORDS, _CJK = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile("[\u4e00-\u9fa5]")
+
+
+def line_words(line: str) -> list[tuple[str, int]]:
+    """Words of a line, or its characters if some are CJK, with their offsets."""
+    if _CJK.search(line):
+        return [(c, i) for i, c in enumerate(line)]
+    return [(m.group(), m.start()) for m in _WORDS.finditer(line)]
+
+
+def box_words(pairs: DataFrame, first_x: float = 50.0, first_y: float = 40.0, leading: float = 14.0, advance: float = 5.0, height: float = 10.0) -> DataFrame:
+    """Adds words_a and words_b, the words of text_a and text_b with boxes: lines ``leading`` points apart, ``advance`` points a
+    character, fonts from font_a and font_b.  A null text gives null."""
+    sides = ("a", "b")
+    slim = pairs.select(*[c for c in pairs.columns if c[:5] not in ("text_", "font_")], *[f"{c}_{s}" for s in sides for c in ("text", "font")])
+    kept = slim.columns[:-4]
+    box = pa.struct([("text", pa.string()), *((c, pa.float64()) for c in BOX[1:5]), ("font", pa.string())])
+    ddl = "array<struct<text:string,x:double,y:double,w:double,h:double,font:string>>"
+
+    def words_of(texts: pa.Array, fonts: pa.Array) -> pa.Array:
+        offsets, missing, words, at, line_no, font = [0], [], [], [], [], []
+        for text, f in zip(texts.to_pylist(), fonts.to_pylist(), strict=True):
+            missing.append(text is None)
+            for i, line in enumerate((text or "").split("\n")):
+                found = line_words(line)
+                words += [w for w, _ in found]
+                at += [k for _, k in found]
+                line_no += [i] * len(found)
+            font += [f] * (len(words) - offsets[-1])
+            offsets.append(len(words))
+        n = np.fromiter(map(len, words), np.float64, len(words))
+        y = first_y + np.array(line_no, dtype=np.float64) * leading
+        cols = [words, first_x + np.array(at, dtype=np.float64) * advance, y, n * advance, np.full(len(words), height), font]
+        structs = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(cols, box, strict=True)], fields=list(box))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=pa.array(missing))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                b = batch.slice(s, 512)
+                text_a, font_a, text_b, font_b = b.columns[-4:]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-4], words_of(text_a, font_a), words_of(text_b, font_b)], names=[*kept, "words_a", "words_b"])
+
+    types = dict(slim.dtypes)
+    return slim.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), f"words_a {ddl}", f"words_b {ddl}"]))
+
+
 def diff_words(pairs: DataFrame) -> DataFrame:
     """Merged highlights of each page pair, numbered by mark_no.
 
@@ -233,10 +287,14 @@ def diff_words(pairs: DataFrame) -> DataFrame:
         for b in batches:
             col = {n: b.column(n) for n in b.schema.names}
             out = {n: [] for n, _ in MARK_SCHEMA}
+            flat, ends = {}, {}
+            for s in ("a", "b"):
+                ends[s] = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(col[f"text_{s}"]), 0).to_numpy(zero_copy_only=False)])
+                for c in BOX:
+                    own = col[f"{c}_{s}"].flatten()
+                    flat[c, s] = own.to_pylist() if c in ("text", "font") else own.to_numpy(zero_copy_only=False)
             for i in range(b.num_rows):
-                wa, wb = (
-                    {c: col[f"{c}_{s}"][i].as_py() or [] for c in BOX} for s in ("a", "b")
-                )
+                wa, wb = ({c: flat[c, s][ends[s][i] : ends[s][i + 1]] for c in BOX} for s in ("a", "b"))
                 marks, differing = page_highlights(wa, wb, col["height_a"][i].as_py(), col["height_b"][i].as_py())
                 n = len(marks["text"])
                 for k in keys:
