@@ -119,7 +119,29 @@ def map_pages(items: DataFrame, fn: Callable[..., list[tuple]], schema: str, arr
     return together.mapInArrow(run, schema)
 
 
-def ordered(strs: list, *keys: np.ndarray) -> np.ndarray:
+def map_parts(items: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` of some whole pages at a time: arrays of their doc_id and page_no, the places where each page's items begin (and
+    the last one's end), and the columns of all their items.
+
+    Items are collected before Python gets them: Spark works out the size of a batch anew at each of its rows, which takes
+    longer than all else that handing over an item needs.  No task holds more than a page besides its batch."""
+    rest = F.struct(*[c for c in items.columns if c not in PAGE])
+    together = items.groupBy(*PAGE).agg(F.collect_list(rest).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.r_[0, np.cumsum(pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))]
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + ITEMS, "right")) - 1)
+                part = b.slice(at, to - at)
+                yield fn(part.column(0), part.column(1), sizes[at : to + 1] - sizes[at], *part.column(2).flatten().flatten())
+                at = to
+
+    return together.mapInArrow(run, schema)
+
+
+def ordered(strs: list | np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Places sorted by ``keys``, the last one first, equals by text."""
     order = np.lexsort(keys)
     same = np.ones(max(len(order) - 1, 0), dtype=bool)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quirework.functions.arrays import let
 from quirework.functions.text import strip
 from quirework.functions.units import half_up
-from quirework.operators.pagepacks import PAGE, map_pages, ordered
+from quirework.operators.pagepacks import PAGE, map_pages, map_parts, ordered
 
 # Row and column tolerance of the table grid, line tolerance (points).
 ROW_STEP, COL_STEP, LINE_TOLERANCE = 5.0, 10.0, 5.0
@@ -89,33 +89,58 @@ def detect_tables(items: DataFrame, min_cols: int = 2, min_rows: int = 2) -> Dat
     return found.select(*PAGE, "table_no", F.col("ys")[0].alias("start_y"), F.element_at("ys", -1).alias("end_y"), "rows")
 
 
+def first_fit(page: np.ndarray, ys: np.ndarray, nos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line of each item, numbered over all pages in order, and the y of each line's opening item."""
+    order = np.lexsort((nos, ys, page))
+    p, y = page[order], ys[order]
+    new = np.r_[True, (p[1:] != p[:-1]) | (y[1:] != y[:-1])]
+    at = np.flatnonzero(new)
+    values, of, first = y[at], p[at], nos[order[at]]
+    line = np.empty(len(at), dtype=np.int64)
+    leaders: list[float] = []
+    begin, last = 0, None
+    by_first = np.lexsort((values, first, of))
+    for v, y_, page_ in zip(by_first.tolist(), values[by_first].tolist(), of[by_first].tolist(), strict=True):
+        if page_ != last:
+            begin, last = len(leaders), page_
+        fit = next((k for k in range(begin, len(leaders)) if abs(leaders[k] - y_) < LINE_TOLERANCE), len(leaders))
+        if fit == len(leaders):
+            leaders.append(y_)
+        line[v] = fit
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = line[np.cumsum(new) - 1]
+    return out, np.array(leaders)
+
+
+def font_styles(font: str) -> tuple[bool, bool]:
+    """Whether a font's name says bold, and italic."""
+    return bool(re.search("bold|heavy|black", font.lower())), bool(re.search("italic|oblique", font.lower()))
+
+
 def page_lines(ys: np.ndarray, xs: np.ndarray, nos: np.ndarray, strs: list, fonts: list, sizes: np.ndarray) -> list[tuple]:
     """Lines of a page as (y, font size, bold, italic, items, x), first fit in item order."""
-    values, place = np.unique(ys, return_inverse=True)
-    first = np.full(len(values), np.iinfo(np.int64).max)
-    np.minimum.at(first, place, nos)
-    leaders: list[float] = []
-    line = np.zeros(len(values), dtype=np.int64)
-    for v in np.lexsort((values, first)).tolist():
-        at = next((k for k, l in enumerate(leaders) if abs(l - values[v]) < LINE_TOLERANCE), None)
-        if at is None:
-            leaders.append(float(values[v]))
-    for v, y in enumerate(values.tolist()):
-        line[v] = next(k for k, l in enumerate(leaders) if abs(l - y) < LINE_TOLERANCE)
-    of = line[place]
+    of, leaders = first_fit(np.zeros(len(ys), dtype=np.int64), ys, nos)
     order = ordered(strs, nos, xs, of)
     start = np.flatnonzero(np.diff(of[order], prepend=-1)).tolist()
-    styles = {f: (bool(re.search("bold|heavy|black", f.lower())), bool(re.search("italic|oblique", f.lower()))) for f in set(fonts) if f is not None}
+    styles = {f: font_styles(f) for f in set(fonts) if f is not None}
     out = []
     for i, j in zip(start, [*start[1:], len(order)], strict=True):
         at = order[i:j]
         own = [styles[f] for f in {fonts[k] for k in at.tolist()} if f is not None]
         bold, italic = (any(s[n] for s in own) if own else None for n in (0, 1))
         listed = (xs[at], nos[at], [strs[k] for k in at.tolist()], [fonts[k] for k in at.tolist()])
-        out.append((leaders[of[at[0]]], float(np.max(sizes[at])), bold, italic, listed, float(xs[at[0]])))
+        out.append((float(leaders[of[at[0]]]), float(np.max(sizes[at])), bold, italic, listed, float(xs[at[0]])))
     return out
 
 
+def line_items(items: DataFrame) -> DataFrame:
+    """What lines need of items."""
+    return items.select(
+        *PAGE, F.col("transform")[5].cast("double").alias("y"), F.col("transform")[4].cast("double").alias("x"), F.col("item_no").cast("long").alias("item_no"), "str", "font_name",
+        F.when(F.col("height") > 0, F.col("height")).otherwise(F.abs(F.col("transform")[0])).cast("double").alias("fs"),
+    )
+
+
 def group_lines(items: DataFrame) -> DataFrame:
     """Items to text lines, first fit in item order.
 
@@ -124,10 +149,7 @@ def group_lines(items: DataFrame) -> DataFrame:
     the distinct y values of a page (in order of first appearance).  A page's
     items come together once, packed.
     """
-    base = items.select(
-        *PAGE, F.col("transform")[5].cast("double").alias("y"), F.col("transform")[4].cast("double").alias("x"), F.col("item_no").cast("long").alias("item_no"), "str", "font_name",
-        F.when(F.col("height") > 0, F.col("height")).otherwise(F.abs(F.col("transform")[0])).cast("double").alias("fs"),
-    )
+    base = line_items(items)
     keys = dict(base.dtypes)
     item = pa.struct([("x", pa.float64()), ("item_no", pa.int64()), ("str", pa.string()), ("font_name", pa.string())])
     arrow = pa.schema([
@@ -156,20 +178,22 @@ def heading_level(lines: DataFrame) -> DataFrame:
     # a page's lines are few and are needed together next, so a page window serves both
     mean = F.avg("font_size").over(Window.partitionBy(*PAGE))
     df = lines.withColumn("_mean", mean).withColumn("text", line_text(F.col("items")))
-    r = F.col("font_size") / F.col("_mean")
-    n = F.length("text")
+    return df.withColumn("heading_level", level_of(F.col("text"), F.col("font_size") / F.col("_mean"), F.col("is_bold"))).drop("_mean")
+
+
+def level_of(text: Column, r: Column, bold: Column) -> Column:
+    """Heading level of a line whose font size is ``r`` times the page's mean."""
+    n = F.length(text)
     short = n < 80
-    open_end = ~F.col("text").rlike(r"[.!?:;,]$")
-    bold = F.col("is_bold")
-    level = (
-        F.when(F.col("text") == "", 0)
+    open_end = ~text.rlike(r"[.!?:;,]$")
+    return (
+        F.when(text == "", 0)
         .when((r >= 1.8) | ((r >= 1.4) & bold & short), 1)
         .when((r >= 1.4) | ((r >= 1.2) & bold & short & open_end), 2)
         .when((r >= 1.15) & short & open_end, 3)
         .when(bold & open_end & (n < 50), 3)
         .otherwise(0)
     )
-    return df.withColumn("heading_level", level).drop("_mean")
 
 
 # List marks, numbered entries, addresses.
@@ -184,17 +208,53 @@ def column_centres(xs: list[np.ndarray]) -> np.ndarray:
     sample = np.sort(np.concatenate(xs))
     if len(sample) < SAMPLE_ITEMS:
         return np.empty(0)
-    groups = np.split(sample, np.flatnonzero(np.diff(sample) >= COLUMN_GAP) + 1)
-    centres = np.array([g.mean() for g in groups if len(g) > 1])
-    return centres if len(centres) >= MIN_COLUMNS else np.empty(0)
-
-
-def line_cells(xs: np.ndarray, texts: np.ndarray, centres: np.ndarray) -> list[str]:
-    """Texts of a line under their nearest column (the left one on equal distance)."""
-    away = np.abs(np.asarray(xs)[:, None] - centres)
-    nearest = away.argmin(axis=1)
-    reached = away.min(axis=1) < COLUMN_REACH
-    return [" ".join(t for t, c, r in zip(texts, nearest, reached) if r and c == k and t).strip() for k in range(len(centres))]
+    ends = np.concatenate(([0], np.flatnonzero(sample[1:] - sample[:-1] >= COLUMN_GAP) + 1, [len(sample)]))
+    size = ends[1:] - ends[:-1]
+    first, size = ends[:-1][size > 1], size[size > 1]
+    if len(first) < MIN_COLUMNS:
+        return np.empty(0)
+    # sums of a few values are taken for all columns at once, in the order that a mean adds them
+    sums = sample[first]
+    for k in range(1, min(int(size.max()), FEW)):
+        more = size > k
+        sums[more] += sample[first[more] + k]
+    centres = sums / size
+    for c in np.flatnonzero(size >= FEW).tolist():
+        centres[c] = sample[first[c] : first[c] + size[c]].mean()
+    return centres
+
+
+#: Numpy adds up fewer values than these one after the other.
+FEW = 8
+
+
+def nearest_column(xs: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest column (the left one on equal distance), -1 where none is in reach."""
+    if centres[-1] != centres[-1]:
+        # a place that is no number makes the last column none, and nothing is nearest
+        return np.full(len(xs), -1)
+    right = np.minimum(centres.searchsorted(xs), len(centres) - 1)
+    if (centres[right] == xs).all():
+        return right
+    left = np.maximum(right - 1, 0)
+    away_left, away_right = np.abs(xs - centres[left]), np.abs(xs - centres[right])
+    nearest = np.where(away_left <= away_right, left, right)
+    nearest[~(np.minimum(away_left, away_right) < COLUMN_REACH)] = -1
+    return nearest
+
+
+def line_cells(xs: np.ndarray, texts: list[str | None], centres: np.ndarray) -> list[str]:
+    """Texts of a line under their nearest column."""
+    nearest = nearest_column(xs, centres)
+    n = len(nearest)
+    if n and nearest[0] == 0 and nearest[-1] == n - 1 and (nearest[1:] > nearest[:-1]).all():
+        # one text for each of the first columns
+        return [*[t.strip() if t else "" for t in texts], *[""] * (len(centres) - n)]
+    cells: dict[int, list[str]] = {}
+    for c, t in zip(nearest.tolist(), texts):
+        if t and c >= 0:
+            cells.setdefault(c, []).append(t)
+    return [" ".join(cells[c]).strip() if c in cells else "" for c in range(len(centres))]
 
 
 def page_tables(xs: list[np.ndarray], texts: list[np.ndarray]) -> list[dict]:
@@ -224,45 +284,77 @@ def page_tables(xs: list[np.ndarray], texts: list[np.ndarray]) -> list[dict]:
     return found
 
 
+def places(lists: pa.Array) -> np.ndarray:
+    """Where the elements of each list begin, and the last one's end."""
+    return np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+
+
 def tables_of(xs: Column, texts: Column) -> Column:
     """page_tables of a row's lines, as array<struct<first,last,text>>."""
 
-    @F.pandas_udf("array<struct<first:int,last:int,text:string>>")
-    def found(xs: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([page_tables(list(x), list(t)) for x, t in zip(xs, texts)], dtype=object)
+    @F.arrow_udf("array<struct<first:int,last:int,text:string>>")
+    def found(xs: pa.Array, texts: pa.Array) -> pa.Array:
+        lines, words = xs.flatten(), texts.flatten()
+        return tables_in(places(xs), places(lines), lines.flatten().to_numpy(zero_copy_only=False), words.flatten().to_pylist())
 
     return found(xs, texts)
 
 
-def line_kinds(lines: DataFrame, links: bool = False) -> DataFrame:
-    """kind (blank, heading, mono, bullet, numbered, bold, italic, body), indent and the line as Markdown shows it.
-
-    Needs the columns of ``heading_level`` plus font, _mean and _margin of the page.
-    """
-    text = F.col("text")
-    shown = F.regexp_replace(text, URL, "[$1]($1)") if links else text
-    pad = F.repeat(F.lit("  "), F.least("indent", F.lit(3)))
-    kind = (
-        F.when(text == "", "blank")
-        .when(F.col("heading_level") > 0, "heading")
-        .when(F.lower("font").rlike("mono|courier"), "mono")
-        .when(text.rlike(BULLET), "bullet")
-        .when(text.rlike(NUMBERED), "numbered")
-        .when(F.col("is_bold"), "bold")
-        .when(F.col("is_italic"), "italic")
-        .otherwise("body")
-    )
-    as_shown = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("heading_level")), F.lit(" "), shown))
-        .when(F.col("kind") == "mono", text)
-        .when(F.col("kind") == "bullet", F.concat(pad, F.lit("- "), F.regexp_replace(shown, BULLET, "")))
-        .when(F.col("kind") == "numbered", F.concat(pad, F.regexp_replace(text, NUMBERED, "$1. $2")))
-        .when(F.col("kind") == "bold", F.concat(F.lit("**"), shown, F.lit("**")))
-        .when(F.col("kind") == "italic", F.concat(F.lit("*"), shown, F.lit("*")))
-        .otherwise(shown)
-    )
-    indent = F.floor((F.col("x") - F.col("_margin")) / F.col("_mean") + 0.5).cast("int")
-    return lines.withColumns({"kind": kind, "indent": indent}).withColumn("shown", as_shown)
+TABLE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("text", pa.string())])
+
+
+def tables_in(pages: np.ndarray, lines: np.ndarray, xs: np.ndarray, texts: list) -> pa.Array:
+    """page_tables of each page, from the places where its lines begin, and their items'."""
+    cuts, ends = lines.tolist(), pages.tolist()
+    found = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        at = [slice(cuts[k], cuts[k + 1]) for k in range(a, b)]
+        found.append(page_tables([xs[k] for k in at], [texts[k] for k in at]))
+    return pa.array(found, pa.list_(TABLE))
+
+
+def line_kinds(line: Column, mean: Column, margin: Column, links: bool) -> Column:
+    """The line (y, x, font_size, is_bold, is_italic, font, joined) with its kind (blank, heading, mono, bullet, numbered,
+    bold, italic, body), indent and what Markdown shows of it."""
+
+    def kind_of(text: Column) -> Column:
+        level = level_of(text, line["font_size"] / mean, line["is_bold"])
+        return let(F.struct(text.alias("text"), level.alias("level")), shown_of)
+
+    def shown_of(m: Column) -> Column:
+        text = m["text"]
+        kind = (
+            F.when(text == "", "blank")
+            .when(m["level"] > 0, "heading")
+            .when(F.lower(line["font"]).rlike("mono|courier"), "mono")
+            .when(text.rlike(BULLET), "bullet")
+            .when(text.rlike(NUMBERED), "numbered")
+            .when(line["is_bold"], "bold")
+            .when(line["is_italic"], "italic")
+            .otherwise("body")
+        )
+        indent = F.floor((line["x"] - margin) / mean + 0.5).cast("int")
+        return let(F.struct(kind.alias("kind"), indent.alias("indent"), text.alias("text"), m["level"].alias("level")), put)
+
+    def put(m: Column) -> Column:
+        text, kind = m["text"], m["kind"]
+        shown = F.regexp_replace(text, URL, "[$1]($1)") if links else text
+        pad = F.repeat(F.lit("  "), F.least(m["indent"], F.lit(3)))
+        as_shown = (
+            F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), m["level"]), F.lit(" "), shown))
+            .when(kind == "mono", text)
+            .when(kind == "bullet", F.concat(pad, F.lit("- "), F.regexp_replace(shown, BULLET, "")))
+            .when(kind == "numbered", F.concat(pad, F.regexp_replace(text, NUMBERED, "$1. $2")))
+            .when(kind == "bold", F.concat(F.lit("**"), shown, F.lit("**")))
+            .when(kind == "italic", F.concat(F.lit("*"), shown, F.lit("*")))
+            .otherwise(shown)
+        )
+        return F.struct(
+            (-line["y"]).alias("up"), line["x"].alias("x"), line["y"].alias("y"), kind.alias("kind"), m["indent"].alias("indent"), as_shown.alias("shown"),
+            mean.alias("_mean"),
+        )
+
+    return let(strip(F.regexp_replace(line["joined"], r"\s+", " ")), kind_of)
 
 
 def lines_to_markdown(lines: DataFrame, keep_breaks: bool = False, links: bool = False) -> DataFrame:
@@ -274,19 +366,73 @@ def lines_to_markdown(lines: DataFrame, keep_breaks: bool = False, links: bool =
     together: one exchange by (doc_id, page_no), then one ordered fold over the
     lines of each page.  Only table columns are found in Python.
     """
-    page = Window.partitionBy(*PAGE)
-    slim = heading_level(lines).select(
-        *PAGE, (-F.col("y")).alias("up"), "y", "x", "text", "is_bold", "is_italic", "heading_level",
-        F.col("items")[0]["font_name"].alias("font"),
-        F.avg("font_size").over(page).alias("_mean"),
-        F.min("x").over(page).alias("_margin"),
-        F.transform("items", lambda i: i["x"]).alias("xs"),
-        F.transform("items", lambda i: i["str"]).alias("strs"),
-    )
-    kinds = line_kinds(slim, links).select(*PAGE, F.struct("up", "x", "y", "kind", "indent", "shown", "_mean", "xs", "strs").alias("l"))
-    by_page = kinds.groupBy(*PAGE).agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    joined = F.array_join(F.transform("items", lambda i: i["str"]), " ")
+    line = F.struct(
+        "y", "x", "font_size", "is_bold", "is_italic", F.col("items")[0]["font_name"].alias("font"), joined.alias("joined"),
+        F.transform("items", lambda i: i["x"]).alias("xs"), F.transform("items", lambda i: i["str"]).alias("strs"),
+    )
+    pages = lines.groupBy(*PAGE).agg(F.avg("font_size").alias("_mean"), F.min("x").alias("_margin"), F.collect_list(line).alias("raw"))
+    shown = F.transform("raw", lambda r: let(line_kinds(r, F.col("_mean"), F.col("_margin"), links), lambda l: F.struct(l["up"], l["x"], l["y"], l["kind"], l["indent"], l["shown"], l["_mean"], r["xs"], r["strs"])))
+    by_page = pages.select(*PAGE, F.array_sort(shown).alias("ls"))
     by_page = by_page.withColumn("tables", tables_of(F.col("ls.xs"), F.col("ls.strs")))
-    return by_page.select(*PAGE, strip(F.regexp_replace(page_text(F.col("ls"), F.col("tables"), keep_breaks), r" +\n", "\n")).alias("markdown"))
+    return by_page.select(*PAGE, tidy(page_text(F.col("ls"), F.col("tables"), keep_breaks)).alias("markdown"))
+
+
+def items_to_markdown(items: DataFrame, keep_breaks: bool = False, links: bool = False) -> DataFrame:
+    """``lines_to_markdown`` of ``group_lines``, from items that come together once.
+
+    Lines and table columns of a page are found in one go, so that neither single items nor the words of lines go through a
+    second exchange."""
+    base = line_items(items)
+    line = pa.struct([
+        ("y", pa.float64()), ("x", pa.float64()), ("font_size", pa.float64()), ("is_bold", pa.bool_()), ("is_italic", pa.bool_()), ("font", pa.string()), ("joined", pa.string()),
+    ])
+
+    def pages(docs, nos, n, y, x, no, text, font, fs) -> pa.RecordBatch:
+        page = np.repeat(np.arange(len(n) - 1), np.diff(n))
+        y, x, no, fs = (c.to_numpy(zero_copy_only=False) for c in (y, x, no, fs))
+        of, leaders = first_fit(page, y, no)
+        of_page = np.empty(len(leaders), dtype=np.int64)
+        of_page[of] = page
+        # lines from the top of each page
+        from_top = np.lexsort((-leaders, of_page))
+        place = np.empty(len(leaders), dtype=np.int64)
+        place[from_top] = np.arange(len(leaders))
+        strs = text.to_numpy(zero_copy_only=False)
+        order = ordered(strs, no, x, place[of])
+        start = np.searchsorted(place[of][order], np.arange(len(leaders)))
+        ends = np.r_[start, len(order)]
+        names = font.dictionary_encode()
+        code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)[order]
+        styles = np.array([*map(font_styles, names.dictionary.to_pylist()), (False, False)])
+        unnamed = ~np.logical_or.reduceat(code >= 0, start)
+        bold, italic = (pa.array(np.logical_or.reduceat(styles[code, k], start), mask=unnamed) for k in (0, 1))
+        known = text.take(pa.array(order))
+        cuts = ends
+        if known.null_count:
+            cuts = np.r_[0, np.cumsum(known.is_valid().to_numpy(zero_copy_only=False))][ends]
+            known = known.drop_null()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), known), " ")
+        lead = pa.array(order[start])
+        at = np.searchsorted(of_page[from_top], np.arange(len(n)))
+        fields = [pa.array(leaders[from_top]), pa.array(x[order[start]]), pa.array(np.maximum.reduceat(fs[order], start)), bold, italic, font.take(lead), joined]
+        lines = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(line)))
+        return pa.RecordBatch.from_arrays([docs, nos, lines, tables_in(at, ends, x[order], strs[order].tolist())], names=[*PAGE, "raw", "tables"])
+
+    keys = dict(base.dtypes)
+    schema = ", ".join(f"{c} {keys[c]}" for c in PAGE) + (
+        ", raw array<struct<y:double,x:double,font_size:double,is_bold:boolean,is_italic:boolean,font:string,joined:string>>"
+        ", tables array<struct<first:int,last:int,text:string>>"
+    )
+    found = map_parts(base, pages, schema)
+    total = F.aggregate(F.col("raw.font_size"), F.lit(0.0), lambda a, v: a + v)
+    found = found.select(*PAGE, "raw", "tables", (total / F.size("raw")).alias("_mean"), F.array_min("raw.x").alias("_margin"))
+    shown = F.transform("raw", lambda r: line_kinds(r, F.col("_mean"), F.col("_margin"), links))
+    return found.select(*PAGE, tidy(page_text(shown, F.col("tables"), keep_breaks)).alias("markdown"))
+
+
+def tidy(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r" +\n", "\n"))
 
 
 _PAGE_STATE = "struct<last:string,before:string,y:double,indent:int,first:int,open:boolean,out:array<string>>"
@@ -318,7 +464,8 @@ def page_text(lines: Column, tables: Column, keep_breaks: bool) -> Column:
         def joined(m: Column) -> Column:
             same = F.when(kind == "table", (a["before"] == "table") & (a["first"] == line["first"])).when(kind == "mono", a["before"] == "mono").otherwise(m["flows"] & a["open"])
             # lines that look like list entries take nothing up: a paragraph begins at the first line of its run that does not
-            loose = ~shown.rlike(r"^\s*-|^\s*\d+\.|^[#|]")
+            # (as a table's text does; one anchor before all of them ends the search at once)
+            loose = (kind != "table") & ~shown.rlike(r"^(?:\s*-|\s*\d+\.|[#|])")
             return F.struct(F.coalesce(same, F.lit(False)).alias("same"), F.when(m["flows"], a["open"] | loose).otherwise(loose).alias("open"))
 
         def put_out(m: Column) -> Column:

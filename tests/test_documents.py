@@ -72,6 +72,37 @@ def test_markdown_tables_of_any_length():
     assert tables.page_tables(xs[-2:], texts[-2:]) == [] and tables.page_tables([], []) == []
 
 
+def test_columns_of_a_long_line_take_no_square():
+    """Cells of a line were found by a table of its words times all columns."""
+    import time
+
+    xs = [50.0 + 60.0 * np.arange(20000)] * 5
+    texts = [np.array([f"w{i}" for i in range(20000)], dtype=object)] * 5
+    began = time.time()
+    (table,) = tables.page_tables(xs, texts)
+    assert time.time() - began < 10
+    assert table["text"].split("\n")[4] == "| " + " | ".join(texts[0]) + " |"
+    # the left one of two columns as near as each other, and none beyond 40 points
+    assert tables.line_cells(np.array([30.0, 55.0, 150.0, 161.0]), ["a", "b ", "c", "d"], np.array([10.0, 50.0, 120.0])) == ["a", "b", "c"]
+
+
+def test_markdown_of_items_is_that_of_lines(spark):
+    r = random.Random(6)
+    words = ["a", "• x", "b.", "", None, "1. c", "-", " d  e", "Long line of words"]
+    rows = [
+        (r.randrange(3), r.randrange(9), i, r.choice(words), [10.0, 0.0, 0.0, r.choice([10.0, 14.0, 20.0]), 50.0 + r.choice([12, 60]) * r.randrange(5), 800.0 - 14 * r.randrange(14) - r.randrange(3)],
+         5.0, r.choice([0.0, 10.0, 10.0, 16.0]), r.choice(["Helvetica", "Helvetica-Bold", "Times-Italic", "Courier", None]))
+        for i in range(1500)
+    ]
+    schema = "doc_id long, page_no long, item_no long, str string, transform array<double>, width double, height double, font_name string"
+    df = spark.createDataFrame(rows, schema)
+    for options in ({}, {"keep_breaks": True, "links": True}):
+        want = tables.lines_to_markdown(tables.group_lines(df), **options).orderBy("doc_id", "page_no").collect()
+        got = tables.items_to_markdown(df.repartition(5), **options)
+        assert got.orderBy("doc_id", "page_no").collect() == want and any("| --- |" in x.markdown for x in want)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_mail_bodies_are_decoded(spark):
     rows = [
         (1, "Content-Transfer-Encoding: base64\r\n\r\nZ3LDvMOfZQ=="),
