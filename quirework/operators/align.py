@@ -13,32 +13,75 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.session import shared_dir
 
 PAGES = 1024
 
-PAGE = "pair_id long, _break long, side string, page_no long, n int, chars array<int>, counts array<int>"
 FRONT = "pair_id long, i long, j long, bottom array<double>, right array<double>"
 STEP = "pair_id long, _break long, i long, j long, row long, col long, done long, finished boolean, page_a array<long>, page_b array<long>, similarity array<double>"
 
 
-def page_letters(pages: DataFrame) -> DataFrame:
-    """Columns of ``PAGE``: code points and their counts, for pages (pair_id, _break, side, page_no, t)."""
+def letters_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text without white space, rising, and their counts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<i4")
+    if codes.max(initial=0) < LOW:
+        counts = np.bincount(codes)
+        chars = np.flatnonzero(counts)
+        counts = counts[chars]
+    else:
+        chars, counts = np.unique(codes, return_counts=True)
+    kept = (chars != 32) & ((chars < 9) | (chars > 13))
+    return chars[kept].astype(np.int32), counts[kept].astype(np.int32)
+
+
+#: Texts with code points below this are counted in a table.
+LOW = 4096
+
+
+def with_letters(pages: DataFrame, text: str) -> DataFrame:
+    """A text's code points without white space (rising), their counts and how many there are, in place of the text; nulls
+    for no text."""
+    rest = [c for c in pages.columns if c != text]
+    names = [*rest, "n", "chars", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<i4"), return_counts=True) for t in batch.column(4).to_pylist()]
+            texts = batch.column(len(rest)).to_pylist()
+            found = [None if t is None else letters_of(t) for t in texts]
             cols = [
-                pa.array([int(n.sum()) for _, n in found], pa.int32()),
-                pa.array([c for c, _ in found], pa.list_(pa.int32())),
-                pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())),
+                pa.array([None if f is None else int(f[1].sum()) for f in found], pa.int32()),
+                pa.array([None if f is None else f[0] for f in found], pa.list_(pa.int32())),
+                pa.array([None if f is None else f[1] for f in found], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], names=[c.split()[0] for c in PAGE.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *cols], names=names)
+
+    kinds = dict(pages.dtypes)
+    return pages.select(*rest, text).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], "n int, chars array<int>, counts array<int>"]))
+
+
+def likeness(n_a: Column, chars_a: Column, n_b: Column, chars_b: Column, counts_b: Column) -> Column:
+    """``functions.text.text_similarity`` of two texts, from their letters."""
+
+    def keys(chars: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(chars)), pc.fill_null(pc.list_value_length(chars), 0).to_numpy(zero_copy_only=False))
+        return row, (row << 21) | chars.flatten().to_numpy(zero_copy_only=False)
+
+    @F.arrow_udf("double")
+    def shared(n_a: pa.Array, chars_a: pa.Array, n_b: pa.Array, chars_b: pa.Array, counts_b: pa.Array) -> pa.Array:
+        both = pc.and_(n_a.is_valid(), n_b.is_valid()).to_numpy(zero_copy_only=False)
+        a, b = (pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in (n_a, n_b))
+        of_a, (row, of_b) = keys(chars_a)[1], keys(chars_b)
+        hit = np.isin(of_b, of_a)
+        found = np.bincount(row[hit], counts_b.flatten().to_numpy(zero_copy_only=False)[hit], minlength=len(a))
+        out = np.divide(2.0 * found, a + b, out=np.ones(len(a)), where=a + b > 0)
+        out[(a == 0) != (b == 0)] = 0.0
+        return pa.array(out, mask=~both)
 
-    return pages.select("pair_id", "_break", "side", "page_no", "t").mapInArrow(run, PAGE)
+    return shared(n_a, chars_a, n_b, chars_b, counts_b)
 
 
 class Side:
@@ -106,11 +149,14 @@ def walk(s: np.ndarray, hit: np.ndarray, d: np.ndarray, i: int, j: int) -> tuple
 
 
 def align(pages: DataFrame, at_least: float, size: int = PAGES) -> DataFrame:
-    """pair_id, pair_no, page_a, page_b, similarity for pages (pair_id, _break, side, page_no from 1, t) of unsettled pairs."""
+    """pair_id, pair_no, page_a, page_b, similarity for pages (pair_id, _break, side, page_no from 1) of unsettled pairs, with
+    their text without white space (t) or its letters."""
     spark = pages.sparkSession
     base = shared_dir(spark, "page-blocks")
     listed = F.array_sort(F.collect_list(F.struct("page_no", "n", "chars", "counts")))
-    blocks = page_letters(pages).groupBy("pair_id", "side", F.floor((F.col("page_no") - 1) / size).alias("no")).agg(F.first("_break").alias("_break"), listed.alias("p"))
+    if "t" in pages.columns:
+        pages = with_letters(pages.withColumn("t", F.coalesce("t", F.lit(""))), "t")
+    blocks = pages.groupBy("pair_id", "side", F.floor((F.col("page_no") - 1) / size).alias("no")).agg(F.first("_break").alias("_break"), listed.alias("p"))
     blocks = blocks.select(
         "pair_id", "side", "no", "_break", F.col("p.n").alias("lengths"), F.transform("p", lambda x: F.size(x["chars"])).alias("sizes"),
         F.flatten("p.chars").alias("chars"), F.flatten("p.counts").alias("counts"),

@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.text import strip, text_similarity
-from quirework.operators.align import align
-from quirework.operators.prefix import with_totals
+from quirework.functions.text import strip
+from quirework.operators.align import align, likeness, with_letters
+from quirework.operators.prefix import block_totals, page_block
 from quirework.session import materialise
 
 # Page match, same page, moved text, short segment, header band.
@@ -25,12 +25,19 @@ PAGE_MATCH, PAGE_SAME, MOVED_MATCH, MOVED_MIN, EDGE_BAND = 0.25, 0.999, 0.85, 5,
 SAME_LINE, ADJOINING = 5.0, 15.0
 
 
+LETTERS = ("n", "chars", "counts")
+
+
 def _from_end(pages: DataFrame, side: str) -> DataFrame:
-    return with_totals(pages.select("doc_id", "page_no", "text"), ["doc_id"], total="_n").select(
+    """Letters of a version's pages, numbered from the last page."""
+    block = page_block("page_no")
+    totals = block_totals(pages, ["doc_id"], [("_block", block)], F.lit(1).cast("long")).withColumnRenamed("__total", "_n")
+    letters = with_letters(pages.select("doc_id", "page_no", "text"), "text").withColumn("_block", block)
+    return letters.join(totals, ["doc_id", "_block"], "left").select(
         F.col("doc_id").alias("pair_id"),
         (F.col("_n") - F.col("page_no")).alias("k"),
         F.col("page_no").alias(f"page_{side}"),
-        F.col("text").alias(f"text_{side}"),
+        *[F.col(c).alias(f"{c}_{side}") for c in LETTERS],
     )
 
 
@@ -43,18 +50,13 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
     resembles page M-k of the other (>= 0.25) they pair up, whatever the rest
     looks like.  That diagonal is one equi-join on (pair_id, k), written once to
     the shared folder because three readers follow (each reads few columns).
+    Likeness counts letters only, so those and not the texts are moved and written.
     Only pairs with a break in it need the full recurrence, and only for the
     pages before the break (``align``, in blocks of pages).  ``keep_text`` adds
-    text_a and text_b.
+    text_a and text_b, which meet their pairs at the end.
     """
-    side_a, side_b = _from_end(a, "a"), _from_end(b, "b")
-    joined = side_a.join(side_b, ["pair_id", "k"], "full").withColumn(
-        "similarity",
-        F.when(
-            F.col("page_a").isNotNull() & F.col("page_b").isNotNull(),
-            text_similarity(F.col("text_a"), F.col("text_b")),
-        ),
-    )
+    joined = _from_end(a, "a").join(_from_end(b, "b"), ["pair_id", "k"], "full")
+    joined = joined.withColumn("similarity", likeness(*[F.col(c) for c in ("n_a", "chars_a", "n_b", "chars_b", "counts_b")]))
     diag = materialise(joined, "page-pairs")
     breaks = (
         diag.filter(F.col("similarity") < PAGE_MATCH)
@@ -62,25 +64,32 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
         .agg(F.min("k").alias("_break"))
     )
     marked = diag.join(breaks, "pair_id", "left")
-    out = ["pair_id", "pair_no", "page_a", "page_b", "similarity"] + (["text_a", "text_b"] if keep_text else [])
+    out = ["pair_id", "pair_no", "page_a", "page_b", "similarity"]
     settled = (
         marked.filter(F.col("_break").isNull() | (F.col("k") < F.col("_break")))
         .withColumn("pair_no", -F.col("k"))
         .select(*out)
     )
     rest = diag.join(breaks, "pair_id").filter(F.col("k") >= F.col("_break"))
-    resolved = align(_pages_of(rest), PAGE_MATCH)
+    pairs = settled.unionByName(align(_pages_of(rest), PAGE_MATCH).select(*out))
     if keep_text:
-        for s in ("a", "b"):
-            resolved = resolved.join(
-                rest.select("pair_id", f"page_{s}", f"text_{s}"), ["pair_id", f"page_{s}"], "left"
-            )
-    return settled.unionByName(resolved.select(*out))
+        for s, pages in (("a", a), ("b", b)):
+            texts = pages.select(F.col("doc_id").alias("pair_id"), F.col("page_no").alias(f"page_{s}"), F.col("text").alias(f"text_{s}"))
+            pairs = pairs.join(texts, ["pair_id", f"page_{s}"], "left")
+        pairs = pairs.select(*out, "text_a", "text_b")
+    return pairs
 
 
 def _pages_of(rest: DataFrame) -> DataFrame:
-    """Pages of both sides without their whitespace."""
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"page_{s}").alias("page_no"), F.regexp_replace(F.col(f"text_{s}"), r"\s+", "").alias("t")) for s in ("a", "b")])
+    """Letters of the pages of both sides; a page without text counts as empty."""
+    none = F.array().cast("array<int>")
+    sides = F.array(*[
+        F.struct(
+            F.lit(s).alias("side"), F.col(f"page_{s}").alias("page_no"), F.coalesce(f"n_{s}", F.lit(0)).alias("n"),
+            F.coalesce(f"chars_{s}", none).alias("chars"), F.coalesce(f"counts_{s}", none).alias("counts"),
+        )
+        for s in ("a", "b")
+    ])
     return rest.select("pair_id", "_break", F.explode(sides).alias("s")).select("pair_id", "_break", "s.*").filter("page_no IS NOT NULL")
 
 

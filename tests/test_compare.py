@@ -87,6 +87,33 @@ def test_page_pairing_equals_table(spark, monkeypatch, size):
         assert mine == slow_pairs(a, b), (a, b)
 
 
+def test_pairing_moves_letters_and_not_texts(spark):
+    kinds = ["", None, " \t\n", "abc abd\u00a0", "xyz ✂ zzy𝒳", "über𝒳", "aa\u0001 b", "a" * 5000]
+    schema = "doc_id long, page_no long, text string"
+    a, b = (spark.createDataFrame([(d * 10 + e, 1, (x, y)[side]) for d, x in enumerate(kinds) for e, y in enumerate(kinds)], schema) for side in (0, 1))
+    written = []
+    real = compare.materialise
+    try:
+        compare.materialise = lambda df, purpose: written.append(real(df, purpose)) or written[-1]
+        got = {(r.page_a, r.page_b, r.pair_id): r for r in compare.pair_pages(a, b, keep_text=True).collect()}
+    finally:
+        compare.materialise = real
+    assert "string" not in [t for _, t in written[0].dtypes]
+    for d, x in enumerate(kinds):
+        for e, y in enumerate(kinds):
+            mine = [r for r in got.values() if r.pair_id == d * 10 + e]
+            squeezed = ["".join(c for c in t or "" if c not in " \t\n\x0b\f\r") for t in (x, y)]
+            if x is not None and y is not None:
+                p, q = squeezed
+                s = 1.0 if not p and not q else 0.0 if not p or not q else 2 * sum(c in p for c in q) / (len(p) + len(q))
+            if x is None or y is None:
+                assert [(r.similarity, r.text_a, r.text_b) for r in mine] == [(None, x, y)]
+            elif s >= compare.PAGE_MATCH:
+                assert [(r.similarity, r.text_a, r.text_b) for r in mine] == [(s, x, y)]
+            else:
+                assert sorted((r.page_a or 0, r.text_a or "", r.text_b or "") for r in mine) == [(0, "", y), (1, x, "")]
+
+
 def test_scores_of_a_block():
     r = np.random.default_rng(3)
     for n, m in ((1, 1), (1, 7), (7, 1), (5, 9), (12, 4), (0, 3), (3, 0)):
