@@ -16,10 +16,10 @@ PAGE = ["doc_id", "page_no"]
 ITEMS = 1 << 16
 
 
-def _changes(col: pa.Array) -> np.ndarray:
+def changes(col: pa.Array) -> np.ndarray:
     """Whether each value differs from the one before; the first one does."""
     if col.null_count:
-        return _changes(col.is_null().cast(pa.int8())) | _changes(pc.fill_null(col, 0))
+        return changes(col.is_null().cast(pa.int8())) | changes(pc.fill_null(col, 0))
     v = col.to_numpy(zero_copy_only=False)
     return np.r_[True, v[1:] != v[:-1]]
 
@@ -32,7 +32,7 @@ def packed(items: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            first = np.flatnonzero(_changes(b.column(0)) | _changes(b.column(1)))
+            first = np.flatnonzero(changes(b.column(0)) | changes(b.column(1)))
             offsets = pa.array(np.r_[first, b.num_rows].astype(np.int32))
             cols = [b.column(i).take(pa.array(first)) for i in (0, 1)]
             cols += [pa.ListArray.from_arrays(offsets, c) for c in b.columns[2:]]

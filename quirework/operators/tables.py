@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quirework.functions.arrays import let
-from quirework.functions.text import strip
+from quirework.functions.text import squeeze, strip
 from quirework.functions.units import half_up
-from quirework.operators.pagepacks import PAGE, map_pages, map_parts, ordered
+from quirework.operators.pagepacks import PAGE, changes, map_pages, map_parts, ordered
 
 # Row and column tolerance of the table grid, line tolerance (points).
 ROW_STEP, COL_STEP, LINE_TOLERANCE = 5.0, 10.0, 5.0
@@ -163,8 +164,7 @@ def group_lines(items: DataFrame) -> DataFrame:
 
 
 def line_text(items: Column) -> Column:
-    joined = F.array_join(F.transform(items, lambda i: i["str"]), " ")
-    return strip(F.regexp_replace(joined, r"\s+", " "))
+    return squeeze(F.array_join(F.transform(items, lambda i: i["str"]), " "))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -177,15 +177,20 @@ def heading_level(lines: DataFrame) -> DataFrame:
     """0 for body text, 1 to 3 for headings, from size, weight and length."""
     # a page's lines are few and are needed together next, so a page window serves both
     mean = F.avg("font_size").over(Window.partitionBy(*PAGE))
-    df = lines.withColumn("_mean", mean).withColumn("text", line_text(F.col("items")))
+    # the text first: items that nobody reads after it stay out of the window's exchange
+    df = lines.withColumn("text", line_text(F.col("items"))).withColumn("_mean", mean)
     return df.withColumn("heading_level", level_of(F.col("text"), F.col("font_size") / F.col("_mean"), F.col("is_bold"))).drop("_mean")
 
 
+#: Lines of fewer characters are short.
+SHORT = 80
+
+
 def level_of(text: Column, r: Column, bold: Column) -> Column:
     """Heading level of a line whose font size is ``r`` times the page's mean."""
     n = F.length(text)
-    short = n < 80
-    open_end = ~text.rlike(r"[.!?:;,]$")
+    short = n < SHORT
+    open_end = ~text.rlike(r"[.!?:;,]\z")
     return (
         F.when(text == "", 0)
         .when((r >= 1.8) | ((r >= 1.4) & bold & short), 1)
@@ -196,6 +201,98 @@ def level_of(text: Column, r: Column, bold: Column) -> Column:
     )
 
 
+def squeezed(strs: pa.Array) -> pa.Array:
+    """What each item adds to its line's text: single blanks within, none around."""
+    spaced = pc.fill_null(pc.match_substring_regex(strs, f"[{BLANK}]"), False)
+    if not pc.any(spaced).as_py():
+        return strs
+    parts = [re.sub(f"[{BLANK}]+", " ", s).strip(" ") for s in strs.filter(spaced).to_pylist()]
+    return pc.replace_with_mask(strs, spaced, pa.array(parts, strs.type))
+
+
+#: What is kept of the items of a page at one y: the first item's number, the largest font size, bold (-1 unknown), the length of their
+#: squeezed texts and how many of them are not empty; the last one of those, if the line may be short.
+AT_Y = (("y", "double"), ("first", "long"), ("fs", "double"), ("bold", "int"), ("size", "long"), ("parts", "long"), ("x", "double"), ("item_no", "long"), ("str", "string"))
+
+
+def last_of(group: np.ndarray, x: np.ndarray, nos: np.ndarray, strs: pa.Array, at: np.ndarray) -> np.ndarray:
+    """The last one of the places ``at`` in each group, in rising order of the groups."""
+    order = ordered(strs.take(pa.array(at)).to_pylist(), nos[at], x[at], group[at])
+    of = group[at][order]
+    return at[order[np.r_[of[1:] != of[:-1], True][: len(of)]]]
+
+
+def at_each_y(items: DataFrame) -> DataFrame:
+    """doc_id, page_no and ``AT_Y``: the items of a page at one y that follow one another, in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            page = np.cumsum(changes(b.column(0)) | changes(b.column(1)))
+            y, x, no, bold = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "item_no", "bold"))
+            by_y = np.lexsort((y, page))
+            p, v = page[by_y], y[by_y]
+            new = np.r_[True, (p[1:] != p[:-1]) | (v[1:] != v[:-1])]
+            start, row = np.flatnonzero(new), np.empty(len(new), dtype=np.int64)
+            row[by_y] = np.cumsum(new) - 1
+            strs = b.column("str")
+            length = pc.fill_null(pc.utf8_length(squeezed(strs)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            fs = pc.fill_null(b.column("fs"), -np.inf).to_numpy(zero_copy_only=False)
+            size, parts = (np.add.reduceat(c[by_y], start) for c in (length, (length > 0).astype(np.int64)))
+            last = last_of(row, x, no, strs, np.flatnonzero((length > 0) & (size + parts - 1 <= SHORT)[row]))
+            end = np.full(len(start), -1)
+            end[row[last]] = last
+            ends = pa.array(end, mask=end < 0)
+            cols = [v[start], np.minimum.reduceat(no[by_y], start), np.maximum.reduceat(fs[by_y], start), np.maximum.reduceat(bold[by_y], start), size, parts]
+            lead = pa.array(by_y[start])
+            cols = [b.column(0).take(lead), b.column(1).take(lead), *map(pa.array, cols), *(b.column(c).take(ends) for c in ("x", "item_no", "str"))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*PAGE, *(c for c, _ in AT_Y)])
+
+    base = line_items(items)
+    bold = F.lower("font_name").rlike("bold|heavy|black")
+    slim = base.select(*PAGE, "y", "x", "item_no", "str", "fs", F.when(bold, 1).when(~bold, 0).otherwise(-1).alias("bold"))
+    keys = dict(base.dtypes)
+    return slim.mapInArrow(run, ", ".join([*(f"{c} {keys[c]}" for c in PAGE), *(f"{c} {t}" for c, t in AT_Y)]))
+
+
+def item_headings(items: DataFrame) -> DataFrame:
+    """doc_id, page_no, y and heading_level of each line: ``heading_level`` of ``group_lines``, without texts or lists of items.
+
+    A level depends on a line's length, its end, its size and its weight, so items at one y become one row before the one exchange."""
+    rows = at_each_y(items)
+
+    def lines(docs, nos, n, y, first, fs, bold, size, parts, x, no, strs) -> pa.RecordBatch:
+        page = np.repeat(np.arange(len(n) - 1), np.diff(n))
+        y, first, fs, bold, size, parts, x, no = (c.to_numpy(zero_copy_only=False) for c in (y, first, fs, bold, size, parts, x, pc.fill_null(no, 0)))
+        of, leaders = first_fit(page, y, first)
+        of_page = np.empty(len(leaders), dtype=np.int64)
+        of_page[of] = page
+        by_line = np.argsort(of, kind="stable")
+        start = np.searchsorted(of[by_line], np.arange(len(leaders)))
+        fs, bold = (np.maximum.reduceat(c[by_line], start) for c in (fs, bold))
+        size, parts = (np.add.reduceat(c[by_line], start) for c in (size, parts))
+        length = size + np.maximum(parts - 1, 0)
+        # long lines have the same level whatever their end is
+        texts = np.where(length > SHORT, "x" * (SHORT + 1), "").astype(object)
+        last = last_of(of, x, no, strs, np.flatnonzero(strs.is_valid().to_numpy(zero_copy_only=False) & (length <= SHORT)[of]))
+        ends = squeezed(strs.take(pa.array(last))).to_pylist()
+        for line, end in zip(of[last].tolist(), ends, strict=True):
+            texts[line] = end.rjust(length[line], "x")
+        unsized = np.isneginf(fs)
+        of_sized = of_page[~unsized]
+        sized = np.bincount(of_sized, minlength=len(n) - 1)
+        mean = np.bincount(of_sized, fs[~unsized], len(n) - 1) / np.maximum(sized, 1)
+        lead = pa.array(of_page)
+        cols = [pa.array(leaders), pa.array(fs, mask=unsized), pa.array(mean[of_page], mask=(sized == 0)[of_page]), pa.array(bold > 0, mask=bold < 0), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays([docs.take(lead), nos.take(lead), *cols], names=[*PAGE, "y", "font_size", "mean", "is_bold", "stand_in"])
+
+    keys = dict(rows.dtypes)
+    # stand_in: a text of the line's length (or not short either) with its end
+    found = map_parts(rows, lines, ", ".join(f"{c} {keys[c]}" for c in PAGE) + ", y double, font_size double, mean double, is_bold boolean, stand_in string")
+    return found.select(*PAGE, "y", level_of(F.col("stand_in"), F.col("font_size") / F.col("mean"), F.col("is_bold")).alias("heading_level"))
+
+
 # List marks, numbered entries, addresses.
 BULLET, NUMBERED, URL = r"^[•●○◦▪▸►\-*]\s+", r"^(\d+)[.)]\s+(.*)$", r"(https?://\S+)"
 # Lines that show the columns of a table, items and columns it needs, gap between columns and

@@ -469,6 +469,36 @@ def test_items_of_a_page_meet_once(spark):
         assert same[0] == same[1] and same[0]
 
 
+def test_headings_move_no_items(spark):
+    """Levels from one row for each y of a page, in one exchange of pages, equal those of whole lines."""
+    r = random.Random(6)
+    texts = ["Title", "two  words", " in. ", "end.", "a,", "", " ", "\u2028", "\u2028 .", "x.\u2028", "\u00a0", "\u0085", "é😀?", "\t\x0b;\r", "w" * 78, "v" * 79, "u" * 80, None]
+    rows = []
+    for i in range(3000):
+        size = r.choice([8.0, 10.0, 10.0, 12.0, 15.0, 19.0])
+        x, y = 50.0 + 20 * r.randrange(4), 700.0 - 14 * r.randrange(12) - r.choice([0, 0, 1, 3])
+        rows.append((i % 5, i % 31, r.randrange(40), r.choice(texts), [size, 0.0, 0.0, size, x, y], 5.0, r.choice([size, 0.0]), r.choice(["Helvetica", "X-Black", None])))
+    schema = "doc_id long, page_no long, item_no long, str string, transform array<double>, width double, height double, font_name string"
+    df = spark.createDataFrame(rows, schema)
+    cols = ("doc_id", "page_no", "y", "heading_level")
+    got = {}
+    for name, parts in (("one", df.repartition(1).sortWithinPartitions("doc_id", "page_no")), ("some", df.repartition(7, "item_no"))):
+        levels = tables.item_headings(parts)
+        got[name] = sorted(levels.select(*cols).collect())
+    want = sorted(tables.heading_level(tables.group_lines(df)).select(*cols).collect())
+    assert got["one"] == got["some"] == want and {x.heading_level for x in want} == {0, 1, 2, 3}
+    # two items at one y, many of them: a row each leaves the first step
+    many = spark.createDataFrame([(1, 1, i, "w", [9.0, 0.0, 0.0, 9.0, 50.0 + i, 700.0 - i % 2], 5.0, 9.0, "Helvetica") for i in range(1000)], schema).coalesce(1)
+    assert [(x.size, x.parts, x.str) for x in tables.at_each_y(many).collect()] == [(500, 500, None), (500, 500, None)]
+
+
+def test_headings_query_has_one_exchange_of_pages(spark):
+    from quirework.plans import text_queries
+
+    plan = text_queries.heading_levels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1 and "Window" not in plan
+
+
 def test_arrays_are_worked_out_once(spark, tmp_path):
     """An explode that filters by an array's size works the array out a second time."""
     spark.createDataFrame([(1, 1, 0, "the other", [10.0, 0.0, 0.0, 10.0, 50.0, 800.0], 45.0, 10.0)], "doc_id long, page_no long, item_no long, str string, transform array<double>, width double, height double").write.parquet(f"{tmp_path}/i")
