@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import exploded, let
 from quirework.functions.text import strip
 from quirework.operators.align import align, likeness, with_letters
 from quirework.operators.prefix import block_totals, page_block
@@ -30,6 +31,8 @@ LETTERS = ("n", "chars", "counts")
 
 def _from_end(pages: DataFrame, side: str) -> DataFrame:
     """Letters of a version's pages, numbered from the last page."""
+    # the join asks this of one side only; asked of both, their texts are spread once
+    pages = pages.where("doc_id IS NOT NULL")
     block = page_block("page_no")
     totals = block_totals(pages, ["doc_id"], [("_block", block)], F.lit(1).cast("long")).withColumnRenamed("__total", "_n")
     letters = with_letters(pages.select("doc_id", "page_no", "text"), "text").withColumn("_block", block)
@@ -80,6 +83,39 @@ def pair_pages(a: DataFrame, b: DataFrame, keep_text: bool = False) -> DataFrame
     return pairs
 
 
+#: Bytes of a text up to which all its pages get their pairs in one row.
+WHOLE = 1 << 20
+
+
+def pair_texts(pairs: DataFrame, docs: DataFrame, pages_a: Callable[[Column], Column], pages_b: Callable[[Column], Column]) -> DataFrame:
+    """Adds text_a and text_b to pairs of pages; ``docs`` (doc_id, text) holds the texts that both versions are made of, as arrays
+    of page texts, by ``pages_a`` and ``pages_b``.
+
+    A text is moved once, to the pairs of its pages, and not page by page for each version.  The pages of longer texts
+    are moved one by one, so that they spread.
+    """
+    out = pairs.columns
+    docs = docs.select(F.col("doc_id").alias("pair_id"), "text")
+    long = docs.where(F.octet_length("text") > WHOLE)
+    listed = pairs.groupBy("pair_id").agg(F.collect_list(F.struct(*[c for c in out if c != "pair_id"])).alias("pairs"))
+    met = listed.join(docs.where(F.octet_length("text") <= WHOLE), "pair_id")
+
+    def with_pages(of: Column) -> Column:
+        def text(p: Column, s: str) -> Column:
+            return F.get(of[s], (p[f"page_{s}"] - 1).cast("int")).alias(f"text_{s}")
+
+        return F.transform("pairs", lambda p: F.struct(p.alias("p"), text(p, "a"), text(p, "b")))
+
+    texts = F.struct(pages_a(F.col("text")).alias("a"), pages_b(F.col("text")).alias("b"))
+    whole = exploded(met, "pair_id", array=let(texts, with_pages), value="x").select("pair_id", "x.p.*", "x.text_a", "x.text_b")
+    apart = pairs.join(long.select("pair_id"), "pair_id", "left_semi")
+    for s, pages in (("a", pages_a), ("b", pages_b)):
+        each = exploded(long, "pair_id", array=pages(F.col("text")), value=f"text_{s}", at="_i")
+        each = each.select("pair_id", (F.col("_i") + 1).cast("long").alias(f"page_{s}"), f"text_{s}")
+        apart = apart.join(each, ["pair_id", f"page_{s}"], "left")
+    return whole.select(*out, "text_a", "text_b").unionByName(apart.select(*out, "text_a", "text_b"))
+
+
 def _pages_of(rest: DataFrame) -> DataFrame:
     """Letters of the pages of both sides; a page without text counts as empty."""
     none = F.array().cast("array<int>")
@@ -362,8 +398,9 @@ def filter_highlights(marks: DataFrame, hidden: tuple[str, ...] = ()) -> DataFra
     )
 
 
-#: Deleted texts, in reading order, that every added text is compared with before the join on letters.
-MOVED_FIRST = 8
+#: Deleted texts, in reading order, that every added text is compared with at once; one that is like none of them is compared
+#: with MOVED_MORE times as many before the join on letters.
+MOVED_FIRST, MOVED_MORE = 8, 16
 #: Lengths are told apart by steps of a quarter: the bounds of a step must hold for all lengths in it.
 LENGTH_STEP = 1.25
 
@@ -421,7 +458,13 @@ def added_keys(texts: DataFrame, frequency: dict[str, int]) -> DataFrame:
 def resembles(t: Column, letters: Column, n: Column) -> Column:
     """Whether the added text ``t`` is like a deleted one of ``n`` letters, known by their set."""
     shared = F.length(t) - F.length(F.call_function("translate", t, letters, F.lit("")))
-    return 2.0 * shared / (n + F.length(t)) >= MOVED_MATCH
+    # of a text far too short, no letters need be looked at
+    return may_resemble(F.length(t), n) & (2.0 * shared / (n + F.length(t)) >= MOVED_MATCH)
+
+
+def may_resemble(length: Column, n: Column) -> Column:
+    """Whether an added text of ``length`` letters, or a shorter one, can be like a deleted one of ``n``."""
+    return 2.0 * length / (n + length) >= MOVED_MATCH
 
 
 def moved_candidates(kinds: DataFrame, texts: DataFrame) -> DataFrame:
@@ -434,20 +477,50 @@ def moved_candidates(kinds: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def first_alike(kinds: DataFrame, texts: DataFrame) -> DataFrame:
-    """pair_id, t, deleted (place): the first deleted text that each added text (pair_id, t) is like.
+    """``texts`` (pair_id, t and more) with deleted (place): the first deleted text that each added text t is like.
 
     ``kinds``: pair_id, letters (their set), n (length) and the first place of the deleted texts of that set and length, which is all that
     likeness depends on.  Long texts of one language are alike almost all, and find their first among the MOVED_FIRST
-    first ones; the rest goes through the join on letters."""
+    first ones; most documents have no more than those tried next, and only what is left of the others goes through the join on letters."""
     order = Window.partitionBy("pair_id").orderBy("place")
-    head = kinds.withColumn("no", F.row_number().over(order)).where(F.col("no") <= MOVED_FIRST)
+    most = MOVED_FIRST * MOVED_MORE
+    head = kinds.withColumn("no", F.row_number().over(order)).where(F.col("no") <= most + 1)
     head = head.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("place", "letters", "n"))).alias("head"))
-    found = F.get(F.filter("head", lambda h: resembles(F.col("t"), h["letters"], h["n"])), F.lit(0))["place"]
-    tried = materialise(texts.join(head.hint("merge"), "pair_id", "left").select("pair_id", "t", found.alias("deleted")), "moved-first")
-    rest = tried.where("deleted IS NULL").select("pair_id", "t")
-    some = moved_candidates(kinds, rest).where(resembles(F.col("t"), F.col("letters"), F.col("n")))
+    found = F.coalesce(*[
+        F.get(F.filter(F.slice("head", first + 1, size), lambda h: resembles(F.col("t"), h["letters"], h["n"])), F.lit(0))["place"]
+        for first, size in ((0, MOVED_FIRST), (MOVED_FIRST, most - MOVED_FIRST))
+    ])
+    own = [F.col(c) for c in texts.columns]
+    # place of the first deleted text that was not tried
+    left = F.get("head", F.lit(most))["place"].alias("_from")
+    tried = texts.join(head.hint("merge"), "pair_id").select(*own, found.alias("deleted"), left)
+    # written as it is: a filter before that would look for the first ones a second time
+    tried = materialise(tried, "moved-first")
+    rest = tried.where("deleted IS NULL AND _from IS NOT NULL")
+    reach = rest.groupBy("pair_id", "_from").agg(F.max(F.length("t")).alias("_longest"))
+    behind = kinds.join(reach.hint("merge"), "pair_id").where((F.col("place") >= F.col("_from")) & may_resemble(F.col("_longest"), F.col("n")))
+    behind = behind.select(*kinds.columns)
+    rest = rest.select(*own)
+    some = moved_candidates(materialise(behind, "moved-behind"), rest.select("pair_id", "t").distinct()).where(resembles(F.col("t"), F.col("letters"), F.col("n")))
     late = some.groupBy("pair_id", "t").agg(F.min("place").alias("deleted"))
-    return tried.where("deleted IS NOT NULL").unionByName(late)
+    late = rest.join(late.hint("merge"), ["pair_id", "t"]).select(*own, "deleted")
+    return tried.where("deleted IS NOT NULL").select(*own, "deleted").unionByName(late)
+
+
+def usable() -> Column:
+    """Whether a mark may be moved text."""
+    return F.coalesce(F.col("type").isin("deleted", "added") & (F.length(strip(F.col("text"))) >= MOVED_MIN), F.lit(False))
+
+
+def moved_pairs(marks: DataFrame, *more: Column) -> DataFrame:
+    """pair_id, deleted, added: the places (pair_no, mark_no and ``more``) of each added segment and the deleted one it belongs to."""
+    clean = F.regexp_replace("text", r"\s+", "")
+    place = F.struct("pair_no", "mark_no", *more)
+    ends = marks.where(usable()).select("pair_id", place.alias("place"), "type", clean.alias("t"))
+    letters = F.array_join(F.array_sort(F.array_distinct(F.split("t", ""))), "")
+    kinds = ends.where("type = 'deleted'").groupBy("pair_id", letters.alias("letters"), F.length("t").alias("n")).agg(F.min("place").alias("place"))
+    added = ends.where("type = 'added'").select("pair_id", "t", F.col("place").alias("added"))
+    return first_alike(materialise(kinds, "moved-from"), added).select("pair_id", "deleted", "added")
 
 
 def find_moved(marks: DataFrame) -> DataFrame:
@@ -463,15 +536,7 @@ def find_moved(marks: DataFrame) -> DataFrame:
     Returns (pair_id, deleted_pair, deleted_mark, added_pair, added_mark,
     is_target).
     """
-    clean = F.regexp_replace("text", r"\s+", "")
-    usable = marks.filter(
-        F.col("type").isin("deleted", "added") & (F.length(strip(F.col("text"))) >= MOVED_MIN)
-    ).select("pair_id", F.struct("pair_no", "mark_no").alias("place"), "type", clean.alias("t"))
-    letters = F.array_join(F.array_sort(F.array_distinct(F.split("t", ""))), "")
-    kinds = usable.where("type = 'deleted'").groupBy("pair_id", letters.alias("letters"), F.length("t").alias("n")).agg(F.min("place").alias("place"))
-    added = usable.where("type = 'added'").select("pair_id", "t", F.col("place").alias("added"))
-    hits = first_alike(materialise(kinds, "moved-from"), added.select("pair_id", "t").distinct())
-    won = added.join(hits.hint("merge"), ["pair_id", "t"]).select("pair_id", "deleted", "added")
+    won = moved_pairs(marks)
     last = won.groupBy("pair_id", "deleted").agg(F.max("added").alias("added"))
     last = last.select("pair_id", "added", F.lit(True).alias("_last"))
     return won.join(last.hint("merge"), ["pair_id", "added"], "left").select(
@@ -486,27 +551,22 @@ def mark_moved(marks: DataFrame) -> DataFrame:
     """Highlights with both ends of a moved text turned into type ``moved``.
 
     Adds to_page, to_x and to_y: where the text went (side a) or came from
-    (side b); null on other highlights.
+    (side b); null on other highlights.  Places carry their page and position
+    along, so that marks and their texts are moved once, and only those that can
+    be moved text.
     """
-    moved = find_moved(marks)
-    place = ["pair_id", "pair_no", "mark_no"]
-    ends = marks.select(
-        "pair_id", F.col("pair_no").alias("_p"), F.col("mark_no").alias("_m"),
-        F.struct(
-            F.when(F.col("side") == "a", F.col("page_a")).otherwise(F.col("page_b")).alias("page"), "x", "y"
-        ).alias("to"),
-    )
+    page = F.when(F.col("side") == "a", F.col("page_a")).otherwise(F.col("page_b"))
+    won = moved_pairs(marks, F.struct(page.alias("page"), "x", "y").alias("to"))
+    last = won.groupBy("pair_id", "deleted").agg(F.max("added").alias("added"))
 
     def end(pairs: DataFrame, mine: str, other: str) -> DataFrame:
-        links = pairs.select(
-            "pair_id", F.col(f"{mine}_pair").alias("pair_no"), F.col(f"{mine}_mark").alias("mark_no"),
-            F.col(f"{other}_pair").alias("_p"), F.col(f"{other}_mark").alias("_m"),
-        )
-        return links.join(ends.hint("merge"), ["pair_id", "_p", "_m"]).select(*place, "to")
+        return pairs.select("pair_id", F.col(f"{mine}.pair_no").alias("pair_no"), F.col(f"{mine}.mark_no").alias("mark_no"), F.col(f"{other}.to").alias("to"))
 
-    links = end(moved.filter("is_target"), "deleted", "added").unionByName(end(moved, "added", "deleted"))
+    links = end(last, "deleted", "added").unionByName(end(won, "added", "deleted"))
+    linked = marks.where(usable()).join(links.hint("merge"), ["pair_id", "pair_no", "mark_no"], "left")
+    others = marks.where(~usable()).withColumn("to", F.lit(None).cast(links.schema["to"].dataType))
     return (
-        marks.join(links.hint("merge"), place, "left")
+        linked.unionByName(others)
         .withColumns(
             {
                 "type": F.when(F.col("to").isNotNull(), "moved").otherwise(F.col("type")),

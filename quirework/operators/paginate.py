@@ -36,28 +36,27 @@ def _pages_of(lines: Column, k: int) -> Column:
     )
 
 
-def paginate(docs: DataFrame, per_page: int | None = None, wrap_at: int | None = None) -> DataFrame:
-    """(doc_id, text) -> (doc_id, page_no, text).
+def page_texts(text: Column, per_page: int | None = None, wrap_at: int | None = None) -> Column:
+    """Texts of the pages of a text, in order.
 
     Without ``wrap_at`` every input line is one output line.  With it, each
     paragraph is wrapped to that many characters; a blank one uses one line.
     """
-    k = per_page or lines_per_page()
-    paragraphs = F.split("text", "\n")
+    lines = F.split(text, "\n")
     if wrap_at:
         lines = F.flatten(
             F.transform(
-                paragraphs,
+                lines,
                 lambda p: F.when(p.rlike(r"\S"), wrap_lines(p, wrap_at)).otherwise(F.array(F.lit(""))),
             )
         )
-    else:
-        lines = paragraphs
-    return (
-        docs.select("doc_id", lines.alias("_lines"))
-        .select("doc_id", F.posexplode(_pages_of(F.col("_lines"), k)).alias("_i", "text"))
-        .select("doc_id", (F.col("_i") + 1).cast("long").alias("page_no"), "text")
-    )
+    return let(lines, lambda ls: _pages_of(ls, per_page or lines_per_page()))
+
+
+def paginate(docs: DataFrame, per_page: int | None = None, wrap_at: int | None = None) -> DataFrame:
+    """(doc_id, text) -> (doc_id, page_no, text), by ``page_texts``."""
+    pages = exploded(docs, "doc_id", array=page_texts(F.col("text"), per_page, wrap_at), value="text", at="_i")
+    return pages.select("doc_id", (F.col("_i") + 1).cast("long").alias("page_no"), "text")
 
 
 def json_lines(docs: DataFrame, width: int = 80, column: str = "json") -> DataFrame:

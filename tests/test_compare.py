@@ -369,3 +369,67 @@ def test_equal_endings_need_no_scores():
     assert compare.lcs_ops(a, [Word(w) for w in a]) == [(i, i) for i in range(500)]
     assert Word.hashed == 0
     assert compare.lcs_ops(["x"], ["x", "x"]) == [(-1, 0), (0, 1)]
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 60, 0])
+def test_texts_of_pairs_come_with_their_document(spark, monkeypatch, whole):
+    """Texts cut from whole documents, or page by page from long ones, are those that page tables give."""
+    from quirework.operators.paginate import page_texts, paginate
+
+    monkeypatch.setattr(compare, "WHOLE", whole)
+    r = random.Random(5)
+    docs = [(i, "\n".join("".join(r.choices("abcdefghij ", k=r.randrange(12))) for _ in range(r.randrange(1, 14)))) for i in range(30)]
+    docs = spark.createDataFrame([*docs, (30, None), (None, "a\nb")], "doc_id long, text string")
+    edited = lambda t: F.regexp_replace(t, "(?m)^a.*\n", "")
+    a, b = paginate(docs, 2), paginate(docs.select("doc_id", edited(F.col("text")).alias("text")), 2)
+    cols = ("pair_id", "pair_no", "page_a", "page_b", "similarity", "text_a", "text_b")
+    want = compare.pair_pages(a, b, keep_text=True).select(*cols).collect()
+    got = compare.pair_texts(compare.pair_pages(a, b), docs, lambda t: page_texts(t, 2), lambda t: page_texts(edited(t), 2))
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want)) and len(want) > 90
+
+
+def test_texts_of_a_pair_move_once(spark, monkeypatch):
+    """Texts come to the pairs with their document: pages of usual documents are made after the exchange and not before."""
+    from quirework.plans import text_queries
+
+    seen = []
+    keep = compare.box_words
+    monkeypatch.setattr(compare, "box_words", lambda df: seen.append(df) or keep(df))
+    text_queries.diff_highlights(spark, "/root/testdata/sf0.001")
+    plan = plan_of(seen[0])
+    assert "hashpartitioning(pair_id" in plan and "REBALANCE" not in plan
+
+
+def test_few_deleted_texts_make_no_pairs(spark, monkeypatch):
+    """A document's deleted texts are all tried at once if they are few; only what stands behind them is joined on letters."""
+    made = []
+    keep = compare.moved_candidates
+    monkeypatch.setattr(compare, "moved_candidates", lambda k, t: made.append((k.count(), t.count())) or keep(k, t))
+    r = random.Random(3)
+    most = compare.MOVED_FIRST * compare.MOVED_MORE
+    many = [(d, 0, i, kind, "".join(r.choices("abcdefghijklmnopqrst", k=r.randint(5, 9)))) for d, n in ((1, 60), (2, most + 40)) for kind in ("added", "deleted") for i in range(n)]
+    got = {(x.pair_id, x.t): tuple(x.deleted) for x in first_alike_of(moved_rows(many, spark)).collect()}
+    assert got == slow_first(many)
+    assert made[0][0] <= 40 and made[0][1] <= most + 40
+
+
+def test_moved_marks_know_their_place(spark):
+    """Marks get page and position of the other end, also those that share a mark number."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(3, 9))) for _ in range(40)]
+    rows = []
+    for p in range(3):
+        for i in range(80):
+            side = r.choice("ab")
+            kind = r.choice(["deleted" if side == "a" else "added", "modified"]) if i % 3 else ("deleted" if side == "a" else "added")
+            rows.append((p, -(i // 9), i % 9, 10 + i // 9, 20 + i // 9, side, kind, r.choice([*words, None]), float(i), float(-i)))
+    marks = spark.createDataFrame(rows, "pair_id long, pair_no long, mark_no long, page_a long, page_b long, side string, type string, text string, x double, y double")
+    place = {(m[0], m[1], m[2]): m for m in rows}
+    want = {k: (m[6], None, None, None) for k, m in place.items()}
+    for x in compare.find_moved(marks).collect():
+        d, a = (x.pair_id, x.deleted_pair, x.deleted_mark), (x.pair_id, x.added_pair, x.added_mark)
+        want[a] = ("moved", place[d][3], place[d][8], place[d][9])
+        if x.is_target:
+            want[d] = ("moved", place[a][4], place[a][8], place[a][9])
+    got = {(x.pair_id, x.pair_no, x.mark_no): (x.type, x.to_page, x.to_x, x.to_y) for x in compare.mark_moved(marks).collect()}
+    assert got == want and sum(v[0] == "moved" for v in want.values()) > 20
